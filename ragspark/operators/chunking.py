@@ -217,21 +217,13 @@ def _resolve(links: DataFrame) -> DataFrame:
     ``jump`` maps an entry of block ``src`` to the entry of ``block``. Each round
     halves the distance to block 0, whose entry is 0.
     """
-    done = None
-    while True:
-        ready = links.where(F.col("src") == 0).select(
-            "parent", "block", F.element_at("jump", 1).alias("entry")
-        )
-        done = ready if done is None else done.unionByName(ready)
-        waiting = links.where(F.col("src") > 0)
-        if waiting.limit(1).count() == 0:
-            return done
+    while links.where(F.col("src") > 0).limit(1).count():
         before = links.select(
             "parent", F.col("block").alias("src"), F.col("src").alias("_src"), F.col("jump").alias("_jump")
         )
-        links = materialise(
-            waiting.join(before, ["parent", "src"]).select(
-                "parent", "block", F.col("_src").alias("src"),
-                F.transform("_jump", lambda e: F.element_at(F.col("jump"), e + 1)).alias("jump"),
-            )
+        jumped = links.where(F.col("src") > 0).join(before, ["parent", "src"]).select(
+            "parent", "block", F.col("_src").alias("src"),
+            F.transform("_jump", lambda e: F.element_at(F.col("jump"), e + 1)).alias("jump"),
         )
+        links = materialise(links.where(F.col("src") == 0).unionByName(jumped))
+    return links.select("parent", "block", F.element_at("jump", 1).alias("entry"))
