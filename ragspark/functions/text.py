@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragspark import fixed
 
@@ -20,7 +21,7 @@ def strip_chars(text: Column, char: str) -> Column:
     return F.regexp_replace(text, f"^[{char}]+|[{char}]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_entities(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

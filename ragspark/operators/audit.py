@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.numbers import keyed_hash
 from ragspark.operators.redaction import merge_detections
-from ragspark.schemas import AUDIT
+from ragspark import schemas
 
 
 def audit_records(turns: DataFrame, key: bytes) -> DataFrame:
@@ -33,7 +33,7 @@ def audit_records(turns: DataFrame, key: bytes) -> DataFrame:
         "insufficient_context", "latency_ms", "retrieval_latency_ms", "generation_latency_ms",
         number("input_tokens"), number("output_tokens"), number("total_tokens"),
     )
-    return record.select([F.col(f.name).cast(f.dataType) for f in AUDIT.fields])
+    return record.select([F.col(f.name).cast(f.dataType) for f in schemas.AUDIT.fields])
 
 
 def filter_audit(

@@ -68,60 +68,44 @@ def seed_plan(
 ) -> DataFrame:
     """Seeds ``plan_ord, complaint_type, seed_sections, seed_id`` from allow-lists.
 
-    ``index(section_id, module, chapter, section_name)`` may be large; the plan
-    touches only listed sections and the first few of each module, so all later
-    steps work on a few hundred rows.
+    ``index(section_id, module, chapter, section_name)`` may be large. The driver
+    learns only which allow-listed sections exist and how many sections each
+    listed module offers; the sections themselves are joined in by position.
     """
     spark = index.sparkSession
     steps = target_multi * fixed.MULTI_STEP_LIMIT + 1
-
-    def listed(names, column):
-        wanted = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "o int, section_id string")
-        present = index.where(F.col("section_id").isin(list(names))).select("section_id").distinct()
-        kept = F.broadcast(wanted).join(present, "section_id")
-        order = Window.orderBy("o")
-        return kept.select((F.row_number().over(order) - 1).alias("pos"), F.col("section_id").alias(column))
-
-    single = listed(handling, "section_id").select(
-        F.lit(0).alias("part"), F.col("pos").alias("i"), F.lit("single").alias("complaint_type"),
-        F.array("section_id").alias("seed_sections"),
+    names = sorted({*handling, *final_response, *escalation})
+    found = {r[0] for r in index.where(F.col("section_id").isin(names)).select("section_id").distinct().collect()}
+    handling, final_response, escalation = (
+        [s for s in listed if s in found] for listed in (handling, final_response, escalation)
     )
+    if not handling:
+        raise ValueError("none of the handling sections is in the index")
 
     pool = substantive_sections(index, chapters, skip_words).where(F.col("module").isin(list(modules)))
-    sizes = pool.groupBy("module").agg(F.count("*").alias("size"))
+    sizes = {r["module"]: r["count"] for r in pool.groupBy("module").count().collect()}
+    cycle = [m for m in modules if m in sizes]
     order = Window.partitionBy("module").orderBy("section_id")
     heads = pool.select("module", "section_id").withColumn("nth", F.row_number().over(order) - 1).where(F.col("nth") < steps)
-    cycle = F.broadcast(
-        spark.createDataFrame([(i, m) for i, m in enumerate(modules)], "o int, module string")
-    ).join(sizes, "module")
-    cycle = cycle.select((F.row_number().over(Window.orderBy("o")) - 1).alias("m_pos"), "module", "size")
-    h = listed(handling, "handling").select(F.col("pos").alias("h_pos"), "handling")
-    step = spark.range(steps).select(F.col("id").cast("int").alias("i"))
-    n_h, n_m = h.select(F.count("*").alias("n_h")), cycle.select(F.count("*").alias("n_m"))
-    # One-row frames: their product with the steps is the list of steps itself.
-    at = step.join(F.broadcast(n_h)).join(F.broadcast(n_m)).where((F.col("n_h") > 0) & (F.col("n_m") > 0)).select(
-        "i", (F.col("i") % F.col("n_h")).cast("int").alias("h_pos"), (F.col("i") % F.col("n_m")).cast("int").alias("m_pos"),
-        F.floor(F.col("i") / F.col("n_m")).cast("int").alias("turn"),
-    )
-    multi = (
-        at.join(h, "h_pos").join(cycle, "m_pos").withColumn("nth", (F.col("turn") % F.col("size")).cast("int"))
-        .join(heads, ["module", "nth"])
-        .select(F.lit(1).alias("part"), "i", F.lit("multi").alias("complaint_type"),
-                F.array_sort(F.array("handling", "section_id")).alias("seed_sections"))
+
+    plan = [(0, i, "single", s, None, None, None) for i, s in enumerate(handling)]
+    for i in range(steps if cycle else 0):
+        module = cycle[i % len(cycle)]
+        plan.append((1, i, "multi", handling[i % len(handling)], None, module, i // len(cycle) % sizes[module]))
+    pairs = [(a, b) for a in final_response for b in escalation]
+    plan += [(2, i, "escalation", a, b, None, None) for i, (a, b) in enumerate(pairs)]
+    drafted = spark.createDataFrame(
+        plan, "part int, i int, complaint_type string, a string, b string, module string, nth int"
     )
-    fr, fos = listed(final_response, "a"), listed(escalation, "b")
-    escalations = fr.withColumnRenamed("pos", "pa").join(F.broadcast(fos.withColumnRenamed("pos", "pb"))).select(
-        F.lit(2).alias("part"), (F.col("pa") * len(escalation) + F.col("pb")).cast("int").alias("i"),
-        F.lit("escalation").alias("complaint_type"), F.array_sort(F.array("a", "b")).alias("seed_sections"),
+    every = drafted.join(heads, ["module", "nth"], "left").select(
+        "part", "i", "complaint_type", F.array_sort(F.array_compact(F.array("a", "b", "section_id"))).alias("seed_sections")
     )
-    every = single.unionByName(multi).unionByName(escalations)
     first = every.groupBy("part", "complaint_type", "seed_sections").agg(F.min("i").alias("i"))
-    within = Window.partitionBy("part").orderBy("i")
-    caps = F.when(F.col("part") == 1, target_multi).when(F.col("part") == 2, target_escalation).otherwise(len(handling))
-    kept = first.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= caps)
-    final = Window.orderBy("part", "i")
+    caps = F.when(F.col("part") == 1, target_multi).when(F.col("part") == 2, target_escalation).otherwise(steps)
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy("part").orderBy("i"))).where(F.col("_r") <= caps)
+    # At most a few dozen seeds are numbered here.
     return kept.select(
-        F.row_number().over(final).alias("plan_ord"), "complaint_type", "seed_sections",
+        F.row_number().over(Window.orderBy("part", "i")).alias("plan_ord"), "complaint_type", "seed_sections",
         seed_id(F.col("complaint_type"), F.col("seed_sections")).alias("seed_id"),
     )
 
