@@ -30,9 +30,9 @@ def redact(
     *,
     turns_per_bucket: int = TURNS_PER_BUCKET,
 ) -> Redaction:
-    """Redact ``texts(session_id, turn, pass, text)``; (session_id, turn, pass) is unique.
+    """Redact ``texts(session_id, turn, pass_no, text)``; (session_id, turn, pass_no) is unique.
 
-    ``turn`` is an integer and, with ``pass``, gives the order in which a session
+    ``turn`` is an integer and, with ``pass_no``, gives the order in which a session
     saw its texts. Masking runs once, without a shuffle, and is written down; the
     branches below read only the columns they need from that table.
 
@@ -43,7 +43,7 @@ def redact(
     marked = materialise(
         spread(texts).withColumn("_m", masked(F.col("text"), detectors)).drop("text").select("*", "_m.*").drop("_m")
     )
-    row = ["session_id", "turn", "pass"]
+    row = ["session_id", "turn", "pass_no"]
     seen = marked.where(F.size("entities") > 0).select(*row, F.explode("entities").alias("e")).select(*row, "e.*")
     vault = number_tokens(seen, turns_per_bucket)
 
@@ -65,18 +65,18 @@ def redact(
 
 
 def number_tokens(seen: DataFrame, turns_per_bucket: int = TURNS_PER_BUCKET) -> DataFrame:
-    """Vault of ``seen(session_id, turn, pass, slot, entity_type, value, key)``.
+    """Vault of ``seen(session_id, turn, pass_no, slot, entity_type, value, key)``.
 
     The key is type-free: a value keeps the type and casing under which the
     session saw it first.
     """
-    when = F.struct("turn", "pass", "slot")
+    when = F.struct("turn", "pass_no", "slot")
     first = seen.groupBy("session_id", "key").agg(
         F.min_by(F.struct("entity_type", "value"), when).alias("_f"), F.min(when).alias("_at")
     ).select("session_id", "key", "_f.*", "_at.*")
     numbered = row_numbers(
         first, ["session_id", "entity_type"], F.floor(F.col("turn") / turns_per_bucket),
-        [F.col("turn"), F.col("pass"), F.col("slot")], "n",
+        [F.col("turn"), F.col("pass_no"), F.col("slot")], "n",
     )
     token = F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), F.col("n").cast("string"), F.lit("]"))
     return numbered.select("session_id", "key", "entity_type", "n", token.alias("token"), "value")

@@ -57,7 +57,8 @@ runs AS (
   FROM srun r JOIN sent s USING (doc_id, line_no, s_no) GROUP BY ALL),
 windows AS (
   SELECT doc_id, line_no, run, generate_subscripts(w, 1) AS w_no, regexp_replace(unnest(w), {STRIP}) AS body
-  FROM (SELECT *, CASE WHEN closed THEN regexp_extract_all(body, '(?:\s*(?:{TOKEN})){{1,480}}') ELSE [body] END AS w FROM runs)
+  FROM (SELECT *, CASE WHEN closed THEN list_transform(range(0, len(items), 480), lambda i: array_to_string(items[i + 1:i + 480], ''))
+                       ELSE [body] END AS w FROM (SELECT *, regexp_extract_all(body, '\s*(?:{TOKEN})') AS items FROM runs))
   UNION ALL SELECT doc_id, line_no, 1, 1, body FROM big WHERE toks <= 480),
 pieces AS (
   SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY run, w_no, off) AS p_no,

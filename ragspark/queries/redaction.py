@@ -18,7 +18,7 @@ KEY = b"ragspark-demo-key"
 # oracle's regular expressions have only ASCII boundaries.
 W = r"\p{L}\p{N}_"
 EMAIL = rf"[{W}][{W}.+-]*@[{W}-]+\.[{W}.-]*[{W}]"
-CARD = rf"(?:^|[^{W}])(\d(?:[ -]?\d){{12,18}})(?:$|[^{W}])"
+CARD = rf"(?:^|[^{W}])(\d(?:[ -]?\d){{12,18}})\b"
 FOUND_SQL = rf"""
 emails AS (
   SELECT source, doc_id, 0 AS det, generate_subscripts(m, 1) AS pos, 'EMAIL' AS entity_type, unnest(m) AS value
@@ -36,7 +36,7 @@ found AS (SELECT * FROM emails UNION ALL SELECT * FROM cards)
 
 def _texts(t):
     return t.documents.select(
-        F.col("source").alias("session_id"), F.col("doc_id").alias("turn"), F.lit(0).alias("pass"), "text"
+        F.col("source").alias("session_id"), F.col("doc_id").alias("turn"), F.lit(0).alias("pass_no"), "text"
     )
 
 
@@ -53,7 +53,7 @@ def redact_counts_all(t):
     """All ten detectors over documents and conversations."""
     talks = t.conversations.select(
         F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.col("turn").cast("long").alias("turn"),
-        F.lit(0).alias("pass"), "text",
+        F.lit(0).alias("pass_no"), "text",
     )
     texts = redaction.redact(_texts(t).unionByName(talks)).texts
     return redaction.detection_totals(texts, ["session_id"])
@@ -75,7 +75,7 @@ def redact_vault(t):
 def redact_roundtrip(t):
     """All detectors, then re-identification: every text comes back."""
     done = redaction.redact(_texts(t))
-    back = redaction.rehydrate(done.texts, done.vault, ["session_id", "turn", "pass"])
+    back = redaction.rehydrate(done.texts, done.vault, ["session_id", "turn", "pass_no"])
     return back.select("turn", F.md5("rehydrated").alias("text_md5"))
 
 

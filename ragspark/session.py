@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,19 +21,13 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     }.items():
         spark.conf.set(key, value)
-    _ship(spark.sparkContext)
+    _ship()
     return spark
 
 
-def _ship(sc) -> None:
-    """Send this package to the executors once per context, as ``--py-files`` would."""
-    if getattr(sc, "_ragspark_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    base = Path(tempfile.mkdtemp(prefix="ragspark-py-")) / "ragspark"
-    archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
-    sc.addPyFile(archive)
-    sc._ragspark_shipped = True
+def _ship() -> None:
+    """Let task closures carry this package's code, so executors need no installation."""
+    cloudpickle.register_pickle_by_value(sys.modules["ragspark"])
 
 
 def shared_folder(spark: SparkSession) -> str:
