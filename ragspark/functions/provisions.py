@@ -6,34 +6,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ragspark import fixed
-from ragspark.functions.text import strip
+from ragspark.functions.text import WHITE_SPACE
 
 
-def _parts(ref: Column) -> tuple[Column, Column]:
-    """(module, identifier) of a reference; both empty when it has no such shape."""
-    bare = strip(F.regexp_replace(F.upper(strip(ref)), fixed.SUBPARAGRAPH_TAIL, ""))
-    module = F.regexp_extract(bare, fixed.MODULE_AND_IDENT, 1)
-    ident = F.regexp_replace(F.regexp_extract(bare, fixed.MODULE_AND_IDENT, 2), r"(?U)\s+", "")
-    return module, ident
+# Stands between module and identifier while white space inside the identifier is dropped.
+_GAP = "\0"
+
+
+def _compact(ref: Column) -> Column:
+    """``MODULE\\0identifier`` without white space and trailing sub-paragraphs."""
+    bare = F.regexp_replace(F.upper(ref), fixed.SUBPARAGRAPH_TAIL, "")
+    marked = F.regexp_replace(bare, r"(?U)^\s*([A-Z]+)\s*(?=\d)", f"$1{_GAP}")
+    return F.translate(marked, WHITE_SPACE, "")
+
+
+def _without_status(compact: Column) -> Column:
+    """Drop the one status letter that may end an identifier."""
+    has_status = F.right(compact, F.lit(1)).isin("R", "G", "E")
+    return F.when(has_status, F.left(compact, F.length(compact) - 1)).otherwise(compact)
 
 
 def provision_key(ref: Column) -> Column:
     """Comparison key ``MODULE id`` without sub-paragraphs and status letter, else null."""
-    module, ident = _parts(ref)
-    key = F.concat(module, F.lit(" "), F.regexp_replace(ident, r"[RGE]$", ""))
-    return F.when(ident.rlike(r"^\d"), key)
+    compact = _compact(ref)
+    return F.when(compact.contains(_GAP), F.replace(_without_status(compact), F.lit(_GAP), F.lit(" ")))
 
 
 def parse_provision(ref: Column) -> Column:
     """Struct (module, core, status); null when the reference cannot be parsed."""
-    module, ident = _parts(ref)
-    status = F.regexp_extract(ident, r"([RGE])$", 1)
+    compact = _compact(ref)
+    last = F.right(compact, F.lit(1))
     return F.when(
-        ident.rlike(r"^\d"),
+        compact.contains(_GAP),
         F.struct(
-            module.alias("module"),
-            F.regexp_replace(ident, r"[RGE]$", "").alias("core"),
-            F.nullif(status, F.lit("")).alias("status"),
+            F.split_part(compact, F.lit(_GAP), F.lit(1)).alias("module"),
+            F.split_part(_without_status(compact), F.lit(_GAP), F.lit(2)).alias("core"),
+            F.when(last.isin("R", "G", "E"), last).alias("status"),
         ),
     )
 
@@ -45,9 +53,9 @@ def provision_keys(refs: Column) -> Column:
 
 def defined_provisions(content: Column) -> Column:
     """Distinct keys of provisions whose rule text is present, not merely mentioned."""
-    modules = F.regexp_extract_all(content, F.lit(fixed.PROVISION_DEFINITION), F.lit(1))
-    numbers = F.regexp_extract_all(content, F.lit(fixed.PROVISION_DEFINITION), F.lit(2))
-    return provision_keys(F.zip_with(modules, numbers, lambda m, n: F.concat(m, F.lit(" "), n)))
+    found = F.regexp_extract_all(content, F.lit(fixed.PROVISION_DEFINITION), F.lit(0))
+    # The type label is the last parenthesis, so the key rule drops it like a sub-paragraph.
+    return provision_keys(found)
 
 
 def chunk_section(section: Column, chunk_id: Column) -> Column:

@@ -50,10 +50,9 @@ def json_items(raw: Column) -> Column:
     that cannot be read gives an empty array.
     """
     text = unfence(raw)
-    whole = F.try_parse_json(text)
-    chosen = F.when(whole.isNotNull(), text).otherwise(_between(text, "[", "]"))
-    items = F.try_variant_get(F.try_parse_json(chosen), "$", "array<variant>")
-    objects = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    value = F.coalesce(F.try_parse_json(text), F.try_parse_json(_between(text, "[", "]")))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    objects = F.filter(items, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
     return F.coalesce(objects, F.array().cast("array<variant>"))
 
 
@@ -100,8 +99,12 @@ def supporting_chunk(item: Column) -> Column:
 
 def verdicts(raw: Column) -> Column:
     """Rubric verdicts of a response: ``array<struct<element,status,evidence,reasoning>>``."""
+    return verdicts_of(json_items(raw))
+
+
+def verdicts_of(items: Column) -> Column:
     return F.transform(
-        json_items(raw),
+        items,
         lambda v: F.struct(
             field(v, "element").alias("element"),
             status_label(field(v, "status", "MISSING")).alias("status"),

@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 from ragspark import fixed
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_chars(text: Column, char: str) -> Column:
@@ -47,12 +51,8 @@ def policy_references(text: Column) -> Column:
     pattern = F.lit(
         r"(?U)\b(" + "|".join(fixed.POLICY_REFERENCE_MODULES) + r")(?:\s+(\d[\w.]*(?:[RGDE])?))?\b"
     )
-    pairs = F.zip_with(
-        F.regexp_extract_all(text, pattern, F.lit(1)),
-        F.regexp_extract_all(text, pattern, F.lit(2)),
-        lambda m, n: strip(F.concat(m, F.lit(" "), F.coalesce(n, F.lit("")))),
-    )
-    return F.array_sort(F.array_distinct(pairs))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.regexp_replace(m, r"(?U)\s+", " "))))
 
 
 def context_references(policy: Column) -> Column:
@@ -80,7 +80,7 @@ def policy_source_ref(file_name: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
 def token_count(text: Column) -> Column:

@@ -28,21 +28,26 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str], item: str) -> Dat
 
 
 def _keyed(refs: DataFrame, keys: list[str]) -> DataFrame:
-    return refs.select(*keys, provision_key(F.col("provision")).alias("provision")).where(F.col("provision").isNotNull())
+    return refs.select(*keys, provision_key(F.col("provision")).alias("provision"))
 
 
 def citation_outcomes(cited: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Per (run, provision key): matched, cited_not_expected or expected_not_cited."""
     sides = _sides(_keyed(cited, keys), _keyed(expected, keys), keys, "provision")
+    known = F.col("provision").isNotNull()
     outcome = (
-        F.when((F.col("n_left") > 0) & (F.col("n_right") > 0), "matched")
-        .when(F.col("n_left") > 0, "cited_not_expected").otherwise("expected_not_cited")
+        F.when(known & (F.col("n_left") > 0) & (F.col("n_right") > 0), "matched")
+        .when(known & (F.col("n_left") > 0), "cited_not_expected")
+        .when(known & (F.col("n_right") > 0), "expected_not_cited")
     )
-    return sides.select(*keys, "provision", outcome.alias("outcome"))
+    # A filter on the key itself would move below the counts and compute every key twice.
+    return sides.select(*keys, "provision", outcome.alias("outcome")).where(F.col("outcome").isNotNull())
 
 
 def _counts(sides: DataFrame, keys: list[str], left: str, right: str, matched: str) -> DataFrame:
-    has_left, has_right = F.col("n_left") > 0, F.col("n_right") > 0
+    """Distinct items per side; references without a key count nowhere."""
+    known = F.col("provision").isNotNull()
+    has_left, has_right = known & (F.col("n_left") > 0), known & (F.col("n_right") > 0)
     return sides.groupBy(*keys).agg(
         F.count_if(has_left).alias(left), F.count_if(has_right).alias(right),
         F.count_if(has_left & has_right).alias(matched),

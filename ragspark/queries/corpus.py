@@ -24,7 +24,7 @@ SELECT doc_id, (start // 461)::INT AS chunk_index, doc_id || '-' || lpad((start
        least(512, len(words) - start)::INT AS n_words, md5(array_to_string(words[start + 1:start + 512], ' ')) AS text_md5
 FROM s""")
 def fixed_chunks(t):
-    chunks = chunking.fixed_windows(t.documents, "doc_id", "text")
+    chunks = chunking.fixed_windows(t.spread("documents"), "doc_id", "text")
     return chunks.select("doc_id", "chunk_index", "chunk_id", "n_words", F.md5("text").alias("text_md5"))
 
 
@@ -133,7 +133,7 @@ def structure_chunks_by_source(t):
 
 def _as_provisions(t):
     """Documents as provisions: language is the module, source the section, number the order."""
-    return t.documents.select(
+    return t.spread("documents").select(
         F.col("doc_id").cast("string").alias("provision_id"), F.col("source").alias("module"),
         F.col("lang").alias("chapter"), F.col("source").alias("section"), F.lit("").alias("section_name"),
         F.lit("").alias("provision_type"), "text", F.col("doc_id").alias("ord"),
@@ -185,7 +185,7 @@ def policy_split(t):
     """Documents with headings added by line number, split again into titled units."""
     def heading(line, i):
         return F.when(i % 4 == 0, F.concat(F.lit("# "), line)).when(i % 4 == 2, F.concat(F.lit("## "), line)).otherwise(line)
-    policies = t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), heading), "\n").alias("content"))
+    policies = t.spread("documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), heading), "\n").alias("content"))
     units = policies.select(
         "doc_id", F.md5(chunking.policy_title(F.col("content"))).alias("title_md5"),
         F.posexplode(chunking.policy_units(F.col("content"))).alias("unit_index", "u"),
@@ -226,7 +226,7 @@ SELECT page_id, len(text) AS n_chars, len({WORDS}) AS n_words, len(text) >= 200
 FROM c""")
 def clean_text_profile(t):
     """Pages after entity decoding, with the substance filter's flag and the prompt cut."""
-    cleaned = t.pages.select("page_id", clean_text(F.col("html")).alias("text"), "url")
+    cleaned = t.spread("pages").select("page_id", clean_text(F.col("html")).alias("text"), "url")
     text = F.col("text")
     return cleaned.select(
         "page_id", F.length(text).cast("long").alias("n_chars"), word_count(text).cast("long").alias("n_words"),

@@ -161,11 +161,11 @@ def tolerant_json(t):
         .when(form == 2, F.concat(F.lit("Here you go:\n"), body, F.lit("\nHope that helps.")))
         .when(form == 3, F.concat(F.lit("  ```\n"), body, F.lit("\n```  "))).otherwise(F.concat(F.lit("no list: "), F.col("props")))
     )
-    read = t.events.select("event_type", responses.json_items(raw).alias("items"), responses.verdicts(raw).alias("verdicts"))
+    read = t.spread("events").select("event_type", responses.json_items(raw).alias("items"))
     first_k = F.coalesce(F.try_variant_get(F.get("items", F.lit(0)), "$.k", "int"), F.lit(0))
+    first = F.get(responses.verdicts_of(F.slice("items", 1, 1)), F.lit(0))
     return read.select(
-        "event_type", F.size("items").alias("n"), first_k.alias("k"),
-        (F.get("verdicts", F.lit(0))["status"] == "PRESENT").alias("present"),
+        "event_type", F.size("items").alias("n"), first_k.alias("k"), (first["status"] == "PRESENT").alias("present"),
     ).groupBy("event_type").agg(
         F.count("*").alias("n_responses"), F.sum("n").cast("long").alias("n_items"), F.count_if(F.col("n") == 0).alias("n_unreadable"),
         F.sum("k").alias("sum_k"), F.count_if("present").alias("n_present"),

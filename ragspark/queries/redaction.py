@@ -100,7 +100,7 @@ def pii_quality(t):
         entities(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "EMAIL", True),
         entities(F.regexp_extract_all("text", F.lit(r"\d{16}"), F.lit(0)), "REFERENCE", False),
     )
-    cases = t.documents.select(F.col("doc_id").cast("string").alias("case_id"), "text", gold.alias("entities"))
+    cases = t.spread("documents").select(F.col("doc_id").cast("string").alias("case_id"), "text", gold.alias("entities"))
     return pii_eval.report(cases, only("EMAIL", "CARD")).withColumn("value", F.round("value", 6))
 
 

@@ -49,7 +49,7 @@ def reference_keys(t):
 
 def _line_sets(t):
     """Cited and expected references per order."""
-    lines = t.lineitem.select(
+    lines = t.spread("lineitem").select(
         F.col("l_orderkey").alias("run_id"), _ref().alias("provision"), "l_linestatus", "l_quantity", "l_discount"
     )
     cited = lines.where("l_linestatus = 'F'").select("run_id", "provision")
@@ -111,7 +111,7 @@ SELECT source, sum(p)::BIGINT AS n_in_text, sum(e)::BIGINT AS n_expected, sum(p
        round(sum(p * e) / sum(e), 6) AS recall FROM i GROUP BY source""")
 def reference_definitions(t):
     """Rule headers present in whole texts, per source; the trailing mention must not count."""
-    docs = t.documents
+    docs = t.spread("documents")
     content = F.concat(
         F.lit("## DISP "), F.col("doc_id") % 50 + 1, F.lit("."), F.col("n_chars") % 7, F.lit(" (Rules)\n\n"),
         F.col("text"), F.lit("\nsee DISP 99.1.1 R (2)"),
@@ -266,5 +266,5 @@ def policy_refs(t):
         F.lit("PRIN "), d % 11 + 1, F.lit(", SYSC "), d % 6 + 1, F.lit(".1."), d % 3, F.lit("R and "),
         F.when(d % 2 == 0, "COBS").otherwise("xCOBS"), F.lit(". "), F.col("text"),
     )
-    found = t.documents.select("doc_id", policy_references(content).alias("r"))
+    found = t.spread("documents").select("doc_id", policy_references(content).alias("r"))
     return found.select("doc_id", F.size("r").cast("long").alias("n_references"), F.array_join("r", "|").alias("refs"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragspark.session import tune
+from ragspark.session import spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are about to go through expensive expressions."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     """Register a job ``f(tables) -> DataFrame`` under a name."""
