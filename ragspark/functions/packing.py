@@ -32,22 +32,28 @@ def _windows(text: str, limit: int, count: Callable[[str], int]) -> list[str]:
     return [p for p in out if p]
 
 
+def _joined_size(body: str, size: int, glue: str, part: str, part_size: int, count: Callable[[str], int]) -> int:
+    """Tokens of two texts joined by white space; the default counter simply adds up."""
+    return size + part_size if count is count_words else count(body + glue + part)
+
+
 def _join_while_fits(
     parts: Iterable[str], glue: str, limit: int, count: Callable[[str], int],
     split: Callable[[str], list[str]],
 ) -> list[str]:
     """Greedy runs of parts; a part that does not fit alone is split and stands alone."""
     runs: list[str] = []
-    run = ""
+    run, size = "", 0
     for part in filter(None, (p.strip() for p in parts)):
-        if count(part) > limit:
+        part_size = count(part)
+        if part_size > limit:
             runs += [run, *split(part)]
-            run = ""
-        elif run and count(joined := run + glue + part) <= limit:
-            run = joined
+            run, size = "", 0
+        elif run and (together := _joined_size(run, size, glue, part, part_size, count)) <= limit:
+            run, size = run + glue + part, together
         else:
             runs.append(run)
-            run = part
+            run, size = part, part_size
     return [r for r in [*runs, run] if r]
 
 
@@ -76,24 +82,24 @@ def pack_blocks(
     if token_room <= 0 or char_room <= 0:
         raise ValueError(f"header leaves no room under {max_tokens} tokens and {max_chars} characters")
 
-    def fits(body: str) -> bool:
-        return len(body) <= char_room and count(body) <= token_room
-
     chunks: list[tuple[str, list[str]]] = []
-    body, labels = "", []
+    body, size, labels = "", 0, []
     for label, text in blocks:
         block = (text or "").strip()
         if not block:
             continue
-        if body and fits(joined := f"{body}\n\n{block}"):
-            body = joined
-            labels += [] if label in labels else [label]
-            continue
+        block_size = count(block)
+        if body and len(body) + 2 + len(block) <= char_room:
+            together = _joined_size(body, size, "\n\n", block, block_size, count)
+            if together <= token_room:
+                body, size = f"{body}\n\n{block}", together
+                labels += [] if label in labels else [label]
+                continue
         if body:
             chunks.append((prefix + body, labels))
-        body, labels = "", []
-        if fits(block):
-            body, labels = block, [label]
+        body, size, labels = "", 0, []
+        if len(block) <= char_room and block_size <= token_room:
+            body, size, labels = block, block_size, [label]
         else:
             chunks += [(prefix + piece, [label]) for piece in split_block(block, token_room, char_room, count)]
     if body:

@@ -36,7 +36,8 @@ def clean_text(text: Column) -> Column:
     Only rows that hold an ``&`` carry their text to Python.
     """
     decoded = F.coalesce(_decode_entities(F.when(text.contains("&"), text)), text)
-    return strip(F.regexp_replace(F.regexp_replace(decoded, " ", " "), r"[ \t]+", " "))
+    # Single blanks, by far the most, are left untouched.
+    return strip(F.regexp_replace(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")), r"[ \t]{2,}|\t", " "))
 
 
 def links(page: Column, prefix: str = fixed.HANDBOOK_LINK_PREFIX) -> Column:
@@ -98,19 +99,24 @@ def truncate(text: Column, limit: int, mark: str = fixed.TRUNCATION_MARK) -> Col
 def spans(text: Column, part: Column) -> Column:
     """All (start, end) spans of ``part`` in ``text``, overlapping ones included, 0-based.
 
-    Cutting the text at ``part`` and walking the pieces would lose overlaps, so
-    every start is tested; only texts that contain the part pay for it.
+    Splitting at a look-ahead cuts the text at every occurrence, so the lengths
+    of the pieces are the distances between the starts.
     """
-    starts = F.when(
-        (F.length(part) > 0) & text.contains(part),
-        F.filter(
-            F.sequence(F.lit(1), F.length(text) - F.length(part) + 1),
-            lambda i: F.substr(text, i, F.length(part)) == part,
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    none = F.array().cast("array<int>")
+    walked = F.aggregate(
+        F.split(text, quoted, -1), F.struct(F.lit(0).alias("at"), none.alias("starts")),
+        lambda acc, piece: F.struct(
+            (acc["at"] + F.length(piece)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")
         ),
+        lambda acc: acc["starts"],
     )
-    found = F.transform(
-        starts, lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(part)).alias("end"))
+    # The first piece starts at 0, which is an occurrence only if the text begins with the part.
+    starts = F.when(
+        (F.length(part) > 0) & text.contains(part),
+        F.filter(walked, lambda at: (at > 0) | text.startswith(part)),
     )
+    found = F.transform(starts, lambda at: F.struct(at.alias("start"), (at + F.length(part)).alias("end")))
     return F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>"))
 
 

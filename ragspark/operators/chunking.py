@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark import fixed
 from ragspark.functions.packing import count_words, pack_blocks, split_block
-from ragspark.functions.text import strip
+from ragspark.functions.text import strip, token_count
 from ragspark.operators.ranking import row_numbers
 from ragspark.session import materialise, spread
 
@@ -47,7 +47,8 @@ def line_units(text: Column) -> Column:
 def chunk_documents(docs: DataFrame, key: str, units: Column, header: Column, **limits) -> DataFrame:
     """``key, chunk_index, chunk_id, text, labels`` for parents held in one row each."""
     found = spread(docs).select(key, packed(units, header, **limits).alias("_c"))
-    return found.select(key, F.posexplode("_c").alias("chunk_index", "c")).select(
+    # A plain explode makes the optimiser test the array first and so pack every document twice.
+    return found.select(key, F.posexplode_outer("_c").alias("chunk_index", "c")).where(F.col("c").isNotNull()).select(
         key, "chunk_index", chunk_name(F.col(key), F.col("chunk_index")).alias("chunk_id"), "c.text", "c.labels"
     )
 
@@ -66,8 +67,8 @@ def fixed_windows(
     last = F.greatest(F.size("_w") - shared - 1, F.lit(0))
     starts = F.when(F.size("_w") > 0, F.sequence(F.lit(0), last, F.lit(size - shared)))
     windows = docs.select(key, words.alias("_w")).select(
-        key, "_w", F.posexplode(starts).alias("chunk_index", "_s")
-    )
+        key, "_w", F.posexplode_outer(starts).alias("chunk_index", "_s")
+    ).where(F.col("_s").isNotNull())
     return windows.select(
         key, "chunk_index", chunk_name(F.col(key), F.col("chunk_index")).alias("chunk_id"),
         F.array_join(F.slice("_w", F.col("_s") + 1, size), " ").alias("text"),
@@ -109,106 +110,139 @@ def pack_units(
 ) -> DataFrame:
     """Structure packing of ``units(parent, ord, label, text, header)``, one unit per row.
 
-    Returns ``parent, chunk_index, text, labels``; ``count`` must be additive over
-    texts joined by a blank line.
+    Returns ``parent, chunk_index, text, labels``; (parent, ord) is unique and
+    ``count`` must be additive over texts joined by a blank line.
 
     Packing is greedy, so where a chunk starts depends on all units before it.
     To keep a parent of any size out of a single task, its units are cut into
-    blocks. A chunk has at most ``(max_chars + 2) / 3`` units, so a block needs
-    only a short look-ahead. Each block first reports, for every unit at which a
-    chunk could enter it, where the chain enters the next block; these small maps
-    are composed by pointer jumping, and each block then packs from its real
-    entry. A parent of one block, the usual case, skips the composition.
+    blocks, and only their sizes take part: a chunk has at most
+    ``(max_chars + 2) / 3`` units, so a block needs just a short look-ahead. Each
+    block reports, for every unit at which a chunk could enter it, where the
+    chain enters the next block; these small maps are composed by pointer
+    jumping, and each block then assigns its units from its real entry. A parent
+    of one block, the usual case, skips the composition. Texts join once, at the
+    end, in groups no larger than a chunk.
     """
     ahead = (max_chars + 2) // 3 + 1
     if block_units < ahead:
         raise ValueError(f"block_units must be at least {ahead}")
-    blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
-    kept = units.where(~blank).withColumn("ord", F.col("ord").cast("long"))
-    placed = row_numbers(kept, ["parent"], F.floor(F.col("ord") / 4096), [F.col("ord")], "pos")
+    sized = materialise(_sizes(units, max_tokens, max_chars, count))
+    numbers = ["n_tok", "n_chr", "t_room", "c_room"]
     placed = materialise(
-        placed.withColumn("pos", F.col("pos") - 1).withColumn("block", F.floor(F.col("pos") / block_units))
-        .select("parent", "block", "pos", "label", "text", "header")
+        row_numbers(sized.select("parent", "ord", *numbers), ["parent"], F.floor(F.col("ord") / 4096), [F.col("ord")], "pos")
+        .withColumn("pos", F.col("pos") - 1).withColumn("block", F.floor(F.col("pos") / block_units))
     )
     inside = F.col("pos") - F.col("block") * block_units
     homes = F.when(
         (F.col("block") > 0) & (inside < ahead), F.array(F.col("block"), F.col("block") - 1)
     ).otherwise(F.array(F.col("block")))
-    shared = placed.withColumn("home", F.explode(homes))
+    shared = placed.withColumn("home", F.explode(homes)).drop("block")
     blocks = placed.groupBy("parent").agg(F.max("block").alias("last"))
     long_parents = blocks.where(F.col("last") > 0)
 
-    def room(header: str) -> tuple[str, int, int]:
-        head = (header or "").strip()
-        prefix = f"{head}\n\n" if head else ""
-        tokens, chars = max_tokens - count(prefix), max_chars - len(prefix)
-        if tokens <= 0 or chars <= 0:
-            raise ValueError(f"header leaves no room under {max_tokens} tokens and {max_chars} characters")
-        return prefix, tokens, chars
-
-    def next_starts(texts, tokens: int, chars: int) -> np.ndarray:
+    def next_starts(pdf: pd.DataFrame) -> np.ndarray:
         """Start of the chunk after the one that starts at each unit."""
-        n_tok = np.array([count(t) for t in texts])
-        n_chr = np.array([len(t) for t in texts])
+        n_tok, n_chr = pdf["n_tok"].to_numpy(), pdf["n_chr"].to_numpy()
+        tokens, chars = int(pdf["t_room"].iloc[0]), int(pdf["c_room"].iloc[0])
+        at = np.arange(len(pdf))
         alone = (n_tok > tokens) | (n_chr > chars)
         t_sum = np.concatenate([[0], np.cumsum(n_tok)])
         c_sum = np.concatenate([[0], np.cumsum(n_chr + 2)])
-        at = np.arange(len(texts))
         by_tok = np.searchsorted(t_sum, t_sum[:-1] + tokens, side="right") - 1
         by_chr = np.searchsorted(c_sum, c_sum[:-1] + chars + 2, side="right") - 1
-        stops = np.where(alone, at, len(texts))
-        following = np.minimum.accumulate(stops[::-1])[::-1]
-        return np.where(alone, at + 1, np.minimum(np.minimum(by_tok, by_chr), following))
+        stops = np.minimum.accumulate(np.where(alone, at, len(pdf))[::-1])[::-1]
+        return np.where(alone, at + 1, np.minimum(np.minimum(by_tok, by_chr), stops))
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        _, tokens, chars = room(pdf["header"].iloc[0])
-        nxt = next_starts([t.strip() for t in pdf["text"]], tokens, chars)
+        nxt = next_starts(pdf.sort_values("pos"))
         out = nxt.copy()
         for i in range(min(block_units, len(nxt)) - 1, -1, -1):
-            if nxt[i] < block_units and nxt[i] < len(nxt):
+            if nxt[i] < min(block_units, len(nxt)):
                 out[i] = out[nxt[i]]
-        return pd.DataFrame({
-            "parent": [pdf["parent"].iloc[0]], "block": [int(pdf["home"].iloc[0]) + 1],
-            "src": [int(pdf["home"].iloc[0])],
-            "jump": [np.maximum(out[:ahead] - block_units, 0).astype("int32").tolist()],
-        })
-
-    parent_type = placed.schema["parent"].dataType.simpleString()
-    entries = blocks.select("parent", F.lit(0).cast("long").alias("block"), F.lit(0).alias("entry"))
+        home = int(pdf["home"].iloc[0])
+        jump = np.maximum(out[:ahead] - block_units, 0).astype("int32").tolist()
+        return pd.DataFrame({"parent": [pdf["parent"].iloc[0]], "block": [home + 1], "src": [home], "jump": [jump]})
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
+        nxt, at = next_starts(pdf), int(pdf["entry"].iloc[0])
+        first = at
+        k = []
+        while at < min(block_units, len(pdf)):
+            k += [len(k) and k[-1] + 1] * (int(nxt[at]) - at)
+            at = int(nxt[at])
+        return pdf.iloc[first:first + len(k)][["parent", "ord", "home"]].assign(k=np.array(k, dtype="int32"))
+
+    parent = f"parent {placed.schema['parent'].dataType.simpleString()}"
+    entries = blocks.select("parent", F.lit(0).cast("long").alias("home"), F.lit(0).alias("entry"))
     if long_parents.limit(1).count():
         of_long = shared.join(long_parents, "parent").where(F.col("home") < F.col("last"))
-        links = of_long.groupBy("parent", "home").applyInPandas(
-            exits, f"parent {parent_type}, block bigint, src bigint, jump array<int>"
-        )
-        entries = entries.unionByName(_resolve(materialise(links)))
+        links = of_long.groupBy("parent", "home").applyInPandas(exits, f"{parent}, block bigint, src bigint, jump array<int>")
+        entries = entries.unionByName(_resolve(materialise(links)).withColumnRenamed("block", "home"))
+    assigned = shared.join(entries, ["parent", "home"]).groupBy("parent", "home").applyInPandas(
+        assign, f"{parent}, ord bigint, home bigint, k int"
+    )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        prefix, tokens, chars = room(pdf["header"].iloc[0])
-        texts = [t.strip() for t in pdf["text"]]
-        nxt = next_starts(texts, tokens, chars)
-        rows, at = [], int(pdf["entry"].iloc[0])
-        while at < min(block_units, len(texts)):
-            end = int(nxt[at])
-            labels = list(dict.fromkeys(pdf["label"].iloc[at:end]))
-            body = "\n\n".join(texts[at:end])
-            if end == at + 1 and (len(body) > chars or count(body) > tokens):
-                rows += [(prefix + p, labels) for p in split_block(body, tokens, chars, count)]
-            else:
-                rows.append((prefix + body, labels))
-            at = end
-        return pd.DataFrame({
-            "parent": [pdf["parent"].iloc[0]] * len(rows), "home": [int(pdf["home"].iloc[0])] * len(rows),
-            "k": range(len(rows)), "text": [r[0] for r in rows], "labels": [r[1] for r in rows],
-        })
-
-    started = shared.join(entries.withColumnRenamed("block", "home"), ["parent", "home"])
-    chunks = started.groupBy("parent", "home").applyInPandas(
-        pack, f"parent {parent_type}, home bigint, k int, text string, labels array<string>"
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series, t_room: pd.Series, c_room: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if t is None else split_block(t, int(tr), int(cr), count) for t, tr, cr in zip(texts, t_room, c_room)
+        ])
+
+    grouped = sized.join(assigned, ["parent", "ord"]).groupBy("parent", "home", "k").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "label", "text"))).alias("u"), F.first("prefix").alias("prefix"),
+        F.first("t_room").alias("t_room"), F.first("c_room").alias("c_room"),
+        F.max((F.col("n_tok") > F.col("t_room")) | (F.col("n_chr") > F.col("c_room"))).alias("over"),
+    ).withColumn("body", F.array_join(F.transform("u", lambda u: u["text"]), "\n\n"))
+    pieces = F.coalesce(split(F.when(F.col("over"), F.col("body")), F.col("t_room"), F.col("c_room")), F.array("body"))
+    chunks = materialise(grouped.select(
+        "parent", "home", "k", F.transform(pieces, lambda p: F.concat(F.col("prefix"), p)).alias("texts"),
+        F.array_distinct(F.transform("u", lambda u: u["label"])).alias("labels"),
+    ).withColumn("n", F.size("texts")))
+    return _numbered(chunks).select(
+        "parent", F.posexplode("texts").alias("_p", "text"), "labels", "base"
+    ).select(
+        "parent", (F.col("base") + F.col("_p")).cast("int").alias("chunk_index"), "text", "labels"
+    )
+
+
+def _sizes(units: DataFrame, max_tokens: int, max_chars: int, count: Callable[[str], int]) -> DataFrame:
+    """Non-blank units with their sizes and the room their header leaves."""
+    if count is count_words:
+        tokens = token_count
+    else:
+        @F.pandas_udf("int")
+        def tokens(texts: pd.Series) -> pd.Series:
+            return texts.map(count)
+
+    header = strip(F.coalesce("header", F.lit("")))
+    prefix = F.when(header != "", F.concat(header, F.lit("\n\n"))).otherwise("")
+    trimmed = spread(units).select(
+        "parent", F.col("ord").cast("long").alias("ord"), "label", strip(F.coalesce("text", F.lit(""))).alias("text"), prefix.alias("prefix")
+    ).where(F.col("text") != "")
+    t_room = F.lit(max_tokens) - tokens(F.col("prefix"))
+    c_room = F.lit(max_chars) - F.length("prefix")
+    roomless = F.raise_error(F.lit(f"a header leaves no room under {max_tokens} tokens and {max_chars} characters")).cast("int")
+    return trimmed.select(
+        "*", tokens(F.col("text")).alias("n_tok"), F.length("text").alias("n_chr"),
+        F.when((t_room > 0) & (c_room > 0), t_room).otherwise(roomless).alias("t_room"), c_room.alias("c_room"),
+    )
+
+
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """Add ``base``, the number of pieces before each chunk of a parent, from piece counts alone."""
+    before = (Window.unboundedPreceding, -1)
+    narrow = chunks.select("parent", "home", "k", "n")
+    totals = narrow.groupBy("parent", "home").agg(F.sum("n").alias("n"))
+    of_home = totals.select(
+        "parent", "home", F.coalesce(F.sum("n").over(Window.partitionBy("parent").orderBy("home").rowsBetween(*before)), F.lit(0)).alias("_h")
+    )
+    in_home = narrow.select(
+        "parent", "home", "k",
+        F.coalesce(F.sum("n").over(Window.partitionBy("parent", "home").orderBy("k").rowsBetween(*before)), F.lit(0)).alias("_k"),
     )
-    numbered = row_numbers(chunks, ["parent"], F.col("home"), [F.col("k")], "chunk_index")
-    return numbered.select("parent", (F.col("chunk_index") - 1).cast("int").alias("chunk_index"), "text", "labels")
+    base = in_home.join(of_home, ["parent", "home"]).select("parent", "home", "k", (F.col("_h") + F.col("_k")).alias("base"))
+    return chunks.join(base, ["parent", "home", "k"])
 
 
 def _resolve(links: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def citation_scores(cited: DataFrame, expected: DataFrame, keys: list[str]) -> D
 
 def retrieved_provision_scores(retrieved: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Recall of expected provisions over rule text present in the retrieved ``content``."""
-    present = retrieved.select(*keys, F.explode(defined_provisions(F.col("content"))).alias("provision"))
+    present = retrieved.select(*keys, F.explode_outer(defined_provisions(F.col("content"))).alias("provision"))
     sides = _sides(present, _keyed(expected, keys), keys, "provision")
     n = _counts(sides, keys, "n_in_text", "n_expected", "n_present")
     return n.withColumn("recall", ratio(F.col("n_present"), F.col("n_expected")))

@@ -61,7 +61,7 @@ def policy_sections(policies: DataFrame, index: DataFrame) -> DataFrame:
     ``policies(policy, content)``; the position comes from a sortable key, so a
     policy's sections are never collected.
     """
-    refs = policies.select("policy", F.posexplode(context_references(F.col("content"))).alias("ref_ord", "ref"))
+    refs = policies.select("policy", F.posexplode_outer(context_references(F.col("content"))).alias("ref_ord", "ref"))
     hits = refs.join(resolve_references(refs, index), "ref")
     return hits.groupBy("policy", "section_id").agg(F.min("ref_ord").alias("ref_ord"))
 

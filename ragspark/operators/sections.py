@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragspark import fixed
 from ragspark.functions.text import clean_text, provision_block, section_heading
 from ragspark.operators.ranking import row_numbers
+from ragspark.session import materialise, spread
 
 
 def section_table(provisions: DataFrame) -> DataFrame:
@@ -23,22 +24,26 @@ def section_table(provisions: DataFrame) -> DataFrame:
 
 
 def provision_units(provisions: DataFrame) -> DataFrame:
-    """Non-empty provision blocks as units ``section, ord, label, text``."""
-    block = provision_block(F.col("provision_id"), F.col("provision_type"), clean_text(F.coalesce("text", F.lit(""))))
-    return provisions.select("section", "ord", F.col("provision_id").alias("label"), block.alias("text")).where(
-        F.col("text") != ""
-    )
+    """Non-empty provision blocks as units ``section, ord, label, text``.
+
+    Cleaned once and written down: documents and chunks both read the result,
+    and a filter on a computed text would compute it again.
+    """
+    clean = spread(provisions).withColumn("_clean", clean_text(F.coalesce("text", F.lit(""))))
+    block = provision_block(F.col("provision_id"), F.col("provision_type"), F.col("_clean"))
+    units = materialise(clean.select("section", "ord", F.col("provision_id").alias("label"), block.alias("text")))
+    return units.where(F.col("text") != "")
 
 
-def section_documents(provisions: DataFrame, sections: DataFrame, units_per_part: int = 512) -> DataFrame:
-    """Whole-section documents ``section, part, text, n_units``.
+def section_documents(units: DataFrame, sections: DataFrame, units_per_part: int = 512) -> DataFrame:
+    """Whole-section documents ``section, part, text, n_units`` from provision units.
 
     A document longer than ``units_per_part`` provisions comes in consecutive
     parts whose texts, joined in order, are the document; others are one part.
     A section without any text is its heading alone.
     """
     placed = row_numbers(
-        provision_units(provisions), ["section"], F.floor(F.col("ord") / 4096), [F.col("ord")], "pos"
+        units, ["section"], F.floor(F.col("ord") / 4096), [F.col("ord")], "pos"
     ).withColumn("part", F.floor((F.col("pos") - 1) / units_per_part))
     parts = placed.groupBy("section", "part").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_u")

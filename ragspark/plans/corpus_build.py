@@ -23,8 +23,9 @@ class Corpus:
 def build_regulation(provisions: DataFrame, **limits) -> Corpus:
     """Sections, whole-section documents and structure chunks of provision records."""
     table = materialise(sections.section_table(provisions))
-    documents = sections.section_documents(provisions, table)
-    units = sections.provision_units(provisions).join(table.select("section", "heading"), "section").select(
+    blocks = sections.provision_units(provisions)
+    documents = sections.section_documents(blocks, table)
+    units = blocks.join(table.select("section", "heading"), "section").select(
         F.col("section").alias("parent"), "ord", "label", "text", F.col("heading").alias("header")
     )
     packed = chunking.pack_units(units, **limits).withColumnRenamed("parent", "section")
@@ -68,7 +69,7 @@ def build_policies(policies: DataFrame, model_id: str, generated_at: str, **limi
     )
     # Metadata and chunks come from the same row, so they are exploded together.
     packed = described.withColumn("_c", chunking.packed(F.col("units"), F.col("title"), **limits))
-    rows = packed.select("slug", F.posexplode("_c").alias("chunk_index", "c")).select(
+    rows = packed.select("slug", F.posexplode_outer("_c").alias("chunk_index", "c")).where(F.col("c").isNotNull()).select(
         chunking.chunk_name(F.col("slug"), F.col("chunk_index")).alias("chunk_id"), "slug", "chunk_index",
         F.col("c.text").alias("content"), F.col("c.labels").alias("labels"),
         F.element_at("c.labels", 1).alias("section_heading"), F.lit("structure").alias("arm"),

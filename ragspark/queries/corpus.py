@@ -151,7 +151,7 @@ FROM b GROUP BY source, pos // 16""")
 def section_documents(t):
     """Whole-section documents in parts of sixteen provisions."""
     provisions = _as_provisions(t)
-    docs = sections.section_documents(provisions, sections.section_table(provisions), units_per_part=16)
+    docs = sections.section_documents(sections.provision_units(provisions), sections.section_table(provisions), units_per_part=16)
     return docs.select("section", "part", F.col("n_units").cast("long").alias("n_units"), F.md5("text").alias("text_md5"))
 
 
@@ -188,8 +188,8 @@ def policy_split(t):
     policies = t.spread("documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), heading), "\n").alias("content"))
     units = policies.select(
         "doc_id", F.md5(chunking.policy_title(F.col("content"))).alias("title_md5"),
-        F.posexplode(chunking.policy_units(F.col("content"))).alias("unit_index", "u"),
-    )
+        F.posexplode_outer(chunking.policy_units(F.col("content"))).alias("unit_index", "u"),
+    ).where(F.col("u").isNotNull())
     return units.select(
         "doc_id", "unit_index", "title_md5", F.md5("u.label").alias("label_md5"), F.md5("u.text").alias("text_md5")
     )

@@ -84,7 +84,7 @@ g AS (SELECT conv_id, turn, role, idx, CASE len(s) % 4 WHEN 0 THEN 'GROUNDED' WH
 
 def _claims(t):
     kept = F.filter(F.split("text", r"\."), lambda s: strip(s) != "")
-    sentences = t.conversations.select("conv_id", "turn", "role", F.posexplode(kept).alias("idx", "s"))
+    sentences = t.conversations.select("conv_id", "turn", "role", F.posexplode_outer(kept).alias("idx", "s")).where(F.col("s").isNotNull())
     n = F.length("s") % 4
     raw = F.when(n == 0, "grounded").when(n == 1, "partially grounded").when(n == 2, "UNGROUNDED").otherwise("nonsense")
     field = F.when(F.col("role") == "assistant", "handler_answer").when(F.col("role") == "user", " customer_draft").otherwise("both")

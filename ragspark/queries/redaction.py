@@ -95,9 +95,10 @@ def pii_quality(t):
     """Documents as labelled cases: e-mail addresses are personal, long numbers are references."""
     pattern = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
     def entities(found, kind, personal):
+        found = F.coalesce(found, F.array().cast("array<string>"))
         return F.transform(found, lambda v: F.struct(v.alias("text"), F.lit(kind).alias("type"), F.lit(personal).alias("is_pii")))
     gold = F.concat(
-        entities(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "EMAIL", True),
+        entities(F.when(F.col("text").contains("@"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), "EMAIL", True),
         entities(F.regexp_extract_all("text", F.lit(r"\d{16}"), F.lit(0)), "REFERENCE", False),
     )
     cases = t.spread("documents").select(F.col("doc_id").cast("string").alias("case_id"), "text", gold.alias("entities"))

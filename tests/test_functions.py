@@ -73,6 +73,15 @@ def test_text_expressions(spark):
     assert [row.b1, row.b2] == ["## P 1 (Rules)\n\nt", ""]
 
 
+def test_spans_equal_a_scan(spark):
+    cases = [("aaaa", "aa"), ("aaaa", ""), ("", "a"), ("xaba\nbab", "ab"), ("a.b a.b axb", "a.b"), ("q\\Ez\\E", "\\E"), ("éaéa", "éa"), ("abc", "abcd"), ("😀b😀b", "😀b")]
+    df = spark.createDataFrame(cases, "t string, p string")
+    got = df.select("t", "p", text.spans(F.col("t"), F.col("p")).alias("s")).collect()
+    for r in got:
+        starts = [i for i in range(len(r.t)) if r.p and r.t.startswith(r.p, i)]
+        assert [tuple(x) for x in r.s] == [(i, i + len(r.p)) for i in starts], (r.t, r.p)
+
+
 def test_context_references(spark):
     policy = "# P\n## 2. Regulatory Context\n| SYSC 10.1.10R | **COCON** | PRIN 2A | PRIN 2A |\n## 3. Other\nCOBS 9"
     got = spark.range(1).select(text.context_references(F.lit(policy)), text.context_references(F.lit("none"))).first()
