@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragspark.session import materialise
+
 
 def row_numbers(df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
     """1-based position of each row in its group.
@@ -54,13 +56,15 @@ def latency_stats(df: DataFrame, group: list[str], value: str, accuracy: int = 1
     rows = df.where(v.isNotNull()).select(*group, v.alias("_v"))
     slack = 2.0 / accuracy
     marks = F.array(*[F.lit(q) for q in (0.5 - slack, 0.5 + slack, 0.95 - slack, min(1.0, 0.95 + slack))])
-    sketch = rows.groupBy(*group).agg(
+    # Written down, the sketch is not recomputed by the joins below, and its known
+    # size lets the planner decide whether it can be broadcast to the rows.
+    sketch = materialise(rows.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.avg("_v").alias("mean_ms"),
         F.min("_v").alias("min_ms"),
         F.max("_v").alias("max_ms"),
         F.percentile_approx("_v", marks, accuracy).alias("_m"),
-    )
+    ))
     bounded = sketch.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_m"
     )

@@ -55,7 +55,7 @@ def top_k(
     *,
     exclude_self: bool = False,
     broadcast_queries: int = 4096,
-    group_rows: int = 2048,
+    group_rows: int = 16384,
 ) -> DataFrame:
     """Exact nearest chunks per query: ``query_id, chunk_id, score, rank``.
 
@@ -163,12 +163,12 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
 
     fields = [*queries.schema.fields, T.StructField("cell", T.IntegerType())]
     aimed = queries.mapInPandas(plan, T.StructType(fields))
-    shares = F.broadcast(
-        aimed.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("q_parts"))
-        .join(
-            placed.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("c_parts")), "cell"
-        )
-    )
+    asked = aimed.groupBy("cell").agg(F.count("*").alias("asked")).toPandas()  # again one row per cell
+    parts = cells.merge(asked, on="cell")
+    shares = F.broadcast(spark.createDataFrame(
+        [(int(c), -(-int(n) // group_rows), -(-int(q) // group_rows)) for c, n, q in zip(parts["cell"], parts["n"], parts["asked"])],
+        "cell int, c_parts int, q_parts int",
+    ))
     left = (
         aimed.join(shares, "cell")
         .withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark import fixed
+from ragspark.functions import responses
+from ragspark.functions.numbers import model_id
 from ragspark.functions.text import policy_source_ref, truncate
 from ragspark.operators import curation, references
+from ragspark.operators.model_calls import ModelFn, call_model
+from ragspark.session import materialise
 
 
 def question_plan(
@@ -67,3 +71,72 @@ def curate_scenarios(records: DataFrame, skip_validation: bool = False) -> tuple
     judged = curation.gate_scenarios(curation.scenario_defaults(curation.last_per_seed(records)), skip_validation)
     curated = curation.renumber(judged.where("verdict = 'pass'"), "c", "scenario_id")
     return judged, curated.withColumn("synthetic", F.lit(True)).drop("critic", "verdict")
+
+
+# --- model steps ------------------------------------------------------------------------
+
+QUESTION = "struct<question:string,answer:string,source_sections:array<string>,difficulty:string,type:string>"
+QUESTION_CRITIC = (
+    "struct<verdict:string,correctness:string,source_completeness:string,difficulty_reasonable:boolean,suggested_difficulty:string>"
+)
+SCENARIO = (
+    "struct<scenario_text:string,expected_provisions:array<string>,response_stage:string,redress_warranted:boolean,"
+    "timing_in_issue:boolean,vulnerability_present:boolean,difficulty:string>"
+)
+SCENARIO_CRITIC = "struct<realism:string,provisions_correct:string>"
+
+
+def _ask(rows: DataFrame, key: str, model: str, system: str, prompt, fn: ModelFn, answer: str) -> DataFrame:
+    """Rows that got a readable JSON object, as ``key, a``."""
+    asked = rows.select(key, model_id(F.lit(model)).alias("model"), F.lit(system).alias("system"), prompt.alias("prompt"))
+    read = F.try_variant_get(responses.json_document(F.col("raw")), "$", answer)
+    return call_model(asked, [key], fn).select(key, read.alias("a"))
+
+
+def generate_questions(plan: DataFrame, fn: ModelFn, model: str = "opus", system: str = "") -> DataFrame:
+    """Question candidates of a plan; an unreadable response gives none."""
+    prompt = F.concat(F.lit("Question type: "), F.col("type"), F.lit("\nSections: "), F.array_join("sections", ", "), F.lit("\n\n"), F.col("material"))
+    got = _ask(plan, "position", model, system, prompt, fn, QUESTION).where(F.col("a.question").isNotNull())
+    return got.join(plan.select("position", F.col("type").alias("_t"), "sections"), "position").select(
+        F.col("position").alias("ord"), "a.question", "a.answer", F.coalesce("a.source_sections", "sections").alias("source_sections"),
+        F.coalesce("a.difficulty", F.lit("medium")).alias("difficulty"), F.coalesce("a.type", "_t").alias("type"),
+    )
+
+
+def criticise_questions(candidates: DataFrame, texts: DataFrame, fn: ModelFn, model: str = "gpt-oss", system: str = "") -> DataFrame:
+    """Candidates with ``critic``; null where the critic gave nothing readable."""
+    sources = curation.source_blocks(candidates, "ord", "source_sections", texts)
+    prompt = F.concat(
+        F.lit("Question: "), F.col("question"), F.lit("\nAnswer: "), F.col("answer"), F.lit("\nDifficulty: "), F.col("difficulty"),
+        F.lit("\nType: "), F.col("type"), F.lit("\n\nSource material:\n\n"), F.coalesce("source_material", F.lit("")),
+    )
+    got = _ask(candidates.join(sources, "ord", "left"), "ord", model, system, prompt, fn, QUESTION_CRITIC)
+    return candidates.join(got.select("ord", F.col("a").alias("critic")), "ord", "left")
+
+
+def generate_scenarios(seeds: DataFrame, index: DataFrame, texts: DataFrame, fn: ModelFn, model: str = "opus", system: str = "") -> DataFrame:
+    """Scenario candidates ``ord, seed_id, …`` for seeds not generated before."""
+    named = texts.join(index.select("section_id", "section_name"), "section_id")
+    title = F.concat(F.lit("### "), F.col("section_id"), F.lit(" — "), F.coalesce("section_name", F.lit("")))
+    material = curation.source_blocks(
+        seeds, "seed_id", "seed_sections", named, limit=fixed.SECTION_PROMPT_CHARS, missing=fixed.SEED_TEXT_MISSING, heading=title
+    )
+    prompt = F.concat(F.lit("Scenario type: "), F.col("complaint_type"), F.lit("\n\nSeed material:\n\n"), F.col("source_material"))
+    tasks = seeds.join(material, "seed_id")
+    got = _ask(tasks, "seed_id", model, system, prompt, fn, SCENARIO).where(F.col("a.scenario_text").isNotNull())
+    return materialise(got.join(seeds, "seed_id").select(
+        F.col("plan_ord").alias("ord"), "seed_id", "complaint_type", "a.*", F.col("seed_sections").alias("expected_provision_sections")
+    ))
+
+
+def criticise_scenarios(candidates: DataFrame, texts: DataFrame, fn: ModelFn, model: str = "gpt-oss", system: str = "") -> DataFrame:
+    material = curation.source_blocks(
+        candidates, "seed_id", "expected_provision_sections", texts, limit=fixed.SECTION_PROMPT_CHARS, missing=fixed.SEED_TEXT_MISSING
+    )
+    prompt = F.concat(
+        F.lit("Scenario type: "), F.col("complaint_type"), F.lit("\n\nComplaint: "), F.col("scenario_text"), F.lit("\n\nexpected_provisions: "),
+        F.array_join(F.coalesce("expected_provisions", F.array().cast("array<string>")), ", "), F.lit("\n\nSeed material:\n\n"),
+        F.coalesce("source_material", F.lit("")),
+    )
+    got = _ask(candidates.join(material, "seed_id", "left"), "seed_id", model, system, prompt, fn, SCENARIO_CRITIC)
+    return candidates.join(got.select("seed_id", F.col("a").alias("critic")), "seed_id", "left")

@@ -121,8 +121,11 @@ def run_drafting(scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame,
     )
 
     def verdicts(table):
-        return table.select(*RUN, F.posexplode(responses.verdicts(F.col("raw"))).alias("idx", "v")).select(*RUN, "idx", "v.element", "v.status")
+        # The outer forms keep the optimiser from parsing each response twice.
+        rows = table.select(*RUN, F.posexplode_outer(responses.verdicts(F.col("raw"))).alias("idx", "v")).where(F.col("v").isNotNull())
+        return rows.select(*RUN, "idx", "v.element", "v.status")
 
+    graded = grounding.select(*RUN, F.explode_outer(responses.claims(F.col("raw"))).alias("c")).where(F.col("c").isNotNull())
     calls = usage_calls(drafted, RUN, "generation")
     for label, table in (("rubric_primary", first), ("rubric_secondary", second), ("grounding", grounding)):
         calls = calls.unionByName(usage_calls(table, RUN, label))
@@ -130,7 +133,7 @@ def run_drafting(scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame,
         scenarios=scenarios, runs=runs.select(*RUN, "latency_ms", "error"), retrieved=retrieved,
         cited=good.select(*RUN, F.explode("cited_provisions").alias("c")).select(*RUN, "c.provision"), rubric=rubric,
         primary=verdicts(first), secondary=verdicts(second),
-        claims=grounding.select(*RUN, F.explode(responses.claims(F.col("raw"))).alias("c")).select(*RUN, "c.source_field", "c.grounding"),
+        claims=graded.select(*RUN, "c.source_field", "c.grounding"),
         calls=calls,
     )
 

@@ -61,7 +61,5 @@ def spread(df: DataFrame) -> DataFrame:
     A large table has more files than cores and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Repartition" in df._jdf.queryExecution().logical().toString():
-        return df
     files = df.inputFiles()
     return df.repartition(cores) if 0 < len(files) < cores else df

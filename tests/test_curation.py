@@ -142,3 +142,44 @@ def test_question_plan(spark, index):
         ("single-module", ["cobs4s2"]), ("single-module", ["prin2as1"]), ("single-module", ["sysc10s1"]),
         ("cross-module", ["sysc10s1", "prin2as1"]), ("cross-module", ["cobs4s2", "prin2as1"]), ("cross-module", ["sysc10s1", "cobs4s2"]),
         ("cross-module", ["cocon1s1", "sysc10s1"]), ("policy-regulation", ["cobs4s2", "synthetic_p"])]
+
+
+def question_model(model, system, prompt):
+    if prompt.startswith("Question type"):
+        if "cross-module" in prompt:
+            return {"text": "sorry, no question"}
+        return {"text": 'Sure:\n```json\n{"question": "q?", "answer": "a", "difficulty": "easy"}\n```'}
+    if "cobs4s2" in prompt:
+        raise RuntimeError("critic down")
+    return {"text": '{"verdict": "pass", "difficulty_reasonable": false, "suggested_difficulty": "hard"}'}
+
+
+def test_question_job(spark, index):
+    texts = spark.createDataFrame([(r[0], (r[3] + " ") * 80) for r in INDEX], "section_id string, text string")
+    policies = spark.createDataFrame([("p.md", POLICY)], "policy string, content string")
+    plan = plans.question_plan(index, texts, policies, singles=2, pairs=1, policy_questions=1)
+    candidates = plans.generate_questions(plan, question_model)
+    assert [(r.ord, r.type, r.source_sections) for r in candidates.orderBy("ord").collect()] == [
+        (1, "single-module", ["cobs4s2"]), (2, "single-module", ["cocon1s1"]), (4, "policy-regulation", ["cobs4s2", "synthetic_p"])]
+    gated, curated = plans.curate_questions(plans.criticise_questions(candidates, texts, question_model))
+    assert {r.ord: (r.gate, r.difficulty, r.critic_verdict) for r in gated.collect()} == {
+        1: ("pass", "easy", "error"), 2: ("pass", "hard", "pass"), 4: ("pass", "easy", "error")}
+    assert sorted(r.question_id for r in curated.collect()) == ["q001", "q002", "q003"]
+
+
+def scenario_model(model, system, prompt):
+    if "Complaint: " in prompt:
+        return {"text": '{"realism": "pass", "provisions_correct": "%s"}' % ("fail" if "disp1s4" in prompt else "pass")}
+    assert "### disp1s" in prompt and " — " in prompt
+    return {"text": '{"scenario_text": "I complain", "expected_provisions": ["DISP 1.2.1R"], "timing_in_issue": true}'}
+
+
+def test_scenario_job(spark, index):
+    texts = spark.createDataFrame([(r[0], r[3]) for r in INDEX], "section_id string, text string")
+    seeds = curation.seed_plan(index).where("complaint_type = 'single'")
+    made = plans.generate_scenarios(seeds, index, texts, scenario_model)
+    judged, curated = plans.curate_scenarios(plans.criticise_scenarios(made, texts, scenario_model))
+    assert {r.seed_id: r.verdict for r in judged.collect()} == {"single:disp1s2": "pass", "single:disp1s4": "fail", "single:disp1s6": "pass"}
+    row = curated.orderBy("scenario_id").first()
+    assert (row.scenario_id, row.expected_provision_sections, row.synthetic) == ("c001", ["disp1s2"], True)
+    assert "eight_week_timeline" in row.required_response_elements
