@@ -198,8 +198,13 @@ def claim_agreement(primary: DataFrame, secondary: DataFrame, keys: list[str]) -
 
     Both sides are ``(keys, idx, grounding)``. Runs without a common position score 0.
     """
-    both = primary.select(*keys, "idx", F.col("grounding").alias("_p"), F.lit(None).cast("string").alias("_s")).unionByName(
-        secondary.select(*keys, "idx", F.lit(None).cast("string").alias("_p"), F.col("grounding").alias("_s"))
+    def code(df):
+        return df.select(*keys, "idx", F.array_position(F.array(*[F.lit(g) for g in fixed.GROUNDING_LABELS]), F.col("grounding")).alias("_g"))
+
+    # Labels travel as numbers: maxima of numbers stay in hash aggregation, maxima of strings sort.
+    none = F.lit(None).cast("long")
+    both = code(primary).withColumnRenamed("_g", "_p").withColumn("_s", none).unionByName(
+        code(secondary).withColumnRenamed("_g", "_s").withColumn("_p", none)
     )
     at = both.groupBy(*keys, "idx").agg(F.max("_p").alias("p"), F.max("_s").alias("s"))
     paired = F.col("p").isNotNull() & F.col("s").isNotNull()
@@ -221,17 +226,32 @@ def defined_elements(required: DataFrame, rubric: DataFrame) -> DataFrame:
     return required.join(F.broadcast(rubric.withColumnRenamed("key", "element")), "element")
 
 
+_STATUSES = list(fixed.COVERAGE_WEIGHTS)
+
+
+def _dated(status: Column, idx: Column) -> Column:
+    """Position and status of a verdict in one number, so that the last verdict is a maximum."""
+    code = F.array_position(F.array(*[F.lit(s) for s in _STATUSES]), status)
+    return idx.cast("long") * 4 + code
+
+
+def _status(dated: Column) -> Column:
+    """Status of the last verdict; MISSING without one."""
+    code = F.pmod(dated, F.lit(4)).cast("int")
+    found = F.try_element_at(F.array(*[F.lit(s) for s in _STATUSES]), F.nullif(code, F.lit(0)))
+    return F.coalesce(found, F.lit("MISSING"))
+
+
 def element_status(required: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Status of each required element: the last verdict, MISSING without one.
 
     ``required(keys, element)``, ``verdicts(keys, idx, element, status)``.
     """
-    none = F.lit(None)
-    both = required.select(*keys, "element", F.lit(True).alias("_req"), none.cast("long").alias("_i"), none.cast("string").alias("_st")).unionByName(
-        verdicts.select(*keys, "element", F.lit(False).alias("_req"), F.col("idx").cast("long").alias("_i"), F.col("status").alias("_st"))
+    both = required.select(*keys, "element", F.lit(True).alias("_req"), F.lit(None).cast("long").alias("_v")).unionByName(
+        verdicts.select(*keys, "element", F.lit(False).alias("_req"), _dated(F.col("status"), F.col("idx")).alias("_v"))
     )
-    last = both.groupBy(*keys, "element").agg(F.max("_req").alias("_req"), F.max_by("_st", "_i").alias("status"))
-    return last.where("_req").select(*keys, "element", F.coalesce("status", F.lit("MISSING")).alias("status"))
+    last = both.groupBy(*keys, "element").agg(F.max("_req").alias("_req"), F.max("_v").alias("_v"))
+    return last.where("_req").select(*keys, "element", _status(F.col("_v")).alias("status"))
 
 
 def rubric_scores(required: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,22 +268,15 @@ def rubric_scores(required: DataFrame, verdicts: DataFrame, keys: list[str]) ->
 
 def rubric_agreement(required: DataFrame, primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
     """Share of required elements with the same status; 0 unless both judges returned verdicts."""
-    none = F.lit(None)
+    none = F.lit(None).cast("long")
 
     def side(df, judge):
-        return df.select(
-            *keys, "element", F.lit(False).alias("_req"), F.col("idx").cast("long").alias("_i"),
-            *[(F.col("status") if j == judge else none.cast("string")).alias(f"_{j}") for j in ("a", "b")],
-        )
-    asked = required.select(
-        *keys, "element", F.lit(True).alias("_req"), none.cast("long").alias("_i"),
-        none.cast("string").alias("_a"), none.cast("string").alias("_b"),
-    )
+        dated = _dated(F.col("status"), F.col("idx"))
+        return df.select(*keys, "element", F.lit(False).alias("_req"), *[(dated if j == judge else none).alias(j) for j in ("a", "b")])
+    asked = required.select(*keys, "element", F.lit(True).alias("_req"), none.alias("a"), none.alias("b"))
     both = asked.unionByName(side(primary, "a")).unionByName(side(secondary, "b"))
-    def last(j):
-        return F.max_by(F.col(f"_{j}"), F.when(F.col(f"_{j}").isNotNull(), F.col("_i")))
-    item = both.groupBy(*keys, "element").agg(F.max("_req").alias("_req"), last("a").alias("a"), last("b").alias("b"))
-    same = F.coalesce("a", F.lit("MISSING")) == F.coalesce("b", F.lit("MISSING"))
+    item = both.groupBy(*keys, "element").agg(F.max("_req").alias("_req"), F.max("a").alias("a"), F.max("b").alias("b"))
+    same = _status(F.col("a")) == _status(F.col("b"))
     judged = F.max(F.col("a").isNotNull()) & F.max(F.col("b").isNotNull())
     return item.groupBy(*keys).agg(
         F.when(judged, ratio(F.count_if(F.col("_req") & same), F.count_if("_req"))).otherwise(0.0).alias("agreement")

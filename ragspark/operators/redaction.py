@@ -42,10 +42,11 @@ def redact(
     """
     marked = materialise(
         spread(texts).withColumn("_m", masked(F.col("text"), detectors)).drop("text").select("*", "_m.*").drop("_m")
+        .withColumn("n_entities", F.size("entities"))
     )
     row = ["session_id", "turn", "pass_no"]
-    seen = marked.where(F.size("entities") > 0).select(*row, F.explode("entities").alias("e")).select(*row, "e.*")
-    vault = number_tokens(seen, turns_per_bucket)
+    seen = marked.where("n_entities > 0").select(*row, F.explode("entities").alias("e")).select(*row, "e.*")
+    vault = materialise(number_tokens(seen, turns_per_bucket))
 
     tokens = (
         seen.select(*row, "slot", "key")
@@ -55,10 +56,10 @@ def redact(
     fill = F.transform("slots", lambda s: F.element_at("_tokens", s))
     kept = [c for c in texts.columns if c != "text"]
     with_entities = (
-        marked.where(F.size("entities") > 0).join(tokens, row)
+        marked.where("n_entities > 0").join(tokens, row)
         .select(*kept, assemble(F.col("pieces"), fill).alias("clean_text"), F.col("counts").alias("detections"))
     )
-    without = marked.where(F.size("entities") == 0).select(
+    without = marked.where("n_entities = 0").select(
         *kept, F.element_at("pieces", 1).alias("clean_text"), F.col("counts").alias("detections")
     )
     return Redaction(with_entities.unionByName(without), vault)

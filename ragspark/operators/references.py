@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark import fixed
 from ragspark.functions.text import context_references
+from ragspark.session import materialise, spread
 
 
 def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
         F.when(nums == "", "module").when(nums.rlike(r"^\d+[A-Za-z]?$"), "chapter")
         .when(F.size(parts) >= 2, "section")
     )
-    wanted = (
+    # Three branches and the fallback read the distinct references, so they are written once.
+    wanted = materialise(
         refs.select("ref").distinct()
         .select("ref", kind.alias("kind"),
                 F.when(kind == "module", module).when(kind == "chapter", F.concat(module, F.lower(nums)))
@@ -61,7 +63,8 @@ def policy_sections(policies: DataFrame, index: DataFrame) -> DataFrame:
     ``policies(policy, content)``; the position comes from a sortable key, so a
     policy's sections are never collected.
     """
-    refs = policies.select("policy", F.posexplode_outer(context_references(F.col("content"))).alias("ref_ord", "ref"))
+    refs = spread(policies).select("policy", F.posexplode_outer(context_references(F.col("content"))).alias("ref_ord", "ref"))
+    refs = materialise(refs.where(F.col("ref").isNotNull()))
     hits = refs.join(resolve_references(refs, index), "ref")
     return hits.groupBy("policy", "section_id").agg(F.min("ref_ord").alias("ref_ord"))
 
@@ -93,7 +96,9 @@ def cross_module_pairs(
     """
     spark = pool.sparkSession
     first = Window.partitionBy("module").orderBy("section_id")
-    heads = pool.select("module", "section_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_pair)
+    heads = materialise(
+        pool.select("module", "section_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_pair)
+    )
     plan = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, module_a string, module_b string")
     a = heads.select(F.col("module").alias("module_a"), F.col("section_id").alias("section_a"))
     b = heads.select(F.col("module").alias("module_b"), F.col("section_id").alias("section_b"))

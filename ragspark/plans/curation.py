@@ -22,8 +22,8 @@ def question_plan(
     ``texts(section_id, text)``, ``policies(policy, content)``. Single and policy
     questions need sections with enough text; long texts are cut with a marker.
     """
-    hits = references.policy_sections(policies, index)
-    pool = references.section_pool(index, hits)
+    hits = materialise(references.policy_sections(policies, index))
+    pool = materialise(references.section_pool(index, hits))
     eligible = pool.join(texts, "section_id")
     single = (
         pool.orderBy("section_id").limit(singles).join(texts, "section_id")

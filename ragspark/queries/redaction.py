@@ -11,6 +11,7 @@ from ragspark.functions.numbers import keyed_hash
 from ragspark.functions.pii import only
 from ragspark.operators import audit, pii_eval, redaction
 from ragspark.queries.registry import query
+from ragspark.session import materialise
 
 KEY = b"ragspark-demo-key"
 
@@ -75,7 +76,7 @@ def redact_vault(t):
 def redact_roundtrip(t):
     """All detectors, then re-identification: every text comes back."""
     done = redaction.redact(_texts(t))
-    back = redaction.rehydrate(done.texts, done.vault, ["session_id", "turn", "pass_no"])
+    back = redaction.rehydrate(materialise(done.texts), done.vault, ["session_id", "turn", "pass_no"])
     return back.select("turn", F.md5("rehydrated").alias("text_md5"))
 
 

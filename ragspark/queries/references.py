@@ -9,6 +9,7 @@ from ragspark.functions.provisions import parse_provision, provision_key
 from ragspark.functions.text import policy_references
 from ragspark.operators import curation, metrics, references
 from ragspark.queries.registry import query
+from ragspark.session import materialise
 
 # A reference written in one of several spellings, and its key, in SQL.
 REF_SQL = """('disp  ' || (l_orderkey % 9 + 1) || '.' || l_linenumber || '.' || (l_partkey % 7)
@@ -148,9 +149,9 @@ def _index(t, modules=fixed.TARGET_MODULES, chapters=12):
         "p_partkey", "p_name", F.element_at(names, F.col("p_size") % len(modules) + 1).alias("module"),
         (F.col("p_partkey") % chapters + 1).alias("c"), (F.floor(F.col("p_partkey") / chapters) % 9 + 1).alias("s"),
     ).withColumn("chapter", F.concat("module", "c")).withColumn("section_id", F.concat("chapter", F.lit("s"), "s"))
-    return parts.groupBy("section_id").agg(
+    return materialise(parts.groupBy("section_id").agg(
         F.min("module").alias("module"), F.min("chapter").alias("chapter"), F.min_by("p_name", "p_partkey").alias("section_name")
-    )
+    ))
 
 
 def _policies(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import metrics, retrieval
 from ragspark.queries.registry import query
+from ragspark.session import materialise
 
 # Shared SQL: exact top 10 of every vector against all others.
 TOP10 = """
@@ -128,9 +129,9 @@ def retrieval_hit_metrics(t):
     wanted = e.select(F.col("vec_id").alias("query_id"), F.array(F.format_string("sec%ds1", "label")).alias("wanted"))
     found = _top10(t).withColumnRenamed("chunk_id", "c").join(chunks, "c").join(wanted, "query_id")
     none = F.lit(None).cast("string")
-    relevant = found.withColumn(
+    relevant = materialise(found.withColumn(
         "is_relevant", metrics.chunk_is_relevant(F.col("wanted"), F.col("chunk_id"), F.col("section"), none, none)
-    )
+    ))
     cited = (
         relevant.where("rank % 2 = 1").select("query_id", "chunk_id")
         .unionByName(relevant.where("rank = 1").select("query_id", "chunk_id"))
@@ -191,7 +192,7 @@ FROM top10 t JOIN embeddings c ON c.vec_id = t.chunk_id JOIN embeddings q ON q.v
 GROUP BY t.query_id""")
 def cited_in_scope(t):
     """Flag chunks in scope that the answer cites; here it cites those of its own label."""
-    retrieved, expected = _labelled(t, _top10(t))
+    retrieved, expected = _labelled(t, materialise(_top10(t)))
     cited = retrieved.join(expected, ["query_id", "section"], "left_semi").select("query_id", "chunk_id")
     marked = retrieval.mark_cited(retrieved, cited, ["query_id", "chunk_id"])
     return marked.groupBy("query_id").agg(F.count("*").alias("n_in_scope"), F.count_if("is_cited").alias("n_cited"))
