@@ -26,21 +26,26 @@ def _unit(vectors) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best(qids, cids, scores: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """Best k per row of a score block, by (score descending, chunk id)."""
+def _best(qids, cids, scores: np.ndarray, k: int, exclude_self: bool, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """Best k per row of a score block, by (score descending, chunk id), in no order.
+
+    Score and column go into one integer, so copies of a chunk, whose scores tie,
+    are cut to k as well. Rows below ``floor`` points of their query are left out.
+    """
     qids, cids = np.asarray(qids), np.asarray(cids)
-    rounded = np.round(scores, SCORE_DIGITS) + 0.0
+    by_id = np.argsort(cids, kind="stable")
+    cids, points = cids[by_id], np.rint(scores[:, by_id] * 10 ** SCORE_DIGITS).astype(np.int64)
+    n, never = len(cids), np.iinfo(np.int64).max
+    key = np.arange(n) - points * n
     if exclude_self:
-        rounded[qids[:, None] == cids[None, :]] = -np.inf
-    if rounded.shape[1] > k:
-        cut = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, rounded.shape[1] - k]
-        keep = rounded >= cut[:, None]
-    else:
-        keep = np.ones_like(rounded, dtype=bool)
-    keep &= np.isfinite(rounded)
-    r, c = np.nonzero(keep)
-    out = pd.DataFrame({"query_id": qids[r], "chunk_id": cids[c], "score": rounded[r, c]})
-    return _top(out, k)
+        key[qids[:, None] == cids[None, :]] = never
+    cols = np.argpartition(key, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(qids), 1))
+    kept = np.take_along_axis(key, cols, 1) != never
+    if floor is not None:
+        kept &= np.take_along_axis(points, cols, 1) >= floor[:, None]
+    r, j = np.nonzero(kept)
+    c = cols[r, j]
+    return pd.DataFrame({"query_id": qids[r], "chunk_id": cids[c], "score": points[r, c] / 10 ** SCORE_DIGITS})
 
 
 def _top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -96,15 +101,30 @@ def _by_broadcast(head: pd.DataFrame, queries, chunks, k, exclude_self) -> DataF
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, q = shared.value
+        row_of = pd.Series(np.arange(len(qids)), index=qids)
         step = max(1, BLOCK_SCORES // len(qids))
-        best = None
+        floor = np.full(len(qids), np.iinfo(np.int64).min)
+        best, waiting = [], 0
+
+        def merge() -> None:
+            nonlocal best, waiting
+            best, waiting = [_top(pd.concat(best), k)], 0
+            full = best[0].groupby("query_id")["score"].agg(["size", "min"])
+            full = full[full["size"] >= k]
+            floor[row_of[full.index]] = np.rint(full["min"] * 10 ** SCORE_DIGITS)
+
         for batch in batches:
             for at in range(0, len(batch), step):
                 part = batch.iloc[at:at + step]
-                found = _best(qids, part["chunk_id"], q @ _unit(part["embedding"]).T, k, exclude_self)
-                best = found if best is None else _top(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
+                found = _best(qids, part["chunk_id"], q @ _unit(part["embedding"]).T, k, exclude_self, floor)
+                best.append(found)
+                waiting += len(found)
+                # Once every query has k candidates, few new rows pass its floor.
+                if waiting > 4 * k * len(qids):
+                    merge()
+        if best:
+            merge()
+            yield best[0]
 
     return chunks.mapInPandas(scan, _schema(queries, chunks))
 
@@ -121,7 +141,8 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
     """
     spark = chunks.sparkSession
     total = chunks.count()
-    n_cells = int(min(MAX_CELLS, max(1, round(total ** 0.5))))
+    # Small cells prune well but send each query to many places; a quarter of a group is the middle.
+    n_cells = int(min(MAX_CELLS, max(1, 4 * total // group_rows)))
     seeds = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_cells).select("embedding").toPandas()
     if seeds.empty:
         return spark.createDataFrame([], _schema(queries, chunks))
