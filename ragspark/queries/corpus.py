@@ -280,3 +280,42 @@ def one_index(t):
     return corpus.one_index(regulation, policy).groupBy("kind", "source").agg(
         F.count("*").alias("n"), F.count("title").alias("n_titled"), F.sum(F.length("content")).alias("n_chars")
     )
+
+
+@query("section_index", """
+SELECT p_brand AS module, count(*) AS n, sum(CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size END)::BIGINT AS n_provisions,
+       count_if(p_partkey % 3 = 0) AS n_unnamed
+FROM part WHERE p_partkey IN (SELECT doc_id FROM documents WHERE lang <> 'de') GROUP BY p_brand""")
+def section_index(t):
+    """Parts as section metadata, kept where a document exists."""
+    metadata = t.part.select(
+        F.col("p_partkey").alias("section"), F.col("p_brand").alias("module"), F.col("p_type").alias("chapter"),
+        F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("section_name"),
+        F.when(F.col("p_size") % 2 != 0, F.col("p_size")).alias("provision_count"),
+    )
+    index = corpus.section_index(metadata, t.documents.where("lang <> 'de'").select(F.col("doc_id").alias("section")))
+    return index.groupBy("module").agg(
+        F.count("*").alias("n"), F.sum("provision_count").alias("n_provisions"), F.count_if(F.col("section_name") == "").alias("n_unnamed")
+    )
+
+
+@query("provision_records", """
+SELECT coalesce(CASE WHEN page_id % 7 < 5 THEN 'module' || (page_id % 7 % 2) END, 'chapter' || (page_id % 7)) AS module, count(*) AS n,
+       count_if(page_id % 4 = 0) AS n_untyped, sum(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'href="(/[^"]+)"', 1),
+         lambda r: replace(r, '/', '')), lambda r: r <> ''))))::BIGINT AS n_links
+FROM pages GROUP BY 1""")
+def provision_records(t):
+    """Pages as landed responses; links are moved under the handbook path, chapters five and six have no module."""
+    html = F.regexp_replace("html", r'href="/', 'href="/handbook/')
+    raw = t.spread("pages").select(
+        F.concat(F.lit("chapter"), F.col("page_id") % 7).alias("chapter"), F.lit("s").alias("section"), F.lit("P").alias("provisionName"),
+        F.lit(None).cast("string").alias("entityId"), F.col("url").alias("sectionName"), F.when(F.col("page_id") % 4 != 0, "Rules").alias("provisionType"),
+        F.col("html").alias("contentText"), html.alias("contentType"), F.lit(None).cast("string").alias("timeline"), F.col("page_id").alias("ord"),
+    )
+    chapters = raw.select("chapter").distinct().select(
+        "chapter", F.concat(F.lit("module"), F.substring("chapter", 8, 1).cast("int") % 2).alias("module")
+    ).where(F.substring("chapter", 8, 1).cast("int") < 5)
+    made = corpus.normalise_provisions(raw, chapters)
+    return made.groupBy("module").agg(
+        F.count("*").alias("n"), F.count_if(F.col("provision_type") == "").alias("n_untyped"), F.sum(F.size("cross_references")).alias("n_links")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark import fixed
 from ragspark.functions import responses
+from ragspark.functions.numbers import usage
 from ragspark.functions.text import strip
 from ragspark.operators import metrics
 from ragspark.operators.ranking import latency_stats
@@ -225,15 +226,18 @@ SELECT config_label, count(*) AS n_scenarios,
        round(avg({_unit('k', 43)}), 6) AS cost_per_scenario_mean, round(median(value), 6) AS latency_p50_ms
 FROM e GROUP BY config_label""")
 def config_aggregate_drafting(t):
+    out = metrics.drafting_aggregate(_drafting_records(t))
+    return out.select("config_label", "n_scenarios", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+def _drafting_records(t):
     """Events as scenario records: the type is the arm, slow ones are failed records."""
     e = t.events.withColumn("k", _k())
-    records = e.select(
+    return e.select(
         F.col("event_type").alias("config_label"), F.col("value").alias("latency_ms"),
         F.when(F.col("value") > 200, F.lit("timeout")).alias("error"),
         *[F.expr(_unit("k", m)).cast("double").alias(c) for c, m in DRAFTING_COLUMNS.items()],
     )
-    out = metrics.drafting_aggregate(records)
-    return out.select("config_label", "n_scenarios", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 QA_COLUMNS = {"precision_at_k": 3, "recall_at_k": 7, "grounded_pct": 11, "ungrounded_pct": 13, "citation_precision": 17, "total_cost": 19}
@@ -260,3 +264,36 @@ def config_aggregate_qa(t):
     )
     out = metrics.qa_aggregate(records)
     return out.select("config_label", "n_queries", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query("comparison_lines", f"""
+WITH e AS (SELECT event_type AS config_label, (props->>'k')::INT AS k FROM events WHERE value <= 200),
+a AS (SELECT config_label, {', '.join(f"100 * avg({_unit('k', m)}) AS {c}" for c, m in DRAFTING_COLUMNS.items())},
+             100 * avg({_unit('k', 23)}) AS gap FROM e GROUP BY config_label)
+SELECT config_label, '| ' || config_label || ' | ' || printf('%.1f%%', coverage) || ' | ' || printf('%.1f%%', section_precision) || ' | '
+  || printf('%.1f%%', citation_precision) || ' / ' || printf('%.1f%%', citation_recall) || ' | ' || printf('%.1f%%', retrieved_provision_recall)
+  || ' | ' || printf('%+.1f%%', drafting_gap) || ' | ' || printf('%.1f%%', grounded_pct) || ' | ' || printf('%.1f%%', inter_judge_agreement) || ' |' AS line
+FROM a""")
+def comparison_lines(t):
+    """The comparison table of the arms, one Markdown row each."""
+    return metrics.drafting_comparison(metrics.drafting_aggregate(_drafting_records(t)))
+
+
+@query("response_texts", """
+SELECT event_type, count(*) AS n, count_if(event_id % 4 = 0) AS n_text, count_if(event_id % 4 = 1) AS n_reasoning,
+       count_if(event_id % 4 = 2) AS n_array, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE (props->>'k')::INT END)::BIGINT AS output_tokens
+FROM events GROUP BY event_type""")
+def response_texts(t):
+    """Answer text from text blocks, reasoning blocks or an array-like value; usage with defaults."""
+    form, none = F.col("event_id") % 4, F.lit(None).cast("string")
+    block = F.struct(
+        none.alias("type"), F.when(form == 0, F.concat(F.lit("T"), F.col("props"))).alias("text"),
+        F.when(form == 1, F.struct(F.struct(F.concat(F.lit("R"), F.col("props")).alias("text")).alias("reasoningText"))).alias("reasoningContent"),
+        F.when(form == 2, F.concat(F.lit(" ["), F.col("props"), F.lit("]"))).otherwise(F.lit("plain")).alias("other"),
+    )
+    used = F.struct(F.lit(1).alias("inputTokens"), F.when(F.col("event_id") % 3 != 0, _k()).alias("outputTokens"), F.lit(1).alias("totalTokens"))
+    read = t.events.select("event_type", responses.response_text(F.array(block)).alias("text"), usage(used).alias("u"))
+    return read.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("text").startswith("T")).alias("n_text"), F.count_if(F.col("text").startswith("R")).alias("n_reasoning"),
+        F.count_if(F.col("text").startswith(" [")).alias("n_array"), F.sum("u.output_tokens").alias("output_tokens"),
+    )

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragspark import fixed
 from ragspark.functions.numbers import keyed_hash
 from ragspark.functions.pii import only
 from ragspark.operators import audit, pii_eval, redaction
+from ragspark.plans import conversation
 from ragspark.queries.registry import query
 from ragspark.session import materialise
 
@@ -49,7 +51,58 @@ def redact_counts(t):
     return redaction.detection_totals(texts, ["session_id"])
 
 
-@query("redact_counts_all")
+# All ten detectors in SQL. Every non-word character is doubled first, so that two
+# matches never compete for the boundary between them. Each step sees the text
+# with earlier matches replaced by tokens; vetoed matches are replaced as well,
+# which on these texts hides nothing from later steps.
+NON_WORD = rf"[^{W}]"
+B, E = rf"(?:^|{NON_WORD})", rf"(?:$|{NON_WORD})"
+STOP = "[" + ", ".join(f"'{w}'" for w in fixed.NAME_STOPWORDS) + "]"
+GAP = rf"(?:{NON_WORD}{{2}})"
+
+
+def _doubled(pattern: str) -> str:
+    return rf"{B}({pattern}){E}"
+
+
+STREETS = fixed.DETECTOR_PATTERNS[7][1].rsplit("(?:", 1)[1].split(")")[0]
+STEPS = [  # entity type, pattern over the doubled text, veto in SQL
+    ("EMAIL", rf"[{W}](?:[{W}]|\.\.|\+\+|--)*@@(?:[{W}]|--)+\.\.(?:[{W}]|\.\.|--)*[{W}]", "true"),
+    ("NINO", r"[A-Za-z]{2}(?:\s\s)?\d{2}(?:\s\s)?\d{2}(?:\s\s)?\d{2}(?:\s\s)?[A-Da-d]",
+     "regexp_full_match(upper(replace(v, ' ', '')), '[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\\d{6}[A-D]') AND upper(replace(v, ' ', ''))[1:2] NOT IN "
+     "('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ')"),
+    ("CARD", r"\d(?:(?:  |--)?\d){12,18}",
+     "list_sum(list_transform(list_reverse(string_split(regexp_replace(v, '[^0-9]', '', 'g'), '')), "
+     "lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d::INT > 4 THEN d::INT * 2 - 9 ELSE d::INT * 2 END)) % 10 = 0"),
+    ("SORT_CODE", r"\d{2}(?:--|  )\d{2}(?:--|  )\d{2}", "true"),
+    ("ACCOUNT", r"(?i:account)(?:\s+(?:(?i:number)|(?i:no)(?:\.\.)?|##))?\s*(?:::|--)?\s*\d{8}", "true"),
+    ("PHONE", r"(?:\(\()?0\d{2,4}(?:\)\))?(?:\s\s|--)?\d{3,4}(?:\s\s|--)?\d{3,4}", "true"),
+    ("POSTCODE", r"[A-Za-z][A-Ha-hJ-Yj-y]?[0-9][A-Za-z0-9]?(?:\s\s)?[0-9][A-Za-z]{2}|[Gg][Ii][Rr](?:\s\s)?0[Aa]{2}", "true"),
+    ("ADDRESS", rf"\d{{1,4}}[A-Za-z]?\s+(?:[A-Z][a-z]+\s+){{0,3}}(?:{STREETS})", "true"),
+    ("NAME", r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof)(?:\.\.)?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}", "true"),
+    ("NAME", r"[A-Z][a-z]+\s+[A-Z][a-z]+",
+     f"len(list_intersect(list_transform(string_split_regex(v, '\\s+'), lambda w: lower(w)), {STOP})) = 0"),
+]
+
+
+def _all_detectors_sql() -> str:
+    """Counts per detector. A match is marked in place, so later steps cannot see it."""
+    steps = []
+    for i, (kind, pattern, veto) in enumerate(STEPS):
+        found = f"regexp_extract_all(t{i}, '{_doubled(pattern)}', 1)"
+        steps.append(
+            f"s{i} AS (SELECT *, list_filter(list_transform({found}, lambda x: regexp_replace(x, '({NON_WORD})({NON_WORD})', '\\1', 'g')), "
+            f"lambda v: {veto}) AS m{i}, regexp_replace(t{i}, '{B}(?:{pattern}){E}', ' [[{kind}_0]] ', 'g') AS t{i + 1} FROM "
+            + (f"s{i - 1})" if i else f"(SELECT session_id, regexp_replace(text, '({NON_WORD})', '\\1\\1', 'g') AS t0 FROM texts))")
+        )
+    counts = " UNION ALL ".join(f"SELECT session_id, '{k}' AS entity_type, len(m{i}) AS n FROM s{len(STEPS) - 1}" for i, (k, _, _) in enumerate(STEPS))
+    return (
+        "WITH texts AS (SELECT source AS session_id, text FROM documents UNION ALL SELECT 'conv-' || conv_id, text FROM conversations), "
+        + ", ".join(steps) + f" SELECT session_id, entity_type, sum(n)::BIGINT AS count FROM ({counts}) WHERE n > 0 GROUP BY ALL"
+    )
+
+
+@query("redact_counts_all", _all_detectors_sql())
 def redact_counts_all(t):
     """All ten detectors over documents and conversations."""
     talks = t.conversations.select(
@@ -123,7 +176,7 @@ WITH r AS (
   SELECT '2026-06-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:0' || turn || '+00:00' AS ts, 'conv-' || conv_id AS session_id,
          {HMAC_SQL.format(text='text')} AS input_hash, len(text) AS toks, conv_id, turn FROM conversations
   WHERE turn % 3 = 0)
-SELECT session_id, input_hash, ts || '  ' || substr(session_id, 1, 8) || '  REVIEW  tokens=' || rpad((toks + turn)::VARCHAR, greatest(5, len((toks + turn)::VARCHAR))::INT, ' ')
+SELECT session_id, input_hash, 'NAME:' || (turn + 1) AS output_pii, ts || '  ' || substr(session_id, 1, 8) || '  REVIEW  tokens=' || rpad((toks + turn)::VARCHAR, greatest(5, len((toks + turn)::VARCHAR))::INT, ' ')
   || ' ' || (turn * 10) || 'ms  input_pii=[' || CASE WHEN turn = 0 THEN 'none' ELSE 'EMAIL:' || turn || ', NAME:1' END || ']  hash=' || substr(input_hash, 1, 12) || '...' AS line
 FROM r WHERE ts >= '2026-06-03' AND ts <= '2026-06-20'""")
 def audit_query(t):
@@ -148,7 +201,10 @@ def audit_query(t):
     )
     trail = audit.audit_records(turns, KEY)
     kept = audit.filter_audit(trail, since="2026-06-03", until="2026-06-20", review_only=True)
-    return kept.select("session_id", "input_hash", audit.summary_line().alias("line"))
+    masked = F.transform("output_detections", lambda d: F.concat(d["entity_type"], F.lit(":"), d["count"].cast("string")))
+    return kept.select(
+        "session_id", "input_hash", F.array_join(masked, ", ").alias("output_pii"), audit.summary_line().alias("line")
+    )
 
 
 @query("audit_recent", f"""
@@ -160,3 +216,20 @@ def audit_recent(t):
         (F.col("conv_id") * 8 + F.col("turn")).alias("ord"), keyed_hash(F.col("text"), KEY).alias("input_hash")
     )
     return audit.most_recent(trail, "ord", 20)
+
+
+@query("conversation_history", """
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, turn AS past_turn, 'user' AS role, text FROM conversations
+      UNION ALL SELECT conv_id, turn, 'assistant', CASE WHEN turn % 2 = 0 THEN role ELSE role || chr(10) || chr(10) || '[Customer draft]' || chr(10) || 'draft' END
+      FROM conversations)
+SELECT m.conv_id AS session_id, last.turn, past_turn, role, md5(text) AS text_md5 FROM m JOIN last USING (conv_id) WHERE past_turn < last.turn""")
+def conversation_history(t):
+    """Earlier messages of the last turn of each conversation."""
+    masked = t.conversations.select(
+        F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("masked_question"), F.col("role").alias("masked_handler_answer"),
+        F.when(F.col("turn") % 2 == 1, "draft").alias("masked_customer_draft"),
+    )
+    asking = masked.groupBy("session_id").agg(F.max("turn").alias("turn"))
+    past = conversation.history(masked, asking)
+    return past.select("session_id", "turn", "past_turn", "role", F.md5("text").alias("text_md5"))

@@ -196,3 +196,12 @@ def cited_in_scope(t):
     cited = retrieved.join(expected, ["query_id", "section"], "left_semi").select("query_id", "chunk_id")
     marked = retrieval.mark_cited(retrieved, cited, ["query_id", "chunk_id"])
     return marked.groupBy("query_id").agg(F.count("*").alias("n_in_scope"), F.count_if("is_cited").alias("n_cited"))
+
+
+@query("sections_in_rank_order", f"""
+WITH {TOP10}
+SELECT t.query_id, c.label::VARCHAR AS section, min(t.rank)::INT AS first_rank
+FROM top10 t JOIN embeddings c ON c.vec_id = t.chunk_id GROUP BY ALL""")
+def sections_in_rank_order(t):
+    retrieved, _ = _labelled(t, _top10(t))
+    return metrics.sections_in_rank_order(retrieved, ["query_id"]).select("query_id", "section", "first_rank")
