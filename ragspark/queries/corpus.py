@@ -218,8 +218,8 @@ def module_filter_index(t):
 
 @query("clean_text_profile", rf"""
 WITH c AS (
-  SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'),
-    '&middot;', '·'), '&amp;', '&'), '[ \t]+', ' ', 'g'), {STRIP}) AS text, url FROM pages)
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'),
+    '&middot;', '·'), '&amp;?', '&', 'g'), '[ \t]+', ' ', 'g'), {STRIP}) AS text, url FROM pages)
 SELECT page_id, len(text) AS n_chars, len({WORDS}) AS n_words, len(text) >= 200 AS is_substantial,
        md5(CASE WHEN len(text) > 5000 THEN substr(text, 1, 5000) || chr(10) || chr(10) || '[... truncated ...]' ELSE text END) AS prompt_md5,
        regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
