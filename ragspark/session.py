@@ -56,10 +56,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores before a CPU-heavy stage when it has few files.
+    """Spread rows over more tasks before a CPU-heavy stage, if the session asks for it.
 
-    A large table has more files than cores and is left alone.
+    ``ragspark.spreadPartitions`` names the number of partitions; 0 leaves the
+    scan as it is, which suits tables of many files and is the default on a
+    cluster. A local session, whose tables are single small files, uses its cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if 0 < len(files) < cores else df
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    default = sc.defaultParallelism if sc.master.startswith("local") else 0
+    wanted = int(spark.conf.get("ragspark.spreadPartitions", str(default)))
+    return df.repartition(wanted) if wanted > 0 else df

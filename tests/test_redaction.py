@@ -1,7 +1,6 @@
 import re
 from itertools import groupby
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,7 +112,7 @@ def test_pluggable_detectors(spark):
 def test_mask_one_equals_model(text):
     compiled = [(d, re.compile(d.pattern, re.IGNORECASE if d.ignore_case else 0)) for d in pii.DETECTORS]
     got = pii.mask_one(text, compiled)
-    out, vault = sequential([text])
+    out, _ = sequential([text])
     by_slot, n = {}, {}
     for e in got["entities"]:
         n[e["entity_type"]] = n.get(e["entity_type"], 0) + 1
