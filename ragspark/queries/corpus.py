@@ -200,7 +200,7 @@ WITH s AS (
   SELECT p_brand AS module, p_brand || '/' || p_type AS chapter, replace(p_name, ' ', '') || 's' || p_partkey AS section
   FROM part WHERE p_brand NOT IN ('Brand#3', 'Brand#4'))
 SELECT module, count(*) AS n_sections, count(DISTINCT chapter) AS n_chapters,
-       count_if(NOT contains(section, 'sch') AND NOT contains(section, 'tp') AND NOT contains(section, 'app')) AS n_core
+       count_if(NOT contains(section, 'sch') AND NOT contains(section, 'tp') AND NOT contains(section, 'app'))::BIGINT AS n_core
 FROM s GROUP BY module""")
 def module_filter_index(t):
     """Parts as a document tree (brand, type, part), flattened and filtered to target modules."""
@@ -284,7 +284,7 @@ def one_index(t):
 
 @query("section_index", """
 SELECT p_brand AS module, count(*) AS n, sum(CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size END)::BIGINT AS n_provisions,
-       count_if(p_partkey % 3 = 0) AS n_unnamed
+       count_if(p_partkey % 3 = 0)::BIGINT AS n_unnamed
 FROM part WHERE p_partkey IN (SELECT doc_id FROM documents WHERE lang <> 'de') GROUP BY p_brand""")
 def section_index(t):
     """Parts as section metadata, kept where a document exists."""
@@ -301,7 +301,7 @@ def section_index(t):
 
 @query("provision_records", """
 SELECT coalesce(CASE WHEN page_id % 7 < 5 THEN 'module' || (page_id % 7 % 2) END, 'chapter' || (page_id % 7)) AS module, count(*) AS n,
-       count_if(page_id % 4 = 0) AS n_untyped, sum(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'href="(/[^"]+)"', 1),
+       count_if(page_id % 4 = 0)::BIGINT AS n_untyped, sum(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'href="(/[^"]+)"', 1),
          lambda r: replace(r, '/', '')), lambda r: r <> ''))))::BIGINT AS n_links
 FROM pages GROUP BY 1""")
 def provision_records(t):

@@ -51,8 +51,8 @@ def _required(t):
 WITH {VERDICTS_SQL},
 last AS (SELECT run_id, element, arg_max(status, idx) AS status FROM v GROUP BY ALL),
 s AS (SELECT r.run_id, coalesce(l.status, 'MISSING') AS status FROM req r LEFT JOIN last l USING (run_id, element))
-SELECT run_id, count(*) AS n_required, count_if(status = 'PRESENT') AS present_count, count_if(status = 'PARTIAL') AS partial_count,
-       count_if(status = 'MISSING') AS missing_count,
+SELECT run_id, count(*) AS n_required, count_if(status = 'PRESENT')::BIGINT AS present_count, count_if(status = 'PARTIAL')::BIGINT AS partial_count,
+       count_if(status = 'MISSING')::BIGINT AS missing_count,
        round(avg(CASE status WHEN 'PRESENT' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 ELSE 0.0 END), 6) AS coverage
 FROM s GROUP BY run_id""")
 def rubric_coverage(t):
@@ -116,7 +116,7 @@ p AS (SELECT conv_id, turn // 2 AS pair, idx, grounding FROM g WHERE turn % 2 =
 s AS (SELECT conv_id, turn // 2 AS pair, idx, grounding FROM g WHERE turn % 2 = 1),
 b AS (SELECT coalesce(p.conv_id, s.conv_id) AS conv_id, coalesce(p.pair, s.pair) AS pair, p.grounding AS a, s.grounding AS b
       FROM p FULL JOIN s ON p.conv_id = s.conv_id AND p.pair = s.pair AND p.idx = s.idx)
-SELECT conv_id, pair, count_if(a IS NOT NULL AND b IS NOT NULL) AS n_compared,
+SELECT conv_id, pair, count_if(a IS NOT NULL AND b IS NOT NULL)::BIGINT AS n_compared,
        round(coalesce(count_if(a = b) / nullif(count_if(a IS NOT NULL AND b IS NOT NULL), 0), 0.0), 6) AS agreement
 FROM b GROUP BY conv_id, pair""")
 def claim_agreement(t):
@@ -147,8 +147,8 @@ def label_agreement(t):
 @query("tolerant_json", """
 WITH e AS (SELECT event_id, event_type, (props->>'k')::INT AS k FROM events)
 SELECT event_type, count(*) AS n_responses, sum(CASE WHEN event_id % 5 < 4 THEN 2 ELSE 0 END)::BIGINT AS n_items,
-       count_if(event_id % 5 = 4) AS n_unreadable, sum(CASE WHEN event_id % 5 < 4 THEN k ELSE 0 END)::BIGINT AS sum_k,
-       count_if(event_id % 5 < 4 AND k % 3 = 0) AS n_present
+       count_if(event_id % 5 = 4)::BIGINT AS n_unreadable, sum(CASE WHEN event_id % 5 < 4 THEN k ELSE 0 END)::BIGINT AS sum_k,
+       count_if(event_id % 5 < 4 AND k % 3 = 0)::BIGINT AS n_present
 FROM e GROUP BY event_type""")
 def tolerant_json(t):
     """Responses wrapped in fences, preambles and noise, parsed back into objects."""
@@ -280,8 +280,8 @@ def comparison_lines(t):
 
 
 @query("response_texts", """
-SELECT event_type, count(*) AS n, count_if(event_id % 4 = 0) AS n_text, count_if(event_id % 4 = 1) AS n_reasoning,
-       count_if(event_id % 4 = 2) AS n_array, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE (props->>'k')::INT END)::BIGINT AS output_tokens
+SELECT event_type, count(*) AS n, count_if(event_id % 4 = 0)::BIGINT AS n_text, count_if(event_id % 4 = 1)::BIGINT AS n_reasoning,
+       count_if(event_id % 4 = 2)::BIGINT AS n_array, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE (props->>'k')::INT END)::BIGINT AS output_tokens
 FROM events GROUP BY event_type""")
 def response_texts(t):
     """Answer text from text blocks, reasoning blocks or an array-like value; usage with defaults."""

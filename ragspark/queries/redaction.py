@@ -139,7 +139,7 @@ gold AS (SELECT doc_id, value, 'EMAIL' AS type, true AS is_pii FROM emails
          UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\d{{16}}')), 'REFERENCE', false FROM documents),
 masks AS (SELECT DISTINCT doc_id, entity_type, value FROM found),
 r AS (SELECT count(*) AS n FROM gold WHERE is_pii),
-m AS (SELECT count(*) AS n, count_if(entity_type = 'EMAIL') AS tp FROM masks)
+m AS (SELECT count(*) AS n, count_if(entity_type = 'EMAIL')::BIGINT AS tp FROM masks)
 SELECT 'recall' AS section, 'EMAIL' AS label, n AS hits, n AS total, 1.0::DOUBLE AS value FROM r
 UNION ALL SELECT 'recall', 'overall', n, n, 1.0 FROM r
 UNION ALL SELECT 'masks', 'precision', tp, n, round(tp / n, 6) FROM m

@@ -33,7 +33,7 @@ def _key_sql(ref: str) -> str:
 
 @query("reference_keys", f"""
 SELECT {_key_sql(REF_SQL)} AS provision, count(*) AS n, count(DISTINCT {REF_SQL}) AS n_spellings,
-       count_if(l_returnflag = 'R') AS n_rules, count_if(l_returnflag = 'A') AS n_guidance
+       count_if(l_returnflag = 'R')::BIGINT AS n_rules, count_if(l_returnflag = 'A')::BIGINT AS n_guidance
 FROM lineitem GROUP BY 1""")
 def reference_keys(t):
     refs = t.lineitem.select(_ref().alias("ref"))
@@ -67,7 +67,7 @@ items AS (SELECT run_id, provision, bool_or(c) AS c, bool_or(e) AS e, bool_or(d)
 
 @query("citation_prf", f"""
 WITH {SETS_SQL},
-n AS (SELECT run_id, count_if(c) AS n_cited, count_if(e) AS n_expected, count_if(c AND e) AS n_matched
+n AS (SELECT run_id, count_if(c)::BIGINT AS n_cited, count_if(e)::BIGINT AS n_expected, count_if(c AND e)::BIGINT AS n_matched
       FROM items WHERE c OR e GROUP BY run_id),
 pr AS (SELECT *, coalesce(n_matched / nullif(n_cited, 0), 0.0) AS p, coalesce(n_matched / nullif(n_expected, 0), 0.0) AS r FROM n)
 SELECT run_id, n_cited, n_expected, n_matched, round(p, 6) AS precision, round(r, 6) AS recall,
@@ -90,7 +90,7 @@ def citation_outcomes(t):
 
 @query("drafting_gap", f"""
 WITH {SETS_SQL},
-n AS (SELECT run_id, count_if(e) AS ne, count_if(c AND e) AS nc, count_if(d AND e) AS nd FROM items WHERE c OR e OR d GROUP BY run_id)
+n AS (SELECT run_id, count_if(e)::BIGINT AS ne, count_if(c AND e)::BIGINT AS nc, count_if(d AND e)::BIGINT AS nd FROM items WHERE c OR e OR d GROUP BY run_id)
 SELECT run_id, round(coalesce(nd / nullif(ne, 0), 0.0), 6) AS text_recall, round(coalesce(nc / nullif(ne, 0), 0.0), 6) AS citation_recall,
        round(coalesce(nd / nullif(ne, 0), 0.0) - coalesce(nc / nullif(ne, 0), 0.0), 6) AS drafting_gap FROM n""")
 def drafting_gap(t):

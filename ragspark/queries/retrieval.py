@@ -40,7 +40,7 @@ def _labelled(t, found):
     return retrieved, labels.withColumnRenamed("vec_id", "query_id")
 
 
-@query("knn_topk", f"WITH {TOP10} SELECT query_id, chunk_id, score, rank FROM top10")
+@query("knn_topk", f"WITH {TOP10} SELECT query_id, chunk_id, score, rank::INT AS rank FROM top10")
 def knn_topk(t):
     return _top10(t)
 
@@ -50,7 +50,7 @@ WITH scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
          round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q JOIN (SELECT * FROM embeddings WHERE label = 3) c ON q.vec_id <> c.vec_id)
-SELECT query_id, chunk_id, score, rank FROM (
+SELECT query_id, chunk_id, score, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
 WHERE rank <= 10""")
 def knn_topk_filtered(t):
@@ -155,7 +155,7 @@ got AS (SELECT t.session_id, t.turn, k.chunk_id, k.score, k.rank FROM turns t JO
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY score DESC, turn, rank) AS b
                  FROM got) WHERE b = 1)
-SELECT session_id, chunk_id, score, turn, scope_rank FROM (
+SELECT session_id, chunk_id, score, turn, scope_rank::INT AS scope_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn, rank, chunk_id) AS scope_rank FROM best)
 WHERE scope_rank <= 15""")
 def scope_merge(t):
@@ -187,7 +187,7 @@ def prompt_table(t):
 
 @query("cited_in_scope", f"""
 WITH {TOP10}
-SELECT t.query_id, count(*) AS n_in_scope, count_if(c.label = q.label) AS n_cited
+SELECT t.query_id, count(*) AS n_in_scope, count_if(c.label = q.label)::BIGINT AS n_cited
 FROM top10 t JOIN embeddings c ON c.vec_id = t.chunk_id JOIN embeddings q ON q.vec_id = t.query_id
 GROUP BY t.query_id""")
 def cited_in_scope(t):
