@@ -13,7 +13,7 @@ from ragspark import schemas
 def audit_records(turns: DataFrame, key: bytes) -> DataFrame:
     """One record per turn. The question is hashed, never stored.
 
-    Expects the masked output and reason, the detections of the input and of the
+    A turn may carry its ``input_hash`` instead of the question. Expects the masked output and reason, the detections of the input and of the
     three output fields, ids, flags, latencies and a ``usage`` struct.
     """
     def number(name):
@@ -25,8 +25,9 @@ def audit_records(turns: DataFrame, key: bytes) -> DataFrame:
         F.when(draft != "", F.concat(F.lit("\n\n[Customer draft]\n"), draft)).otherwise(""),
     )
     merged = merge_detections(F.col("answer_detections"), F.col("draft_detections"), F.col("reason_detections"))
+    hashed = F.col("input_hash") if "input_hash" in turns.columns else keyed_hash(F.col("raw_question"), key)
     record = turns.select(
-        "timestamp", "session_id", keyed_hash(F.col("raw_question"), key).alias("input_hash"),
+        "timestamp", "session_id", hashed.alias("input_hash"),
         "input_detections", merged.alias("output_detections"), output.alias("output"),
         F.coalesce("model_id", F.lit("")).alias("model_id"), "cited_provisions", "retrieved_chunk_ids",
         "human_review_required", F.coalesce("masked_review_reason", F.lit("")).alias("human_review_reason"),

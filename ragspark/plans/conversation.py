@@ -30,20 +30,31 @@ def redact_conversation(turns: DataFrame, key: bytes, detectors: Sequence[Detect
     ``turns`` holds the raw fields and the audit columns (time stamp, model, ids,
     flags, latencies, usage). The raw text leaves this job only as a keyed hash.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("pass_no"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(FIELDS)])
-    texts = turns.select(*TURN, F.explode(cells).alias("c")).select(*TURN, "c.*")
-    done = redact(texts, detectors)
-    # Four rows per turn come back together.
-    wide = done.texts.groupBy(*TURN).agg(*[
-        F.max(F.when(F.col("pass_no") == i, F.struct("clean_text", "detections"))).alias(f"_{i}") for i in range(len(FIELDS))
+    done = redact(field_rows(turns), detectors)
+    masked = turns.join(masked_turns(done.texts), TURN)
+    return Conversation(masked.drop(*FIELDS), done.vault, audit_records(masked, key))
+
+
+def field_rows(turns: DataFrame, *extra) -> DataFrame:
+    """The four texts of each turn as rows ``session_id, turn, pass_no, text``, in vault order."""
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pass_no"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(FIELDS)
+    ])
+    return turns.select(*TURN, *extra, F.explode(cells).alias("_c")).select(*TURN, "_c.*", *[c for c in ("note",) if extra])
+
+
+def masked_turns(texts: DataFrame, *extra) -> DataFrame:
+    """One row per turn from its four redacted texts."""
+    wide = texts.groupBy(*TURN).agg(*extra, *[
+        F.max_by(F.struct("clean_text", "detections"), F.when(F.col("pass_no") == i, 1)).alias(f"_{i}") for i in range(len(FIELDS))
     ])
     names = ["masked_question", "masked_handler_answer", "masked_customer_draft", "masked_review_reason"]
     found = ["input_detections", "answer_detections", "draft_detections", "reason_detections"]
-    masked = turns.join(wide, TURN).select(
-        *turns.columns, *[F.col(f"_{i}.clean_text").alias(n) for i, n in enumerate(names)],
+    kept = [c for c in wide.columns if not c.startswith("_")]
+    return wide.select(
+        *kept, *[F.col(f"_{i}.clean_text").alias(n) for i, n in enumerate(names)],
         *[F.col(f"_{i}.detections").alias(n) for i, n in enumerate(found)],
     )
-    return Conversation(masked.drop(*FIELDS), done.vault, audit_records(masked, key))
 
 
 def history(masked: DataFrame, asking: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ class _Vault(StatefulProcessor):
             fresh.append(new)
         yield pd.DataFrame({
             "session_id": key[0], "turn": batch["turn"].to_numpy(), "pass_no": batch["pass_no"].to_numpy(),
-            "pieces": batch["pieces"].to_list(), "fillers": fillers, "counts": batch["counts"].to_list(), "issued": fresh,
+            "note": batch["note"].to_list(), "pieces": batch["pieces"].to_list(), "fillers": fillers, "counts": batch["counts"].to_list(), "issued": fresh,
         })
 
     def close(self) -> None:
@@ -67,24 +67,26 @@ class _Vault(StatefulProcessor):
 
 
 def redact_stream(turns: DataFrame, detectors: Sequence[Detector] = DETECTORS, ttl_ms: int | None = None) -> DataFrame:
-    """Redact a stream ``(session_id string, turn bigint, pass_no int, text)``.
+    """Redact a stream ``(session_id string, turn bigint, pass_no int, text [, note string])``.
 
     Emits ``clean_text``, ``detections`` and ``issued``, the vault rows first
     allocated by the turn; appending ``issued`` to a table gives the batch vault.
+    A ``note`` passes through untouched.
     """
     use_keyed_state(turns.sparkSession)
-    marked = turns.withColumn("_m", masked(F.col("text"), detectors)).select("session_id", "turn", "pass_no", "_m.*")
+    note = F.col("note") if "note" in turns.columns else F.lit(None).cast("string").alias("note")
+    marked = turns.withColumn("_m", masked(F.col("text"), detectors)).select("session_id", "turn", "pass_no", note, "_m.*")
     kept = marked.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=_Vault(ttl_ms),
         outputStructType=(
-            "session_id string, turn bigint, pass_no int, pieces array<string>, fillers array<string>, "
+            "session_id string, turn bigint, pass_no int, note string, pieces array<string>, fillers array<string>, "
             "counts array<struct<entity_type:string,count:bigint>>, "
             "issued array<struct<token:string,value:string,key:string>>"
         ),
         outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None",
     )
     return kept.select(
-        "session_id", "turn", "pass_no", assemble(F.col("pieces"), F.col("fillers")).alias("clean_text"),
+        "session_id", "turn", "pass_no", "note", assemble(F.col("pieces"), F.col("fillers")).alias("clean_text"),
         F.col("counts").alias("detections"), "issued",
     )
 

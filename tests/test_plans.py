@@ -130,18 +130,22 @@ def test_retrieve_arms(spark):
     assert got == [("fixed-titan", "a", 1), ("fixed-titan", "b", 2), ("structure-titan", "c", 1)]
 
 
-def test_conversation(spark, rows):
+def conversation_turns(spark):
     def turn(s, t, *texts):
         return (s, t, *texts, f"2026-06-0{t + 1}T00:00:00+00:00")
     turns = spark.createDataFrame(
         [turn("s", 0, "I am Jane Doe", "Reply to Jane Doe and Mr Bob Ray", "Hello, Jane Doe", ""), turn("s", 1, "mail jane@x.com", "ok", "", "Jane Doe is upset"),
          turn("t", 0, "no data", "fine", "", "")],
         "session_id string, turn bigint, raw_question string, handler_answer string, customer_draft string, human_review_reason string, timestamp string")
-    full = turns.select(
+    return turns.select(
         "*", F.lit("m").alias("model_id"), F.array().cast("array<string>").alias("cited_provisions"), F.array().cast("array<string>").alias("retrieved_chunk_ids"),
         F.lit(False).alias("human_review_required"), F.lit(False).alias("insufficient_context"), F.lit(1.0).alias("latency_ms"),
         F.lit(1.0).alias("retrieval_latency_ms"), F.lit(1.0).alias("generation_latency_ms"),
         F.struct(F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(2).alias("total_tokens")).alias("usage"))
+
+
+def test_conversation(spark, rows):
+    full = conversation_turns(spark)
     done = conversation.redact_conversation(full, b"k")
     got = {(r.session_id, r.turn): r for r in done.turns.collect()}
     assert got["s", 0].masked_question == "I am [NAME_1]" and got["s", 0].masked_handler_answer == "Reply to [NAME_1] and [NAME_2]"

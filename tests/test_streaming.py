@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import redaction, retrieval
 from ragspark.sources import records
+from ragspark.plans import conversation
 from ragspark.streaming import sessions, sinks
+from ragspark.streaming.conversation import conversation_sink
+from test_plans import conversation_turns
 
 
 def feed(spark, tmp_path, batches, run):
@@ -72,3 +75,20 @@ def test_audit_sink_and_incremental_evaluation(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted((r.id, r.run_ts) for r in got.collect()) == [("c1", "batch-000000000"), ("c2", "batch-000000000"), ("c3", "batch-000000001")]
     assert records.read_latest(spark, out).count() == 1
+
+
+def test_conversation_stream_equals_batch(spark, tmp_path, rows):
+    turns = conversation_turns(spark)
+    out = str(tmp_path / "out")
+    feed(spark, tmp_path, [turns.where("turn = 0"), turns.where("turn = 1")],
+         lambda s: conversation_sink(s, b"k", out, str(tmp_path / "ck")).awaitTermination())
+    want = conversation.redact_conversation(turns, b"k")
+    audit = records.read_audit(spark, f"{out}/audit")
+    columns = ["session_id", "timestamp", "input_hash", "output", "human_review_reason", "total_tokens", "latency_ms"]
+    assert rows(audit, *columns) == rows(want.audit, *columns)
+    detected = F.to_json("output_detections").alias("d")
+    assert rows(audit.select("session_id", "timestamp", detected), "session_id", "timestamp", "d") == rows(
+        want.audit.select("session_id", "timestamp", detected), "session_id", "timestamp", "d")
+    assert rows(spark.read.parquet(f"{out}/vault"), "session_id", "token", "value") == rows(want.vault, "session_id", "token", "value")
+    masked = ["session_id", "turn", "masked_question", "masked_handler_answer", "masked_review_reason"]
+    assert rows(spark.read.parquet(f"{out}/turns"), *masked) == rows(want.turns, *masked)
