@@ -64,16 +64,17 @@ def top_k(
 ) -> DataFrame:
     """Exact nearest chunks per query: ``query_id, chunk_id, score, rank``.
 
-    ``queries(query_id, embedding)`` and ``chunks(chunk_id, embedding)``; filter
-    the chunk side first when metadata restricts it. The score is the cosine
+    ``queries(query_id, embedding)`` and ``chunks(chunk_id, embedding)`` have
+    unique ids; rows without a vector are left out. Filter the chunk side first
+    when metadata restricts it. The score is the cosine
     rounded to six digits, ties go to the smaller chunk id.
 
     Up to ``broadcast_queries`` queries travel to the chunks, which then need no
     shuffle. More queries take the cell plan of :func:`_by_cells`. Either way no
     pair is ever emitted: each task keeps only the best k per query.
     """
-    queries = queries.select(F.col("query_id"), F.col("embedding"))
-    chunks = chunks.select(F.col("chunk_id"), F.col("embedding"))
+    queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    chunks = chunks.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
     head = queries.limit(broadcast_queries + 1).toPandas()
     if head.empty:
         return chunks.sparkSession.createDataFrame([], _schema(queries, chunks, rank=True))

@@ -137,3 +137,27 @@ def test_aggregates_and_comparison(spark):
 
 def test_weights_are_complete():
     assert set(fixed.COVERAGE_WEIGHTS) == {"PRESENT", "PARTIAL", "MISSING"}
+
+
+def test_one_run_may_hold_all_rows(spark):
+    """A dominating run is counted by partial hash aggregation: nothing is collected, sorted or windowed."""
+    n = 20000
+    cited = spark.range(n).select(F.lit(1).alias("run"), F.concat(F.lit("DISP 1."), F.col("id") % 100, F.lit("R")).alias("provision"))
+    expected = spark.range(n).select(F.lit(1).alias("run"), F.concat(F.lit("disp 1."), F.col("id") % 200).alias("provision"))
+    required = spark.range(8).select(F.lit(1).alias("run"), F.concat(F.lit("e"), "id").alias("element"))
+    given = spark.range(n).select(
+        F.lit(1).alias("run"), F.col("id").alias("idx"), F.concat(F.lit("e"), F.col("id") % 4).alias("element"),
+        F.when(F.col("id") < n - 2, "MISSING").otherwise("PRESENT").alias("status"))
+    claims = spark.range(n).select(F.lit(1).alias("run"), F.col("id").alias("idx"), F.lit("GROUNDED").alias("grounding"), F.lit("x").alias("source_field"))
+    frames = [
+        (metrics.citation_scores(cited, expected, RUN), {"n_matched": 100, "precision": 1.0, "recall": 0.5}),
+        (metrics.rubric_scores(required, given, RUN), {"present_count": 2, "n_required": 8}),
+        (metrics.rubric_agreement(required, given, given, RUN), {"agreement": 1.0}),
+        (metrics.claim_agreement(claims, claims.where("idx < 10"), RUN), {"n_compared": 10, "agreement": 1.0}),
+        (metrics.grounding_scores(claims, RUN, by_field=True), {"total_claims": n, "grounded_pct": 1.0}),
+    ]
+    for df, want in frames:
+        got = one(df)
+        assert {k: got[k] for k in want} == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in plan and not any(bad in plan for bad in ("SortAggregate", "Window", "collect_", "Cartesian", "NestedLoop")), plan
