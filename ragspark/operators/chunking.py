@@ -76,6 +76,42 @@ def fixed_windows(
     )
 
 
+def fixed_windows_of_parts(
+    parts: DataFrame, key: str, *, size: int = fixed.FIXED_WINDOW_TOKENS, overlap: float = fixed.FIXED_WINDOW_OVERLAP,
+) -> DataFrame:
+    """The windows of documents that come in consecutive parts ``key, part, text``.
+
+    Equal to :func:`fixed_windows` over the joined parts, without joining them:
+    word counts place each part in its document, and a window that starts near
+    the end of a part takes its last words from the head of the next one. Every
+    part but the last must hold at least ``size`` words.
+    """
+    shared = int(size * overlap)
+    step = size - shared
+    words = parts.select(key, "part", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("_w"))
+    words = materialise(words.withColumn("_n", F.size("_w").cast("long")))
+    counts = words.select(key, "part", "_n")
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(
+        key, "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"),
+        F.sum("_n").over(Window.partitionBy(key)).alias("_total"),
+    )
+    heads = words.select(key, (F.col("part") - 1).alias("part"), F.slice("_w", 1, size).alias("_next"))
+    joined = words.join(placed, [key, "part"]).join(heads, [key, "part"], "left")
+    first = F.ceil(F.col("_at") / step)
+    last = F.floor(F.least(F.col("_at") + F.col("_n") - 1, F.greatest(F.col("_total") - shared - 1, F.lit(0))) / step)
+    short = F.raise_error(F.lit(f"a part before the last one has fewer than {size} words")).cast("array<bigint>")
+    starts = F.when(F.col("_next").isNotNull() & (F.col("_n") < size), short).when(last >= first, F.sequence(first, last))
+    text = F.concat("_w", F.coalesce("_next", F.array().cast("array<string>")))
+    windows = joined.select(key, "_at", "_total", text.alias("_w"), F.posexplode_outer(starts).alias("_p", "_m")).where(F.col("_m").isNotNull())
+    local = (F.col("_m") * step - F.col("_at")).cast("int")
+    return windows.select(
+        key, F.col("_m").cast("int").alias("chunk_index"), chunk_name(F.col(key), F.col("_m")).alias("chunk_id"),
+        F.array_join(F.slice("_w", local + 1, size), " ").alias("text"),
+        F.least(F.lit(size), F.col("_total") - F.col("_m") * step).cast("int").alias("n_words"),
+    )
+
+
 def policy_title(content: Column) -> Column:
     """First level-1 heading line, with a default."""
     line = strip(F.regexp_extract(content, r"(?m)^(# .*)$", 1))

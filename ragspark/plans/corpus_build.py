@@ -40,16 +40,12 @@ def build_regulation(provisions: DataFrame, **limits) -> Corpus:
 def fixed_arm(documents: DataFrame, table: DataFrame, **window) -> DataFrame:
     """Fixed windows over section documents, with the metadata of their section.
 
-    A document in several parts is windowed part by part, so a window never
-    crosses the rare part boundary. ``source_id`` names the file a window comes
-    from; de-duplicating on it gives one chunk per file.
+    ``source_id`` names the file a window comes from; de-duplicating on it gives
+    one chunk per file.
     """
-    named = documents.withColumn("source_id", F.concat(F.col("section"), F.lit(".md"))).withColumn(
-        "_key", F.concat_ws("/", "section", F.col("part").cast("string"))
-    )
-    windows = chunking.fixed_windows(named, "_key", "text", **window)
+    windows = chunking.fixed_windows_of_parts(documents, "section", **window)
     meta = table.drop("heading")
-    return windows.withColumn("section", F.substring_index("_key", "/", 1)).join(meta, "section").select(
+    return windows.join(meta, "section").select(
         "chunk_id", F.concat(F.col("section"), F.lit(".md")).alias("source_id"), F.col("text").alias("content"),
         *meta.columns, "chunk_index", F.lit("fixed").alias("arm"),
     )

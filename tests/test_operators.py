@@ -179,6 +179,25 @@ def test_fixed_windows(spark):
     assert out["a", 1].text.split()[0] == "9" and out["a", 2].text.split()[-1] == "24" and out["a", 2].n_words == 7
 
 
+def test_windows_of_parts_equal_windows_of_documents(spark):
+    rng = random.Random(4)
+    whole, parts = [], []
+    for d in range(12):
+        pieces = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(10, 60))) for _ in range(rng.randrange(0, 6))]
+        pieces.append(" ".join("z" for _ in range(rng.randrange(0, 25))))
+        whole.append((f"d{d}", "\n".join(pieces)))
+        parts += [(f"d{d}", i, p + "\n") for i, p in enumerate(pieces)]
+    docs = spark.createDataFrame(whole, "k string, text string")
+    cut = spark.createDataFrame(parts, "k string, part bigint, text string").repartition(3)
+    columns = ["k", "chunk_index", "chunk_id", "text", "n_words"]
+    for size, overlap in ((10, 0.1), (10, 0.5), (7, 0.0)):
+        want = chunking.fixed_windows(docs, "k", "text", size=size, overlap=overlap).select(columns)
+        got = chunking.fixed_windows_of_parts(cut, "k", size=size, overlap=overlap).select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="fewer than"):
+        chunking.fixed_windows_of_parts(cut, "k", size=100).count()
+
+
 def test_policy_units(spark):
     content = "intro\n# T one\n## A\nbody a\n# dropped\nmore\n## B\n\n## C\nlast"
     df = spark.createDataFrame([(content,), ("## Only\nx",)], "c string")
