@@ -319,3 +319,24 @@ def provision_records(t):
     return made.groupBy("module").agg(
         F.count("*").alias("n"), F.count_if(F.col("provision_type") == "").alias("n_untyped"), F.sum(F.size("cross_references")).alias("n_links")
     )
+
+
+@query("fixed_chunks_by_source", rf"""
+WITH p AS (
+  SELECT source, doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), {STRIP}) AS body FROM documents),
+d AS (
+  SELECT source, '# ' || upper(source) || ' — ' || source || chr(10)
+         || string_agg(chr(10) || '## ' || doc_id || chr(10) || chr(10) || body || chr(10), '' ORDER BY doc_id) AS text
+  FROM p WHERE body <> '' GROUP BY source),
+w AS (SELECT source, {WORDS} AS words FROM d),
+o AS (SELECT source, generate_subscripts(words, 1) - 1 AS i, unnest(words) AS word, len(words) AS n FROM w),
+m AS (SELECT source, i, word, n, unnest(CASE WHEN i % 461 < 51 AND i >= 461 THEN [i // 461, i // 461 - 1] ELSE [i // 461] END) AS k FROM o)
+SELECT source, k::INT AS chunk_index, count(*)::INT AS n_words, md5(string_agg(word, ' ' ORDER BY i)) AS text_md5
+FROM m WHERE k = 0 OR k * 461 < n - 51 GROUP BY source, k""")
+def fixed_chunks_by_source(t):
+    """Fixed windows over whole-section documents that come in parts of 128 provisions."""
+    provisions = _as_provisions(t)
+    table = sections.section_table(provisions)
+    docs = sections.section_documents(sections.provision_units(provisions), table, units_per_part=128)
+    windows = chunking.fixed_windows_of_parts(docs, "section")
+    return windows.select(F.col("section").alias("source"), "chunk_index", "n_words", F.md5("text").alias("text_md5"))
