@@ -66,13 +66,15 @@ def fixed_windows(
     words = F.filter(F.split(F.col(text), r"(?U)\s+"), lambda w: w != "")
     last = F.greatest(F.size("_w") - shared - 1, F.lit(0))
     starts = F.when(F.size("_w") > 0, F.sequence(F.lit(0), last, F.lit(size - shared)))
+    # Windows are cut before the explode, so that no row carries its whole document.
+    cut = F.transform(starts, lambda s: F.struct(
+        F.array_join(F.slice("_w", s + 1, size), " ").alias("text"), F.least(F.lit(size), F.size("_w") - s).alias("n_words")
+    ))
     windows = docs.select(key, words.alias("_w")).select(
-        key, "_w", F.posexplode_outer(starts).alias("chunk_index", "_s")
-    ).where(F.col("_s").isNotNull())
+        key, F.posexplode_outer(cut).alias("chunk_index", "c")
+    ).where(F.col("c").isNotNull())
     return windows.select(
-        key, "chunk_index", chunk_name(F.col(key), F.col("chunk_index")).alias("chunk_id"),
-        F.array_join(F.slice("_w", F.col("_s") + 1, size), " ").alias("text"),
-        F.least(F.lit(size), F.size("_w") - F.col("_s")).alias("n_words"),
+        key, "chunk_index", chunk_name(F.col(key), F.col("chunk_index")).alias("chunk_id"), "c.text", "c.n_words"
     )
 
 
@@ -103,12 +105,18 @@ def fixed_windows_of_parts(
     short = F.raise_error(F.lit(f"a part before the last one has fewer than {size} words")).cast("array<bigint>")
     starts = F.when(F.col("_next").isNotNull() & (F.col("_n") < size), short).when(last >= first, F.sequence(first, last))
     text = F.concat("_w", F.coalesce("_next", F.array().cast("array<string>")))
-    windows = joined.select(key, "_at", "_total", text.alias("_w"), F.posexplode_outer(starts).alias("_p", "_m")).where(F.col("_m").isNotNull())
-    local = (F.col("_m") * step - F.col("_at")).cast("int")
+    def windows_of(all_words):
+        return F.transform(starts, lambda m: F.struct(
+            m.cast("int").alias("chunk_index"),
+            F.array_join(F.slice(all_words, (m * step - F.col("_at")).cast("int") + 1, size), " ").alias("text"),
+            F.least(F.lit(size), F.col("_total") - m * step).cast("int").alias("n_words"),
+        ))
+
+    # The one-element array binds the joined words once for all windows of a part.
+    cut = F.flatten(F.transform(F.array(text), windows_of))
+    windows = joined.select(key, F.explode_outer(cut).alias("c")).where(F.col("c").isNotNull())
     return windows.select(
-        key, F.col("_m").cast("int").alias("chunk_index"), chunk_name(F.col(key), F.col("_m")).alias("chunk_id"),
-        F.array_join(F.slice("_w", local + 1, size), " ").alias("text"),
-        F.least(F.lit(size), F.col("_total") - F.col("_m") * step).cast("int").alias("n_words"),
+        key, "c.chunk_index", chunk_name(F.col(key), F.col("c.chunk_index")).alias("chunk_id"), "c.text", "c.n_words"
     )
 
 
