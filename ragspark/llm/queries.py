@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, rules
+from ragspark.llm import chat, linedup, rules
 from ragspark.session import materialise, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,42 @@ def op6_chat_format(table):
     return chat.read_back(chat.examples(turns.select(more.columns).unionByName(more)))
 
 
+LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i, unnest(list_transform(ls, lambda x:
+    len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')))) AS w
+  FROM docs
+), sums AS (
+  SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+    sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS e
+  FROM lines
+), spans AS (
+  SELECT a.doc_id, a.i AS lo, min(b.i) AS hi FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.e - a.s >= 50
+  GROUP BY ALL
+  UNION SELECT a.doc_id, max(a.i), b.i FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.e - a.s >= 50
+  GROUP BY a.doc_id, b.i
+), told AS (
+  SELECT p.doc_id, lo, hi, row_number() OVER (PARTITION BY array_to_string(d.ls[lo:hi], chr(10)), hi - lo ORDER BY p.doc_id, lo) AS copy
+  FROM spans p JOIN docs d USING (doc_id)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM told WHERE copy > 1),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, coalesce(text, '') AS text FROM kept
+"""
+
+
+@query("op8_line_dedup", LINES_SQL)
+def op8_line_dedup(table):
+    """Every document without the later copies of runs of 50 words or more."""
+    docs = table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.size(F.split("text", "\n")).cast("long")
+    sized = docs.withColumn("n_lines", lines)
+    return linedup.dedup(sized).select("doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), "text")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(table):
     """Statistics of every whole text and the verdict of the decision list learned from ``labels``."""
