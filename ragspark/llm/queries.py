@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, linedup, rules
+from ragspark.llm import chat, langid, linedup, rules
 from ragspark.session import materialise, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,15 @@ FROM grown GROUP BY conv_id
 """
 
 
+@query("op3_language_id")
+def op3_language_id(table):
+    """Language of every whole text, learned from the rows that are not held out."""
+    docs = table("documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_chat_format", CHAT_SQL)
 def op6_chat_format(table):
     """Every conversation and conversation -7, formatted and read back."""
