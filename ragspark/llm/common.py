@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,11 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
 def words(text: Column) -> Column:
     """Whole text as an array of its words; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
+
+
+def worker_state() -> dict:
+    """Objects a Python worker keeps between tasks, such as a loaded tokenizer.
+
+    Shipped code is unpickled anew for each task, so its own globals do not last.
+    """
+    return sys.modules.setdefault("_ragspark_worker", types.ModuleType("_ragspark_worker")).__dict__

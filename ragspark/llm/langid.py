@@ -17,17 +17,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragspark.llm.common import worker_state
+
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
 PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_ALPHABET: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     """Per code point: is it a letter? Built once per worker from the Unicode tables."""
-    if not _ALPHABET:
-        _ALPHABET.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _ALPHABET[0]
+    state = worker_state()
+    if "letters" not in state:
+        state["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return state["letters"]
 
 
 def grams(text: str) -> tuple[np.ndarray, int]:

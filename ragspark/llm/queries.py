@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, langid, linedup, rules
-from ragspark.session import materialise, tune
+from ragspark.llm import chat, frames, langid, linedup, packing, rules, tokens
+from ragspark.session import materialise, shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,12 @@ FROM grown GROUP BY conv_id
 """
 
 
+@query("op1_packing")
+def op1_packing(table):
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(table("documents"), tokens.default_path())
+
+
 @query("op3_language_id")
 def op3_language_id(table):
     """Language of every whole text, learned from the rows that are not held out."""
@@ -57,6 +64,15 @@ def op3_language_id(table):
     return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_token_frames")
+def op4_token_frames(table):
+    """All documents written as frame files under the shared folder and read back."""
+    docs = table("documents")
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/ragspark/frames-{uuid.uuid4().hex}"
+    return frames.read_files(spark, frames.write_files(docs, folder, tokens.default_path()), folder)
+
+
 @query("op6_chat_format", CHAT_SQL)
 def op6_chat_format(table):
     """Every conversation and conversation -7, formatted and read back."""
