@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, frames, langid, linedup, packing, rules, tokens
+from ragspark.llm import chat, frames, jaccard, langid, linedup, packing, rules, tokens
 from ragspark.session import materialise, shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,31 @@ def op8_line_dedup(table):
     return linedup.dedup(sized).select("doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), "text")
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+    AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.r = pairs.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.r) AS component_id FROM sets s JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op9_jaccard_join", JACCARD_SQL)
+def op9_jaccard_join(table):
+    """Near-duplicate components of all documents."""
+    return jaccard.near_duplicates(table("documents"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(table):
     """Statistics of every whole text and the verdict of the decision list learned from ``labels``."""
