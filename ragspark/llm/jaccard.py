@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import worker_state
@@ -145,14 +145,9 @@ def _alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     v = values[order]
     new = np.concatenate(([True], v[1:] != v[:-1]))
     single = order[new & np.concatenate((new[1:], [True]))]
-    out = []
-    for i, block in enumerate(rows["block"]):
-        mine = places[single[owner[single] == i]] if len(found) < 64 else None
-        out.append((block, mine))
-    if len(found) >= 64:
-        by_owner = single[np.argsort(owner[single], kind="stable")]
-        cuts = np.searchsorted(owner[by_owner], np.arange(len(found) + 1))
-        out = [(b, places[by_owner[cuts[i] : cuts[i + 1]]]) for i, b in enumerate(rows["block"])]
+    by_owner = single[np.argsort(owner[single], kind="stable")]
+    cuts = np.searchsorted(owner[by_owner], np.arange(len(found) + 1))
+    out = [(b, places[by_owner[cuts[i] : cuts[i + 1]]]) for i, b in enumerate(rows["block"])]
     return pd.DataFrame(
         [(b, np.bincount(p, minlength=1).astype("<u4").tobytes()) for b, p in out], columns=["block", "counts"]
     )
@@ -324,12 +319,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     able = materialise(own.join(alone, ["block", "place"]).where(
         (F.col("n") > 0) & F.col("doc_id").isNotNull() & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     ).select("doc_id").distinct())
-    found = materialise(_sets(rows.join(able, "doc_id", "left_semi"), size)).where("n > 0")
+    found = materialise(_sets(rows.join(able, "doc_id", "left_semi"), size).where("n > 0"))
     one = found.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "found")).alias("m"))
     sketch = F.udf(lambda f: _sketch(np.frombuffer(f, np.uint64)), "binary", useArrow=True)
-    sets = materialise(one.select(F.col("m.doc_id").alias("cls"), "n", F.col("m.found").alias("found")).withColumn("sketch", sketch("found")))
-    by_set = Window.partitionBy("n", "d1", "d2")
-    same = found.select("doc_id", F.min("doc_id").over(by_set).alias("cls")).where("doc_id <> cls")
+    sets = materialise(one.select(F.col("m.doc_id").alias("cls"), "n", "d1", "d2", F.col("m.found").alias("found")).withColumn("sketch", sketch("found")))
+    # A join, so that a large group of copies can be split.
+    same = found.select("doc_id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "cls"), ["n", "d1", "d2"]).where("doc_id <> cls")
     links = _links(sets, threshold).unionByName(same.select(F.col("cls").alias("a"), F.col("doc_id").alias("b")))
     label = components(links).withColumnRenamed("id", "doc_id")
     return own.join(label, "doc_id", "left").select(

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, frames, jaccard, langid, linedup, packing, rules, tokens
+from ragspark.llm import chat, frames, jaccard, langid, licenses, linedup, neardup, packing, rules, subword, tokens
 from ragspark.session import materialise, shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,23 @@ def op1_packing(table):
     return packing.pack(table("documents"), tokens.default_path())
 
 
+@query("op2_license_scan")
+def op2_license_scan(table):
+    """Licences of all documents, laid out as files.
+
+    The tables have no paths. A document lies in source/(id div 400)/(id div 100);
+    every fifth id is a licence file, and lies one level higher.
+    """
+    docs = table("documents")
+    is_licence = F.col("doc_id") % 5 == 0
+    level = F.when(~is_licence, F.floor(F.col("doc_id") / 100))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 400), level)
+    name = F.when(is_licence, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    found = licenses.scan(docs.select(F.concat(folder, F.lit("/"), name).alias("path"), "text"))
+    number = lambda c: F.regexp_extract(c, r"([0-9]+)(\.txt)?$", 1).try_cast("long")
+    return found.select(number("path").alias("doc_id"), "licence", "similarity", "origin", number("inherited_from").alias("inherited_from"))
+
+
 @query("op3_language_id")
 def op3_language_id(table):
     """Language of every whole text, learned from the rows that are not held out."""
@@ -73,6 +90,12 @@ def op4_token_frames(table):
     return frames.read_files(spark, frames.write_files(docs, folder, tokens.default_path()), folder)
 
 
+@query("op5_embedding_near_dup")
+def op5_embedding_near_dup(table):
+    """Near-duplicate components of all vectors."""
+    return neardup.near_duplicates(table("embeddings"))
+
+
 @query("op6_chat_format", CHAT_SQL)
 def op6_chat_format(table):
     """Every conversation and conversation -7, formatted and read back."""
@@ -84,6 +107,14 @@ def op6_chat_format(table):
     return chat.read_back(chat.examples(turns.select(more.columns).unionByName(more)))
 
 
+@query("op7_merge_dropout")
+def op7_merge_dropout(table):
+    """Every whole text in merges with dropout, decoded again from its ids."""
+    path = subword.default_path()
+    back = subword.decode(subword.encode(table("documents"), path), path)
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 LINES_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (
