@@ -101,8 +101,9 @@ def op6_chat_format(table):
     """Every conversation and conversation -7, formatted and read back."""
     turns = table("conversations")
     said = "</s>[INST] ok [/INST]"
-    more = turns.sparkSession.createDataFrame(
-        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    more = turns.sparkSession.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     return chat.read_back(chat.examples(turns.select(more.columns).unionByName(more)))
 
