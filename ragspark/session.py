@@ -19,6 +19,8 @@ def tune(spark: SparkSession) -> SparkSession:
         # Split hot join partitions even when it costs one more exchange.
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Rows here are whole texts: small batches bound what a Python worker holds.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }.items():
         spark.conf.set(key, value)
     _ship()
