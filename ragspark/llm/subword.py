@@ -26,7 +26,7 @@ from ragspark.llm.common import worker_state
 SPACE = "▁"
 #: A word with the blanks before it: no piece goes on after a blank that follows something else.
 _UNITS = re.compile(" *[^ ]+| +")
-_LIMIT = 2**64
+_LIMIT, _MASK = 2**64, 2**64 - 1
 
 
 class Merger:
@@ -38,60 +38,67 @@ class Merger:
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.ids = {model.id_to_piece(i): i for i in plain}
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        #: Piece -> (cost, id): the lowest cost merges first.
+        self.merges = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
+        self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.spelled = [b""] * size
-        for piece, i in self.ids.items():
+        for piece, (_, i) in self.merges.items():
             self.spelled[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.bytes.items():
             self.spelled[i] = bytes([value])
         #: Neighbours inside any piece: between other characters no merge can ever span.
-        self.joins = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.joins = {piece[i : i + 2] for piece in self.merges for i in range(len(piece) - 1)}
         self.kept: dict[tuple, Units] = {}
 
     def unit(self, word: str, seed: int, variant: int, rate: float) -> list[int]:
         """Ids of one unit; blanks become the model's space mark, a literal mark in the text is spelled in bytes."""
-        key = xxhash.xxh64_intdigest(f"{seed}/{variant}/{word}".encode("utf-8", "surrogatepass"))
-        limit = int(rate * _LIMIT)
-        symbols: list[str | None] = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in word]
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        agenda: list[tuple[float, int, str, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if left < 0 or right >= len(symbols):
-                return
-            merged = symbols[left] + symbols[right]
-            score = self.score.get(merged)
-            if score is not None:
-                heapq.heappush(agenda, (-score, left, merged, right))
-
-        for i in range(len(symbols) - 1):
-            offer(i)
+        symbols: list[str | None] = ["\0" + SPACE if c == SPACE else c for c in word]
+        if " " in word:
+            symbols = [SPACE if c == " " else c for c in symbols]
+        merges, size = self.merges, len(symbols)
+        agenda = []
+        for i in range(size - 1):
+            known = merges.get(symbols[i] + symbols[i + 1])
+            if known is not None:
+                agenda.append((known[0], i, known[1], i + 1))
+        if agenda:
+            key = xxhash.xxh64_intdigest(f"{seed}/{variant}/{word}".encode("utf-8", "surrogatepass"))
+            limit = int(rate * _LIMIT)
+            heapq.heapify(agenda)
+            after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+            spelled = self.pieces
         while agenda:
-            _, left, merged, right = heapq.heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != merged:
+            _, left, piece, right = heapq.heappop(agenda)
+            a, b = symbols[left], symbols[right]
+            if a is None or b is None or after[left] != right or a + b != spelled[piece]:
                 continue
-            if rate:
-                x = (key ^ (left * 0x9E3779B97F4A7C15 + self.ids[merged] * 0xC2B2AE3D27D4EB4F)) % _LIMIT
-                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % _LIMIT
+            if limit:
+                x = (key ^ (left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) & _MASK
+                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
                 if x ^ x >> 32 < limit:
                     continue
-            symbols[left], symbols[right] = merged, None
-            after[left] = after[right]
-            if after[left] < len(symbols):
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            merged = symbols[left] = spelled[piece]
+            symbols[right] = None
+            after[left] = end = after[right]
+            if end < size:
+                before[end] = left
+                known = merges.get(merged + symbols[end])
+                if known is not None:
+                    heapq.heappush(agenda, (known[0], left, known[1], end))
+            start = before[left]
+            if start >= 0:
+                known = merges.get(symbols[start] + merged)
+                if known is not None:
+                    heapq.heappush(agenda, (known[0], start, known[1], left))
         out: list[int] = []
         for s in symbols:
-            if s is None:
-                continue
-            known = self.ids.get(s)
-            out += [known] if known is not None else [self.bytes[b] for b in s.lstrip("\0").encode()]
+            if s is not None:
+                known = merges.get(s)
+                if known is not None:
+                    out.append(known[1])
+                else:
+                    out += [self.bytes[b] for b in s.lstrip("\0").encode()]
         return out
 
     def encode(self, text: str, seed: int, variant: int, rate: float) -> bytes:
@@ -112,7 +119,7 @@ class Merger:
 class Units(dict):
     """Unit -> bytes of its ids for one seed, variant and rate, of bounded size; a full one keeps what it has."""
 
-    def __init__(self, model: Merger, seed: int, variant: int, rate: float, most: int = 250_000):
+    def __init__(self, model: Merger, seed: int, variant: int, rate: float, most: int = 400_000):
         super().__init__()
         self._model, self._how, self._most = model, (seed, variant, rate), most
 
