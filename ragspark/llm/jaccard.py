@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import worker_state
@@ -37,7 +38,7 @@ _MIX = 0x9E3779B97F4A7C15
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -88,8 +89,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(docs: DataFrame, size: int, range_bits: int, value_bits: int) -> DataFrame:
-    """Per document: doc_id, n, block, place. Per block and range of hashes: range, blob."""
-    most = 2_000_000
+    """Of rows with doc_id and text or set: per row doc_id, n, block, place; per block and range of hashes: range, blob."""
+    most = 1_000_000
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -105,9 +106,10 @@ def _profile(docs: DataFrame, size: int, range_bits: int, value_bits: int) -> Da
                 "place": np.arange(len(sets)), "range": pd.array([None] * len(sets), "Int32"), "blob": None,
             })
             values = np.concatenate(sets) >> np.uint64(64 - range_bits - value_bits)
-            place = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(values, kind="stable")
             values, place = values[order], place[order]
+            del order
             part = (values >> np.uint64(value_bits)).astype(np.int64)
             values &= np.uint64((1 << value_bits) - 1)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -120,8 +122,9 @@ def _profile(docs: DataFrame, size: int, range_bits: int, value_bits: int) -> Da
                 yield out[["doc_id", "n", "block", "place", "range", "blob"]]
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"]):
-                found = shingles(text, size)
+            known = "found" in batch
+            for name, item in zip(batch["doc_id"], batch["found" if known else "text"]):
+                found = np.frombuffer(item, np.uint64) if known else shingles(item, size)
                 names.append(None if pd.isna(name) else int(name))
                 sets.append(found)
                 held += len(found)
@@ -131,6 +134,9 @@ def _profile(docs: DataFrame, size: int, range_bits: int, value_bits: int) -> Da
                     sets.clear(), names.clear()
         if sets:
             yield from flush()
+        # The worker lives on through the joins that follow; it should not hold memory there.
+        worker_state().pop("word_hashes", None)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInPandas(read, "doc_id long, n long, block long, place long, range int, blob binary")
 
@@ -139,7 +145,7 @@ def _alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one range of hashes: per block, how many shingles of each document occur in no other document."""
     found = [_unpack(b) for b in rows["blob"]]
     values = np.concatenate([v for v, _ in found])
-    owner = np.repeat(np.arange(len(found)), [len(v) for v, _ in found])
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(v) for v, _ in found])
     places = np.concatenate([d for _, d in found])
     order = np.argsort(values, kind="stable")
     v = values[order]
@@ -256,12 +262,15 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
         for batch in batches:
             for cls, n, found in zip(batch["cls"], batch["n"], batch["found"]):
                 sigs = signatures(np.frombuffer(found, np.uint64), threshold)
-                yield pd.DataFrame({"sig": sigs.view(np.int64), "cls": cls, "n": n})
-
-    signed = sets.select("cls", "n", "found").mapInPandas(sign, "sig long, cls long, n long")
-    signed = materialise(signed)
-    shared = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    members = materialise(signed.join(shared, "sig"))
+                yield pd.DataFrame({"sig": sigs.view(np.int64), "cls": cls})
+
+    signed = sets.select("cls", "n", "found").mapInPandas(sign, "sig long, cls long")
+    by_sig = Window.partitionBy("sig")
+    # Most signatures of a group of sets are shared by the same members; one of them is enough.
+    # Should two groups fall under one name, they are only compared more.
+    named = signed.select("cls", F.count("*").over(by_sig).alias("c"), F.bit_xor(F.xxhash64("cls")).over(by_sig).alias("sig"))
+    shared = named.where("c > 1").select("sig", "cls").distinct()
+    members = materialise(shared.join(sets.select("cls", "n"), "cls").select("sig", "cls", "n"))
     links = None
     for k in range(rounds):
         at = members if links is None else _labelled(members, links)
@@ -297,6 +306,42 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.select("sig", "cls", "n").join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("_comp", "cls").alias("comp"))
 
 
+def _able(rows: DataFrame, size: int, threshold: float, items: Column) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, block, place of every row, and of those that may share enough shingles with another row.
+
+    ``items`` bounds the shingles of a row. Exact: what occurs in no other row cannot be shared.
+    """
+    total = int(rows.agg(F.sum(items)).first()[0] or 0) + 1
+    range_bits = max(4, (total // 1_000_000).bit_length())
+    value_bits = max(12, total.bit_length() + 5 - range_bits)
+    profile = materialise(_profile(rows, size, range_bits, value_bits))
+    alone = profile.where(F.col("range").isNotNull()).select("block", "range", "blob").groupBy("range").applyInPandas(
+        _alone, "block long, counts binary"
+    ).groupBy("block").applyInPandas(_summed, "block long, place long, alone long")
+    own = profile.where(F.col("range").isNull()).select("doc_id", "n", "block", "place")
+    enough = 100 * (F.col("n") - F.col("alone")) >= round(threshold * 100) * F.col("n")
+    return own, own.join(alone, ["block", "place"]).where((F.col("n") > 0) & enough)
+
+
+def _only(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows whose doc_id is listed. A bitmap of fixed size keeps most other texts out of the shuffle of the join."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # bitmaps count from one
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for bucket, part in maps.collect():  # at most 2 ** (bits - 15) rows, whatever the input
+        at = (bucket - 1) * len(part)
+        room = whole[at : at + len(part)]
+        room |= np.frombuffer(part, np.uint8)[: len(room)]
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def listed(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64) - 1
+        return pd.Series((shared.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return rows.where(listed(place)).join(ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; extra columns are ignored).
 
@@ -306,26 +351,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     with nothing and has a null component. Every link between different texts counts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 4) + 1
-    range_bits = max(4, (total // 4_000_000).bit_length())
-    value_bits = max(12, total.bit_length() + 5 - range_bits)
-    profile = materialise(_profile(rows, size, range_bits, value_bits))
-    alone = profile.where(F.col("range").isNotNull()).select("block", "range", "blob").groupBy("range").applyInPandas(
-        _alone, "block long, counts binary"
-    ).groupBy("block").applyInPandas(_summed, "block long, place long, alone long")
-    own = profile.where(F.col("range").isNull()).select("doc_id", "n", "block", "place")
-    # Exact: n - alone is all that a partner can share.
-    percent = round(threshold * 100)
-    able = materialise(own.join(alone, ["block", "place"]).where(
-        (F.col("n") > 0) & F.col("doc_id").isNotNull() & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    ).select("doc_id").distinct())
-    found = materialise(_sets(rows.join(able, "doc_id", "left_semi"), size).where("n > 0"))
+    own, able = _able(rows, size, threshold, F.octet_length("text") / 4)
+    able = materialise(able.where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    found = materialise(_sets(_only(rows, able), size).where("n > 0"))
     one = found.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "found")).alias("m"))
     sketch = F.udf(lambda f: _sketch(np.frombuffer(f, np.uint64)), "binary", useArrow=True)
     sets = materialise(one.select(F.col("m.doc_id").alias("cls"), "n", "d1", "d2", F.col("m.found").alias("found")).withColumn("sketch", sketch("found")))
     # A join, so that a large group of copies can be split.
     same = found.select("doc_id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "cls"), ["n", "d1", "d2"]).where("doc_id <> cls")
-    links = _links(sets, threshold).unionByName(same.select(F.col("cls").alias("a"), F.col("doc_id").alias("b")))
+    # Exact copies kept each other above; among distinct sets the same test is sharper.
+    _, apart = _able(sets.select(F.col("cls").alias("doc_id"), "found"), size, threshold, F.octet_length("found") / 8)
+    close = materialise(sets.join(apart.select(F.col("doc_id").alias("cls")), "cls", "left_semi"))
+    links = _links(close, threshold).unionByName(same.select(F.col("cls").alias("a"), F.col("doc_id").alias("b")))
     label = components(links).withColumnRenamed("id", "doc_id")
     return own.join(label, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
