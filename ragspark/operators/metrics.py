@@ -220,10 +220,10 @@ def claim_agreement(primary: DataFrame, secondary: DataFrame, keys: list[str]) -
 def defined_elements(required: DataFrame, rubric: DataFrame) -> DataFrame:
     """Required elements that the rubric defines, with their definition, order kept.
 
-    The rubric is a handful of rows; unknown keys drop out here, so the judge's
+    The planner broadcasts the rubric if its size allows; unknown keys drop out here, so the judge's
     denominator is the result of this join.
     """
-    return required.join(F.broadcast(rubric.withColumnRenamed("key", "element")), "element")
+    return required.join(rubric.withColumnRenamed("key", "element"), "element")
 
 
 _STATUSES = list(fixed.COVERAGE_WEIGHTS)
