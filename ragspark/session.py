@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # Rows here are whole texts: small batches bound what a Python worker holds.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     }.items():
         spark.conf.set(key, value)
     _ship()
@@ -57,6 +60,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame written as by :func:`materialise` for the length of a block, then deleted.
+
+    Nothing that is read after the block may depend on it: write what is derived from it first.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/ragspark/{uuid.uuid4().hex}"
+    try:
+        df.write.mode("error").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over more tasks before a CPU-heavy stage, if the session asks for it.
 
