@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.common import worker_state
 from ragspark.llm.components import components
-from ragspark.session import materialise
+from ragspark.session import materialise, written
 
 CELLS = 4
 BUCKETS = 128
@@ -64,6 +64,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _hashes(column) -> np.ndarray:
+    """A set from its column of signed numbers."""
+    return np.asarray(column, np.int64).view(np.uint64)
+
+
 def _digest(found: np.ndarray) -> tuple[int, int]:
     """128 bits that tell equal sets."""
     raw = xxhash.xxh3_128_digest(found.tobytes())
@@ -124,7 +129,7 @@ def _profile(docs: DataFrame, size: int, range_bits: int, value_bits: int) -> Da
         for batch in batches:
             known = "found" in batch
             for name, item in zip(batch["doc_id"], batch["found" if known else "text"]):
-                found = np.frombuffer(item, np.uint64) if known else shingles(item, size)
+                found = _hashes(item) if known else shingles(item, size)
                 names.append(None if pd.isna(name) else int(name))
                 sets.append(found)
                 held += len(found)
@@ -218,27 +223,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             digests = [_digest(f) for f in found]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n": [len(f) for f in found], "d1": [d[0] for d in digests],
-                "d2": [d[1] for d in digests], "found": [f.tobytes() for f in found],
+                "d2": [d[1] for d in digests], "sketch": [_sketch(f) for f in found], "found": [f.view(np.int64) for f in found],
             })
 
-    return docs.mapInPandas(read, "doc_id long, n long, d1 long, d2 long, found binary")
+    return docs.mapInPandas(read, "doc_id long, n long, d1 long, d2 long, sketch binary, found array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough, exactly."""
     percent = round(threshold * 100)
     side = lambda name: sets.select(F.col("cls").alias(name), F.col("found").alias(f"s{name}"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # 100 * shared >= percent * (a + b - shared), with the intersection named once.
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
+    return both.where((100 + percent) * shared.cast("long") >= percent * total).select("a", "b")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -261,7 +259,7 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for cls, n, found in zip(batch["cls"], batch["n"], batch["found"]):
-                sigs = signatures(np.frombuffer(found, np.uint64), threshold)
+                sigs = signatures(_hashes(found), threshold)
                 yield pd.DataFrame({"sig": sigs.view(np.int64), "cls": cls})
 
     signed = sets.select("cls", "n", "found").mapInPandas(sign, "sig long, cls long")
@@ -306,40 +304,32 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.select("sig", "cls", "n").join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("_comp", "cls").alias("comp"))
 
 
-def _able(rows: DataFrame, size: int, threshold: float, items: Column) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, block, place of every row, and of those that may share enough shingles with another row.
+def _shared(rows: DataFrame, size: int, threshold: float, items: Column) -> DataFrame:
+    """doc_id and n of every row, and whether it is ``able`` to share enough shingles with another row.
 
     ``items`` bounds the shingles of a row. Exact: what occurs in no other row cannot be shared.
     """
     total = int(rows.agg(F.sum(items)).first()[0] or 0) + 1
     range_bits = max(4, (total // 1_000_000).bit_length())
     value_bits = max(12, total.bit_length() + 5 - range_bits)
-    profile = materialise(_profile(rows, size, range_bits, value_bits))
-    alone = profile.where(F.col("range").isNotNull()).select("block", "range", "blob").groupBy("range").applyInPandas(
-        _alone, "block long, counts binary"
-    ).groupBy("block").applyInPandas(_summed, "block long, place long, alone long")
-    own = profile.where(F.col("range").isNull()).select("doc_id", "n", "block", "place")
     enough = 100 * (F.col("n") - F.col("alone")) >= round(threshold * 100) * F.col("n")
-    return own, own.join(alone, ["block", "place"]).where((F.col("n") > 0) & enough)
+    with written(_profile(rows, size, range_bits, value_bits)) as profile:
+        alone = profile.where(F.col("range").isNotNull()).select("block", "range", "blob").groupBy("range").applyInPandas(
+            _alone, "block long, counts binary"
+        ).groupBy("block").applyInPandas(_summed, "block long, place long, alone long")
+        own = profile.where(F.col("range").isNull()).select("doc_id", "n", "block", "place").join(alone, ["block", "place"], "left")
+        return materialise(own.select("doc_id", "n", F.coalesce((F.col("n") > 0) & enough, F.lit(False)).alias("able")))
 
 
 def _only(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     """Rows whose doc_id is listed. A bitmap of fixed size keeps most other texts out of the shuffle of the join."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # bitmaps count from one
-    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    for bucket, part in maps.collect():  # at most 2 ** (bits - 15) rows, whatever the input
-        at = (bucket - 1) * len(part)
-        room = whole[at : at + len(part)]
-        room |= np.frombuffer(part, np.uint8)[: len(room)]
-    shared = rows.sparkSession.sparkContext.broadcast(whole)
-
-    @F.pandas_udf("boolean")
-    def listed(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64) - 1
-        return pd.Series((shared.value[x >> 3] >> (x & 7)) & 1 == 1)
-
-    return rows.where(listed(place)).join(ids, "doc_id", "left_semi")
+    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # At most 2 ** (bits - 15) + 1 rows of 4 kB, whatever the input.
+    listed = rows.join(F.broadcast(maps), bucket == F.col("_bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return listed.select(*rows.columns).join(ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -351,18 +341,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     with nothing and has a null component. Every link between different texts counts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own, able = _able(rows, size, threshold, F.octet_length("text") / 4)
-    able = materialise(able.where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    found = materialise(_sets(_only(rows, able), size).where("n > 0"))
-    one = found.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "found")).alias("m"))
-    sketch = F.udf(lambda f: _sketch(np.frombuffer(f, np.uint64)), "binary", useArrow=True)
-    sets = materialise(one.select(F.col("m.doc_id").alias("cls"), "n", "d1", "d2", F.col("m.found").alias("found")).withColumn("sketch", sketch("found")))
-    # A join, so that a large group of copies can be split.
-    same = found.select("doc_id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "cls"), ["n", "d1", "d2"]).where("doc_id <> cls")
-    # Exact copies kept each other above; among distinct sets the same test is sharper.
-    _, apart = _able(sets.select(F.col("cls").alias("doc_id"), "found"), size, threshold, F.octet_length("found") / 8)
-    close = materialise(sets.join(apart.select(F.col("doc_id").alias("cls")), "cls", "left_semi"))
-    links = _links(close, threshold).unionByName(same.select(F.col("cls").alias("a"), F.col("doc_id").alias("b")))
+    own = _shared(rows, size, threshold, F.octet_length("text") / 4)
+    able = materialise(own.where(F.col("able") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    key = ["n", "d1", "d2"]
+    with written(_sets(_only(rows, able), size).where("n > 0")) as found:
+        one = found.groupBy(*key).agg(F.min(F.struct("doc_id", "sketch", "found")).alias("m"))
+        one = one.select(F.col("m.doc_id").alias("cls"), *key, "m.sketch", "m.found")
+        with written(one) as sets:
+            # A join, so that a large group of copies can be split.
+            same = found.select("doc_id", *key).join(sets.select(*key, "cls"), key).where("doc_id <> cls")
+            same = materialise(same.select(F.col("cls").alias("a"), F.col("doc_id").alias("b")))
+            # Exact copies kept each other above; among distinct sets the same test is sharper.
+            apart = _shared(sets.select(F.col("cls").alias("doc_id"), "found"), size, threshold, F.size("found"))
+            apart = apart.where("able").select(F.col("doc_id").alias("cls"))
+            close = materialise(sets.join(apart, "cls", "left_semi").select("cls", "n", "sketch", "found"))
+    links = _links(close, threshold).unionByName(same)
     label = components(links).withColumnRenamed("id", "doc_id")
     return own.join(label, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
