@@ -216,6 +216,20 @@ def _sketch(found: np.ndarray) -> bytes:
     return np.bincount((found >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes()
 
 
+def _fine(found: np.ndarray) -> bytes:
+    """As the sketch, with about one bucket of a byte per element; empty, which rules nothing out, if a count does not fit."""
+    buckets = 1 << max(0, len(found) - 1).bit_length()
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _most_shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """Upper bound of shared elements by two fine sketches, and the sum of both sizes."""
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((x, y), key=len))
+    # Numbers of buckets are powers of two, so the finer sketch folds into the coarser one.
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum()), int(a.sum() + b.sum())
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -223,17 +237,27 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             digests = [_digest(f) for f in found]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n": [len(f) for f in found], "d1": [d[0] for d in digests],
-                "d2": [d[1] for d in digests], "sketch": [_sketch(f) for f in found], "found": [f.view(np.int64) for f in found],
+                "d2": [d[1] for d in digests], "sketch": [_sketch(f) for f in found],
+                "fine": [_fine(f) for f in found], "found": [f.view(np.int64) for f in found],
             })
 
-    return docs.mapInPandas(read, "doc_id long, n long, d1 long, d2 long, sketch binary, found array<long>")
+    return docs.mapInPandas(read, "doc_id long, n long, d1 long, d2 long, sketch binary, fine binary, found array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough, exactly."""
+    """Pairs (a, b) whose sets are similar enough, exactly; fine sketches spare most dissimilar pairs the move of whole sets."""
     percent = round(threshold * 100)
-    side = lambda name: sets.select(F.col("cls").alias(name), F.col("found").alias(f"s{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    @F.pandas_udf("boolean")
+    def fits(x: pd.Series, y: pd.Series) -> pd.Series:
+        bounds = [_most_shared(a, b) if a and b else None for a, b in zip(x, y)]
+        return pd.Series([b is None or (100 + percent) * b[0] >= percent * b[1] for b in bounds], dtype=bool)
+
+    def joined(rows: DataFrame, column: str) -> DataFrame:
+        side = lambda name: sets.select(F.col("cls").alias(name), F.col(column).alias(f"s{name}"))
+        return rows.join(side("a"), "a").join(side("b"), "b")
+
+    both = joined(materialise(joined(pairs, "fine").where(fits("sa", "sb")).select("a", "b")), "found")
     # 100 * shared >= percent * (a + b - shared), with the intersection named once.
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
     return both.where((100 + percent) * shared.cast("long") >= percent * total).select("a", "b")
@@ -345,8 +369,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     able = materialise(own.where(F.col("able") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     key = ["n", "d1", "d2"]
     with written(_sets(_only(rows, able), size).where("n > 0")) as found:
-        one = found.groupBy(*key).agg(F.min(F.struct("doc_id", "sketch", "found")).alias("m"))
-        one = one.select(F.col("m.doc_id").alias("cls"), *key, "m.sketch", "m.found")
+        one = found.groupBy(*key).agg(F.min(F.struct("doc_id", "sketch", "fine", "found")).alias("m"))
+        one = one.select(F.col("m.doc_id").alias("cls"), *key, "m.sketch", "m.fine", "m.found")
         with written(one) as sets:
             # A join, so that a large group of copies can be split.
             same = found.select("doc_id", *key).join(sets.select(*key, "cls"), key).where("doc_id <> cls")
@@ -354,7 +378,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
             # Exact copies kept each other above; among distinct sets the same test is sharper.
             apart = _shared(sets.select(F.col("cls").alias("doc_id"), "found"), size, threshold, F.size("found"))
             apart = apart.where("able").select(F.col("doc_id").alias("cls"))
-            close = materialise(sets.join(apart, "cls", "left_semi").select("cls", "n", "sketch", "found"))
+            close = materialise(sets.join(apart, "cls", "left_semi").select("cls", "n", "sketch", "fine", "found"))
     links = _links(close, threshold).unionByName(same)
     label = components(links).withColumnRenamed("id", "doc_id")
     return own.join(label, "doc_id", "left").select(
