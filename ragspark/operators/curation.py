@@ -187,7 +187,8 @@ def source_blocks(rows: DataFrame, key: str, sections: str, texts: DataFrame, *,
     asked = rows.select(key, F.posexplode(sections).alias("_i", "section_id"))
     body = F.coalesce(F.col("text"), F.lit(missing))
     if limit:
-        body = F.when(F.col("text").isNotNull(), truncate(F.col("text"), limit)).otherwise(missing)
+        # Cut before the join, so that only what is shown moves.
+        texts = texts.withColumn("text", truncate(F.col("text"), limit))
     title = F.concat(F.lit("### "), F.col("section_id")) if heading is None else heading
     joined = asked.join(texts, "section_id", "left").select(
         key, "_i", F.concat(title, F.lit("\n"), body).alias("_b")

@@ -92,8 +92,12 @@ def rehydrate(texts: DataFrame, vault: DataFrame, keys: list[str], column: str =
     pattern = F.lit(fixed.TOKEN_PATTERN)
     found = F.regexp_extract_all(F.col(column), pattern, F.lit(0))
     asked = texts.select(*keys, F.explode(F.array_distinct(found)).alias("token"))
+    once = vault.groupBy("session_id", "token").agg(
+        F.min("value").alias("value"), F.max("value").alias("_other")
+    ).where(F.col("value") == F.col("_other")).drop("_other")
     values = (
-        asked.join(vault.select("session_id", "token", "value"), ["session_id", "token"])
+        # Should a token have been issued twice, it stays as it is: either value might be wrong.
+        asked.join(once, ["session_id", "token"])
         .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
     )
     has_tokens = F.col(column).rlike(fixed.TOKEN_PATTERN)

@@ -231,7 +231,7 @@ def session_scope(retrieved: DataFrame, cap: int = fixed.SCOPE_CAP, dedupe_key:
 
     ``retrieved(session_id, turn, rank, chunk_id, score)``. The best score of a
     chunk survives; equal scores keep the order in which that score was first
-    reached (turn, then rank). A chunk pushed out by the cap can only return with
+    reached, within a turn the order in which the chunks first came into the session. A chunk pushed out by the cap can only return with
     a better score, so the running merge over turns equals this single pass.
     """
     keys = ["session_id", dedupe_key]
@@ -240,9 +240,9 @@ def session_scope(retrieved: DataFrame, cap: int = fixed.SCOPE_CAP, dedupe_key:
     best = retrieved.groupBy(*keys).agg(
         F.max_by(F.struct("turn", "rank", *[c for c in retrieved.columns if c not in {*keys, "turn", "rank", "score"}]),
                  F.struct(F.col("score"), -F.col("turn"), -F.col("rank"))).alias("_at"),
-        F.max("score").alias("score"),
+        F.max("score").alias("score"), F.min(F.struct("turn", "rank")).alias("_seen"),
     )
-    order = [F.col("score").desc(), F.col("_at.turn"), F.col("_at.rank"), F.col(dedupe_key)]
+    order = [F.col("score").desc(), F.col("_at.turn"), F.col("_seen"), F.col(dedupe_key)]
     ranked = first_per_group(best, ["session_id"], order, cap)
     extra = [c for c in retrieved.columns if c not in {*keys, "turn", "rank", "score"}]
     return ranked.select(

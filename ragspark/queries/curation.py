@@ -96,7 +96,8 @@ def question_gate(t):
 
 @query("source_material", """
 WITH r AS (SELECT l_orderkey, generate_subscripts(s, 1) AS i, unnest(s) AS id FROM (
-  SELECT DISTINCT l_orderkey, [l_orderkey % 1300, (l_orderkey * 7) % 1300] AS s FROM lineitem))
+  SELECT DISTINCT l_orderkey, [l_orderkey % n, (l_orderkey * 7) % n] AS s
+  FROM lineitem, (SELECT count(*) + count(*) // 4 AS n FROM documents)))
 SELECT l_orderkey, md5(string_agg('### ' || id || chr(10) || CASE WHEN d.text IS NULL THEN '[seed text unavailable]'
   WHEN len(d.text) > 5000 THEN substr(d.text, 1, 5000) || chr(10) || chr(10) || '[... truncated ...]' ELSE d.text END,
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS material_md5
@@ -105,8 +106,10 @@ def source_material(t):
     """Source blocks per order; documents past the end of the table are missing texts."""
     from ragspark import fixed
 
+    size = t.documents.count()
+    n = size + size // 4
     rows = t.lineitem.select("l_orderkey").distinct().withColumn(
-        "sections", F.array(F.col("l_orderkey") % 1300, F.col("l_orderkey") * 7 % 1300).cast("array<string>")
+        "sections", F.array(F.col("l_orderkey") % n, F.col("l_orderkey") * 7 % n).cast("array<string>")
     )
     texts = t.documents.select(F.col("doc_id").cast("string").alias("section_id"), "text")
     blocks = curation.source_blocks(

@@ -72,13 +72,16 @@ def retrieval_section_metrics(t):
 
 
 @query("retrieval_arm_comparison", """
-WITH arms AS (
-  SELECT 'full-vector' AS config_label, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  UNION ALL SELECT 'prefix-vector', vec_id, label, embedding[1:16]::DOUBLE[] FROM embeddings),
+WITH pairs AS (
+  SELECT vec_id // 2 AS chunk_id, arg_min(label, vec_id) AS label, arg_min(embedding, vec_id)::DOUBLE[] AS x, arg_max(embedding, vec_id)::DOUBLE[] AS y
+  FROM embeddings GROUP BY 1),
+chunks AS (
+  SELECT 'structure' AS config_label, vec_id AS chunk_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT 'fixed', chunk_id, label, list_transform(range(1, len(x) + 1), lambda i: x[i] + y[i]) FROM pairs),
 scored AS (
-  SELECT q.config_label, q.vec_id AS query_id, c.vec_id AS chunk_id, (q.label = c.label)::INT AS hit,
-         round(list_cosine_similarity(q.e, c.e), 6) AS score
-  FROM arms q JOIN arms c ON q.config_label = c.config_label AND q.vec_id <> c.vec_id),
+  SELECT c.config_label, q.vec_id AS query_id, c.chunk_id, (q.label = c.label)::INT AS hit,
+         round(list_cosine_similarity(q.embedding::DOUBLE[], c.e), 6) AS score
+  FROM embeddings q JOIN chunks c ON c.config_label = 'fixed' OR q.vec_id <> c.chunk_id),
 top10 AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_label, query_id ORDER BY score DESC, chunk_id) AS rank
                  FROM scored) WHERE rank <= 10),
@@ -87,11 +90,18 @@ runs AS (
 SELECT config_label, count(*) AS n_scenarios, round(avg(p), 6) AS section_precision_mean,
        round(avg(r), 6) AS section_recall_mean FROM runs GROUP BY config_label""")
 def retrieval_arm_comparison(t):
-    """Mean section precision and recall of two arms over the same scenarios."""
+    """Mean section precision and recall of two arms over the same scenarios: single chunks, and windows over two neighbours each."""
+    e = t.embeddings
+    first, last = (F.transform(f("embedding", "vec_id"), lambda x: x.cast("double")) for f in (F.min_by, F.max_by))
+    windows = e.groupBy(F.floor(F.col("vec_id") / 2).alias("chunk_id")).agg(
+        F.zip_with(first, last, lambda x, y: x + y).alias("embedding"), F.min_by("label", "vec_id").alias("label")
+    )
+    wanted = e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("section"))
     arms = []
-    for name, vector in (("full-vector", "embedding"), ("prefix-vector", "slice(embedding, 1, 16)")):
-        retrieved, expected = _labelled(t, _top10(t, vector))
-        scores = metrics.section_scores(retrieved, expected, ["query_id"])
+    for name, chunks in (("structure", _chunks(t)), ("fixed", windows)):
+        found = retrieval.top_k(_queries(t), chunks, 10, exclude_self=name == "structure")
+        retrieved = found.join(chunks.select("chunk_id", F.col("label").cast("string").alias("section")), "chunk_id")
+        scores = metrics.section_scores(retrieved, wanted, ["query_id"])
         arms.append(scores.withColumn("config_label", F.lit(name)))
     return arms[0].unionByName(arms[1]).groupBy("config_label").agg(
         F.count("*").alias("n_scenarios"), F.round(F.avg("precision"), 6).alias("section_precision_mean"),
@@ -153,10 +163,11 @@ turns AS (
   FROM conversations),
 got AS (SELECT t.session_id, t.turn, k.chunk_id, k.score, k.rank FROM turns t JOIN top10 k ON k.query_id = t.query_id),
 best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY score DESC, turn, rank) AS b
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY score DESC, turn, rank) AS b,
+                        min((turn, rank)) OVER (PARTITION BY session_id, chunk_id) AS seen
                  FROM got) WHERE b = 1)
 SELECT session_id, chunk_id, score, turn, scope_rank::INT AS scope_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn, rank, chunk_id) AS scope_rank FROM best)
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn, seen, chunk_id) AS scope_rank FROM best)
 WHERE scope_rank <= 15""")
 def scope_merge(t):
     """Chunks in scope of each conversation; a turn asks with one of the vectors."""
@@ -171,17 +182,24 @@ def scope_merge(t):
 
 @query("prompt_table", f"""
 WITH {TOP10},
-j AS (SELECT t.query_id, t.chunk_id, t.score, d.source, d.text, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS i
-      FROM top10 t JOIN documents d ON d.doc_id = t.chunk_id)
+size AS (SELECT count(*) AS n FROM embeddings),
+j AS (SELECT d.doc_id AS query_id, t.chunk_id, t.score, c.source, c.text, row_number() OVER (PARTITION BY d.doc_id ORDER BY t.rank) AS i
+      FROM documents d JOIN size ON true JOIN top10 t ON t.query_id = d.doc_id % n
+      LEFT JOIN documents c ON c.doc_id = t.chunk_id + n * (d.doc_id // n))
 SELECT query_id, count(*) AS n_chunks, md5(string_agg(
-  '--- Provision ' || i || ' (chunk_id: ' || chunk_id || ') ---' || chr(10) || 'Section: ' || source || chr(10)
-  || 'Score: ' || printf('%.4f', round(score::DECIMAL(18, 6), 4)) || chr(10) || chr(10) || text,
+  '--- Provision ' || i || ' (chunk_id: ' || chunk_id || ') ---' || chr(10) || 'Section: ' || coalesce(source, 'unknown') || chr(10)
+  || 'Score: ' || printf('%.4f', round(score::DECIMAL(18, 6), 4)) || chr(10) || chr(10) || coalesce(text, ''),
   chr(10) || chr(10) ORDER BY i)) AS context_md5
 FROM j GROUP BY query_id""")
 def prompt_table(t):
-    """Context block per query; the text of a chunk is the document with its number."""
-    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("section"))
-    blocks = retrieval.context_blocks(_top10(t).join(docs, "chunk_id"), ["query_id"])
+    """Context block per document. The vectors stand for each stretch of as many documents, so every document is asked for and cited."""
+    n = t.embeddings.count()
+    part = F.floor(F.col("doc_id") / n)
+    asked = t.documents.select(F.col("doc_id").alias("asker"), (F.col("doc_id") % n).alias("query_id"), part.alias("part"))
+    docs = t.documents.select((F.col("doc_id") % n).alias("chunk_id"), part.alias("part"), F.col("text").alias("content"), F.col("source").alias("section"))
+    found = asked.join(_top10(t), "query_id").join(docs, ["chunk_id", "part"], "left")
+    found = found.select(F.col("asker").alias("query_id"), "rank", "chunk_id", "section", "score", F.coalesce("content", F.lit("")).alias("content"))
+    blocks = retrieval.context_blocks(found, ["query_id"])
     return blocks.select("query_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.md5("context").alias("context_md5"))
 
 
