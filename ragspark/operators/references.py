@@ -17,8 +17,8 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
 
     A bare module matches by id prefix, a chapter by equality, ``x.y`` by exact
     id and only without one by prefix. Prefix tests become an equality join: the
-    index is exploded into the prefixes of its short ids, so nothing is compared
-    pairwise. ``index(section_id, chapter)``.
+    index is exploded into the prefixes of its short ids that are as long as a
+    reference, so nothing is compared pairwise. ``index(section_id, chapter)``.
     """
     text = F.trim("ref")
     module = F.lower(F.regexp_extract(text, r"^(\S+)", 1))
@@ -43,11 +43,13 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
     by_id = wanted.where(F.col("kind") == "section").join(
         index.select(F.col("section_id").alias("target"), "section_id"), "target"
     )
-    prefixes = index.select(
-        "section_id",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("section_id")), lambda n: F.substr(F.col("section_id"), F.lit(1), n)
-        )).alias("target"),
+    # Only prefixes as long as some reference can match; the short ones, which many ids share, go first.
+    # One row per length, so no more rows than the longest reference has characters.
+    lengths = wanted.where(F.col("kind") != "chapter").select(F.length("target").alias("n")).distinct()
+    prefixes = (
+        index.select("section_id", F.explode(F.sequence(F.lit(1), F.length("section_id"))).alias("n"))
+        .join(F.broadcast(lengths), "n")
+        .select("section_id", F.substr("section_id", F.lit(1), F.col("n")).alias("target"))
     )
     open_refs = wanted.where(F.col("kind") == "module").unionByName(
         wanted.where(F.col("kind") == "section").join(by_id.select("ref"), "ref", "left_anti")

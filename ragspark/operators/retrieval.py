@@ -16,7 +16,6 @@ from ragspark.operators.ranking import first_per_group
 SCORE_DIGITS = 6
 # Upper bound of scores held at once by a task (rows of one side times rows of the other).
 BLOCK_SCORES = 4_000_000
-MAX_CELLS = 1024
 
 
 def _unit(vectors) -> np.ndarray:
@@ -61,8 +60,10 @@ def top_k(
     exclude_self: bool = False,
     broadcast_queries: int = 4096,
     group_rows: int = 16384,
+    cells: int = 1024,
+    probes: int | None = None,
 ) -> DataFrame:
-    """Exact nearest chunks per query: ``query_id, chunk_id, score, rank``.
+    """Nearest chunks per query: ``query_id, chunk_id, score, rank``; exact unless ``probes`` is set.
 
     ``queries(query_id, embedding)`` and ``chunks(chunk_id, embedding)`` have
     unique ids; rows without a vector are left out. Filter the chunk side first
@@ -70,9 +71,16 @@ def top_k(
     rounded to six digits, ties go to the smaller chunk id.
 
     Up to ``broadcast_queries`` queries travel to the chunks, which then need no
-    shuffle. More queries take the cell plan of :func:`_by_cells`. Either way no
-    pair is ever emitted: each task keeps only the best k per query.
+    shuffle. More queries take the cell plan of :func:`_by_cells`; 0 asks for it at
+    any size. Either way no pair is ever emitted: each task keeps only the best k per query.
+
+    ``cells`` bounds the pivots of the cell plan, which the driver and every task hold;
+    it changes the work, not the result. ``probes`` makes the cell plan approximate: a
+    query asks only that many nearest cells, so it may miss neighbours, and gets
+    fewer than k rows where those cells hold fewer. Measure the recall with the exact form.
     """
+    if probes is not None:
+        broadcast_queries = 0
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     chunks = chunks.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
     head = queries.limit(broadcast_queries + 1).toPandas()
@@ -81,7 +89,7 @@ def top_k(
     if len(head) <= broadcast_queries:
         best = _by_broadcast(head, queries, chunks, k, exclude_self)
     else:
-        best = _by_cells(queries, chunks, k, exclude_self, group_rows)
+        best = _by_cells(queries, chunks, k, exclude_self, group_rows, cells, probes)
     order = [F.col("score").desc(), F.col("chunk_id")]
     return first_per_group(best, ["query_id"], order, k)
 
@@ -130,12 +138,13 @@ def _by_broadcast(head: pd.DataFrame, queries, chunks, k, exclude_self) -> DataF
     return chunks.mapInPandas(scan, _schema(queries, chunks))
 
 
-def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
+def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes) -> DataFrame:
     """Cell plan for query sets too large to broadcast.
 
-    Chunks are assigned to the nearest of at most ``MAX_CELLS`` pivots. For a
+    Chunks are assigned to the nearest of at most ``most_cells`` pivots. For a
     query the triangle inequality bounds the distance of its k-th neighbour from
-    cell sizes and radii alone, and rules out every cell that lies beyond it.
+    cell sizes and radii alone, and rules out every cell that lies beyond it;
+    with ``probes`` only the cells of the nearest pivots are asked instead.
     Rows of the remaining cells meet in groups of about ``group_rows`` by
     ``group_rows``: a large cell is cut into slices and a popular cell into
     query shares, so no group grows with the data.
@@ -143,7 +152,7 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
     spark = chunks.sparkSession
     total = chunks.count()
     # Small cells prune well but send each query to many places; a quarter of a group is the middle.
-    n_cells = int(min(MAX_CELLS, max(1, 4 * total // group_rows)))
+    n_cells = int(min(most_cells, max(1, 4 * total // group_rows)))
     seeds = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_cells).select("embedding").toPandas()
     if seeds.empty:
         return spark.createDataFrame([], _schema(queries, chunks))
@@ -160,7 +169,7 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
 
     fields = [*chunks.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
     placed = chunks.mapInPandas(assign, T.StructType(fields))
-    # One row per cell, so at most MAX_CELLS rows reach the driver.
+    # One row per cell, so at most ``most_cells`` rows reach the driver.
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).toPandas()
     stats = spark.sparkContext.broadcast(
         (cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["radius"].to_numpy())
@@ -173,6 +182,11 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows) -> DataFrame:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at:at + 1024]
                 d = distances(part["embedding"])[:, ids]
+                if probes is not None:
+                    near = np.argsort(d, axis=1)[:, :probes]
+                    rows, cols = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
+                    yield part.iloc[rows].assign(cell=ids[cols].astype("int32"))
+                    continue
                 reach = d + radii
                 order = np.argsort(reach, axis=1)
                 covered = np.cumsum(sizes[order], axis=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -86,18 +87,35 @@ class Judges:
     secondary: str = "haiku"
     grounding: str = "gpt-oss"
     system: dict[str, str] = field(default_factory=dict)  # draft, rubric, grounding
+    rubric_judges: int = 2  # 1: the primary one only, 0: none
+    judge_grounding: bool = True
 
 
-def run_drafting(scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame, models: Judges) -> DraftingInputs:
-    """Draft and judge every (scenario, configuration) found in ``retrieved``.
+def run_drafting(
+    scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame, models: Judges,
+    configs: Sequence[str] | None = None, done: DataFrame | None = None,
+) -> DraftingInputs:
+    """Draft and judge every scenario under every configuration, also where nothing was retrieved.
 
-    ``retrieved(RUN, rank, chunk_id, section, content, score)``.
+    ``retrieved(RUN, rank, chunk_id, section, content, score)``. Without ``configs`` the
+    configurations, a handful, are those found in ``retrieved``. Runs listed in ``done(RUN)`` are left out.
     """
+    if configs is None:
+        configs = sorted(r[0] for r in retrieved.select("config_label").where("config_label IS NOT NULL").distinct().collect())
+    labels = F.array(*[F.lit(c) for c in configs]).cast("array<string>")
+    work = scenarios.select("scenario_id", F.explode(labels).alias("config_label"))
+    if done is not None:
+        work = work.join(done.select(*RUN), RUN, "left_anti")
+        retrieved = retrieved.join(done.select(*RUN), RUN, "left_anti")
+
+    def with_context(table, **options):
+        blocks = retrieval.context_blocks(retrieved, RUN, **options)
+        return table.join(blocks, RUN, "left").withColumn("context", F.coalesce("context", F.lit("")))
+
     def asked(table, model, system, prompt):
         return table.select(*RUN, model_id(F.lit(model)).alias("model"), F.lit(models.system.get(system, "")).alias("system"), prompt.alias("prompt"))
 
-    context = retrieval.context_blocks(retrieved, RUN)
-    tasks = context.join(scenarios, "scenario_id")
+    tasks = with_context(work).join(scenarios, "scenario_id")
     drafted = call_model(asked(tasks, models.draft_model, "draft", prompts.drafting_message(F.col("context"), F.col("scenario_text"))), RUN, models.draft)
     parsed = drafted.withColumn("d", F.from_json("raw", DRAFT))
     runs = parsed.select(
@@ -113,11 +131,14 @@ def run_drafting(scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame,
     )
     rubric_tasks = good.join(scenarios.select("scenario_id", "scenario_text", "response_stage"), "scenario_id").join(blocks, RUN)
     message = prompts.rubric_message(F.col("scenario_text"), F.col("response_stage"), response, F.col("elements"))
-    first = call_model(asked(rubric_tasks, models.primary, "rubric", message), RUN, models.judge)
-    second = call_model(asked(rubric_tasks, models.secondary, "rubric", message), RUN, models.judge)
-    plain = retrieval.context_blocks(retrieved, RUN, with_score=False)
+    # A judge that is switched off gets no rows, so its tables are empty.
+    first, second = (
+        call_model(asked(rubric_tasks.where(F.lit(models.rubric_judges > i)), name, "rubric", message), RUN, models.judge)
+        for i, name in enumerate((models.primary, models.secondary))
+    )
+    plain = with_context(good, with_score=False).where(F.lit(models.judge_grounding))
     grounding = call_model(
-        asked(good.join(plain, RUN), models.grounding, "grounding", prompts.grounding_message(response, F.col("context"))), RUN, models.judge
+        asked(plain, models.grounding, "grounding", prompts.grounding_message(response, F.col("context"))), RUN, models.judge
     )
 
     def verdicts(table):

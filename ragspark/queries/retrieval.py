@@ -45,6 +45,22 @@ def knn_topk(t):
     return _top10(t)
 
 
+@query("knn_topk_cells", f"WITH {TOP10} SELECT query_id, chunk_id, score, rank::INT AS rank FROM top10")
+def knn_topk_cells(t):
+    """The plan for query sets too large to broadcast, on the same vectors."""
+    return retrieval.top_k(_queries(t), _chunks(t), 10, exclude_self=True, broadcast_queries=0, group_rows=256)
+
+
+@query("knn_recall")
+def knn_recall(t):
+    """Per query: how many of its exact top ten the approximate form finds when it asks three quarters of eight cells."""
+    found = retrieval.top_k(_queries(t), _chunks(t), 10, exclude_self=True, group_rows=256, cells=8, probes=6)
+    found = found.select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return _top10(t).join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("n_exact"), F.count("hit").alias("n_found")
+    )
+
+
 @query("knn_topk_filtered", """
 WITH scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,

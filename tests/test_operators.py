@@ -82,6 +82,15 @@ def test_top_k_of_nothing_and_of_few(spark):
     assert retrieval.top_k(q, c, 10, broadcast_queries=1).count() == 9
 
 
+def test_probes_trade_recall_for_work(spark):
+    data = vectors(300, 7)
+    q = spark.createDataFrame(data, "query_id bigint, embedding array<float>")
+    c = spark.createDataFrame(data, "chunk_id bigint, embedding array<float>")
+    exact = {r[:2] for r in map(tuple, retrieval.top_k(q, c, 5).collect())}
+    found = {n: {r[:2] for r in map(tuple, retrieval.top_k(q, c, 5, group_rows=64, cells=8, probes=n).collect())} for n in (1, 6, 8)}
+    assert found[8] == exact and len(found[6] & exact) >= 0.9 * len(exact) and len(found[1] & exact) >= 300
+
+
 def test_top_k_plan_limits_before_the_shuffle(spark):
     data = vectors(30, 2)
     q = spark.createDataFrame(data, "query_id bigint, embedding array<float>")

@@ -97,6 +97,22 @@ def test_drafting_evaluation(drafting, spark, tmp_path):
     assert again.coverage_mean == aggregate.coverage_mean and again.latency_p50_ms == aggregate.latency_p50_ms
 
 
+def test_drafting_without_chunks_with_switches_and_resume(drafting, spark):
+    retrieved = drafting.retrieved.where("scenario_id = 'c001'")
+    bare = drafting.scenarios.withColumn("scenario_text", F.lit("first complaint")).withColumn(
+        "required_response_elements", F.array(F.lit("a"), F.lit("b"))
+    )
+    models = evaluation.Judges(draft_model, judge_model, rubric_judges=1, judge_grounding=False)
+    done = spark.createDataFrame([("c001", "structure-titan")], "scenario_id string, config_label string")
+    got = evaluation.run_drafting(bare, drafting.rubric, retrieved, models, done=done)
+    # The scenario without a chunk is drafted and scored; the finished one is not run again.
+    assert [(r.scenario_id, r.error) for r in got.runs.collect()] == [("c002", None)]
+    assert got.primary.count() == 2 and got.secondary.isEmpty() and got.claims.isEmpty()
+    assert {r.label for r in got.calls.collect()} == {"generation", "rubric_primary"}
+    r = evaluation.score_drafting(got).first()
+    assert (r.scenario_id, r.coverage, r.section_precision, r.citation_precision) == ("c002", 0.75, 0.0, 1.0)
+
+
 def test_model_failure_is_a_record(spark):
     prompts = spark.createDataFrame([(1, "m", "", "second complaint"), (2, "m", "", "ok")], "k int, model string, system string, prompt string")
     got = {r.k: r for r in model_calls.call_model(prompts, ["k"], draft_model).collect()}
