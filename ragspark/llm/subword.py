@@ -1,10 +1,10 @@
 """SentencePiece merges with seeded dropout.
 
 The merges of a public model run over an agenda of neighbouring pairs, best score
-first. A candidate is skipped if the keyed hash of seed, variant, word, place and
-merged piece falls under the dropout rate, so that segmentations vary with seed
-and document, yet depend on nothing else: every run, partitioning and retry gives the
-same ids. Pieces of any segmentation spell the text, so decoding is lossless.
+first. Each candidate of each occurrence of a word is skipped at the dropout rate by its own
+draw, a keyed hash of seed, document, place of the occurrence and number of the draw. So
+segmentations vary from occurrence to occurrence, yet every run, partitioning and retry gives
+the same ids. Pieces of any segmentation spell the text, so decoding is lossless.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,31 @@ from ragspark.llm.common import worker_state
 SPACE = "▁"
 #: A word with the blanks before it: no piece goes on after a blank that follows something else.
 _UNITS = re.compile(" *[^ ]+| +")
-_LIMIT, _MASK = 2**64, 2**64 - 1
+_NEVER = float("inf")
+#: Candidates up to the next skip that one draw can tell; a draw past them is followed by another one.
+_FAR = 256
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def thresholds(rate: float) -> np.ndarray:
+    """Chance, in units of 2**-53, that at most 0, 1, ... candidates merge before the next skip."""
+    stay, out = 1.0, []
+    for _ in range(_FAR):
+        stay *= 1.0 - rate
+        out.append(int((1.0 - stay) * 2**53))
+    return np.array(out, np.uint64)
+
+
+def keys_of(seed: int, docs: list) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{seed}/{d}") for d in docs], np.uint64)
+
+
+def gaps(keys: np.ndarray, places: np.ndarray, turn: int, table: np.ndarray) -> np.ndarray:
+    """How many candidates merge before the next skip, by draw number ``turn`` of the occurrences at ``places``."""
+    x = keys + (places.astype(np.uint64) + np.uint64(turn << 40)) * _STEP
+    x = (x ^ x >> np.uint64(30)) * _MIX[0]
+    x = (x ^ x >> np.uint64(27)) * _MIX[1]
+    return np.searchsorted(table, (x ^ x >> np.uint64(31)) >> np.uint64(11), "right")
 
 
 class Merger:
@@ -35,49 +60,93 @@ class Merger:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        # Units bring their own blank: in the model, which is a protocol buffer, a later
+        # add_dummy_prefix of the normaliser takes the place of the first.
+        with open(path, "rb") as file:
+            self.plain = model = SentencePieceProcessor(model_proto=file.read() + b"\x1a\x02\x18\x00")
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         #: Piece -> (cost, id): the lowest cost merges first.
         self.merges = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
+        self.costs = {piece: cost for piece, (cost, _) in self.merges.items()}
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
+        self.byte_ids = frozenset(self.bytes.values())
         self.spelled = [b""] * size
         for piece, (_, i) in self.merges.items():
             self.spelled[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.bytes.items():
             self.spelled[i] = bytes([value])
-        #: Neighbours inside any piece: between other characters no merge can ever span.
-        self.joins = {piece[i : i + 2] for piece in self.merges for i in range(len(piece) - 1)}
-        self.kept: dict[tuple, Units] = {}
+        self.units = Units(self)
 
-    def unit(self, word: str, seed: int, variant: int, rate: float) -> list[int]:
-        """Ids of one unit; blanks become the model's space mark, a literal mark in the text is spelled in bytes."""
-        symbols: list[str | None] = ["\0" + SPACE if c == SPACE else c for c in word]
+    def unit(self, word: str, skips: Iterator[int]) -> tuple[bytes, int]:
+        """Ids of one unit, and how many candidates merged after the last skip.
+
+        ``skips`` tells how many merge before each skip. Blanks become the model's space
+        mark, a literal mark in the text is spelled in bytes.
+        """
+        symbols = ["\0" + SPACE if c == SPACE else c for c in word] if SPACE in word else list(word)
         if " " in word:
             symbols = [SPACE if c == " " else c for c in symbols]
+        symbols, done = (self._merge_short if len(symbols) <= 64 else self._merge_long)(symbols, skips)
+        out: list[int] = []
+        for s in symbols:
+            known = self.merges.get(s)
+            if known is not None:
+                out.append(known[1])
+            else:
+                out += [self.bytes[b] for b in s.lstrip("\0").encode()]
+        return struct.pack(f"<{len(out)}I", *out), done
+
+    def unskipped(self, words: list[str]) -> Iterator[tuple[bytes, int]]:
+        """As ``unit`` without skips, by the model itself where each merge takes one symbol away."""
+        for word, ids in zip(words, self.plain.encode(words)):
+            if SPACE in word or not self.byte_ids.isdisjoint(ids):
+                yield self.unit(word, iter(()))
+            else:
+                yield struct.pack(f"<{len(ids)}I", *ids), len(word) - len(ids)
+
+    def _merge_short(self, symbols: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
+        """Merge by looking through all costs each time, which is faster for few symbols than an agenda."""
+        cost = self.costs.get
+        costs = [cost(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        done, gap = 0, next(skips, -1)
+        while costs and (least := min(costs)) != _NEVER:
+            i = costs.index(least)
+            if done == gap:
+                done, gap = 0, next(skips, -1)
+                costs[i] = _NEVER
+                continue
+            done += 1
+            del costs[i]
+            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            if i:
+                costs[i - 1] = cost(symbols[i - 1] + merged, _NEVER)
+            if i < len(costs):
+                costs[i] = cost(merged + symbols[i + 1], _NEVER)
+        return symbols, done
+
+    def _merge_long(self, symbols: list[str | None], skips: Iterator[int]) -> tuple[list[str], int]:
+        """The same merges in the same order by an agenda."""
         merges, size = self.merges, len(symbols)
         agenda = []
         for i in range(size - 1):
             known = merges.get(symbols[i] + symbols[i + 1])
             if known is not None:
                 agenda.append((known[0], i, known[1], i + 1))
-        if agenda:
-            key = xxhash.xxh64_intdigest(f"{seed}/{variant}/{word}".encode("utf-8", "surrogatepass"))
-            limit = int(rate * _LIMIT)
-            heapq.heapify(agenda)
-            after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-            spelled = self.pieces
+        heapq.heapify(agenda)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        spelled = self.pieces
+        done, gap = 0, next(skips, -1)
         while agenda:
             _, left, piece, right = heapq.heappop(agenda)
             a, b = symbols[left], symbols[right]
             if a is None or b is None or after[left] != right or a + b != spelled[piece]:
                 continue
-            if limit:
-                x = (key ^ (left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) & _MASK
-                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-                if x ^ x >> 32 < limit:
-                    continue
+            if done == gap:
+                done, gap = 0, next(skips, -1)
+                continue
+            done += 1
             merged = symbols[left] = spelled[piece]
             symbols[right] = None
             after[left] = end = after[right]
@@ -91,24 +160,22 @@ class Merger:
                 known = merges.get(symbols[start] + merged)
                 if known is not None:
                     heapq.heappush(agenda, (known[0], start, known[1], left))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                known = merges.get(s)
-                if known is not None:
-                    out.append(known[1])
-                else:
-                    out += [self.bytes[b] for b in s.lstrip("\0").encode()]
-        return out
+        return [s for s in symbols if s is not None], done
 
-    def encode(self, text: str, seed: int, variant: int, rate: float) -> bytes:
+    def encode(self, text: str, seed: int, doc: object, rate: float) -> bytes:
         """Ids of a whole text (little-endian 32 bits); the model's leading blank is added."""
-        if not text:
-            return b""
-        units = self.kept.get((seed, variant, rate))
-        if units is None:
-            units = self.kept[seed, variant, rate] = Units(self, seed, variant, rate)
-        return b"".join(map(units.__getitem__, _UNITS.findall(" " + text)))
+        return self.encode_all([text], seed, [doc], rate)[0]
+
+    def encode_all(self, texts: list[str | None], seed: int, docs: list, rate: float) -> list[bytes]:
+        """Ids of each text, drawn by seed, document and place in the text."""
+        split = [_UNITS.findall(" " + t) if t else [] for t in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        ends = np.cumsum(sizes)
+        words = [w for x in split for w in x]
+        keys = np.repeat(keys_of(seed, docs), sizes)
+        places = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+        parts = self.units.ids(words, keys, places, thresholds(rate))
+        return [b"".join(parts[end - n : end]) for n, end in zip(sizes.tolist(), ends.tolist())]
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids of any segmentation."""
@@ -117,32 +184,89 @@ class Merger:
 
 
 class Units(dict):
-    """Unit -> bytes of its ids for one seed, variant and rate, of bounded size; a full one keeps what it has."""
+    """Unit -> number of the node of its ids without skips, of bounded size; a full one keeps what it has.
+
+    A node is a unit and the places of its skips, from which its ids follow, whatever the
+    draws; ``skipped`` leads from a node and one more skip to the next node. So draws are never
+    shared between occurrences, only the merging of equal ones is.
+    """
 
-    def __init__(self, model: Merger, seed: int, variant: int, rate: float, most: int = 400_000):
+    def __init__(self, model: Merger, most: int = 400_000, longest: int = 64):
         super().__init__()
-        self._model, self._how, self._most = model, (seed, variant, rate), most
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,!?;:")
-        if core and core != word and core[-1:] + word[len(core)] not in self._model.joins:
-            # Punctuation at the end is a unit of its own where no piece joins them.
-            out = self[core] + self[word[len(core):]]
-        else:
-            ids = self._model.unit(word, *self._how)
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < self._most and len(word) <= 64:
-            self[word] = out
+        self._model, self._most, self._longest = model, most, longest
+        self._skipped: dict[int, int] = {}
+        # Node 0 stands for units that are too long to keep.
+        self._made: list[str | int] = [""]
+        self._ids: list[bytes] = [b""]
+        self._after = np.zeros(1024, np.int64)
+
+    def _add(self, made: str | int, ids: bytes, after: int) -> int:
+        node = len(self._ids)
+        self._made.append(made)
+        self._ids.append(ids)
+        if node == len(self._after):
+            self._after = np.concatenate([self._after, np.zeros(node, np.int64)])
+        self._after[node] = after
+        return node
+
+    def _skip(self, node: int, gap: int) -> int:
+        key = node * _FAR + gap
+        found = self._skipped.get(key)
+        if found is None:
+            skips, made = [], key
+            while not isinstance(made, str):
+                skips.append(made % _FAR)
+                made = self._made[made // _FAR]
+            found = self._skipped[key] = self._add(key, *self._model.unit(made, reversed(skips)))
+        return found
+
+    def ids(self, words: list[str], keys: np.ndarray, places: np.ndarray, table: np.ndarray) -> list[bytes]:
+        """Ids of every occurrence of a unit by its own draws."""
+        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= self._longest]
+        for word, (ids, after) in zip(new, self._model.unskipped(new)):
+            self[word] = self._add(word, ids, after)
+        nodes = np.fromiter(map(self.get, words, repeat(0)), np.int64, len(words))
+        long = np.flatnonzero(nodes == 0).tolist()
+        live, turn = np.arange(len(words)), 0
+        while live.size:
+            gap = gaps(keys[live], places[live], turn, table)
+            hit = gap < self._after[nodes[live]]
+            live, gap, turn = live[hit], gap[hit], turn + 1
+            nodes[live] = [self._skip(n, g) for n, g in zip(nodes[live].tolist(), gap.tolist())]
+        out = list(map(self._ids.__getitem__, nodes.tolist()))
+        for i in long:
+            out[i] = self._model.unit(words[i], one_by_one(keys[i : i + 1], places[i : i + 1], table))[0]
+        self._trim()
         return out
 
+    def _trim(self) -> None:
+        for known in (self, self._skipped):
+            while known:
+                key, node = known.popitem()
+                if node < self._most:
+                    known[key] = node
+                    break
+        del self._made[self._most :], self._ids[self._most :]
+
+
+def one_by_one(key: np.ndarray, place: np.ndarray, table: np.ndarray) -> Iterator[int]:
+    """The draws of one occurrence: how many candidates merge before each skip."""
+    kept = 0
+    for first in range(0, 2**23, 64):
+        for gap in gaps(key, place + (np.arange(first, first + 64) << 40), 0, table).tolist():
+            kept += gap
+            if gap < _FAR:
+                yield kept
+                kept = 0
 
-def merger(path: str, seed: int, rate: float) -> Merger:
-    """One per worker, file, seed and rate, so that its cache holds one setting only."""
+
+def merger(path: str) -> Merger:
+    """One per worker and file."""
     kept = worker_state().setdefault("mergers", {})
-    if (path, seed, rate) not in kept:
+    if path not in kept:
         kept.clear()
-        kept[path, seed, rate] = Merger(path)
-    return kept[path, seed, rate]
+        kept[path] = Merger(path)
+    return kept[path]
 
 
 def default_path() -> str:
@@ -151,20 +275,17 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32 bits) of every whole text.
 
-    A document's variant is the keyed hash of its id modulo ``variants``; rate 0
+    Every occurrence of a word has draws of its own, by seed, doc_id and place; rate 0
     gives the model's own segmentation. Null text counts as empty and has no ids.
-    Repeated rows get equal ids; a null doc_id has a variant of its own; extra columns are ignored.
+    Repeated rows get equal ids; a null doc_id counts as an id of its own; extra columns are ignored.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = merger(path, seed, rate)
+        m = merger(path)
         for batch in batches:
-            variant = [xxhash.xxh64_intdigest(f"{seed}/{d}") % variants for d in batch["doc_id"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "ids": [m.encode(t, seed, v, rate) if t else b"" for t, v in zip(batch["text"], variant)],
-            })
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": m.encode_all(batch["text"].tolist(), seed, batch["doc_id"].tolist(), rate)})
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(read, "doc_id string, ids binary").select(
         F.col("doc_id").cast("long").alias("doc_id"), "ids"
@@ -174,7 +295,7 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variant
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, text of encoded documents, from their ids alone."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = merger(path, 0, 0.0)
+        m = merger(path)
         for batch in batches:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n_tokens": [len(x) // 4 for x in batch["ids"]],

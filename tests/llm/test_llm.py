@@ -255,6 +255,57 @@ def test_merge_dropout(spark):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t in odd_texts())
 
 
+def test_merge_dropout_varies_by_occurrence(spark):
+    path = subword.default_path()
+    own = subword.Merger(path)
+    pieces = lambda ids: [own.spelled[i] for i in np.frombuffer(ids, "<u4").tolist()]
+
+    def forms(ids):
+        """Segmentations of each word of a text."""
+        out = []
+        for piece in pieces(ids):
+            if piece.startswith(b" "):
+                out.append([])
+            out[-1].append(piece)
+        return [tuple(x) for x in out]
+
+    text = " ".join(["international"] * 4000)
+    ids = own.encode(text, 1, 7, 0.1)
+    whole = forms(own.encode(text, 1, 7, 0.0))[0]
+    seen = Counter(forms(ids))
+    assert sum(seen.values()) == 4000 and len(seen) > 20
+    # Each occurrence is merged one by one with draws of its own, nothing else.
+    table = subword.thresholds(0.1)
+    units, key = subword._UNITS.findall(" " + text), subword.keys_of(1, [7])
+    assert ids == b"".join(own.unit(w, subword.one_by_one(key, np.array([i]), table))[0] for i, w in enumerate(units))
+    # Nothing is skipped in (1 - rate) ** merges of all occurrences; places are drawn independently.
+    merges = len(" international") - len(whole)
+    draws = [next(subword.one_by_one(key, np.array([i]), table)) for i in range(4000)]
+    share = 0.9 ** merges
+    assert abs(sum(g >= merges for g in draws) / 4000 - share) < 5 * (share * (1 - share) / 4000) ** 0.5
+    both = sum(g >= merges and h >= merges for g, h in zip(draws, draws[1:])) / 3999
+    assert abs(both - share**2) < 5 * (share**2 / 4000) ** 0.5
+    # A full cache, long units and the order of texts change nothing.
+    small = subword.Merger(path)
+    small.units = subword.Units(small, most=3, longest=5)
+    assert small.encode(text, 1, 7, 0.1) == ids
+    long = "ab" * 300 + " cd"
+    assert small.encode_all([long, None, text], 1, [3, 4, 7], 0.3) == [own.encode(long, 1, 3, 0.3), b"", own.encode(text, 1, 7, 0.3)]
+    assert own.decode(own.encode(long, 1, 3, 0.3)) == long and len({own.encode(long, 1, d, 0.3) for d in range(20)}) == 20
+    for w in [" international", " a.b,c", " wwwww"]:
+        mine = lambda how: how([*w.replace(" ", "▁")], iter([2, 0, 1]))
+        assert mine(own._merge_short) == mine(own._merge_long)
+    rates = subword.Merger(path)
+    assert rates.encode("international", 1, 7, 1.0) == rates.unit(" international", iter([0] * 100))[0]
+    # Draws follow from seed and document only, whatever came before and wherever a row lies.
+    own.encode("something else", 1, 3, 0.5)
+    assert own.encode(text, 1, 7, 0.1) == ids != own.encode(text, 2, 7, 0.1)
+    docs = documents(spark, [(i, "international cooperation " * 20) for i in range(40)])
+    got = {r.doc_id: bytes(r.ids) for r in subword.encode(docs.repartition(7), path).collect()}
+    assert got == {r.doc_id: bytes(r.ids) for r in subword.encode(docs.coalesce(1), path).collect()}
+    assert len(set(got.values())) == 40
+
+
 def test_licences(spark):
     files = spark.createDataFrame([
         ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0."),
