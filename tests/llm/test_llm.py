@@ -317,3 +317,40 @@ def test_licences(spark):
         ("a/b/y.py", "Apache-2.0", "own", None), ("z.py", None, None, None), (None, None, None, None),
     ])
 
+
+def test_licences_outside_the_tables():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.6, licenses.RULES)
+    own = lambda text, whole=False: scanner.scan(text, whole)[0]
+    for text, want in [
+        ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("SPDX-License-Identifier: Zlib", None), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC 2.0.", None), ("GNU General Public License, version 2.", "GPL-2.0"), ("GNU General Public License, version 1.", None),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("mit", None), ("mit der Lizenz", None), ("a license to use software", None),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ]:
+        assert own(text) == want, text
+    gnu = """{c} Copyright (C) 2019 Jane Roe
+{c}
+{c} This program is free software: you can redistribute it and/or modify
+{c} it under the terms of the GNU{a} General Public License as published by
+{c} the Free Software Foundation, either version {v} of the License, or
+{c} (at your option) any later version.
+{c}
+{c} This program is distributed in the hope that it will be useful,
+{c} but WITHOUT ANY WARRANTY; without even the implied warranty of
+{c} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+import os
+"""
+    for c in ("#", "//", " *", ""):
+        assert own(gnu.format(c=c, a="", v=3)) == "GPL-3.0" and own(gnu.format(c=c, a="", v=2)) == "GPL-2.0"
+        assert own(gnu.format(c=c, a=" Affero", v=3)) == "AGPL-3.0" and own(gnu.format(c=c, a=" Lesser", v="2.1")) == "LGPL-2.1"
+        assert own(gnu.format(c=c, a="", v=4)) is None
+    head = "Copyright (c) 2020, Jane Roe\nAll rights reserved.\n\n"
+    three = licenses._BSD + licenses._BSD_THIRD + licenses._BSD_END
+    for body, want in [(licenses._MIT + licenses._MIT_END, "MIT"), (licenses._ISC + licenses._ISC_END, "ISC"), (three, "BSD-3-Clause"), (licenses._BSD + licenses._BSD_END, "BSD-2-Clause")]:
+        words = body.split(" ")
+        folded = "\n".join(" ".join(words[i:i + 11]) for i in range(0, len(words), 11))
+        assert own(head + folded, True) == want and own(folded) == want
+    title = "                   GNU {}GENERAL PUBLIC LICENSE\n                       Version {}\n\n Everyone may sublicense the software under version 3 of the GNU General Public License."
+    assert own(title.format("LESSER ", "3, 29 June 2007"), True) == "LGPL-3.0" and own(title.format("", "2, June 1991"), True) == "GPL-2.0"
