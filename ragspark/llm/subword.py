@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ragspark.llm.common import worker_state
 
 SPACE = "▁"
+#: Symbol of a space mark that stands in the text; every other symbol is one character or a piece.
+_LITERAL = SPACE + "\0"
 #: A word with the blanks before it: no piece goes on after a blank that follows something else.
 _UNITS = re.compile(" *[^ ]+| +")
 _NEVER = float("inf")
@@ -85,7 +87,7 @@ class Merger:
         ``skips`` tells how many merge before each skip. Blanks become the model's space
         mark, a literal mark in the text is spelled in bytes.
         """
-        symbols = ["\0" + SPACE if c == SPACE else c for c in word] if SPACE in word else list(word)
+        symbols = [_LITERAL if c == SPACE else c for c in word] if SPACE in word else list(word)
         if " " in word:
             symbols = [SPACE if c == " " else c for c in symbols]
         symbols, done = (self._merge_short if len(symbols) <= 64 else self._merge_long)(symbols, skips)
@@ -95,7 +97,7 @@ class Merger:
             if known is not None:
                 out.append(known[1])
             else:
-                out += [self.bytes[b] for b in s.lstrip("\0").encode()]
+                out += [self.bytes[b] for b in (SPACE if s == _LITERAL else s).encode()]
         return struct.pack(f"<{len(out)}I", *out), done
 
     def unskipped(self, words: list[str]) -> Iterator[tuple[bytes, int]]:

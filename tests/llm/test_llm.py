@@ -305,6 +305,11 @@ def test_merge_dropout_varies_by_occurrence(spark):
     assert got == {r.doc_id: bytes(r.ids) for r in subword.encode(docs.coalesce(1), path).collect()}
     assert len(set(got.values())) == 40
 
+    # Characters U+0000 stay, also beside a literal space mark.
+    for text in ["\0", "a\0\0b ▁\0", "\0▁\0▁ \0", "x" * 70 + "\0▁"]:
+        for rate in (0.0, 0.3):
+            assert own.decode(own.encode(text, 1, 7, rate)) == text
+
 
 def test_licences(spark):
     files = spark.createDataFrame([
