@@ -54,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality), ("language_id", language), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("packing", pack),
 ]
-#: Learned stages and packing have no SQL form; tests compare the stages with brute force.
+#: Learned stages and packing have no SQL form; tests compare some of the operators, but neither the stages nor run(), with brute force.
 ORACLE_SQL = None
 
 
