@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import chat, frames, jaccard, langid, licenses, linedup, neardup, packing, rules, subword, tokens
+from ragspark.llm import (
+    chat, frames, jaccard, langid, licenses, linedup, neardup, packing, phrases, rules, subword, tokens, topk, whitening,
+)
 from ragspark.session import materialise, shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +189,71 @@ def op10_quality_rules(table):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & rules.verdict(learned)).alias("kept"),
     )
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(table):
+    """Sixteen whitened components of every usable vector."""
+    return whitening.whiten(table("embeddings"))
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), runs AS (
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), placed AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM runs),
+next AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4
+  FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)
+), grams AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM next UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM next WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM next WHERE w4 IS NOT NULL
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+many AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 30),
+cuts AS (
+  SELECT m.lang, m.phrase, m.f AS a, c.cut, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * m.f // (l.f + r.f) AS BIGINT) AS score
+  FROM many m JOIN (VALUES (1), (2), (3)) AS c(cut) ON c.cut < m.k
+  JOIN f l ON l.lang = m.lang AND l.phrase = array_to_string(m.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = m.lang AND r.phrase = array_to_string(m.w[c.cut + 1:m.k], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_runs AS (
+  SELECT m.lang, array_to_string(m.w[p.i:p.i + s.size - 1], ' ') AS phrase, max(m.f) AS more
+  FROM many m JOIN (VALUES (2), (3)) AS s(size) ON s.size < m.k JOIN (VALUES (1), (2), (3)) AS p(i) ON p.i + s.size - 1 <= m.k
+  GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inner_runs i ON b.lang = i.lang AND b.phrase = i.phrase
+  WHERE i.more IS NULL OR 100::HUGEINT * i.more < 80::HUGEINT * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def op12_phrase_collocations(table):
+    """The 2000 best phrases of each language in all documents."""
+    return phrases.collocations(table("documents"))
+
+
+TOP_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op13_exact_top_k", TOP_SQL)
+def op13_exact_top_k(table):
+    """The five highest integer inner products of every vector whose id is divisible by 50."""
+    vectors = table("embeddings")
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return topk.top_k(asked, vectors)
