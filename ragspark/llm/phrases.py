@@ -1,15 +1,15 @@
 """Phrase collocations by sampled mining with a checked border.
 
-A sample of the documents proposes phrases: those that occur in it often enough, found level by level,
-a phrase being looked for only if both phrases one word shorter were found. One pass
-over all documents then counts the proposed phrases and their negative border exactly, that is every phrase
-whose two shorter phrases were proposed, proposed itself or not. Where a phrase of
-the border proves frequent, longer phrases may have been missed; it joins the proposed
-ones, and another pass counts what that newly admits, until no such phrase is left. The counts
-are then those of all frequent phrases, whatever the sample was.
-
-Proposed phrases reach the tasks as a bitmap of hashes of fixed size. Two phrases with one bit only
-make the tasks count more; counts themselves go by the phrases' text.
+Texts become chunks of word numbers once. A sample of the documents proposes phrases: those that
+occur in it often enough, found level by level, a phrase being looked for only if both phrases one word shorter
+were found. One pass over all documents then counts the proposed phrases and their negative border, that is every
+phrase whose two shorter phrases were proposed, proposed itself or not. Where a phrase of the
+border proves frequent, longer phrases may have been missed; it joins the proposed ones, and another
+pass counts what that newly admits, until no such phrase is left.
+
+Those passes count 64-bit hashes: a sum that phrases share is never too small, so none is missed. The last pass
+counts the phrases whose hashes were frequent by their text, which is exact, whatever the sample was. Proposed
+phrases reach the tasks as a bitmap of hashes of fixed size; a bit that two phrases share only makes tasks count more.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ from ragspark.session import materialise, written
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b"." * 10)
 EDGE = re.compile(rb"[. \t]")
 #: Tokens counted together, and bytes of a text split at once.
-CHUNK, SEGMENT = 1 << 20, 1 << 20
+CHUNK, SEGMENT = 1 << 18, 1 << 20
+#: Tokens of the last chunk that a phrase may begin with.
+LOOK_BACK = 15
+#: Hashes a task holds before it counts them, and rows of a batch it hands on.
+HELD, PORTION = 1 << 21, 1 << 15
 
 
 def _tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -72,104 +76,136 @@ def _keys(ids: np.ndarray, ends: np.ndarray, size: int, words: int) -> np.ndarra
     return key
 
 
-def _count(lang: str, tokens: list[bytes], skip: int, low: int, high: int, now, before) -> Iterator[tuple]:
-    """(phrase length, words as columns, hashes, admitted, counts) of the phrases that end after the first ``skip`` tokens.
+def tokenise(docs: DataFrame) -> DataFrame:
+    """Chunks of the texts of ``docs`` (lang, text, sample): lang, sample, skip, ids (32-bit numbers), words (joined by blanks).
 
-    A phrase counts if both its shorter phrases are in ``now``, unless both were in ``before``.
-    """
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    number[b"."]
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    words, n = len(number), len(ids)
-    seed = xxhash.xxh3_64_intdigest(lang)
-    h1 = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in number), np.uint64, words)
-    names = pa.array(list(number), pa.binary())
-    in_now, in_before = _test(now, h1), _test(before, h1) if before is not None else np.zeros(words, bool)
-    in_now[0] = in_before[0] = False
-    if low == 1:
-        times = np.bincount(ids[skip:], minlength=words)
-        times[0] = 0
-        some = np.flatnonzero(times)
-        yield 0, [], np.zeros(1, np.uint64), np.ones(1, bool), np.array([times.sum()])
-        yield 1, [names.take(pa.array(some))], h1[some], in_now[some], times[some]
-    ok, was, h = in_now[ids], in_before[ids], h1[ids]
-    for k in range(2, high + 1):
-        ends = np.flatnonzero(ok[:-1] & ok[1:]) + 1
-        if not len(ends):
-            return
-        known = was[ends - 1] & was[ends]
-        hk = _mix(h[ends - 1], h1[ids[ends]])
-        hit = _test(now, hk)
-        if k >= low:
-            pick = (ends >= skip) & ~known
-            at = ends[pick]
-            if len(at):
-                key = _keys(ids, at, k, words)
-                if k == 2:
-                    key, times = np.unique(key, return_counts=True)
-                    parts = [key // words, key % words]
-                    hashes = _mix(h1[parts[0]], h1[parts[1]])
-                    admitted = _test(now, hashes)
-                else:
-                    _, first, times = np.unique(key, return_index=True, return_counts=True)
-                    parts = [ids[at[first] - back] for back in range(k - 1, -1, -1)]
-                    hashes, admitted = hk[pick][first], hit[pick][first]
-                yield k, [names.take(pa.array(p)) for p in parts], hashes, admitted, times
-        ok, old, new = np.zeros(n, bool), was, np.zeros(n, np.uint64)
-        ok[ends[hit]] = True
-        new[ends] = hk
-        was = np.zeros_like(old)
-        if before is not None:
-            was[ends] = known & _test(before, hk)
-        h = new
-
-
-def tally(docs: DataFrame, low: int, high: int, now=None, before=None, text: bool = True) -> DataFrame:
-    """Exact counts of phrases of ``low`` to ``high`` words in ``docs`` (lang, text): lang, k, phrase, h, hit, f.
-
-    ``now`` and ``before`` are bitmaps of admitted phrases, see :func:`_count`; hit says whether ``now`` admits the phrase
-    itself. Row k = 0 of a language has the number of its words. Without ``text``, just h and f.
+    Number 0 ends a piece. The first ``skip`` tokens stood at the end of another chunk: phrases may begin, but not end there.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        over: dict[str, int] = {}
+        held: dict[tuple, list[bytes]] = {}
+        over: dict[tuple, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang in list(held):
-                for k, parts, h, hit, times in _count(lang, held[lang], over.get(lang, 0), low, high, now, before):
-                    columns = {"h": h.view(np.int64), "f": times.astype(np.int64)}
-                    if text:
-                        phrase = pc.binary_join_element_wise(*parts, b" ") if parts else pa.array([b""], pa.binary())
-                        columns = {
-                            "lang": pa.repeat(lang, len(h)), "k": np.full(len(h), k, np.int32), "phrase": phrase.cast(pa.string()),
-                            "h": columns["h"], "hit": hit, "f": columns["f"],
-                        }
-                    elif not k:
-                        continue
-                    yield pa.RecordBatch.from_pydict(columns)
-                # The last words are seen again as the beginning of phrases only.
-                held[lang] = held[lang][-(high - 1):] if high > 1 else []
-                over[lang] = len(held[lang])
-                if held[lang][-1:] in ([], [b"."]):
-                    del held[lang], over[lang]
+            for key in list(held):
+                tokens = held.pop(key)
+                number: defaultdict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__
+                number[b"."]
+                ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+                yield pa.RecordBatch.from_pydict({
+                    "lang": [key[0]], "sample": [key[1]], "skip": pa.array([over.pop(key, 0)], pa.int32()), "ids": [ids.tobytes()],
+                    "words": [b" ".join(number)],
+                })
+                if tokens[-1] != b".":
+                    held[key] = tokens[-LOOK_BACK:]
+                    over[key] = len(held[key])
 
         size = 0
         for batch in batches:
-            for lang, value in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            columns = batch.column("lang").to_pylist(), batch.column("sample").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, sample, value in zip(*columns):
                 for tokens in _tokens(value):
-                    held.setdefault(lang, []).extend(tokens)
+                    held.setdefault((lang, sample), []).extend(tokens)
                     size += len(tokens)
                     if size >= CHUNK:
                         yield from flush()
                         size = 0
         yield from flush()
 
-    rows = docs.select("lang", "text")
-    if not text:
-        return rows.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-    counted = rows.mapInArrow(run, "lang string, k int, phrase string, h long, hit boolean, f long")
-    return counted.groupBy("lang", "k", "phrase").agg(F.max("h").alias("h"), F.max("hit").alias("hit"), F.sum("f").alias("f"))
+    return docs.select("lang", "sample", "text").mapInArrow(run, "lang string, sample boolean, skip int, ids binary, words binary")
+
+
+class _Chunk:
+    """One chunk: the phrases at its places, level by level."""
+
+    def __init__(self, row: dict):
+        self.ids, self.skip = np.frombuffer(row["ids"], np.int32).astype(np.int64), row["skip"]
+        self.names = row["words"].split(b" ")
+        seed = xxhash.xxh3_64_intdigest(row["lang"])
+        self.h1 = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
+
+    def levels(self, high: int, now, before=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, end places, hashes, admitted by ``now``, known) of the phrases both whose shorter phrases ``now`` admits.
+
+        ``known``: ``before`` admitted both already.
+        """
+        ids, h1 = self.ids, self.h1
+        real = ids > 0
+        ends = np.flatnonzero(real)
+        h = h1[ids]
+        ok = _test(now, h1)[ids] & real
+        was = _test(before, h1)[ids] & real if before is not None else np.zeros(len(ids), bool)
+        yield 1, ends, h[ends], ok[ends], np.full(len(ends), before is not None)
+        for k in range(2, high + 1):
+            ends = np.flatnonzero(ok[:-1] & ok[1:]) + 1
+            if not len(ends):
+                return
+            known = was[ends - 1] & was[ends]
+            hk = _mix(h[ends - 1], h1[ids[ends]])
+            hit = _test(now, hk)
+            yield k, ends, hk, hit, known
+            ok, was, h = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(ids), np.uint64)
+            ok[ends], h[ends] = hit, hk
+            if before is not None:
+                was[ends] = known & _test(before, hk)
+
+    def phrases(self, ends: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+        """Distinct phrases of ``k`` words that end at the places, and their counts."""
+        names = pa.array(self.names, pa.binary())
+        _, first, times = np.unique(_keys(self.ids, ends, k, len(self.names)), return_index=True, return_counts=True)
+        parts = [names.take(pa.array(self.ids[ends[first] - back])) for back in range(k - 1, -1, -1)]
+        return pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0], times
+
+
+def sums(chunks: DataFrame, low: int, high: int, least: int, top: int, now=None, before=None) -> DataFrame:
+    """Hashes of phrases of ``low`` to ``high`` words with a sum of ``least`` or more: h, last (has ``top`` words).
+
+    Phrases count if ``now`` admits both their shorter phrases and ``before`` did not.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            if held[last]:
+                h, f = np.unique(np.concatenate(held[last]), return_counts=True)
+                held[last].clear()
+                for at in range(0, len(h), PORTION):
+                    part = slice(at, at + PORTION)
+                    yield pa.RecordBatch.from_pydict({"h": h[part].view(np.int64), "last": np.full(len(h[part]), last), "f": f[part].astype(np.int64)})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row)
+                for k, ends, h, _, known in chunk.levels(high, now, before):
+                    if k >= low:
+                        held[k == top].append(h[(ends >= chunk.skip) & ~known])
+                        if sum(map(len, held[k == top])) > HELD:
+                            yield from flush(k == top)
+        yield from flush(False)
+        yield from flush(True)
+
+    counted = chunks.mapInArrow(run, "h long, last boolean, f long").groupBy("h", "last").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least).select("h", "last")
+
+
+def counts(chunks: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
+    """Exact counts by text of the phrases that the bitmap ``known`` admits: lang, k, phrase, f; k = 0: all words of a language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row)
+                for k, ends, _, hit, _ in chunk.levels(longest, known):
+                    new = ends >= chunk.skip
+                    found = [(0, pa.array([b""], pa.binary()), np.array([new.sum()]))] if k == 1 else []
+                    if (new & hit).any():
+                        found.append((k, *chunk.phrases(ends[new & hit], k)))
+                    for size, phrase, times in found:
+                        yield pa.RecordBatch.from_pydict({
+                            "lang": pa.repeat(row["lang"], len(phrase)), "k": np.full(len(phrase), size, np.int32),
+                            "phrase": phrase.cast(pa.string()), "f": times.astype(np.int64),
+                        })
+
+    return chunks.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -190,7 +226,7 @@ def propose(sample: DataFrame, least: int, longest: int, bits: int) -> np.ndarra
     """Bitmap of the phrases of fewer than ``longest`` words that the sample holds ``least`` times, level by level."""
     found = None
     for k in range(1, longest):
-        new = bitmap(tally(sample, k, k, found, text=False).where(F.col("f") >= least), bits)
+        new = bitmap(sums(sample, k, k, least, longest, found), bits)
         found = new if found is None else found | new
     return found
 
@@ -198,26 +234,23 @@ def propose(sample: DataFrame, least: int, longest: int, bits: int) -> np.ndarra
 def frequent(docs: DataFrame, least: int, longest: int, fraction: float, bits: int, stack: ExitStack) -> DataFrame:
     """lang, k, phrase, f of all phrases of 1 to ``longest`` words that a language has ``least`` times or more; k = 0: its words."""
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(fraction * (1 << 20))
-    with written(docs.where(share).select("lang", "text")) as sample:
-        # Lowered so far that a phrase that is just frequent is rarely missed.
-        now = propose(sample, max(1, int(least * fraction / 3)), longest, bits)
-    before, parts = None, []
-    while True:
-        counted = tally(docs, 2 if parts else 1, longest, now, before)
-        found = stack.enter_context(written(counted.where((F.col("f") >= least) | (F.col("k") == 0))))
-        parts.append(found.select("lang", "k", "phrase", "f"))
-        missed = found.where((F.col("k") > 0) & (F.col("k") < longest) & ~F.col("hit"))
-        if missed.isEmpty():
-            break
-        before, now = now, now | bitmap(missed, bits)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    with written(tokenise(docs.select("lang", "text", share.alias("sample")))) as chunks:
+        # Lowered, so that a phrase that is just frequent is seldom missed.
+        now = propose(chunks.where("sample"), max(2, int(0.7 * least * fraction)), longest, bits)
+        before, known = None, np.zeros_like(now)
+        while True:
+            with written(sums(chunks, 1 if before is None else 2, longest, least, longest, now, before)) as found:
+                shorter, longer = bitmap(found.where(~F.col("last")), bits), bitmap(found.where("last"), bits)
+            known |= shorter | longer
+            if not (shorter & ~now).any():
+                break
+            before, now = now, now | shorter
+        exact = counts(chunks, longest, known)
+        return stack.enter_context(written(exact.where((F.col("f") >= least) | (F.col("k") == 0))))
 
 
 def collocations(
-    docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, fraction: float = 0.2, bits: int = 26
+    docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, fraction: float = 0.1, bits: int = 26
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language in ``docs`` (doc_id, text, lang).
 
@@ -227,7 +260,7 @@ def collocations(
     at least ``cover`` per cent of their count are dropped. Order: score and a falling, phrase rising by bytes.
 
     Null text counts as empty, null lang as ``und``; repeated rows count each time; extra columns are ignored.
-    An empty table gives no rows. ``fraction`` and ``bits`` (a bitmap of 2^bits bits in each task) change the time, never the result.
+    An empty table gives no rows. ``longest`` is 16 at most. ``fraction`` and ``bits`` (a bitmap of 2^bits bits in each task) change the time, never the result.
     """
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with ExitStack() as stack:
