@@ -7,7 +7,7 @@ phrase whose two shorter phrases were proposed, proposed itself or not. Where a
 border proves frequent, longer phrases may have been missed; it joins the proposed ones, and another
 pass counts what that newly admits, until no such phrase is left.
 
-Those passes count 64-bit hashes: a sum that phrases share is never too small, so none is missed. The last pass
+Those passes count hashes: a sum that phrases share is never too small, so none is missed. The last pass
 counts the phrases whose hashes were frequent by their text, which is exact, whatever the sample was. Proposed
 phrases reach the tasks as a bitmap of hashes of fixed size; a bit that two phrases share only makes tasks count more.
 """
@@ -35,6 +35,8 @@ EDGE = re.compile(rb"[. \t]")
 CHUNK, SEGMENT = 1 << 18, 1 << 20
 #: Tokens of the last chunk that a phrase may begin with.
 LOOK_BACK = 15
+#: Leading bits of a hash that sums are kept by: few to shuffle, many against the number of phrases.
+SUMMED = 40
 #: Hashes a task holds before it counts them, and rows of a batch it hands on.
 HELD, PORTION = 1 << 21, 1 << 15
 
@@ -77,7 +79,7 @@ def _keys(ids: np.ndarray, ends: np.ndarray, size: int, words: int) -> np.ndarra
 
 
 def tokenise(docs: DataFrame) -> DataFrame:
-    """Chunks of the texts of ``docs`` (lang, text, sample): lang, sample, skip, ids (32-bit numbers), words (joined by blanks).
+    """Chunks of the texts of ``docs`` (lang, text, sample): lang, sample, skip, ids (16-bit numbers, 32-bit ones if there are more words), words (joined by blanks).
 
     Number 0 ends a piece. The first ``skip`` tokens stood at the end of another chunk: phrases may begin, but not end there.
     """
@@ -93,7 +95,7 @@ def tokenise(docs: DataFrame) -> DataFrame:
                 number[b"."]
                 ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
                 yield pa.RecordBatch.from_pydict({
-                    "lang": [key[0]], "sample": [key[1]], "skip": pa.array([over.pop(key, 0)], pa.int32()), "ids": [ids.tobytes()],
+                    "lang": [key[0]], "sample": [key[1]], "skip": pa.array([over.pop(key, 0)], pa.int32()), "ids": [(ids if len(number) > 65535 else ids.astype(np.uint16)).tobytes()],
                     "words": [b" ".join(number)],
                 })
                 if tokens[-1] != b".":
@@ -119,8 +121,8 @@ class _Chunk:
     """One chunk: the phrases at its places, level by level."""
 
     def __init__(self, row: dict):
-        self.ids, self.skip = np.frombuffer(row["ids"], np.int32).astype(np.int64), row["skip"]
-        self.names = row["words"].split(b" ")
+        self.names, self.skip = row["words"].split(b" "), row["skip"]
+        self.ids = np.frombuffer(row["ids"], np.int32 if len(self.names) > 65535 else np.uint16).astype(np.int64)
         seed = xxhash.xxh3_64_intdigest(row["lang"])
         self.h1 = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
 
@@ -158,34 +160,31 @@ class _Chunk:
 
 
 def sums(chunks: DataFrame, low: int, high: int, least: int, top: int, now=None, before=None) -> DataFrame:
-    """Hashes of phrases of ``low`` to ``high`` words with a sum of ``least`` or more: h, last (has ``top`` words).
+    """Hashes (first ``SUMMED`` bits) of phrases of ``low`` to ``high`` words with a sum of ``least`` or more: h, last (has ``top`` words).
 
     Phrases count if ``now`` admits both their shorter phrases and ``before`` did not.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        held: list[np.ndarray] = []
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            if held[last]:
-                h, f = np.unique(np.concatenate(held[last]), return_counts=True)
-                held[last].clear()
-                for at in range(0, len(h), PORTION):
-                    part = slice(at, at + PORTION)
-                    yield pa.RecordBatch.from_pydict({"h": h[part].view(np.int64), "last": np.full(len(h[part]), last), "f": f[part].astype(np.int64)})
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, f = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            held.clear()
+            for at in range(0, len(h), PORTION):
+                yield pa.RecordBatch.from_pydict({"h": h[at : at + PORTION].view(np.int64), "f": f[at : at + PORTION].astype(np.int64)})
 
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row)
                 for k, ends, h, _, known in chunk.levels(high, now, before):
                     if k >= low:
-                        held[k == top].append(h[(ends >= chunk.skip) & ~known])
-                        if sum(map(len, held[k == top])) > HELD:
-                            yield from flush(k == top)
-        yield from flush(False)
-        yield from flush(True)
+                        held.append(h[(ends >= chunk.skip) & ~known] >> np.uint64(64 - SUMMED) << np.uint64(1) | np.uint64(k == top))
+                        if sum(map(len, held)) > HELD:
+                            yield from flush()
+        yield from flush()
 
-    counted = chunks.mapInArrow(run, "h long, last boolean, f long").groupBy("h", "last").agg(F.sum("f").alias("f"))
-    return counted.where(F.col("f") >= least).select("h", "last")
+    counted = chunks.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least).select(F.shiftright("h", 1).alias("h"), (F.col("h") % 2 == 1).alias("last"))
 
 
 def counts(chunks: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
@@ -210,7 +209,7 @@ def counts(chunks: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """The 2^bits bits of the hashes ``h``; merged by Spark, so that the driver gets its fixed size only."""
-    place = F.shiftrightunsigned("h", 64 - bits) + 1
+    place = F.shiftright("h", SUMMED - bits) + 1
     rows = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")
     )
@@ -235,8 +234,8 @@ def frequent(docs: DataFrame, least: int, longest: int, fraction: float, bits: i
     """lang, k, phrase, f of all phrases of 1 to ``longest`` words that a language has ``least`` times or more; k = 0: its words."""
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(fraction * (1 << 20))
     with written(tokenise(docs.select("lang", "text", share.alias("sample")))) as chunks:
-        # Lowered, so that a phrase that is just frequent is seldom missed.
-        now = propose(chunks.where("sample"), max(2, int(0.7 * least * fraction)), longest, bits)
+        # Not lowered: what this misses costs a pass, as phrases near the limit do in any case; lower limits widen the border.
+        now = propose(chunks.where("sample"), max(2, round(least * fraction)), longest, bits)
         before, known = None, np.zeros_like(now)
         while True:
             with written(sums(chunks, 1 if before is None else 2, longest, least, longest, now, before)) as found:
