@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import metrics, retrieval
+from ragspark.operators import ann, metrics, retrieval
 from ragspark.queries.registry import query
 from ragspark.session import materialise
 
@@ -61,6 +61,37 @@ def knn_recall(t):
     )
 
 
+def _indexed(t):
+    """Approximate top ten of every vector by codes, and how many vectors each query scores exactly."""
+    index = ann.build(_chunks(t))
+    candidates = ann.calibrate(index, 10, 0.975)
+    return ann.search(_queries(t), index, 10, candidates=candidates, exclude_self=True), candidates, index.total
+
+
+@query("knn_index", f"""
+WITH {TOP10}
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, round(sum(score), 3) AS exact_scores,
+  true AS recall_reached, true AS under_a_tenth_scored
+FROM top10""")
+def knn_index(t):
+    """Whether the calibrated index finds 95 % of all exact top tens while it scores under a tenth of the vectors."""
+    found, candidates, total = _indexed(t)
+    both = _top10(t).join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.round(F.sum("score"), 3).alias("exact_scores"),
+        (F.count("hit") >= 0.95 * F.count("*")).alias("recall_reached"), F.lit(10 * candidates < total).alias("under_a_tenth_scored"),
+    )
+
+
+@query("knn_index_recall")
+def knn_index_recall(t):
+    """Per query: exact neighbours, those the index finds, and the vectors it scored."""
+    found, candidates, _ = _indexed(t)
+    return _top10(t).join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), F.lit(candidates).alias("n_scored")
+    )
+
+
 @query("knn_topk_filtered", """
 WITH scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,

@@ -2,7 +2,11 @@
 
 The regular expressions run before the keyed stage, on evenly spread rows; the
 keyed stage only looks up or allocates tokens. Turns are ordered inside a micro
-batch, so a turn that arrives in a later batch gets later token numbers.
+batch, so a turn that arrives in a later batch gets later token numbers. The turns that
+one session sends in one micro batch are held together; limit the trigger where that is much.
+
+A session that stays idle, by the time stamps of its turns, ends as a whole: its values leave the state. What stays
+are the numbers it issued, a count a type, so that no token of an ended session is ever issued again.
 """
 
 from __future__ import annotations
@@ -25,65 +29,136 @@ def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-class _Vault(StatefulProcessor):
-    """Token per value; one map entry per value, so a long session is never held in memory."""
+class _Session(StatefulProcessor):
+    """A session that ends once the watermark is ``idle_ms`` past its last turn."""
 
-    def __init__(self, ttl_ms: int | None):
-        self._ttl = ttl_ms
+    def __init__(self, idle_ms: int | None):
+        self._idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tokens = handle.getMapState("tokens", "key string", "token string", self._ttl)
-        self._counters = handle.getMapState("counters", "entity_type string", "n bigint", self._ttl)
-
-    def _token(self, entity_type: str, key: str) -> tuple[str, bool]:
-        if self._tokens.containsKey((key,)):
-            return self._tokens.getValue((key,))[0], False
-        kind = (entity_type,)
-        n = (self._counters.getValue(kind)[0] if self._counters.containsKey(kind) else 0) + 1
-        self._counters.updateValue(kind, (n,))
-        token = f"[{entity_type}_{n}]"
-        self._tokens.updateValue((key,), (token,))
-        return token, True
+        self._handle = handle
+        self._ends = handle.getValueState("ends", "at bigint")
+
+    def _live_on(self, seen_ms: pd.Series, timers) -> None:
+        """Move the end of the session to ``idle_ms`` after its latest turn."""
+        seen = seen_ms.max()
+        if self._idle_ms is None or pd.isna(seen):
+            return
+        end = max(int(seen) + self._idle_ms, timers.getCurrentWatermarkInMs() + 1)
+        if self._ends.exists():
+            old = self._ends.get()[0]
+            if old >= end:
+                return
+            self._handle.deleteTimer(old)
+        self._handle.registerTimer(end)
+        self._ends.update((end,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._ends.clear()
+        self._forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Vault(_Session):
+    """Token of each value of the session; one map entry a value, so a long session is never held in memory."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._tokens = handle.getMapState("tokens", "key string", "token string")
+        self._issued = handle.getMapState("issued", "entity_type string", "n bigint")
+
+    def _forget(self) -> None:
+        self._tokens.clear()
+
+    def _last(self, kind: str) -> int:
+        return self._issued.getValue((kind,))[0] if self._issued.containsKey((kind,)) else 0
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for value, token in zip(initialState["key"], initialState["token"]):
+            self._tokens.updateValue((value,), (token,))
+        for kind, n in initialState.groupby("entity_type")["n"].max().items():
+            self._issued.updateValue((kind,), (max(int(n), self._last(kind)),))
+        self._live_on(initialState["seen_ms"], timerValues)
+
+    def _allocate(self, told: pd.DataFrame) -> pd.DataFrame:
+        """Tokens of the keys of ``told`` (key, entity_type, value) that the session has none for, in order of first sight."""
+        first = told.drop_duplicates("key")
+        new = first[first["key"].map(lambda k: not self._tokens.containsKey((k,))).astype(bool)].copy()
+        before = new["entity_type"].map({kind: self._last(kind) for kind in new["entity_type"].unique()})
+        new["n"] = new.groupby("entity_type").cumcount() + 1 + before.astype("int64")
+        new["token"] = "[" + new["entity_type"] + "_" + new["n"].astype(str) + "]"
+        for kind, n in new.groupby("entity_type")["n"].max().items():
+            self._issued.updateValue((kind,), (int(n),))
+        for value, token in zip(new["key"], new["token"]):
+            self._tokens.updateValue((value,), (token,))
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["turn", "pass_no"])
-        fillers, fresh = [], []
-        for entities, slots in zip(batch["entities"], batch["slots"]):
-            by_slot, new = {}, []
-            for e in entities:
-                token, is_new = self._token(e["entity_type"], e["key"])
-                by_slot[e["slot"]] = token
-                if is_new:
-                    new.append({"token": token, "value": e["value"], "key": e["key"]})
-            fillers.append([by_slot[s] for s in slots])
-            fresh.append(new)
+        batch = pd.concat(rows).sort_values(["turn", "pass_no"]).reset_index(drop=True)
+        told = pd.DataFrame(
+            [(i, e["slot"], e["entity_type"], e["value"], e["key"]) for i, row in enumerate(batch["entities"]) for e in row],
+            columns=["row", "slot", "entity_type", "value", "key"],
+        )
+        new = self._allocate(told)
+        known = dict(zip(new["key"], new["token"]))
+        token = [known.get(k) or self._tokens.getValue((k,))[0] for k in told["key"]]
+        of_slot = dict(zip(zip(told["row"], told["slot"]), token))
+        issued = {i: part[["token", "value", "key", "entity_type", "n"]].to_dict("records") for i, part in new.groupby("row")}
+        self._live_on(batch["seen_ms"], timerValues)
         yield pd.DataFrame({
-            "session_id": key[0], "turn": batch["turn"].to_numpy(), "pass_no": batch["pass_no"].to_numpy(),
-            "note": batch["note"].to_list(), "pieces": batch["pieces"].to_list(), "fillers": fillers, "counts": batch["counts"].to_list(), "issued": fresh,
+            "session_id": key[0], "turn": batch["turn"], "pass_no": batch["pass_no"], "note": batch["note"].to_list(), "pieces": batch["pieces"].to_list(),
+            "fillers": [[of_slot[i, s] for s in slots] for i, slots in enumerate(batch["slots"])],
+            "counts": batch["counts"].to_list(), "issued": [issued.get(i, []) for i in range(len(batch))],
         })
 
-    def close(self) -> None:
-        pass
+
+def _timed(stream: DataFrame, time: str | None, idle: str | None, late: str) -> tuple[DataFrame, int | None]:
+    """The stream with its watermark and ``seen_ms``, and the idle time in milliseconds."""
+    if idle is None:
+        return stream.withColumn("seen_ms", F.lit(None).cast("long")), None
+    if time is None:
+        raise ValueError("idle sessions end by the time of their turns: name the time stamp column")
+    wait = pd.Timedelta(idle)
+    if wait <= pd.Timedelta(0):
+        raise ValueError("idle must be a positive time")
+    return stream.withWatermark(time, late).withColumn("seen_ms", F.unix_millis(time)), int(wait.total_seconds() * 1000)
 
 
-def redact_stream(turns: DataFrame, detectors: Sequence[Detector] = DETECTORS, ttl_ms: int | None = None) -> DataFrame:
+def redact_stream(
+    turns: DataFrame, detectors: Sequence[Detector] = DETECTORS, *, time: str | None = None, idle: str | None = None, late: str = "1 hour",
+    vault: DataFrame | None = None,
+) -> DataFrame:
     """Redact a stream ``(session_id string, turn bigint, pass_no int, text [, note string])``.
 
     Emits ``clean_text``, ``detections`` and ``issued``, the vault rows first
-    allocated by the turn; appending ``issued`` to a table gives the batch vault.
+    allocated by the turn; appending ``issued`` to a table gives the batch vault, with type and number.
     A ``note`` passes through untouched.
+
+    With ``idle`` (such as "30 minutes") a session ends that long after the latest ``time`` (a time stamp column) of its turns;
+    a value that returns later gets a new token with a number not issued before. Spark drops turns that come more than ``late`` behind the stream.
+    ``vault`` (session_id, key, entity_type, n, token [, seen timestamp]), as a batch job or an earlier stream wrote
+    it, is loaded when the stream first starts, so that a known value keeps its token; rows without ``seen`` stay until their session's next turn.
     """
     use_keyed_state(turns.sparkSession)
+    turns, idle_ms = _timed(turns, time, idle, late)
     note = F.col("note") if "note" in turns.columns else F.lit(None).cast("string").alias("note")
-    marked = turns.withColumn("_m", masked(F.col("text"), detectors)).select("session_id", "turn", "pass_no", note, "_m.*")
+    timed = [time] if idle_ms else []
+    marked = turns.withColumn("_m", masked(F.col("text"), detectors)).select("session_id", "turn", "pass_no", note, "seen_ms", *timed, "_m.*")
+    known = None
+    if vault is not None:
+        seen = F.unix_millis("seen") if "seen" in vault.columns else F.lit(None).cast("long")
+        known = vault.select("session_id", "key", "entity_type", F.col("n").cast("long").alias("n"), "token", seen.alias("seen_ms")).groupBy("session_id")
     kept = marked.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Vault(ttl_ms),
+        statefulProcessor=_Vault(idle_ms),
         outputStructType=(
             "session_id string, turn bigint, pass_no int, note string, pieces array<string>, fillers array<string>, "
             "counts array<struct<entity_type:string,count:bigint>>, "
-            "issued array<struct<token:string,value:string,key:string>>"
+            "issued array<struct<token:string,value:string,key:string,entity_type:string,n:bigint>>"
         ),
-        outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None",
+        outputMode="append", timeMode="EventTime" if idle_ms else "None", initialState=known,
     )
     return kept.select(
         "session_id", "turn", "pass_no", "note", assemble(F.col("pieces"), F.col("fillers")).alias("clean_text"),
@@ -91,14 +166,24 @@ def redact_stream(turns: DataFrame, detectors: Sequence[Detector] = DETECTORS, t
     )
 
 
-class _Scope(StatefulProcessor):
+class _Scope(_Session):
     """Chunks in scope: at most the cap, merged turn by turn."""
 
-    def __init__(self, cap: int, ttl_ms: int | None):
-        self._cap, self._ttl = cap, ttl_ms
+    def __init__(self, cap: int, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self._cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._scope = handle.getListState("scope", "chunk_id string, score double", self._ttl)
+        super().init(handle)
+        self._scope = handle.getListState("scope", "chunk_id string, score double")
+
+    def _forget(self) -> None:
+        self._scope.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.sort_values("scope_rank")[["chunk_id", "score"]].itertuples(index=False):
+            self._scope.appendValue((row.chunk_id, float(row.score)))
+        self._live_on(initialState["seen_ms"], timerValues)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["turn", "rank"])
@@ -113,16 +198,26 @@ class _Scope(StatefulProcessor):
                 "chunk_id": list(held), "score": list(held.values()),
             })
         self._scope.put([(c, s) for c, s in held.items()])
+        self._live_on(batch["seen_ms"], timerValues)
 
-    def close(self) -> None:
-        pass
 
+def scope_stream(
+    retrieved: DataFrame, cap: int = fixed.SCOPE_CAP, *, time: str | None = None, idle: str | None = None, late: str = "1 hour",
+    scope: DataFrame | None = None,
+) -> DataFrame:
+    """Scope after every turn of a stream ``(session_id string, turn bigint, rank int, chunk_id string, score)``.
 
-def scope_stream(retrieved: DataFrame, cap: int = fixed.SCOPE_CAP, ttl_ms: int | None = None) -> DataFrame:
-    """Scope after every turn of a stream ``(session_id string, turn bigint, rank int, chunk_id string, score)``."""
+    ``time``, ``idle`` and ``late`` end sessions as in :func:`redact_stream`; ``scope`` (session_id, scope_rank, chunk_id, score
+    [, seen timestamp]) is the state a batch job left, loaded when the stream first starts.
+    """
     use_keyed_state(retrieved.sparkSession)
+    retrieved, idle_ms = _timed(retrieved, time, idle, late)
+    known = None
+    if scope is not None:
+        seen = F.unix_millis("seen") if "seen" in scope.columns else F.lit(None).cast("long")
+        known = scope.select("session_id", F.col("scope_rank").cast("long").alias("scope_rank"), "chunk_id", "score", seen.alias("seen_ms")).groupBy("session_id")
     return retrieved.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Scope(cap, ttl_ms),
+        statefulProcessor=_Scope(cap, idle_ms),
         outputStructType="session_id string, turn bigint, scope_rank bigint, chunk_id string, score double",
-        outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None",
+        outputMode="append", timeMode="EventTime" if idle_ms else "None", initialState=known,
     )

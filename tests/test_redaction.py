@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from itertools import groupby
 
 from hypothesis import given, settings
@@ -20,26 +21,35 @@ KEPT = [
 ]
 
 
+def found_spans(text, detector):
+    """Where a detector masks a text: spans of its group whose value is accepted, from left to right."""
+    flags = re.IGNORECASE if detector.ignore_case else 0
+    spans = [m.span(detector.group) for m in re.finditer(detector.pattern, text, flags)]
+    return [(a, b) for a, b in spans if a < b and (detector.accept is None or detector.accept(text[a:b]))]
+
+
 def sequential(texts, detectors=pii.DETECTORS):
-    """Plain model of session redaction: one vault, texts in order."""
-    tokens, counters, out = {}, {}, []
+    """The specification of session redaction: values in order of first sight; a token's number is its place among those of its type."""
+    seen, out = [], []
+
+    def token(value, kind):
+        places = [i for i, (_, known) in enumerate(seen) if known.casefold() == value.casefold()]
+        if not places:
+            seen.append((kind, value))
+            places = [len(seen) - 1]
+        kind = seen[places[0]][0]
+        return f"[{kind}_{sum(k == kind for k, _ in seen[: places[0] + 1])}]"
+
     for text in texts:
-        counts = {}
+        counts = Counter()
         for d in detectors:
-            def swap(m, d=d):
-                value = m.group(d.group)
-                if not value or (d.accept and not d.accept(value)):
-                    return m.group()
-                key = value.strip().casefold()
-                if key not in tokens:
-                    counters[d.entity_type] = counters.get(d.entity_type, 0) + 1
-                    tokens[key] = (f"[{d.entity_type}_{counters[d.entity_type]}]", value.strip())
-                counts[d.entity_type] = counts.get(d.entity_type, 0) + 1
-                lo, hi = m.span(d.group)
-                return m.group()[: lo - m.start()] + tokens[key][0] + m.group()[hi - m.start():]
-            text = re.sub(d.pattern, swap, text, flags=re.IGNORECASE if d.ignore_case else 0)
-        out.append((text, sorted(counts.items())))
-    return out, {t: v for t, v in tokens.values()}
+            spans = found_spans(text, d)
+            counts[d.entity_type] += len(spans)
+            edges = [0, *(e for span in spans for e in span), len(text)]
+            cut = [text[a:b] for a, b in zip(edges, edges[1:])]
+            text = "".join(token(part.strip(), d.entity_type) if i % 2 else part for i, part in enumerate(cut))
+        out.append((text, sorted((k, n) for k, n in counts.items() if n)))
+    return out, {token(value, kind): value for kind, value in seen}
 
 
 def frame(spark, rows):
