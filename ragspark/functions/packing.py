@@ -71,37 +71,48 @@ def split_block(text: str, max_tokens: int, max_chars: int, count: Callable[[str
     return [p[i:i + max_chars] for p in pieces for i in range(0, len(p), max_chars)]
 
 
-def pack_blocks(
-    blocks: list[tuple[str, str]], header: str, max_tokens: int, max_chars: int,
-    count: Callable[[str], int] = count_words,
-) -> list[tuple[str, list[str]]]:
-    """(text, labels) chunks of the blocks of one parent."""
-    header = header.strip()
-    prefix = f"{header}\n\n" if header else ""
-    token_room, char_room = max_tokens - count(prefix), max_chars - len(prefix)
-    if token_room <= 0 or char_room <= 0:
-        raise ValueError(f"header leaves no room under {max_tokens} tokens and {max_chars} characters")
-
-    chunks: list[tuple[str, list[str]]] = []
-    body, size, labels = "", 0, []
-    for label, text in blocks:
+class Packer:
+    """Greedy packing of one parent's blocks, fed one by one; holds the open chunk only."""
+
+    def __init__(self, header: str, max_tokens: int, max_chars: int, count: Callable[[str], int] = count_words):
+        header = header.strip()
+        self._prefix = f"{header}\n\n" if header else ""
+        self._count = count
+        self._tokens, self._chars = max_tokens - count(self._prefix), max_chars - len(self._prefix)
+        if self._tokens <= 0 or self._chars <= 0:
+            raise ValueError(f"header leaves no room under {max_tokens} tokens and {max_chars} characters")
+        self._body, self._size, self._labels = "", 0, []
+
+    def push(self, label, text: str | None) -> list[tuple[str, list]]:
+        """Chunks that are complete now that this block has come."""
         block = (text or "").strip()
         if not block:
-            continue
-        block_size = count(block)
-        if body and len(body) + 2 + len(block) <= char_room:
-            together = _joined_size(body, size, "\n\n", block, block_size, count)
-            if together <= token_room:
-                body, size = f"{body}\n\n{block}", together
-                labels += [] if label in labels else [label]
-                continue
-        if body:
-            chunks.append((prefix + body, labels))
-        body, size, labels = "", 0, []
-        if len(block) <= char_room and block_size <= token_room:
-            body, size, labels = block, block_size, [label]
+            return []
+        size = self._count(block)
+        if self._body and len(self._body) + 2 + len(block) <= self._chars:
+            together = _joined_size(self._body, self._size, "\n\n", block, size, self._count)
+            if together <= self._tokens:
+                self._body, self._size = f"{self._body}\n\n{block}", together
+                self._labels += [] if label in self._labels else [label]
+                return []
+        done = self.finish()
+        if len(block) <= self._chars and size <= self._tokens:
+            self._body, self._size, self._labels = block, size, [label]
         else:
-            chunks += [(prefix + piece, [label]) for piece in split_block(block, token_room, char_room, count)]
-    if body:
-        chunks.append((prefix + body, labels))
-    return chunks
+            done += [(self._prefix + piece, [label]) for piece in split_block(block, self._tokens, self._chars, self._count)]
+        return done
+
+    def finish(self) -> list[tuple[str, list]]:
+        """The open chunk, if there is one."""
+        done = [(self._prefix + self._body, self._labels)] if self._body else []
+        self._body, self._size, self._labels = "", 0, []
+        return done
+
+
+def pack_blocks(
+    blocks: Iterable[tuple[str, str]], header: str, max_tokens: int, max_chars: int, count: Callable[[str], int] = count_words,
+) -> list[tuple[str, list[str]]]:
+    """(text, labels) chunks of the blocks of one parent."""
+    packer = Packer(header, max_tokens, max_chars, count)
+    chunks = [chunk for label, text in blocks for chunk in packer.push(label, text)]
+    return chunks + packer.finish()

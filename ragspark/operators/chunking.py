@@ -155,7 +155,8 @@ def pack_units(
     """Structure packing of ``units(parent, ord, label, text, header)``, one unit per row.
 
     Returns ``parent, chunk_index, text, labels``; (parent, ord) is unique and
-    ``count`` must be additive over texts joined by a blank line.
+    ``count`` must be additive over texts joined by a blank line;
+    :func:`packers.pack_in_blocks` takes any counter.
 
     Packing is greedy, so where a chunk starts depends on all units before it.
     To keep a parent of any size out of a single task, its units are cut into
@@ -168,8 +169,7 @@ def pack_units(
     end, in groups no larger than a chunk.
     """
     ahead = (max_chars + 2) // 3 + 1
-    if block_units < ahead:
-        raise ValueError(f"block_units must be at least {ahead}")
+    block_units = max(block_units, ahead)
     sized = materialise(_sizes(units, max_tokens, max_chars, count))
     numbers = ["n_tok", "n_chr", "t_room", "c_room"]
     placed = materialise(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark import fixed
 from ragspark.functions.text import clean_text, links, slug, truncate, word_count
-from ragspark.operators import chunking, sections
+from ragspark.operators import chunking, packers, sections
 from ragspark.operators.references import is_core
 from ragspark.queries.registry import query
 from ragspark.sources import corpus, records
@@ -91,7 +91,20 @@ def structure_chunks(t):
     )
 
 
-@query("structure_chunks_by_source", rf"""
+@query("structure_chunks_table_function", STRUCTURE_SQL)
+def structure_chunks_table_function(t):
+    """The same documents by the packer's table function, called from SQL on their lines."""
+    lines = t.spread("documents").select(
+        F.col("doc_id").alias("parent"), F.posexplode(F.split("text", "\n")).alias("ord", "text")
+    ).select("parent", "ord", F.col("ord").cast("string").alias("label"), "text", F.lit("").alias("header"))
+    name = packers.register_packer(t.spark)
+    chunks = t.spark.sql(f"SELECT * FROM {name}(TABLE({{units}}) PARTITION BY parent ORDER BY ord)", units=lines)
+    return chunks.select(
+        F.col("parent").cast("long").alias("doc_id"), "chunk_index", F.size("labels").cast("long").alias("n_labels"), F.md5("text").alias("text_md5")
+    )
+
+
+BY_SOURCE_SQL = rf"""
 WITH RECURSIVE lines AS (
   SELECT source, doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), {STRIP}) AS body FROM documents),
 units AS (
@@ -112,19 +125,34 @@ packed AS (
          n.alone
   FROM packed p JOIN flagged n ON n.source = p.source AND n.u_no = p.u_no + 1)
 SELECT source, first_doc, n_docs FROM (
-  SELECT source, chunk, min(f.doc_id) AS first_doc, count(*) AS n_docs FROM packed JOIN flagged f USING (source, u_no) GROUP BY ALL)""")
+  SELECT source, chunk, min(f.doc_id) AS first_doc, count(*) AS n_docs FROM packed JOIN flagged f USING (source, u_no) GROUP BY ALL)"""
+
+
+@query("structure_chunks_by_source", BY_SOURCE_SQL)
 def structure_chunks_by_source(t):
     """Documents of a source packed as provisions of one section, one row per unit.
 
     A source holds many documents, so this runs the blocked packer. The pieces of
     an oversize document count once, under its first piece.
     """
+    return _first_documents(chunking.pack_units(_section_units(t)))
+
+
+@query("structure_chunks_in_blocks", BY_SOURCE_SQL)
+def structure_chunks_in_blocks(t):
+    """The same by the packer that takes any counter: small blocks, packed on speculation and checked."""
+    return _first_documents(packers.pack_in_blocks(_section_units(t), block_units=64, overlap=16))
+
+
+def _section_units(t):
     provisions = _as_provisions(t)
     table = sections.section_table(provisions)
-    units = sections.provision_units(provisions).join(table.select("section", "heading"), "section").select(
+    return sections.provision_units(provisions).join(table.select("section", "heading"), "section").select(
         F.col("section").alias("parent"), "ord", "label", "text", F.col("heading").alias("header")
     )
-    chunks = chunking.pack_units(units)
+
+
+def _first_documents(chunks):
     return (
         chunks.groupBy(F.col("parent").alias("source"), F.element_at("labels", 1).cast("long").alias("first_doc"))
         .agg(F.max(F.size("labels")).cast("long").alias("n_docs"))
