@@ -10,7 +10,6 @@ wants some documents reads the tail and only those documents' frames.
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,6 +39,10 @@ def store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+#: Wanted ids that a task looks up in a file at once.
+SLICE = 10_000
+
+
 class FrameWriter:
     """Writes documents to one open file."""
 
@@ -52,6 +55,8 @@ class FrameWriter:
         self._docs: list[tuple[int | None, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self._width):
+            raise ValueError(f"id {int(ids.max())} does not fit {self._width} bytes")
         raw = ids.astype(f"<u{self._width}").tobytes()
         if self._size and self._size + len(raw) > self._most:
             self._flush()
@@ -123,17 +128,18 @@ class FrameReader:
             yield self.doc_ids[i], np.frombuffer(self.frame(k), f"<u{self.width}", int(self.tokens[i]), begin * self.width)
 
 
-def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, width: int = 2, file_bytes: int = 64 << 20) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, width: int | None = None, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode every whole text and write files in ascending doc_id order; one row per file.
 
-    Result (already computed, small): part, file, n_docs, n_tokens. Documents are dealt
+    Result (already computed, small): part, file, n_docs, n_tokens, first_id, last_id. Documents are dealt
     into ranges of doc_id, each range one sorted file; rows of equal id follow by text; a null
     id comes first. A task writes under a name of its own attempt, and the manifest names the
     attempt that Spark accepted, so lost executors leave at most an orphan file. Null text is
-    the end id alone. ``width`` is the bytes of an id and must hold the vocabulary. Extra
-    columns are ignored. An empty table writes no file.
+    the end id alone. ``width`` is the bytes of an id, by default 2 or 4 as the vocabulary needs; an id that does not
+    fit ends the job with an error. Extra columns are ignored. An empty table writes no file.
     """
     spark = docs.sparkSession
+    width = width or (2 if max(tokens.vocabulary(path), end_id + 1) <= 1 << 16 else 4)
     end = np.asarray([end_id], "<u4").tobytes()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
@@ -150,7 +156,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, width:
         files.create_dir(base, recursive=True)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zst"
-        writer, n_docs, n_tokens = None, 0, 0
+        writer, n_docs, n_tokens, known = None, 0, 0, []
         with files.open_output_stream(f"{base}/{name}", compression=None) as out:
             writer = FrameWriter(out, width)
             for batch in batches:
@@ -158,13 +164,17 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, width:
                     ids = np.frombuffer(encode(text) + end, "<u4")
                     writer.add(None if pd.isna(doc_id) else int(doc_id), ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
+                    if not pd.isna(doc_id):
+                        # Rows come in order: the first id and the latest one.
+                        known = [*known[:1], int(doc_id)]
             writer.close()
         if not n_docs:
             files.delete_file(f"{base}/{name}")
         else:
-            yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens],
+                                "first_id": pd.array(known[:1] or [None], "Int64"), "last_id": pd.array(known[-1:] or [None], "Int64")})
 
-    manifest = ranged.mapInPandas(write, "part int, file string, n_docs long, n_tokens long")
+    manifest = ranged.mapInPandas(write, "part int, file string, n_docs long, n_tokens long, first_id long, last_id long")
     target = f"{folder.rstrip('/')}/manifest-{uuid.uuid4().hex}"
     manifest.write.parquet(target)
     return spark.read.parquet(target)
@@ -203,19 +213,27 @@ def read_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFra
 def read_documents(spark: SparkSession, manifest: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     """doc_id and ids (array) of the documents named in ``wanted``; only their frames are decompressed.
 
-    Ids that no file holds give no row; repeated rows of a document are all returned.
+    Ids that no file holds give no row; repeated rows of a document are all returned, a null id none. Wanted ids meet
+    the manifest, one row a file, by their range, and each task gets those of its files in slices of ``SLICE``
+    or so; nothing of them passes the driver.
     """
-    chosen = json.dumps(sorted({int(r[0]) for r in wanted.select("doc_id").where("doc_id is not null").distinct().collect()}))
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    held = manifest.select("file", "first_id", "last_id")
+    aimed = ids.join(held, (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("last_id"))).select("file", "doc_id")
+    slices = aimed.groupBy("file").agg(F.ceil(F.count("*") / SLICE).alias("n"))
+    dealt = aimed.join(slices, "file").groupBy("file", F.pmod(F.xxhash64("doc_id"), F.col("n")).alias("slice")).agg(
+        F.collect_list("doc_id").alias("ids")
+    )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = store(folder)
-        asked = set(json.loads(chosen))
         for batch in batches:
-            for name in batch["file"]:
+            for name, some in zip(batch["file"], batch["ids"]):
+                asked = set(some)
                 with files.open_input_file(f"{base}/{name}") as file:
                     reader = FrameReader(file, file.size())
                     places = [i for i, d in enumerate(reader.doc_ids) if d in asked]
                     for d, x in reader.ids(places):
                         yield pd.DataFrame({"doc_id": [d], "ids": [x.astype(np.int64)]})
 
-    return manifest.select("file").mapInPandas(read, "doc_id long, ids array<long>")
+    return dealt.select("file", "ids").mapInPandas(read, "doc_id long, ids array<long>")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import worker_state
+from ragspark.llm.common import fresh, worker_state
 from ragspark.llm.components import components
 from ragspark.session import materialise, written
 
@@ -393,5 +393,6 @@ def keep_first(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataF
     """
     label = near_duplicates(docs, size, threshold)
     # Only what goes is listed, so a plan may send the short list to the documents.
-    gone = label.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = label.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import BLANKS, bind
+from ragspark.llm.common import BLANKS, bind, fresh
 from ragspark.session import materialise
 
 DOC = ["_d", "_h"]
@@ -102,7 +102,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = 50, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with the later copies of repeated runs deleted, plus ``_removed`` (deleted lines, array) at the end.
+    """``docs`` with the later copies of repeated runs deleted, plus ``_removed`` (deleted lines, array) at the end, with more
+    underscores if there is such a column already.
 
     Texts without a deletion, null ones too, stay as they are. With
     ``drop_emptied`` a document that consisted of later copies alone goes. Other columns
@@ -119,4 +120,4 @@ def dedup(docs: DataFrame, min_words: int = 50, drop_emptied: bool = False) -> D
         rows = rows.where(F.col("_removed").isNull() | (F.size("_left") > 0))
     kept = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.concat_ws("\n", "_left"))
     rows = rows.withColumn(text, kept).select(*safe, F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
-    return rows.toDF(*docs.columns, "_removed")
+    return rows.toDF(*docs.columns, fresh(docs, "_removed"))

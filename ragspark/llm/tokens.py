@@ -13,19 +13,20 @@ class WordCache(dict):
     """Word -> bytes of its ids (little-endian 32 bits), of bounded size.
 
     Frequent words come early, so a full cache keeps what it has. Plain words are
-    kept in lower case and apart from the punctuation after them, which such
-    tokenizers separate anyway.
+    kept apart from the punctuation after them, which such tokenizers separate anyway. Where the
+    tokenizer folds case, words of ASCII letters are kept in lower case; no other word is,
+    as added tokens are found before case is folded.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], list[int]], folds: bool, most: int = 400_000):
         super().__init__()
-        self._encode, self._most = encode, most
+        self._encode, self._folds, self._most = encode, folds, most
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(".,!?;:")
-        low = core.lower() if core.isascii() else core
-        if core and core != word and core[-1].isalpha():
+        low = core.lower() if self._folds and core.isascii() and core.isalpha() else core
+        if core != word and core.isalpha():
             out = self[low] + self[word[len(core):]]
         elif low != word and core == word:
             out = self[low]
@@ -53,22 +54,29 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     """
     caches = worker_state().setdefault("words", {})
     if path not in caches:
-        caches[path] = WordCache(_word_encoder(path))
+        caches[path] = WordCache(*_word_encoder(path))
     cache = caches[path]
     return lambda text: b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def _word_encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of one word. A Latin word of letters is one unit of the merges, so it skips normalising and splitting."""
+def vocabulary(path: str) -> int:
+    """Number of ids of a tokenizer file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
+def _word_encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
+    """Ids of one word, and whether case is folded. A Latin word of letters is one unit of the merges, so it skips normalising and splitting."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
     kinds = lambda part: {part["type"], *(x["type"] for k in ("pretokenizers", "normalizers") for x in part.get(k, []))}
+    folds = bool(parts["normalizer"]) and "Lowercase" in kinds(parts["normalizer"])
     direct = (
-        parts["model"]["type"] == "BPE" and parts["normalizer"] and "Lowercase" in kinds(parts["normalizer"])
-        and parts["pre_tokenizer"] and "ByteLevel" in kinds(parts["pre_tokenizer"])
+        parts["model"]["type"] == "BPE" and folds and parts["pre_tokenizer"] and "ByteLevel" in kinds(parts["pre_tokenizer"])
     )
     model, shown = tokenizer.model, _byte_letters()
 
@@ -81,7 +89,7 @@ def _word_encoder(path: str) -> Callable[[str], list[int]]:
                 return [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(shown))]
         return tokenizer.encode(word, add_special_tokens=False).ids
 
-    return encode
+    return encode, folds
 
 
 def _byte_letters() -> dict[int, int]:
