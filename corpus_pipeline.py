@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linedup.dedup(docs, drop_emptied=True)
     # The column counts the characters of the text, which has changed where lines went.
     if "n_chars" in docs.columns:
-        changed = F.size("_removed") > 0
+        changed = F.size(out.columns[-1]) > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
