@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark import fixed
-from ragspark.operators.ranking import row_numbers
+from ragspark.operators.ranking import number_rows
 from ragspark.operators.references import is_core
 
 # --- elements and defaults ------------------------------------------------------------
@@ -155,9 +155,13 @@ def last_per_seed(rows: DataFrame, ord_col: str = "ord", key: str = "seed_id") -
     return kept.select(key, "_row.*", ord_col)
 
 
-def renumber(rows: DataFrame, prefix: str, out: str, ord_col: str = "ord", bucket_rows: int = 65536) -> DataFrame:
-    """Sequential ids ``q001`` … in the order of an integer column, without one global sort."""
-    numbered = row_numbers(rows, [], F.floor(F.col(ord_col) / bucket_rows), [F.col(ord_col)], "_n")
+def renumber(rows: DataFrame, prefix: str, out: str, ord_col: str = "ord", bucket_rows: int | None = None) -> DataFrame:
+    """Sequential ids ``q001`` … in the order of a column of any sortable type, without one global sort.
+
+    ``bucket_rows`` is the size of a range that is sorted at once; without it there are as many as shuffle partitions.
+    """
+    ranges = None if bucket_rows is None else max(1, -(-rows.count() // bucket_rows))
+    numbered = number_rows(rows, [], [F.col(ord_col)], "_n", ranges)
     digits = F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
     return numbered.withColumn(out, F.concat(F.lit(prefix), digits)).drop("_n")
 

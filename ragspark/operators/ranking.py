@@ -32,6 +32,27 @@ def row_numbers(df: DataFrame, group: list[str], bucket: Column, order: list[Col
     return joined.select(*kept, (F.col("_pos") + F.col("_offset")).cast("long").alias(out))
 
 
+def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, partitions: int | None = None) -> DataFrame:
+    """1-based position of each row in its group, in an order of any type: time stamps, sparse keys, several columns.
+
+    Rows are dealt into ranges of (group, order) and sorted there, so a group of any size spreads over as many ranges as it
+    fills; a row's number is its place in the range plus the rows of its group in earlier ranges. Only those counts, one row a
+    range and group, are added up in order. ``order`` should tell rows apart: equal rows stay in one range, in any order.
+    """
+    spark = df.sparkSession
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(g).asc_nulls_first() for g in group], *order]
+    # The id counts rows within a range; written down, ranges and ids stay what they are.
+    dealt = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(dealt).withColumn("_range", F.shiftright("_id", 33))
+    keys = [*group, "_range"]
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    offsets = counts.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    joined = placed.alias("l").join(offsets.alias("o"), [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_id") + F.col("_offset")).cast("long").alias(out))
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
     """Rows ranked at most ``limit`` in their group, with ``rank``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ragspark import fixed
@@ -9,6 +11,7 @@ from ragspark.functions.text import clean_text, links, slug, truncate, word_coun
 from ragspark.operators import chunking, packers, sections
 from ragspark.operators.references import is_core
 from ragspark.queries.registry import query
+from ragspark.session import shared_folder
 from ragspark.sources import corpus, records
 
 STRIP = r"'^\s+|\s+$', '', 'g'"
@@ -104,6 +107,18 @@ def structure_chunks_table_function(t):
     )
 
 
+@query("provisions_in_file_order", """
+SELECT doc_id::VARCHAR AS provision_id, source AS section, row_number() OVER (ORDER BY doc_id) - 1 AS ord, md5(text) AS text_md5
+FROM documents""")
+def provisions_in_file_order(t):
+    """Documents as JSON lines without a position, in several files, and loaded again in their order."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/ragspark/{uuid.uuid4().hex}"
+    lines = _as_provisions(t).repartitionByRange(5, "ord").sortWithinPartitions("ord").drop("ord")
+    lines.write.json(folder)
+    loaded = corpus.load_provisions(t.spark, folder)
+    return loaded.select("provision_id", "section", "ord", F.md5("text").alias("text_md5"))
+
+
 BY_SOURCE_SQL = rf"""
 WITH RECURSIVE lines AS (
   SELECT source, doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), {STRIP}) AS body FROM documents),

@@ -5,6 +5,8 @@ A source is a session and a document one of its turns, so sessions are large.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ragspark import fixed
@@ -13,7 +15,8 @@ from ragspark.functions.pii import only
 from ragspark.operators import audit, pii_eval, redaction
 from ragspark.plans import conversation
 from ragspark.queries.registry import query
-from ragspark.session import materialise
+from ragspark.session import materialise, shared_folder
+from ragspark.streaming import sessions
 
 KEY = b"ragspark-demo-key"
 
@@ -38,7 +41,11 @@ found AS (SELECT * FROM emails UNION ALL SELECT * FROM cards)
 
 
 def _texts(t):
-    return t.documents.select(
+    return _as_texts(t.documents)
+
+
+def _as_texts(documents):
+    return documents.select(
         F.col("source").alias("session_id"), F.col("doc_id").alias("turn"), F.lit(0).alias("pass_no"), "text"
     )
 
@@ -113,18 +120,34 @@ def redact_counts_all(t):
     return redaction.detection_totals(texts, ["session_id"])
 
 
-@query("redact_vault", f"""
+VAULT_SQL = f"""
 WITH {FOUND_SQL},
 f AS (SELECT source, lower(value) AS key, arg_min(value, (doc_id, det, pos)) AS value, arg_min(entity_type, (doc_id, det, pos)) AS entity_type,
              min((doc_id, det, pos)) AS first_seen FROM found GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY source, entity_type ORDER BY first_seen) AS n FROM f)
-SELECT source AS session_id, entity_type, n, '[' || entity_type || '_' || n || ']' AS token, value FROM n""")
+SELECT source AS session_id, entity_type, n, '[' || entity_type || '_' || n || ']' AS token, value FROM n"""
+
+
+@query("redact_vault", VAULT_SQL)
 def redact_vault(t):
     """Token per distinct value and session, numbered by first sight."""
     vault = redaction.redact(_texts(t), only("EMAIL", "CARD")).vault
     return vault.select("session_id", "entity_type", "n", "token", "value")
 
 
+@query("vault_stream", VAULT_SQL)
+def vault_stream(t):
+    """The same vault by the stream: documents as turns, tokens as they were issued."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/ragspark/{uuid.uuid4().hex}"
+    turns = _as_texts(t.stream("documents"))
+    issued = sessions.redact_stream(turns, only("EMAIL", "CARD")).select("session_id", F.explode("issued").alias("i")).select(
+        "session_id", "i.entity_type", "i.n", "i.token", "i.value"
+    )
+    issued.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(
+        f"{folder}/vault").awaitTermination()
+    return t.spark.read.schema(issued.schema).parquet(f"{folder}/vault")
+
+
 @query("redact_roundtrip", "SELECT doc_id AS turn, md5(text) AS text_md5 FROM documents")
 def redact_roundtrip(t):
     """All detectors, then re-identification: every text comes back."""

@@ -22,6 +22,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files."""
+        # A pattern fits a table that is one file as well as one that is a folder.
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(f"{self._folder}/{name}.parque[t]")
+
     def spread(self, name: str) -> DataFrame:
         """A table whose rows are about to go through expensive expressions."""
         return spread(getattr(self, name))

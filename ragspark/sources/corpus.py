@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark import fixed, schemas
 from ragspark.functions.text import links
+from ragspark.operators.ranking import number_rows
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +58,21 @@ def read_provisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROVISIONS).json(path)
 
 
+def load_provisions(spark: SparkSession, path: str) -> DataFrame:
+    """Provision records from JSON lines in the order of the files, as the scraper wrote them: ``ord`` from 0.
+
+    The lines carry no position. It comes from the reader: the file's path, the start of the split in the file and the
+    row's place in the split. So files may be many, large and read in any order.
+    """
+    plain = read_provisions(spark, path).drop("ord")
+    placed = plain.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    numbered = number_rows(placed, [], [F.col("_file"), F.col("_split"), F.col("_row")], "_n")
+    return numbered.withColumn("ord", F.col("_n") - 1).drop("_file", "_split", "_row", "_n")
+
+
 def write_store(table: DataFrame, path: str, partition: str | None = "arm") -> None:
     """Overwrite a section or chunk table, partitioned by arm."""
     writer = table.write.mode("overwrite")
