@@ -39,6 +39,8 @@ LOOK_BACK = 15
 SUMMED = 40
 #: Hashes a task holds before it counts them, and rows of a batch it hands on.
 HELD, PORTION = 1 << 21, 1 << 15
+#: Splits that a task of the last pass reads, where there are more than cores.
+GATHERED = 8
 
 
 def _tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -204,7 +206,10 @@ def counts(chunks: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
                             "phrase": phrase.cast(pa.string()), "f": times.astype(np.int64),
                         })
 
-    return chunks.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    # Tasks of several splits: more copies of a phrase merge before they are shuffled.
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, chunks.rdd.getNumPartitions() // GATHERED)
+    counted = chunks.coalesce(tasks).mapInArrow(run, "lang string, k int, phrase string, f long")
+    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
