@@ -63,71 +63,73 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column], limit:
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
-def latency_stats(df: DataFrame, group: list[str], value: str, accuracy: int = 10000) -> DataFrame:
+def latency_stats(df: DataFrame, group: list[str], value: str, bins: int = 4096, few: int = 100_000) -> DataFrame:
     """Mean, median, p95, min and max per group, exact.
 
-    p95 is the value at 0-based rank ``min(floor(0.95 n), n - 1)``. A sketch
-    brackets the wanted ranks; only values inside the brackets are counted one
-    by one, everything else collapses into three counters per group. A group
-    whose rank escapes its bracket is counted in full.
+    p95 is the value at 0-based rank ``min(floor(0.95 n), n - 1)``. The three ranks
+    are found by :func:`_at_ranks`, all groups and ranks in the same passes.
     """
     if not group:
-        return latency_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, accuracy).drop("_all")
+        return latency_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, bins, few).drop("_all")
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull()).select(*group, v.alias("_v"))
-    slack = 2.0 / accuracy
-    marks = F.array(*[F.lit(q) for q in (0.5 - slack, 0.5 + slack, 0.95 - slack, min(1.0, 0.95 + slack))])
-    # Written down, the sketch is not recomputed by the joins below, and its known
-    # size lets the planner decide whether it can be broadcast to the rows.
-    sketch = materialise(rows.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.avg("_v").alias("mean_ms"),
-        F.min("_v").alias("min_ms"),
-        F.max("_v").alias("max_ms"),
-        F.percentile_approx("_v", marks, accuracy).alias("_m"),
+    stats = materialise(rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean_ms"), F.min("_v").alias("min_ms"), F.max("_v").alias("max_ms"),
     ))
-    bounded = sketch.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_m"
-    )
-    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    m = [F.element_at("_m", i + 1) for i in range(4)]
-    zone = (
-        F.when(F.col("_v") < m[0], 0).when(F.col("_v") <= m[1], 1)
-        .when(F.col("_v") < m[2], 2).when(F.col("_v") <= m[3], 3).otherwise(4)
-    )
-    zoned = rows.join(bounded, same).withColumn("_zone", zone)
-    picked = _pick(zoned, sketch, group, F.col("_zone").isin(1, 3))
-    missed = picked.where(F.col("_median").isNull() | F.col("p95_ms").isNull()).select(*group)
-    again = rows.alias("r").join(
-        missed.alias("m"), [F.col(f"r.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group], "left_semi"
-    )
-    full = _pick(again.withColumn("_zone", F.lit(1)), sketch, group, F.lit(True))
-    found = picked.where(F.col("_median").isNotNull() & F.col("p95_ms").isNotNull()).unionByName(full)
-    return found.select(
-        *group, "n", "mean_ms", F.col("_median").alias("median_ms"), "p95_ms", "min_ms", "max_ms"
+    n = F.col("n")
+    ranks = {"lo": F.floor((n - 1) / 2), "hi": F.floor(n / 2), "p95": F.least(F.floor(n * F.lit(0.95)), n - 1)}
+    asked = stats.select(*group, F.col("n").alias("_c"), F.col("min_ms").alias("_a"), F.col("max_ms").alias("_b"),
+                         F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), r.cast("long").alias("_r")) for k, r in ranks.items()])).alias("_q"))
+    found = _at_ranks(rows, asked.select(*group, "_c", "_a", "_b", "_q.*"), group, bins, few)
+    wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_{k}") for k in ranks])
+    both = stats.alias("s").join(wide.alias("f"), _same("s", "f", group))
+    return both.select(
+        *[F.col(f"s.{g}") for g in group], "n", "mean_ms", ((F.col("_lo") + F.col("_hi")) / 2).alias("median_ms"),
+        F.col("_p95").alias("p95_ms"), "min_ms", "max_ms",
     )
 
 
-def _pick(zoned: DataFrame, sketch: DataFrame, group: list[str], listed: Column) -> DataFrame:
-    """Values at the median and p95 ranks from per-value counts; null where a rank is not listed."""
-    counts = (
-        zoned.select(*group, "_zone", F.when(listed, F.col("_v")).alias("_v"))
-        .groupBy(*group, "_zone", "_v").agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*group).orderBy("_zone", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    n = F.col("_n")
-    ranks = {
-        "_lo": F.floor((n - 1) / 2),
-        "_hi": F.floor(n / 2),
-        "p95_ms": F.least(F.floor(n * F.lit(0.95)), n - 1),
-    }
-    ranked = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(whole))
-    hit = {k: (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")) for k, r in ranks.items()}
-    found = ranked.groupBy(*group).agg(*[F.max(F.when(h, F.col("_v"))).alias(k) for k, h in hit.items()])
-    s, f = sketch.drop("_m").alias("s"), found.alias("f")
-    joined = s.join(f, [F.col(f"s.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group])
-    return joined.select(
-        *[F.col(f"s.{g}") for g in group], "n", "mean_ms", "min_ms", "max_ms",
-        ((F.col("_lo") + F.col("_hi")) / 2).alias("_median"), "p95_ms",
-    )
+def _same(a: str, b: str, keys: list[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+
+def _at_ranks(rows: DataFrame, asked: DataFrame, group: list[str], bins: int, few: int) -> DataFrame:
+    """Values ``_v`` of ``rows(group, _v)`` at the 0-based ranks ``asked(group, _k, _r, _c, _a, _b)``: group, _k, _v.
+
+    Every rank starts with the whole group: ``_c`` values from ``_a`` to ``_b``. A pass counts
+    the values of all intervals by bins of equal width and moves each rank into its bin, whose smallest and largest value
+    become the next interval; the rank then counts from the first value there. An interval of at most ``few`` values is
+    counted by value instead, and an interval of one value is the answer. The counts combine map-side, and no window holds more
+    than ``max(bins, few)`` rows of an interval. Each pass separates the smallest from the largest value, so the loop ends.
+    """
+    largest = 1.7976931348623157e308
+    # Infinite values and NaN are beyond the bins and get bins of their own.
+    v, a, b = F.col("_v"), F.greatest(F.col("_a"), F.lit(-largest)), F.least(F.col("_b"), F.lit(largest))
+    # Halves, because the difference of the ends may overflow; it is zero only where the ends differ by less than a half can say.
+    width = b / 2 - a / 2
+    bin_at = F.least(F.floor((v / 2 - a / 2) / width * bins), F.lit(bins - 1)).cast("double")
+    inside = F.when(F.isnan("_v"), bins + 1.0).when(v > b, bins + 0.0).when(v < a, -1.0).otherwise(bin_at)
+    # The end of the type itself, met as a value, and the values of a narrow interval stay what they are.
+    by_value = (F.col("_c") <= few) | (width <= 0)
+    state = asked
+    while True:
+        state = materialise(state)
+        open_ranks = state.where("_a <> _b")
+        if open_ranks.isEmpty():
+            return state.select(*group, "_k", F.col("_a").alias("_v"))
+        marks = open_ranks.select(*group, "_a", "_b", "_c").distinct()
+        # At most as many intervals a group as ranks, and no two that overlap, so no row is met twice.
+        inside_of = (F.col("r._v") >= F.col("m._a")) & (F.col("r._v") <= F.col("m._b"))
+        met = rows.alias("r").join(marks.alias("m"), [*_same("r", "m", group), inside_of]).select(
+            *[F.col(f"r.{g}") for g in group], "r._v", "m._a", "m._b", "m._c"
+        )
+        binned = met.withColumn("_bin", F.when(by_value, v).otherwise(inside))
+        counts = binned.groupBy(*group, "_a", "_bin").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy(*group, "_a").orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
+        ended = counts.withColumn("_end", F.sum("_n").over(upto))
+        here = (F.col("_end") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("_end"))
+        moved = open_ranks.alias("o").join(ended.alias("e"), [*_same("o", "e", [*group, "_a"]), here]).select(
+            *[F.col(f"o.{g}") for g in group], F.col("_n").alias("_c"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), "_k",
+            (F.col("_r") - F.col("_end") + F.col("_n")).alias("_r"),
+        )
+        state = state.where("_a = _b").select(*asked.columns).unionByName(moved.select(*asked.columns))

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark import fixed
 from ragspark.functions.text import context_references
+from ragspark.operators.ranking import number_rows
 from ragspark.session import materialise, spread
 
 
-def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """Sections behind each distinct ``ref``: ``ref, section_id``.
+BLOCK = 1024
 
-    A bare module matches by id prefix, a chapter by equality, ``x.y`` by exact
-    id and only without one by prefix. Prefix tests become an equality join: the
-    index is exploded into the prefixes of its short ids that are as long as a
-    reference, so nothing is compared pairwise. ``index(section_id, chapter)``.
-    """
+
+def _targets(refs: DataFrame) -> DataFrame:
+    """Distinct references that name a module, chapter or section: ref, kind, target."""
     text = F.trim("ref")
     module = F.lower(F.regexp_extract(text, r"^(\S+)", 1))
     nums = F.regexp_extract(text, r"^\S+\s+(.*)$", 1)
@@ -29,46 +29,134 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
         F.when(nums == "", "module").when(nums.rlike(r"^\d+[A-Za-z]?$"), "chapter")
         .when(F.size(parts) >= 2, "section")
     )
-    # Three branches and the fallback read the distinct references, so they are written once.
-    wanted = materialise(
-        refs.select("ref").distinct()
-        .select("ref", kind.alias("kind"),
-                F.when(kind == "module", module).when(kind == "chapter", F.concat(module, F.lower(nums)))
-                .otherwise(target).alias("target"))
-        .where(F.col("kind").isNotNull())
-    )
-    by_chapter = wanted.where(F.col("kind") == "chapter").join(
-        index.select(F.col("chapter").alias("target"), "section_id"), "target"
-    )
-    by_id = wanted.where(F.col("kind") == "section").join(
-        index.select(F.col("section_id").alias("target"), "section_id"), "target"
+    return refs.select("ref").distinct().select(
+        "ref", kind.alias("kind"),
+        F.when(kind == "module", module).when(kind == "chapter", F.concat(module, F.lower(nums))).otherwise(target).alias("target"),
+    ).where(F.col("kind").isNotNull())
+
+
+def reference_intervals(refs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections behind each distinct ``ref`` as intervals of a sorted dictionary, and the dictionary.
+
+    The dictionary ``(section_id, place)`` holds every section twice: in byte order of the ids and, apart from
+    that, in order of chapter and id. All ids with a prefix are neighbours there, and so are all of a chapter, so a
+    bare module, however many sections it has, is one interval ``(ref, first, last)``. The ends of
+    the intervals are sorted into the dictionary along with it, hence nothing is compared pairwise, and their places are gaps.
+    ``x.y`` means its exact id and only without one the prefix.
+    """
+    wanted = materialise(_targets(refs))
+    ids = index.where(F.col("section_id").isNotNull())
+    # Keys are bytes: 0xFF is in no UTF-8 text, so it ends a prefix; 0x00 comes right after the target itself.
+    key = lambda space, *parts: F.concat(F.lit(space.encode()), *[F.lit(x) if isinstance(x, bytes) else F.col(x).cast("binary") for x in parts])
+    none = F.lit(None).cast("string")
+    entries = ids.select(key("i", "section_id").alias("key"), "section_id").unionByName(
+        ids.where(F.col("chapter").isNotNull()).select(key("c", "chapter", b"\x00", "section_id").alias("key"), "section_id")
     )
-    # Only prefixes as long as some reference can match; the short ones, which many ids share, go first.
-    # One row per length, so no more rows than the longest reference has characters.
-    lengths = wanted.where(F.col("kind") != "chapter").select(F.length("target").alias("n")).distinct()
-    prefixes = (
-        index.select("section_id", F.explode(F.sequence(F.lit(1), F.length("section_id"))).alias("n"))
-        .join(F.broadcast(lengths), "n")
-        .select("section_id", F.substr("section_id", F.lit(1), F.col("n")).alias("target"))
+    chapter = F.col("kind") == "chapter"
+    ends = {
+        "low": F.when(chapter, key("c", "target", b"\x00")).otherwise(key("i", "target")),
+        "exact": F.when(~chapter, key("i", "target", b"\x00")),
+        "high": F.when(chapter, key("c", "target", b"\x01")).otherwise(key("i", "target", b"\xff")),
+    }
+    probes = wanted.select("ref", "kind", F.explode(F.array(*[F.struct(F.lit(k).alias("end"), v.alias("key")) for k, v in ends.items()])).alias("p"))
+    probes = probes.select("ref", "kind", "p.*").where(F.col("key").isNotNull())
+    both = entries.select("key", "section_id").unionByName(probes.select("key").distinct().select("key", none.alias("section_id")))
+    placed = materialise(number_rows(both, [], [F.col("key"), F.col("section_id").asc_nulls_first()], "place"))
+    at = probes.join(placed.where("section_id IS NULL").select("key", "place"), "key").groupBy("ref", "kind").agg(
+        *[F.max(F.when(F.col("end") == k, F.col("place"))).alias(k) for k in ends]
     )
-    open_refs = wanted.where(F.col("kind") == "module").unionByName(
-        wanted.where(F.col("kind") == "section").join(by_id.select("ref"), "ref", "left_anti")
+    # Ends are distinct, so only sections of that very id can lie between a target and the key right after it.
+    found = (F.col("kind") == "section") & (F.col("exact") - F.col("low") > 1)
+    spans = at.select("ref", (F.col("low") + 1).alias("first"), (F.when(found, F.col("exact")).otherwise(F.col("high")) - 1).alias("last"))
+    return materialise(spans.where("first <= last")), placed.where("section_id IS NOT NULL").select("section_id", "place")
+
+
+def _sections_in(intervals: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of ``intervals(first, last, …)`` for every section inside, with ``section_id``.
+
+    Intervals are cut at blocks of places, so no key of the join has more than one block of sections.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    cut = intervals.withColumn("_block", F.explode(F.sequence(block("first"), block("last"))))
+    blocks = words.select("section_id", "place", block("place").alias("_block"))
+    found = cut.join(blocks, "_block").where("place BETWEEN first AND last")
+    return found.drop("_block", "place", "first", "last")
+
+
+def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """Sections behind each distinct ``ref``: ``ref, section_id``.
+
+    A bare module matches by id prefix, a chapter by equality, ``x.y`` by exact
+    id and only without one by prefix. ``index(section_id, chapter)``.
+    """
+    spans, words = reference_intervals(refs, index)
+    return _sections_in(spans, words).select("ref", "section_id")
+
+
+def _policy_refs(policies: DataFrame) -> DataFrame:
+    refs = spread(policies).select("policy", F.posexplode_outer(context_references(F.col("content"))).alias("ref_ord", "ref"))
+    return materialise(refs.where(F.col("ref").isNotNull()))
+
+
+def _sweep(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """Disjoint intervals that cover the same places, each with the smallest ``ref_ord`` over it."""
+    events = sorted(
+        [(first, 0, o) for first, o in zip(rows["first"], rows["ref_ord"])] + [(last + 1, 1, o) for last, o in zip(rows["last"], rows["ref_ord"])]
     )
-    by_prefix = open_refs.join(prefixes, "target")
-    found = [f.select("ref", "section_id") for f in (by_chapter, by_id, by_prefix)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    alive: dict[int, int] = {}
+    heap: list[int] = []
+    out: list[tuple[int, int, int]] = []
+    at = None
+    for place, ends, o in events:
+        while heap and not alive.get(heap[0]):
+            heapq.heappop(heap)
+        if heap and place > at:
+            # A span goes on where the one before it has the same reference.
+            if out and out[-1][2] == heap[0] and out[-1][1] == at - 1:
+                out[-1] = (out[-1][0], place - 1, heap[0])
+            else:
+                out.append((at, place - 1, heap[0]))
+        at = place
+        alive[o] = alive.get(o, 0) + (-1 if ends else 1)
+        if not ends:
+            heapq.heappush(heap, o)
+    return out
+
+
+def policy_intervals(policies: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per policy the disjoint intervals that its references cover, ``policy, first, last, ref_ord``, and their dictionary.
+
+    ``ref_ord`` is the first reference over the interval. A group holds the references of one policy, never sections.
+    """
+    refs = _policy_refs(policies)
+    by_ref, words = reference_intervals(refs, index)
+    spans = refs.join(by_ref, "ref").select("policy", "first", "last", "ref_ord")
+
+    def disjoint(rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_sweep(rows), columns=["first", "last", "ref_ord"])
+        out.insert(0, "policy", rows["policy"].iloc[0])
+        return out
+
+    policy = policies.schema["policy"].dataType.simpleString()
+    return spans.groupBy("policy").applyInPandas(disjoint, f"policy {policy}, first long, last long, ref_ord int"), words
 
 
 def policy_sections(policies: DataFrame, index: DataFrame) -> DataFrame:
     """Distinct sections per policy with their position: reference order, then index order.
 
-    ``policies(policy, content)``; the position comes from a sortable key, so a
-    policy's sections are never collected.
+    ``policies(policy, content)``. Policies hold intervals until the end, and a section is met at most once by its
+    id and once by its chapter; the position comes from a sortable key, so a policy's sections are never collected.
     """
-    refs = spread(policies).select("policy", F.posexplode_outer(context_references(F.col("content"))).alias("ref_ord", "ref"))
-    refs = materialise(refs.where(F.col("ref").isNotNull()))
-    hits = refs.join(resolve_references(refs, index), "ref")
-    return hits.groupBy("policy", "section_id").agg(F.min("ref_ord").alias("ref_ord"))
+    spans, words = policy_intervals(policies, index)
+    found = _sections_in(spans, words)
+    # A section met both by its id and by its chapter has two places.
+    return found.groupBy("policy", "section_id").agg(F.min("ref_ord").alias("ref_ord"))
+
+
+def referenced_sections(policies: DataFrame, index: DataFrame) -> DataFrame:
+    """Sections that some policy references, each once: intervals of the distinct references, with no row for each policy."""
+    spans, words = reference_intervals(_policy_refs(policies).select("ref"), index)
+    return _sections_in(spans.select("first", "last").distinct(), words).distinct()
 
 
 def is_core(section_id: Column, module: Column | None = None, modules: Sequence[str] = fixed.CORE_MODULES) -> Column:

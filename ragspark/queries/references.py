@@ -196,7 +196,7 @@ GROUP BY module""")
 def section_pool(t):
     """Core sections that some policy references, grouped by module."""
     index = _index(t)
-    pool = references.section_pool(index, references.policy_sections(_policies(t), index))
+    pool = references.section_pool(index, references.referenced_sections(_policies(t), index))
     return pool.groupBy("module").agg(
         F.count("*").alias("n"), F.min("section_id").alias("first_section"), F.max("section_id").alias("last_section")
     )

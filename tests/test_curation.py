@@ -183,3 +183,41 @@ def test_scenario_job(spark, index):
     row = curated.orderBy("scenario_id").first()
     assert (row.scenario_id, row.expected_provision_sections, row.synthetic) == ("c001", ["disp1s2"], True)
     assert "eight_week_timeline" in row.required_response_elements
+
+
+def plain_resolution(ref, ids):
+    """What a reference means, section by section."""
+    module, _, nums = ref.strip().lower().partition(" ")
+    if not nums:
+        return {s for s, _ in ids if s.startswith(module)}
+    if "." not in nums:
+        return {s for s, c in ids if c == module + nums}
+    chapter, section = nums.split(".")[:2]
+    target = f"{module}{chapter}s{section}"
+    return {s for s, _ in ids if s == target} or {s for s, _ in ids if s.startswith(target)}
+
+
+def test_references_by_intervals_on_a_hot_module(spark, rows):
+    # Most sections lie in one module, most policies name it, and one chapter is split by other ids.
+    ids = [(f"sysc{c}s{i}", f"sysc{c}") for c in range(1, 6) for i in range(500)] + [("sysc1s7x", "cobs1"), ("cobs1s1", "cobs1"), ("sys", "sys"), ("syscé1s1", "syscé1")]
+    index = spark.createDataFrame(ids + [("sysc1s8", "cobs1"), (None, "cobs1")], "section_id string, chapter string")
+    every = ids + [("sysc1s8", "cobs1")]
+    names = ["SYSC", "SYSC 1", "SYSC 1.7", "SYSC 1.49", "SYSC 1.4999", "COBS 1", "SYS", "SYSC 9", "NONE", "sysc 2.1"]
+    got = {}
+    for ref, section in rows(references.resolve_references(spark.createDataFrame([(n,) for n in names], "ref string"), index), "ref", "section_id"):
+        got.setdefault(ref, set()).add(section)
+    assert got == {n: w for n in names if (w := plain_resolution(n, every))}
+
+    lists = [["SYSC"], ["SYSC 1", "SYSC"], ["SYSC 1.7", "SYSC 2", "SYSC 1"], ["COBS 1", "SYSC 1"], []] + [["SYSC"]] * 40
+    policies = spark.createDataFrame(
+        [(f"p{i}", "## 1. Regulatory Context\n" + "".join(f"| {r if ' ' in r else f'**{r}**'} " for r in refs) + "|\n## 2. End") for i, refs in enumerate(lists)], "policy string, content string")
+    order = {(p, r): o for p, o, r in references._policy_refs(policies).select("policy", "ref_ord", "ref").collect()}
+    want = {}
+    for (p, r), o in order.items():
+        for s in plain_resolution(r, every):
+            want[p, s] = min(o, want.get((p, s), o))
+    found = {(p, s): o for p, s, o in rows(references.policy_sections(policies, index), "policy", "section_id", "ref_ord")}
+    assert found == want and len(order) == 48
+    # Policies are a few intervals each, not a row for each of their sections.
+    assert references.policy_intervals(policies, index)[0].count() < 60
+    assert rows(references.referenced_sections(policies, index), "section_id") == sorted({(s,) for _, s in want})
