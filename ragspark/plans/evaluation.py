@@ -93,12 +93,13 @@ class Judges:
 
 def run_drafting(
     scenarios: DataFrame, rubric: DataFrame, retrieved: DataFrame, models: Judges,
-    configs: Sequence[str] | None = None, done: DataFrame | None = None,
+    configs: Sequence[str] | None = None, done: DataFrame | None = None, ledger: str | None = None,
 ) -> DraftingInputs:
     """Draft and judge every scenario under every configuration, also where nothing was retrieved.
 
     ``retrieved(RUN, rank, chunk_id, section, content, score)``. Without ``configs`` the
     configurations, a handful, are those found in ``retrieved``. Runs listed in ``done(RUN)`` are left out.
+    ``ledger`` keeps the answers of all models, see :func:`call_model`.
     """
     if configs is None:
         configs = sorted(r[0] for r in retrieved.select("config_label").where("config_label IS NOT NULL").distinct().collect())
@@ -116,7 +117,7 @@ def run_drafting(
         return table.select(*RUN, model_id(F.lit(model)).alias("model"), F.lit(models.system.get(system, "")).alias("system"), prompt.alias("prompt"))
 
     tasks = with_context(work).join(scenarios, "scenario_id")
-    drafted = call_model(asked(tasks, models.draft_model, "draft", prompts.drafting_message(F.col("context"), F.col("scenario_text"))), RUN, models.draft)
+    drafted = call_model(asked(tasks, models.draft_model, "draft", prompts.drafting_message(F.col("context"), F.col("scenario_text"))), RUN, models.draft, ledger)
     parsed = drafted.withColumn("d", F.from_json("raw", DRAFT))
     runs = parsed.select(
         *RUN, "latency_ms",
@@ -133,12 +134,12 @@ def run_drafting(
     message = prompts.rubric_message(F.col("scenario_text"), F.col("response_stage"), response, F.col("elements"))
     # A judge that is switched off gets no rows, so its tables are empty.
     first, second = (
-        call_model(asked(rubric_tasks.where(F.lit(models.rubric_judges > i)), name, "rubric", message), RUN, models.judge)
+        call_model(asked(rubric_tasks.where(F.lit(models.rubric_judges > i)), name, "rubric", message), RUN, models.judge, ledger)
         for i, name in enumerate((models.primary, models.secondary))
     )
     plain = with_context(good, with_score=False).where(F.lit(models.judge_grounding))
     grounding = call_model(
-        asked(plain, models.grounding, "grounding", prompts.grounding_message(response, F.col("context"))), RUN, models.judge
+        asked(plain, models.grounding, "grounding", prompts.grounding_message(response, F.col("context"))), RUN, models.judge, ledger
     )
 
     def verdicts(table):
@@ -159,6 +160,39 @@ def run_drafting(
     )
 
 
+#: Lists of a detail record and their fields; a record holds what belongs to one run, so its lists stay short.
+DETAIL = {
+    "retrieved": "rank int, chunk_id string, section string, content string",
+    "cited": "provision string",
+    "primary": "idx int, element string, status string",
+    "secondary": "idx int, element string, status string",
+    "claims": "source_field string, grounding string",
+    "calls": "label string, model string, input_tokens bigint, output_tokens bigint",
+}
+
+
+def detail_records(x: DraftingInputs) -> DataFrame:
+    """One nested record per run with all that its scores are made of: RUN, latency_ms, error and the lists of ``DETAIL``.
+
+    Equal rows stay as often as they occur; a list without rows is empty. Written once (``records.write_run``), it is all that
+    re-scoring needs beside the scenarios and the rubric.
+    """
+    error = F.col("error") if "error" in x.runs.columns else F.lit(None).cast("string")
+    table = x.runs.select(*RUN, F.col("latency_ms").cast("double").alias("latency_ms"), error.alias("error"))
+    for name, ddl in DETAIL.items():
+        fields = [f.split() for f in ddl.split(", ")]
+        item = F.struct(*[F.col(f).cast(kind).alias(f) for f, kind in fields])
+        table = table.join(getattr(x, name).groupBy(*RUN).agg(F.array_sort(F.collect_list(item)).alias(name)), RUN, "left")
+    empty = {name: f"array<struct<{', '.join(f.replace(' ', ':') for f in ddl.split(', '))}>>" for name, ddl in DETAIL.items()}
+    return table.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in empty.items()})
+
+
+def from_detail(detail: DataFrame, scenarios: DataFrame, rubric: DataFrame) -> DraftingInputs:
+    """Inputs of :func:`score_drafting` from stored records. Each table reads its own column only."""
+    lists = {name: detail.select(*RUN, F.inline(name)) for name in DETAIL}
+    return DraftingInputs(scenarios=scenarios, runs=detail.select(*RUN, "latency_ms", "error"), rubric=rubric, **lists)
+
+
 QA_RUN = ["question_id", "config_label"]
 
 

@@ -175,3 +175,18 @@ def test_conversation(spark, rows):
     asking = spark.createDataFrame([("s", 2)], "session_id string, turn bigint")
     past = rows(conversation.history(done.turns, asking), "past_turn", "role", "text")
     assert past == [(0, "assistant", first.output), (0, "user", "I am [NAME_1]"), (1, "assistant", "ok"), (1, "user", "mail [EMAIL_1]")]
+
+
+def test_rescoring_from_stored_detail(drafting, spark, tmp_path, rows):
+    path = str(tmp_path / "detail")
+    records.write_run(evaluation.detail_records(drafting), path, "20260101_000000")
+    stored = records.read_latest(spark, path)
+    again = evaluation.score_drafting(evaluation.from_detail(stored, drafting.scenarios, drafting.rubric))
+    want = evaluation.score_drafting(drafting)
+    assert again.columns == want.columns and rows(again, *want.columns) == rows(want, *want.columns)
+    # The failed run has a record too, with empty lists.
+    failed = stored.where("scenario_id = 'c002'").first()
+    assert "service down" in failed.error and failed.primary == [] and len(failed.retrieved) == 1 and failed.calls
+    claims = evaluation.from_detail(spark.read.parquet(path), drafting.scenarios, drafting.rubric).claims
+    plan = claims._jdf.queryExecution().executedPlan().toString()
+    assert "claims" in plan and "retrieved" not in plan
