@@ -73,6 +73,41 @@ def retrieved_provision_scores(retrieved: DataFrame, expected: DataFrame, keys:
     return n.withColumn("recall", ratio(F.col("n_present"), F.col("n_expected")))
 
 
+#: Sides a reference of a run can be seen on, as bits.
+CITED, EXPECTED, IN_TEXT = 1, 2, 4
+
+
+def marked(refs: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """References ``(keys, provision)`` by key, on one side."""
+    return _keyed(refs, keys).withColumn("sides", F.lit(side))
+
+
+def marked_text(retrieved: DataFrame, keys: list[str]) -> DataFrame:
+    """Provisions whose rule text is in the retrieved ``content``."""
+    found = retrieved.select(*keys, F.explode_outer(defined_provisions(F.col("content"))).alias("provision"))
+    return found.withColumn("sides", F.lit(IN_TEXT))
+
+
+def provision_scores(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Citation scores, text recall and drafting gap per run, from one table ``(keys, provision, sides)``.
+
+    The sides of a provision are merged bitwise, map-side first, so each input is read once and moves at most one row a run and
+    provision. A run has a row if any side does; a null provision counts nowhere.
+    """
+    merged = marks.groupBy(*keys, "provision").agg(F.bit_or("sides").alias("sides"))
+    on = lambda bits: F.col("provision").isNotNull() & (F.col("sides").bitwiseAND(bits) == bits)
+    n = merged.groupBy(*keys).agg(
+        F.count_if(on(CITED)).alias("n_cited"), F.count_if(on(EXPECTED)).alias("n_expected"), F.count_if(on(IN_TEXT)).alias("n_in_text"),
+        F.count_if(on(CITED | EXPECTED)).alias("n_matched"), F.count_if(on(IN_TEXT | EXPECTED)).alias("n_present"),
+    )
+    precision, recall = ratio(F.col("n_matched"), F.col("n_cited")), ratio(F.col("n_matched"), F.col("n_expected"))
+    text = ratio(F.col("n_present"), F.col("n_expected"))
+    return n.select(
+        "*", precision.alias("precision"), recall.alias("citation_recall"), f1(precision, recall).alias("f1"),
+        text.alias("text_recall"), (text - recall).alias("drafting_gap"),
+    )
+
+
 def drafting_gap(text_scores: DataFrame, citation: DataFrame, keys: list[str]) -> DataFrame:
     """Retrieved-text recall minus citation recall."""
     joined = text_scores.select(*keys, F.col("recall").alias("text_recall")).join(

@@ -78,7 +78,7 @@ def _folder(path: str) -> tuple[fs.FileSystem, str]:
 
 def _file(root: str, name: str) -> str:
     # Folders by the first digits of the hash keep any one of them small.
-    return f"{root.rstrip('/')}/calls/{name[:3]}/{name}.json"
+    return f"{root.rstrip('/')}/calls/{name[:2]}/{name}.json"
 
 
 def _read(spark: SparkSession, path: str, form: str) -> DataFrame:

@@ -50,8 +50,8 @@ def score_drafting(x: DraftingInputs) -> DataFrame:
     asked = per_run.select(*RUN, F.explode("required_response_elements").alias("element"))
     required = metrics.defined_elements(asked, x.rubric.select("key")).select(*RUN, "element")
 
-    citation = metrics.citation_scores(x.cited, expected, RUN)
-    text = metrics.retrieved_provision_scores(x.retrieved, expected, RUN)
+    marks = metrics.marked(x.cited, RUN, metrics.CITED).unionByName(metrics.marked(expected, RUN, metrics.EXPECTED))
+    provisions = metrics.provision_scores(marks.unionByName(metrics.marked_text(x.retrieved, RUN)), RUN)
     section = metrics.section_scores(x.retrieved, sections, RUN)
     coverage = metrics.rubric_scores(required, x.primary, RUN)
     agreement = metrics.rubric_agreement(required, x.primary, x.secondary, RUN)
@@ -63,8 +63,9 @@ def score_drafting(x: DraftingInputs) -> DataFrame:
     for part in (
         coverage.select(*RUN, "coverage", "present_count"), n_required,
         section.select(*RUN, F.col("precision").alias("section_precision"), F.col("recall").alias("section_recall")),
-        citation.select(*RUN, F.col("precision").alias("citation_precision"), F.col("recall").alias("citation_recall")),
-        text.select(*RUN, F.col("recall").alias("retrieved_provision_recall")),
+        provisions.select(
+            *RUN, F.col("precision").alias("citation_precision"), "citation_recall", F.col("text_recall").alias("retrieved_provision_recall")
+        ),
         grounding.select(*RUN, "grounded_pct", "grounded_pct_customer", "grounded_pct_handler", "ungrounded_pct"),
         agreement.select(*RUN, F.col("agreement").alias("inter_judge_agreement")), cost.select(*RUN, "total_cost"),
     ):

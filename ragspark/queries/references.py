@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragspark import fixed
-from ragspark.functions.provisions import parse_provision, provision_key
+from ragspark.functions.provisions import defined_provisions, parse_provision, provision_key
 from ragspark.functions.text import policy_references
 from ragspark.operators import curation, metrics, references
 from ragspark.queries.registry import query
@@ -95,11 +95,18 @@ SELECT run_id, round(coalesce(nd / nullif(ne, 0), 0.0), 6) AS text_recall, round
        round(coalesce(nd / nullif(ne, 0), 0.0) - coalesce(nc / nullif(ne, 0), 0.0), 6) AS drafting_gap FROM n""")
 def drafting_gap(t):
     """Text recall against citation recall; discounted lines are the ones whose rule text was retrieved."""
-    lines, cited, expected = _line_sets(t)
     header = F.concat(F.lit("## "), provision_key(F.col("provision")), F.lit(" (Rules) text, see DISP 9.9.9 R (2)"))
-    retrieved = lines.where("l_discount >= 0.05").select("run_id", header.alias("content"))
-    text = metrics.retrieved_provision_scores(retrieved, expected, ["run_id"])
-    gap = metrics.drafting_gap(text, metrics.citation_scores(cited, expected, ["run_id"]), ["run_id"])
+    sides = F.when(F.col("l_linestatus") == "F", metrics.CITED).otherwise(0) + F.when(F.col("l_quantity") >= 25, metrics.EXPECTED).otherwise(0)
+    # A spelling of a run is read once, whatever sides it is on, and so is the text it stands for.
+    seen = _line_sets(t)[0].groupBy("run_id", "provision").agg(
+        F.bit_or(sides).alias("sides"), F.max(F.col("l_discount") >= 0.05).alias("retrieved")
+    )
+    texts = F.when(F.col("retrieved"), defined_provisions(header))
+    named = F.when(F.col("sides") > 0, F.array(F.struct(provision_key(F.col("provision")).alias("provision"), "sides")))
+    in_text = F.transform(texts, lambda p: F.struct(p.alias("provision"), F.lit(metrics.IN_TEXT).alias("sides")))
+    none = F.array().cast("array<struct<provision:string,sides:int>>")
+    marks = seen.select("run_id", F.explode_outer(F.concat(F.coalesce(named, none), F.coalesce(in_text, none))).alias("m"))
+    gap = metrics.provision_scores(marks.where(F.col("m").isNotNull()).select("run_id", "m.*"), ["run_id"])
     return gap.select("run_id", *[F.round(c, 6).alias(c) for c in ("text_recall", "citation_recall", "drafting_gap")])
 
 

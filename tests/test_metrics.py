@@ -161,3 +161,25 @@ def test_one_run_may_hold_all_rows(spark):
         assert {k: got[k] for k in want} == want
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "partial_" in plan and not any(bad in plan for bad in ("SortAggregate", "Window", "collect_", "Cartesian", "NestedLoop")), plan
+
+
+def test_provision_scores_in_one_pass_equal_the_separate_ones(spark):
+    import random
+
+    rng = random.Random(7)
+    def refs(n):
+        return spark.createDataFrame(
+            [(rng.choice(["a", "b", "c", "d"]), rng.choice(["DISP 1.2.1R", "disp  1.2.1", "DISP 1.2.2", "SYSC 3.1.1G", None, "none"])) for _ in range(n)],
+            "run string, provision string")
+    cited, expected = refs(40).where("run <> 'd'"), refs(25).where("run <> 'c'")
+    text = spark.createDataFrame([("a", "## DISP 1.2.2 (Rules)\n\nx"), ("e", "nothing"), ("d", "## SYSC 3.1.1 (Guidance)\n\ny")], "run string, content string")
+    marks = metrics.marked(cited, ["run"], metrics.CITED).unionByName(metrics.marked(expected, ["run"], metrics.EXPECTED))
+    got = {r.run: r for r in metrics.provision_scores(marks.unionByName(metrics.marked_text(text, ["run"])), ["run"]).collect()}
+    assert set(got) == set("abcde")
+    for r in metrics.citation_scores(cited, expected, ["run"]).collect():
+        g = got[r.run]
+        assert (g.n_cited, g.n_expected, g.n_matched, g.precision, g.citation_recall, g.f1) == (r.n_cited, r.n_expected, r.n_matched, r.precision, r.recall, r.f1)
+    for r in metrics.retrieved_provision_scores(text, expected, ["run"]).collect():
+        g = got[r.run]
+        assert (g.n_in_text, g.n_present, g.text_recall) == (r.n_in_text, r.n_present, r.recall)
+        assert g.drafting_gap == g.text_recall - g.citation_recall
