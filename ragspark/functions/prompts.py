@@ -52,6 +52,13 @@ def grounding_message(drafted: Column, context: Column) -> Column:
     )
 
 
+def question_message(context: Column, question: Column) -> Column:
+    return F.concat(
+        F.lit("Retrieved context:\n\n"), context, F.lit("\n\n---\n\nQuestion: "), question,
+        F.lit("\n\nAnswer from this context only. Return a JSON object with keys answer, citations (chunk ids), confidence, insufficient_context."),
+    )
+
+
 def claims_message(question: Column, answer: Column, context: Column) -> Column:
     return F.concat(
         F.lit("QUESTION:\n"), question, F.lit("\n\nANSWER:\n"), answer, F.lit("\n\nRETRIEVED CONTEXT:\n\n"), context,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,10 +98,10 @@ def _policy_refs(policies: DataFrame) -> DataFrame:
     return materialise(refs.where(F.col("ref").isNotNull()))
 
 
-def _sweep(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+def _sweep(spans: Iterable[dict]) -> list[tuple[int, int, int]]:
     """Disjoint intervals that cover the same places, each with the smallest ``ref_ord`` over it."""
     events = sorted(
-        [(first, 0, o) for first, o in zip(rows["first"], rows["ref_ord"])] + [(last + 1, 1, o) for last, o in zip(rows["last"], rows["ref_ord"])]
+        [(s["first"], 0, s["ref_ord"]) for s in spans] + [(s["last"] + 1, 1, s["ref_ord"]) for s in spans]
     )
     alive: dict[int, int] = {}
     heap: list[int] = []
@@ -132,13 +132,14 @@ def policy_intervals(policies: DataFrame, index: DataFrame) -> tuple[DataFrame,
     by_ref, words = reference_intervals(refs, index)
     spans = refs.join(by_ref, "ref").select("policy", "first", "last", "ref_ord")
 
-    def disjoint(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_sweep(rows), columns=["first", "last", "ref_ord"])
-        out.insert(0, "policy", rows["policy"].iloc[0])
-        return out
+    # One row a policy with the intervals of its references, and batches of policies, as a Python group for each would cost far more.
+    @F.pandas_udf("array<struct<first:long,last:long,ref_ord:int>>")
+    def disjoint(spans: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("first", "last", "ref_ord"), s)) for s in _sweep(x)] for x in spans])
 
-    policy = policies.schema["policy"].dataType.simpleString()
-    return spans.groupBy("policy").applyInPandas(disjoint, f"policy {policy}, first long, last long, ref_ord int"), words
+    held = spans.groupBy("policy").agg(F.collect_list(F.struct("first", "last", "ref_ord")).alias("spans"))
+    # The outer form keeps the optimiser from sweeping twice.
+    return held.select("policy", F.explode_outer(disjoint("spans")).alias("s")).select("policy", "s.*"), words
 
 
 def policy_sections(policies: DataFrame, index: DataFrame) -> DataFrame:

@@ -197,6 +197,82 @@ def from_detail(detail: DataFrame, scenarios: DataFrame, rubric: DataFrame) -> D
 QA_RUN = ["question_id", "config_label"]
 
 
+ANSWER = "struct<answer:string,citations:array<string>,confidence:string,insufficient_context:boolean>"
+
+
+@dataclass
+class QuestionModels:
+    """Injected models of the question run; names are presets or ids."""
+
+    answer: ModelFn
+    judge: ModelFn
+    answer_model: str = "sonnet"
+    primary: str = "opus"
+    secondary: str = "gpt-oss"
+    system: dict[str, str] = field(default_factory=dict)  # answer, claims
+    judges: int = 2  # 1: the primary one only, 0: none
+
+
+@dataclass
+class QuestionRuns:
+    """Stored results of question runs; all but ``answers`` are inputs of :func:`score_questions`."""
+
+    runs: DataFrame       # QA_RUN, latency_ms, error
+    answers: DataFrame    # QA_RUN, answer, confidence, insufficient_context
+    citations: DataFrame  # QA_RUN, chunk_id
+    primary: DataFrame    # QA_RUN, idx, grounding
+    secondary: DataFrame  # same
+    calls: DataFrame      # QA_RUN, label, model, input_tokens, output_tokens
+
+
+def run_questions(
+    questions: DataFrame, retrieved: DataFrame, models: QuestionModels, configs: Sequence[str],
+    done: DataFrame | None = None, ledger: str | None = None,
+) -> QuestionRuns:
+    """Answer and judge ``questions(question_id, question)`` under every configuration, also where nothing was retrieved.
+
+    ``retrieved(QA_RUN, rank, chunk_id, section, content, score)``. Runs in ``done(QA_RUN)`` are left out. A failed or unreadable
+    answer is a run with an error, which no judge sees. ``ledger`` keeps the answers of all models.
+    """
+    labels = F.array(*[F.lit(c) for c in configs]).cast("array<string>")
+    work = questions.select("question_id", "question", F.explode(labels).alias("config_label"))
+    if done is not None:
+        work = work.join(done.select(*QA_RUN), QA_RUN, "left_anti")
+        retrieved = retrieved.join(done.select(*QA_RUN), QA_RUN, "left_anti")
+
+    def asked(table, model, system, prompt):
+        return table.select(*QA_RUN, model_id(F.lit(model)).alias("model"), F.lit(models.system.get(system, "")).alias("system"), prompt.alias("prompt"))
+
+    blocks = materialise(retrieval.context_blocks(retrieved, QA_RUN))
+    tasks = work.join(blocks, QA_RUN, "left").withColumn("context", F.coalesce("context", F.lit("")))
+    answered = call_model(asked(tasks, models.answer_model, "answer", prompts.question_message(F.col("context"), F.col("question"))), QA_RUN, models.answer, ledger)
+    read = F.try_variant_get(responses.json_document(F.col("raw")), "$", ANSWER)
+    parsed = materialise(answered.withColumn("a", read).select(
+        *QA_RUN, "latency_ms", F.coalesce("error", F.when(F.col("a.answer").isNull(), "response could not be read")).alias("error"), "a.*"
+    ))
+    good = parsed.where(F.col("error").isNull())
+    plain = tasks.join(good.select(*QA_RUN, "answer"), QA_RUN)
+    message = prompts.claims_message(F.col("question"), F.col("answer"), F.col("context"))
+    # A judge that is switched off gets no rows, so its tables are empty.
+    graded = [
+        call_model(asked(plain.where(F.lit(models.judges > i)), name, "claims", message), QA_RUN, models.judge, ledger)
+        for i, name in enumerate((models.primary, models.secondary))
+    ]
+
+    def claims(table):
+        rows = table.select(*QA_RUN, F.posexplode_outer(responses.claims(F.col("raw"))).alias("idx", "c")).where(F.col("c").isNotNull())
+        return rows.select(*QA_RUN, "idx", "c.grounding")
+
+    calls = usage_calls(answered, QA_RUN, "generation")
+    for label, table in zip(("judge_primary", "judge_secondary"), graded):
+        calls = calls.unionByName(usage_calls(table, QA_RUN, label))
+    return QuestionRuns(
+        runs=parsed.select(*QA_RUN, "latency_ms", "error"), answers=good.select(*QA_RUN, "answer", "confidence", "insufficient_context"),
+        citations=good.select(*QA_RUN, F.explode("citations").alias("chunk_id")),
+        primary=claims(graded[0]), secondary=claims(graded[1]), calls=calls,
+    )
+
+
 def score_questions(
     questions: DataFrame, runs: DataFrame, retrieved: DataFrame, citations: DataFrame,
     primary: DataFrame, secondary: DataFrame, calls: DataFrame,

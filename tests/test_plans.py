@@ -190,3 +190,43 @@ def test_rescoring_from_stored_detail(drafting, spark, tmp_path, rows):
     claims = evaluation.from_detail(spark.read.parquet(path), drafting.scenarios, drafting.rubric).claims
     plan = claims._jdf.queryExecution().executedPlan().toString()
     assert "claims" in plan and "retrieved" not in plan
+
+
+def answer_model(model, system, prompt):
+    if "second question" in prompt:
+        raise RuntimeError("service down")
+    if "third question" in prompt:
+        return {"text": "no object"}
+    found = "x" if "chunk text" in prompt else "nothing"
+    return {"text": "Here:\n" + json.dumps({"answer": f"from {found}", "citations": ["x", "zz"], "confidence": "high"}), "input_tokens": 1000, "output_tokens": 0}
+
+
+def claims_judge(model, system, prompt):
+    assert "QUESTION:\nfirst question" in prompt and "ANSWER:\nfrom " in prompt
+    second = "GROUNDED" if "opus" in model else "UNGROUNDED"
+    return {"text": json.dumps([{"claim": "a", "grounding": "grounded"}, {"claim": "b", "grounding": second}]), "input_tokens": 0, "output_tokens": 0}
+
+
+def test_question_run(spark, rows, tmp_path):
+    run = "question_id string, config_label string"
+    questions = spark.createDataFrame([(f"q{i}", f"{w} question", ["disp1s2"]) for i, w in enumerate(["first", "second", "third"], 1)],
+                                      "question_id string, question string, source_sections array<string>")
+    retrieved = spark.createDataFrame([("q1", "fixed-titan", 1, "x", "disp1s2", "chunk text", 0.9, None, None)],
+                                      f"{run}, rank int, chunk_id string, section string, content string, score double, document_title string, source string")
+    models = evaluation.QuestionModels(answer_model, claims_judge)
+    configs = ["fixed-titan", "structure-titan"]
+    got = evaluation.run_questions(questions, retrieved, models, configs, ledger=str(tmp_path / "ledger"))
+    errors = {(r.question_id, r.config_label): r.error for r in got.runs.collect()}
+    assert errors == {(q, c): e for c in configs for q, e in (("q1", None), ("q2", "service down"), ("q3", "response could not be read"))}
+    assert rows(got.answers, "question_id", "config_label", "answer") == [("q1", "fixed-titan", "from x"), ("q1", "structure-titan", "from nothing")]
+    table = evaluation.score_questions(questions, got.runs, retrieved, got.citations, got.primary, got.secondary, got.calls)
+    r = {(r.question_id, r.config_label): r for r in table.collect()}
+    one = r["q1", "fixed-titan"]
+    assert (one.precision_at_k, one.recall_at_k, one.citation_precision, one.grounded_pct, one.inter_judge_agreement) == (1.0, 1.0, 0.5, 1.0, 0.5)
+    assert one.total_cost == pytest.approx(0.003) and r["q2", "fixed-titan"].total_cost == 0.0 and r["q2", "fixed-titan"].error == "service down"
+    # Finished runs are left out, and a single judge leaves the second one's table empty.
+    done = got.runs.where("question_id <> 'q1' OR config_label = 'fixed-titan'")
+    models.judges = 1
+    rest = evaluation.run_questions(questions, retrieved, models, configs, done=done)
+    assert rows(rest.runs, "question_id", "config_label") == [("q1", "structure-titan")]
+    assert rest.primary.count() == 2 and rest.secondary.isEmpty() and {r.label for r in rest.calls.collect()} == {"generation", "judge_primary"}
