@@ -30,10 +30,15 @@ def drafting_message(context: Column, question: Column) -> Column:
     )
 
 
-def drafted_response(handler: Column, customer: Column) -> Column:
+# The two fields of a draft, as claims name them in source_field.
+DRAFT_FIELDS = {"handler_answer": "HANDLER ANSWER", "customer_draft": "CUSTOMER DRAFT"}
+
+
+def drafted_response(handler: Column, customer: Column, tagged: bool = False) -> Column:
+    """Both parts of a draft; ``tagged`` parts carry the name a claim has to give as its source_field."""
+    heads = [f"--- {title} (source_field: {field}) ---\n" if tagged else f"--- {title} ---\n" for field, title in DRAFT_FIELDS.items()]
     return F.concat(
-        F.lit("DRAFTED RESPONSE\n--- HANDLER ANSWER ---\n"), _or_empty(handler),
-        F.lit("\n\n--- CUSTOMER DRAFT ---\n"), _or_empty(customer),
+        F.lit("DRAFTED RESPONSE\n" + heads[0]), _or_empty(handler), F.lit("\n\n" + heads[1]), _or_empty(customer),
     )
 
 
@@ -45,9 +50,9 @@ def rubric_message(scenario: Column, stage: Column, drafted: Column, elements: C
     )
 
 
-def grounding_message(drafted: Column, context: Column) -> Column:
+def grounding_message(handler: Column, customer: Column, context: Column) -> Column:
     return F.concat(
-        drafted, F.lit("\n\nRETRIEVED PROVISIONS:\n\n"), context,
+        drafted_response(handler, customer, tagged=True), F.lit("\n\nRETRIEVED PROVISIONS:\n\n"), context,
         F.lit("\n\n---\n\nReturn a JSON array of claims with keys claim, source_field, grounding, supporting_chunk_id, reasoning."),
     )
 

@@ -140,7 +140,7 @@ def run_drafting(
     )
     plain = with_context(good, with_score=False).where(F.lit(models.judge_grounding))
     grounding = call_model(
-        asked(plain, models.grounding, "grounding", prompts.grounding_message(response, F.col("context"))), RUN, models.judge, ledger
+        asked(plain, models.grounding, "grounding", prompts.grounding_message(F.col("handler_answer"), F.col("customer_draft"), F.col("context"))), RUN, models.judge, ledger
     )
 
     def verdicts(table):

@@ -109,15 +109,71 @@ def _all_detectors_sql() -> str:
     )
 
 
-@query("redact_counts_all", _all_detectors_sql())
-def redact_counts_all(t):
-    """All ten detectors over documents and conversations."""
+def _talks(t):
+    """Documents and conversations: a source and a conversation are sessions."""
     talks = t.conversations.select(
         F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.col("turn").cast("long").alias("turn"),
         F.lit(0).alias("pass_no"), "text",
     )
-    texts = redaction.redact(_texts(t).unionByName(talks)).texts
-    return redaction.detection_totals(texts, ["session_id"])
+    return _texts(t).unionByName(talks)
+
+
+@query("redact_counts_all", _all_detectors_sql())
+def redact_counts_all(t):
+    """All ten detectors over documents and conversations."""
+    return redaction.detection_totals(redaction.redact(_talks(t)).texts, ["session_id"])
+
+
+def _masking_sql() -> str:
+    """CTEs from the texts to ``issued`` (the vault) and ``filled`` (every match with what stands in its place).
+
+    As above, but a match leaves a mark that names its detector and keeps the characters around it, so
+    that the marks of a detector, read from left to right, are its matches. Vetoed matches get their text back.
+    """
+    steps = []
+    for i, (kind, pattern, veto) in enumerate(STEPS):
+        # An account's number is masked, the words before it stay.
+        before, value = (pattern[:-len(r"\d{8}")], r"\d{8}") if kind == "ACCOUNT" else ("", pattern)
+        cut = f"({B}{before})({value})({E})"
+        steps.append(
+            f"s{i} AS (SELECT *, list_transform(list_transform(regexp_extract_all(t{i}, '{cut}', 2), lambda x: regexp_replace(x, '({NON_WORD})({NON_WORD})', '\\1', 'g')), "
+            f"lambda v: {{'v': v, 'ok': {veto}}}) AS m{i}, regexp_replace(t{i}, '{cut}', '\\1[[{kind}_{chr(97 + i)}]]\\3', 'g') AS t{i + 1} FROM "
+            + (f"s{i - 1})" if i else f"(SELECT session_id, turn, regexp_replace(text, '({NON_WORD})', '\\1\\1', 'g') AS t0 FROM texts))")
+        )
+    last = len(STEPS) - 1
+    mark = rf"\[[A-Z_]+_([a-{chr(97 + last)}])\]"
+    kinds = "[" + ", ".join(f"'{k}'" for k, _, _ in STEPS) + "]"
+    return (
+        "WITH texts AS (SELECT source AS session_id, doc_id AS turn, coalesce(text, '') AS text FROM documents "
+        "UNION ALL SELECT 'conv-' || conv_id, turn, coalesce(text, '') FROM conversations), " + ", ".join(steps)
+        + f""",
+marked AS (SELECT session_id, turn, [{', '.join(f'm{i}' for i in range(last + 1))}] AS found, regexp_replace(t{last + 1}, '({NON_WORD})({NON_WORD})', '\\1', 'g') AS text FROM s{last}),
+places AS (SELECT session_id, turn, found, generate_subscripts(marks, 1) AS pos, ascii(unnest(marks)) - 96 AS det
+           FROM (SELECT *, regexp_extract_all(text, '{mark}', 1) AS marks FROM marked)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn, det ORDER BY pos) AS k FROM places),
+seen AS (SELECT session_id, turn, pos, det, k, found[det][k].v AS value, found[det][k].ok AS ok, {kinds}[det] AS kind FROM numbered),
+firsts AS (SELECT session_id, lower(trim(value)) AS key, arg_min(trim(value), (turn, det, k)) AS value, arg_min(kind, (turn, det, k)) AS entity_type,
+                  min((turn, det, k)) AS sight FROM seen WHERE ok GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, entity_type ORDER BY sight) AS n FROM firsts),
+issued AS (SELECT *, '[' || entity_type || '_' || n || ']' AS token FROM ranked),
+filled AS (SELECT s.session_id, s.turn, s.pos, CASE WHEN ok THEN token ELSE s.value END AS fill
+           FROM seen s LEFT JOIN issued i ON i.session_id = s.session_id AND i.key = lower(trim(s.value))),
+parts AS (SELECT session_id, turn, string_split_regex(text, '{mark.replace("(", "(?:")}') AS parts FROM marked)
+""")
+
+
+@query("redact_text", _masking_sql() + """
+SELECT p.session_id, p.turn, md5(any_value(parts[1]) || coalesce(string_agg(fill || parts[pos + 1], '' ORDER BY pos), '')) AS clean_md5
+FROM parts p LEFT JOIN filled f ON f.session_id = p.session_id AND f.turn = p.turn GROUP BY ALL""")
+def redact_text(t):
+    """Every masked text of all ten detectors, tokens numbered over the whole session."""
+    return redaction.redact(_talks(t)).texts.select("session_id", "turn", F.md5("clean_text").alias("clean_md5"))
+
+
+@query("redact_vault_all", _masking_sql() + "SELECT session_id, key, entity_type, n, token, value FROM issued")
+def redact_vault_all(t):
+    """The whole vault of all ten detectors."""
+    return redaction.redact(_talks(t)).vault
 
 
 VAULT_SQL = f"""

@@ -86,7 +86,8 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_curated(rows: DataFrame, path: str, gate: str) -> None:
-    """Curated, candidate and failed tables from one gated frame."""
-    rows.where(F.col(gate) == "pass").write.mode("overwrite").parquet(f"{path}/curated")
+    """Curated, candidate and failed tables from one gated frame, which is computed once: the two subsets are read from the candidates."""
     rows.write.mode("overwrite").parquet(f"{path}/candidates")
-    rows.where(F.col(gate) == "fail").write.mode("overwrite").parquet(f"{path}/failed")
+    candidates = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/candidates")
+    for name, verdict in (("curated", "pass"), ("failed", "fail")):
+        candidates.where(F.col(gate) == verdict).write.mode("overwrite").parquet(f"{path}/{name}")

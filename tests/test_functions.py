@@ -158,3 +158,11 @@ def test_keyed_hash(spark, key):
     for message in ("", "héllo"):
         want = hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
         assert spark.range(1).select(numbers.keyed_hash(F.lit(message), key)).first()[0] == want
+
+
+def test_grounding_message_names_the_fields_claims_have_to_give(spark):
+    from ragspark.functions import prompts
+    row = spark.createDataFrame([("note", None, "ctx")], "h string, c string, x string")
+    text = row.select(prompts.grounding_message(F.col("h"), F.col("c"), F.col("x"))).first()[0]
+    assert "(source_field: handler_answer) ---\nnote\n" in text and "(source_field: customer_draft) ---\n(empty)\n" in text
+    assert "source_field:" not in row.select(prompts.drafted_response(F.col("h"), F.col("c"))).first()[0]

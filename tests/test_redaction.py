@@ -159,3 +159,15 @@ def test_pii_outcomes_and_report(spark):
     report = {(r.section, r.label): (r.hits, r.total) for r in pii_eval.report(cases).collect()}
     assert report[("recall", "overall")] == (2, 3) and report[("recall", "NAME")] == (1, 2)
     assert report[("masks", "precision")] == (2, 4) and report[("false_positives", "ORG")] == (1, 1)
+
+
+def test_hints_hold_for_every_match(spark):
+    """Texts kept out of Python are those no detector masks, whatever the white space and digits."""
+    texts = [t for t, _ in DETECTED] + KEPT + SESSION + [
+        "Jane\x1cDoe", "Jane Doe", "Dr. Who", "plain words only", "Jane. Doe", "sort ٣٤-٥٦-٧٨", "Jane\x85Roe", "é@x.fr", "JANE DOE",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")
+    without = tuple(pii.Detector(d.entity_type, d.pattern, d.group, d.ignore_case, d.accept, d.needs) for d in pii.DETECTORS)
+    got = [rows.select("i", pii.masked(F.col("text"), ds).alias("m")).orderBy("i").collect() for ds in (pii.DETECTORS, without)]
+    assert got[0] == got[1]
+    assert got[0][-1].m.pieces == [""] and sum(bool(r.m.slots) for r in got[0]) > len(DETECTED)

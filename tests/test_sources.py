@@ -122,3 +122,13 @@ def test_results_resume_and_latest(spark, tmp_path, rows):
     records.write_curated(gated, str(tmp_path / "cur"), "verdict")
     sizes = {n: spark.read.parquet(str(tmp_path / "cur" / n)).count() for n in ("curated", "candidates", "failed")}
     assert sizes == {"curated": 1, "candidates": 3, "failed": 1}
+
+
+def test_curated_sets_come_from_one_computation(spark, tmp_path):
+    """A value that differs with every computation is the same in all three tables; other verdicts are candidates only."""
+    gated = spark.range(20).selectExpr("id", "uuid() AS drawn", "CASE id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' END AS verdict")
+    records.write_curated(gated, str(tmp_path), "verdict")
+    tables = {n: {(r.id, r.drawn): r.verdict for r in spark.read.parquet(str(tmp_path / n)).collect()} for n in ("curated", "candidates", "failed")}
+    for name, verdict in (("curated", "pass"), ("failed", "fail")):
+        assert tables[name] == {k: v for k, v in tables["candidates"].items() if v == verdict} and tables[name]
+    assert len(tables["candidates"]) == 20
