@@ -8,7 +8,8 @@
    signatures: for its band of sizes and the next one, the hash domain is dealt
    into groups of cells, and in each group every choice of all cells but one
    gives a signature. Sets similar enough differ in so few shingles that some group
-   has at most one cell that differs, so they share a signature.
+   has at most one cell that differs, so they share a signature; of these enough agree
+   that each set can leave out those of the fewest shingles.
 3. Sets that share signatures are first compared with one anchor each, which merges
    most of a large group of near copies by as many comparisons as it has members.
    Then all pairs between different components that share a signature are
@@ -31,7 +32,7 @@ from ragspark.llm.common import fresh, worker_state
 from ragspark.llm.components import components
 from ragspark.session import materialise, written
 
-CELLS = 4
+CELLS = 3
 BUCKETS = 128
 _MIX = 0x9E3779B97F4A7C15
 
@@ -174,7 +175,7 @@ def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def bands(n: int, threshold: float) -> list[tuple[int, int]]:
-    """(band, most differing shingles) of the size's own band and the next one.
+    """(band, its largest size) of the size's own band and the next one.
 
     A band ends where its largest size is the smallest one divided by the threshold, so
     sets similar enough lie in one band or in two neighbouring ones.
@@ -185,9 +186,12 @@ def bands(n: int, threshold: float) -> list[tuple[int, int]]:
         if n <= hi:
             break
         band, lo = band + 1, hi + 1
-    above = int((hi + 1) / threshold + 1e-9)
-    differ = lambda r: int(2 * r * (1 - threshold) / (1 + threshold) + 1e-9)
-    return [(band, differ(hi)), (band + 1, differ(above))]
+    return [(band, hi), (band + 1, int((hi + 1) / threshold + 1e-9))]
+
+
+def _differing(sizes: int, threshold: float) -> int:
+    """Most elements in which two sets differ that are similar enough and have so many elements together."""
+    return int(sizes * (1 - threshold) / (1 + threshold) + 1e-9)
 
 
 def signatures(found: np.ndarray, threshold: float) -> np.ndarray:
@@ -195,10 +199,15 @@ def signatures(found: np.ndarray, threshold: float) -> np.ndarray:
 
     With at most k differing elements and more than k/2 groups, some group has at most one
     that differs; it spoils one of the group's cells, and the signature of the others agrees.
+    All but k/2 groups agree like that, and there are a few more groups than needed. Signatures of few elements, above all of
+    none, bring unrelated sets together. Where a pair agrees on one, both sides see the same elements there. So a
+    set leaves out its signatures of the fewest elements as long as they touch fewer of its groups than agree with
+    any set that is similar enough: every such pair still agrees on a signature that neither side leaves out.
     """
     out = []
-    for band, k in bands(len(found), threshold):
-        groups = k // 2 + 1
+    for band, hi in bands(len(found), threshold):
+        needed = _differing(2 * hi, threshold) // 2 + 1
+        groups = needed + needed // 16
         salt = np.uint64((_MIX * (band + 1)) & (2**64 - 1))
         mixed = _mixed(found + salt)
         cell = ((mixed >> np.uint64(20)) % np.uint64(groups * CELLS)).astype(np.int64)
@@ -207,7 +216,14 @@ def signatures(found: np.ndarray, threshold: float) -> np.ndarray:
         sums = sums.reshape(groups, CELLS)
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
         label = (np.arange(groups * CELLS, dtype=np.uint64) + np.uint64(1)) * salt
-        out.append(_mixed(rest.ravel() + label))
+        signs = _mixed(rest.ravel() + label)
+        held = np.bincount(cell, minlength=groups * CELLS).reshape(groups, CELLS)
+        content = held.sum(axis=1)[:, None] - held
+        largest = min(hi, int(len(found) / threshold + 1e-9))
+        agreeing = groups - _differing(len(found) + largest, threshold) // 2
+        # Fewer than ``agreeing`` groups have a signature of less than this many elements.
+        least = np.sort(content.min(axis=1))[agreeing - 1]
+        out.append(signs[content.ravel() >= least])
     return np.concatenate(out)
 
 
