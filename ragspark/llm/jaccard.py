@@ -207,7 +207,7 @@ def signatures(found: np.ndarray, threshold: float) -> np.ndarray:
     out = []
     for band, hi in bands(len(found), threshold):
         needed = _differing(2 * hi, threshold) // 2 + 1
-        groups = needed + needed // 16
+        groups = needed + needed // 16 + 3
         salt = np.uint64((_MIX * (band + 1)) & (2**64 - 1))
         mixed = _mixed(found + salt)
         cell = ((mixed >> np.uint64(20)) % np.uint64(groups * CELLS)).astype(np.int64)
