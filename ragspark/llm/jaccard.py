@@ -12,7 +12,8 @@
    that each set can leave out those of the fewest shingles.
 3. Sets that share signatures are first compared with one anchor each, which merges
    most of a large group of near copies by as many comparisons as it has members.
-   Then all pairs between different components that share a signature are
+   Then all pairs between different components that share a signature meet in bounded
+   slices, where sketches rule most out before any pair is emitted, and are
    compared; pairs inside a component can add no link between components.
 """
 
@@ -34,6 +35,7 @@ from ragspark.session import materialise, written
 
 CELLS = 3
 BUCKETS = 128
+SLICE = 256
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -325,20 +327,78 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
         links = found if links is None else links.unionByName(found)
     near = members.withColumn("comp", F.col("cls")) if links is None else _labelled(members, links)
     near = materialise(near)
-    counted = near.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(
-        F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")
-    ).where("comps > 1").select("sig", F.col("major.comp").alias("major"))
-    mixed = materialise(near.join(counted, "sig"))
-    minor = mixed.where("comp <> major").select("sig", "major", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    every = mixed.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    sizes = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(every, "sig").where((F.col("ca") != F.col("cb")) & once & sizes)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = _verified(materialise(_possible(pairs, sets, threshold)), sets, threshold)
+    pairs = _meeting(near, sets, threshold)
+    rest = _verified(materialise(pairs), sets, threshold)
     return rest if links is None else links.unionByName(rest)
 
 
+def _meeting(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``near(sig, cls, n, comp)`` in different components that share a signature and whose sketches allow a link.
+
+    Of each signature, the members outside its largest component ask all members. Askers and asked are cut into slices
+    of about ``SLICE``, and a cell is one slice of each, so no task holds a whole signature. Members carry a short
+    sketch into their cells, and a pair leaves its cell only if the sketches don't rule it out.
+    """
+    percent = round(threshold * 100)
+    counted = near.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(
+        F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("c").alias("all")
+    ).where("comps > 1").select(
+        "sig", F.col("major.comp").alias("major"),
+        F.ceil((F.col("all") - F.col("major.c")) / SLICE).alias("xs"), F.ceil(F.col("all") / SLICE).alias("ys"),
+    )
+    mixed = near.join(counted, "sig").withColumn("main", F.col("comp") == F.col("major"))
+    own = lambda salt, slices: F.pmod(F.xxhash64(F.lit(salt), "cls"), F.col(slices))
+    each = lambda slices: F.sequence(F.lit(0).cast("long"), F.col(slices) - 1)
+    # One generator for both roles: a member outside the main component asks in its row of cells and is asked in its column.
+    asking = F.transform(each("ys"), lambda y: F.struct(F.lit(True).alias("asks"), F.xxhash64("sig", own("x", "xs"), y).alias("cell")))
+    asked = F.transform(each("xs"), lambda x: F.struct(F.lit(False).alias("asks"), F.xxhash64("sig", x, own("y", "ys")).alias("cell")))
+    roles = F.when(F.col("main"), asked).otherwise(F.concat(asking, asked))
+    placed = mixed.select("cls", "n", "comp", "main", F.explode(roles).alias("r")).select("r.cell", "r.asks", "cls", "n", "comp", "main")
+
+    @F.pandas_udf("binary")
+    def short(sketches: pd.Series) -> pd.Series:
+        # Larger counts become 255, which only brings sketches nearer to each other.
+        return sketches.map(lambda s: np.minimum(np.frombuffer(s, "<u4"), 255).astype(np.uint8).tobytes())
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        cell, asks, main = rows["cell"].to_numpy(), rows["asks"].to_numpy(), rows["main"].to_numpy()
+        cls, n, comp = rows["cls"].to_numpy(), rows["n"].to_numpy(), rows["comp"].to_numpy()
+        marks = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        out = [np.empty((0, 2), np.int64)]
+        for step in range(1, len(cell)):
+            here = cell[step:] == cell[:-step]
+            if not here.any():
+                break
+            # Askers come first in a cell. Two that ask each other are compared once.
+            x = np.flatnonzero(here & asks[:-step] & ~asks[step:])
+            y = x + step
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fit = (comp[x] != comp[y]) & (main[y] | (cls[x] < cls[y])) & (100 * small >= percent * large)
+            x, y = x[fit], y[fit]
+            apart = np.abs(marks[x] - marks[y]).sum(axis=1, dtype=np.int64)
+            close = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+            out.append(np.stack([cls[x[close]], cls[y[close]]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last cell may go on in the next batch.
+            cut = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))
+            held = rows.iloc[cut:]
+            if cut:
+                yield compare(rows.iloc[:cut])
+        if held is not None:
+            yield compare(held)
+
+    carried = placed.join(sets.select("cls", short("sketch").alias("short")), "cls")
+    return carried.repartition("cell").sortWithinPartitions("cell", F.desc("asks")).mapInPandas(meet, "a long, b long").distinct()
+
+
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     label = components(links).select(F.col("id").alias("cls"), F.col("component_id").alias("_comp"))
     return members.select("sig", "cls", "n").join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("_comp", "cls").alias("comp"))

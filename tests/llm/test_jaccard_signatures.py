@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ragspark.llm import jaccard
 
@@ -37,3 +39,26 @@ def test_signatures_select():
             line.append(f"{similarity}: {np.mean(np.array(met) > 0):.2f} / {np.mean(met):.1f}")
             assert similarity or np.mean(np.array(met) > 0) < 0.05
         print("; ".join(line))
+
+
+@pytest.mark.parametrize("slice_size", [256, 3])
+def test_cells_hold_every_pair_that_may_link(spark, monkeypatch, slice_size):
+    """Pairs of two components that share a signature, against all pairs; also with signatures cut into many slices."""
+    monkeypatch.setattr(jaccard, "SLICE", slice_size)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    found = [np.unique(np.concatenate([base[: int(k)], rng.integers(0, 2**63, 40 - int(k)).astype(np.uint64)])) for k in rng.integers(20, 41, 30)]
+    sets = spark.createDataFrame([(i, bytearray(jaccard._sketch(f))) for i, f in enumerate(found)], "cls long, sketch binary")
+    rows = [(s, i, len(found[i]), i % 4 if s % 2 else i) for s in range(4) for i in range(30) if (i + s) % 3]
+    near = spark.createDataFrame(rows, "sig long, cls long, n long, comp long")
+    got = {(r.a, r.b) for r in jaccard._meeting(near, sets, 0.75).collect()}
+    want, similar = set(), set()
+    for sig, a, n, comp in rows:
+        for other, b, m, to in rows:
+            if sig == other and a < b and comp != to:
+                shared = len(np.intersect1d(found[a], found[b]))
+                bound = int(np.minimum(*(np.frombuffer(jaccard._sketch(found[i]), "<u4") for i in (a, b))).sum())
+                similar |= {(a, b)} if 100 * shared >= 75 * (n + m - shared) else set()
+                want |= {(a, b)} if 100 * bound >= 75 * (n + m - bound) else set()
+    assert got == want and similar and similar <= got
+    assert jaccard._meeting(near.where(F.lit(False)), sets, 0.75).count() == 0
