@@ -8,7 +8,7 @@ from ragspark import fixed
 from ragspark.functions import responses
 from ragspark.functions.numbers import usage
 from ragspark.functions.text import strip
-from ragspark.operators import metrics
+from ragspark.operators import metrics, reports
 from ragspark.operators.ranking import latency_stats
 from ragspark.queries.registry import query
 
@@ -266,14 +266,31 @@ def config_aggregate_qa(t):
     return out.select("config_label", "n_queries", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
-@query("comparison_lines", f"""
+COMPARISON_SQL = f"""
 WITH e AS (SELECT event_type AS config_label, (props->>'k')::INT AS k FROM events WHERE value <= 200),
 a AS (SELECT config_label, {', '.join(f"100 * avg({_unit('k', m)}) AS {c}" for c, m in DRAFTING_COLUMNS.items())},
              100 * avg({_unit('k', 23)}) AS gap FROM e GROUP BY config_label)
 SELECT config_label, '| ' || config_label || ' | ' || printf('%.1f%%', coverage) || ' | ' || printf('%.1f%%', section_precision) || ' | '
   || printf('%.1f%%', citation_precision) || ' / ' || printf('%.1f%%', citation_recall) || ' | ' || printf('%.1f%%', retrieved_provision_recall)
   || ' | ' || printf('%+.1f%%', drafting_gap) || ' | ' || printf('%.1f%%', grounded_pct) || ' | ' || printf('%.1f%%', inter_judge_agreement) || ' |' AS line
-FROM a""")
+FROM a"""
+
+
+@query("comparison_report", f"""
+WITH c AS ({COMPARISON_SQL}),
+n AS (SELECT event_type, count(*) AS n FROM events WHERE value <= 200 GROUP BY event_type),
+lines AS (
+  SELECT 0 AS part, '' AS label, '# Drafting evaluation' AS line
+  UNION ALL SELECT 1, '', '| {' | '.join(reports.DRAFTING_HEAD)} |' UNION ALL SELECT 2, '', '|' || repeat('---|', {len(reports.DRAFTING_HEAD)})
+  UNION ALL SELECT 3, config_label, line FROM c
+  UNION ALL SELECT 4, '', 'Scenarios per configuration: ' || arg_min(n, event_type) FROM n)
+SELECT row_number() OVER (ORDER BY part, label) AS line_no, line FROM lines""")
+def comparison_report(t):
+    """The comparison of the arms with its head and sample size."""
+    return reports.drafting_report(metrics.drafting_aggregate(_drafting_records(t)))
+
+
+@query("comparison_lines", COMPARISON_SQL)
 def comparison_lines(t):
     """The comparison table of the arms, one Markdown row each."""
     return metrics.drafting_comparison(metrics.drafting_aggregate(_drafting_records(t)))

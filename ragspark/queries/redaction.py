@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ragspark import fixed
 from ragspark.functions.numbers import keyed_hash
 from ragspark.functions.pii import only
-from ragspark.operators import audit, pii_eval, redaction
+from ragspark.operators import audit, pii_eval, redaction, reports
 from ragspark.plans import conversation
 from ragspark.queries.registry import query
 from ragspark.session import materialise, shared_folder
@@ -212,7 +212,7 @@ def redact_roundtrip(t):
     return back.select("turn", F.md5("rehydrated").alias("text_md5"))
 
 
-@query("pii_eval", rf"""
+PII_SQL = rf"""
 WITH {FOUND_SQL},
 gold AS (SELECT doc_id, value, 'EMAIL' AS type, true AS is_pii FROM emails
          UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\d{{16}}')), 'REFERENCE', false FROM documents),
@@ -223,8 +223,10 @@ SELECT 'recall' AS section, 'EMAIL' AS label, n AS hits, n AS total, 1.0::DOUBLE
 UNION ALL SELECT 'recall', 'overall', n, n, 1.0 FROM r
 UNION ALL SELECT 'masks', 'precision', tp, n, round(tp / n, 6) FROM m
 UNION ALL SELECT 'masks', 'over_mask_rate', n - tp, n, round((n - tp) / n, 6) FROM m
-UNION ALL SELECT 'false_positives', 'REFERENCE', n - tp, n - tp, 1.0 FROM m""")
-def pii_quality(t):
+UNION ALL SELECT 'false_positives', 'REFERENCE', n - tp, n - tp, 1.0 FROM m"""
+
+
+def _cases(t):
     """Documents as labelled cases: e-mail addresses are personal, long numbers are references."""
     pattern = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
     def entities(found, kind, personal):
@@ -234,8 +236,31 @@ def pii_quality(t):
         entities(F.when(F.col("text").contains("@"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), "EMAIL", True),
         entities(F.regexp_extract_all("text", F.lit(r"\d{16}"), F.lit(0)), "REFERENCE", False),
     )
-    cases = t.spread("documents").select(F.col("doc_id").cast("string").alias("case_id"), "text", gold.alias("entities"))
-    return pii_eval.report(cases, only("EMAIL", "CARD")).withColumn("value", F.round("value", 6))
+    return t.spread("documents").select(F.col("doc_id").cast("string").alias("case_id"), "text", gold.alias("entities"))
+
+
+@query("pii_eval", PII_SQL)
+def pii_quality(t):
+    return pii_eval.report(_cases(t), only("EMAIL", "CARD")).withColumn("value", F.round("value", 6))
+
+
+@query("redaction_report", f"""
+WITH r AS ({PII_SQL}),
+lines AS (
+  SELECT 0 AS part, 0 AS place, '' AS label, '# Redaction quality' AS line UNION ALL SELECT 2, 0, '', '| Type | Recall | Found/All |'
+  UNION ALL SELECT 3, 0, '', '|---|---:|---:|' UNION ALL SELECT 9, 0, '', 'Wrong masks by cause:'
+  UNION ALL SELECT 1, 0, '', 'Cases: ' || count(*) FROM documents
+  UNION ALL SELECT CASE WHEN label = 'overall' THEN 5 ELSE 4 END, 0, label, '| ' || label || ' | ' || printf('%.0f%%', value * 100) || ' | ' || hits || '/' || total || ' |'
+            FROM r WHERE section = 'recall'
+  UNION ALL SELECT 6, 0, '', '- Masks: ' || total || ' (right ' || hits || ', wrong ' || (total - hits) || ')' FROM r WHERE label = 'precision'
+  UNION ALL SELECT 7, 0, '', '- Precision: ' || printf('%.0f%%', value * 100) FROM r WHERE label = 'precision'
+  UNION ALL SELECT 8, 0, '', '- Over-mask rate: ' || printf('%.0f%%', value * 100) FROM r WHERE label = 'over_mask_rate'
+  UNION ALL SELECT 10, -hits, label, '- ' || label || ': ' || hits FROM r WHERE section = 'false_positives')
+SELECT row_number() OVER (ORDER BY part, place, label) AS line_no, line FROM lines""")
+def redaction_report(t):
+    """The redaction evaluation as text."""
+    cases = _cases(t)
+    return reports.redaction_report(pii_eval.report(cases, only("EMAIL", "CARD")), t.documents)
 
 
 def _hex(pad: int) -> str:
