@@ -16,6 +16,10 @@ from ragspark.operators.ranking import first_per_group
 SCORE_DIGITS = 6
 # Upper bound of scores held at once by a task (rows of one side times rows of the other).
 BLOCK_SCORES = 4_000_000
+# Numbers in the vectors of one side of a group of the cell plan: 65,536 vectors of 64 dimensions.
+GROUP_VALUES = 4 << 20
+# Queries and chunks whose scores are compared at once there, chunks of the first comparison, and pairs scored exactly at once.
+TILE_QUERIES, TILE_CHUNKS, FIRST_CHUNKS, EXACT_PAIRS = 256, 8192, 1024, 1 << 16
 
 
 def _unit(vectors) -> np.ndarray:
@@ -47,6 +51,61 @@ def _best(qids, cids, scores: np.ndarray, k: int, exclude_self: bool, floor: np.
     return pd.DataFrame({"query_id": qids[r], "chunk_id": cids[c], "score": points[r, c] / 10 ** SCORE_DIGITS})
 
 
+def _points(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Rounded cosines of pairs of unit rows, in units of the last digit."""
+    found = np.empty(len(rows), dtype=np.int64)
+    for at in range(0, len(rows), EXACT_PAIRS):
+        some = slice(at, at + EXACT_PAIRS)
+        found[some] = np.rint(np.einsum("ij,ij->i", q[rows[some]], c[cols[some]]) * 10 ** SCORE_DIGITS)
+    return found
+
+
+def _best_of_group(qids, q: np.ndarray, cids, c: np.ndarray, k: int, exclude_self: bool) -> Iterator[pd.DataFrame]:
+    """Best k of a group of chunks for each of a group of queries, as :func:`_best` finds them, without sorting all scores.
+
+    Single precision and the k-th best score so far rule most pairs out, with slack for its rounding; what is left is scored in
+    double precision. Chunks come by id, so a later one has to score more than the k-th best, and of chunks with equal
+    vectors only the first ones can be among the best.
+    """
+    qids, cids = np.asarray(qids), np.asarray(cids)
+    wanted = k + int(exclude_self)
+    order = np.argsort(cids, kind="stable")
+    order = order[np.isfinite(c[order]).all(axis=1)]
+    alike = pd.Series([row.tobytes() for row in c[order] + 0.0])
+    order = order[(alike.groupby(alike, sort=False).cumcount() < wanted).to_numpy()]
+    cids, c = cids[order], c[order]
+    own = pd.Index(cids).get_indexer(pd.Index(qids)) if exclude_self else None
+    q32, c32 = q.astype(np.float32), c.astype(np.float32)
+    slack = (q.shape[1] + 8) * 2.0 ** -23 + 0.5 / 10 ** SCORE_DIGITS
+    for x in range(0, len(q), TILE_QUERIES):
+        some = q32[x:x + TILE_QUERIES]
+        floor = np.full(len(some), -np.inf, dtype=np.float32)
+        rows, cols, points = (np.empty(0, dtype=np.int64) for _ in range(3))
+        y = 0
+        while y < len(c):
+            width = min(TILE_CHUNKS, max(FIRST_CHUNKS, y))
+            scores = some @ c32[y:y + width].T
+            if y == 0 and scores.shape[1] > wanted:
+                floor = np.partition(scores, -wanted, axis=1)[:, -wanted] - np.float32(2 * slack)
+            new_rows, new_cols = np.divmod(np.flatnonzero(scores >= floor[:, None]), scores.shape[1])
+            new_cols += y
+            y += scores.shape[1]
+            if exclude_self:
+                others = own[x + new_rows] != new_cols
+                new_rows, new_cols = new_rows[others], new_cols[others]
+            if not len(new_rows):
+                continue
+            points = np.concatenate([points, _points(q, c, x + new_rows, new_cols)])
+            rows, cols = np.concatenate([rows, new_rows]), np.concatenate([cols, new_cols])
+            by = np.lexsort((cols, -points, rows))
+            rows, cols, points = rows[by], cols[by], points[by]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            full = place == k - 1
+            floor[rows[full]] = (points[full] + 1) / 10 ** SCORE_DIGITS - slack
+            rows, cols, points = (a[place < k] for a in (rows, cols, points))
+        yield pd.DataFrame({"query_id": qids[x + rows], "chunk_id": cids[cols], "score": points / 10 ** SCORE_DIGITS})
+
+
 def _top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = rows.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
     return ordered.groupby("query_id", sort=False).head(k)
@@ -74,6 +133,7 @@ def top_k(
     shuffle. More queries take the cell plan of :func:`_by_cells`; 0 asks for it at
     any size. Either way no pair is ever emitted: each task keeps only the best k per query.
 
+    ``group_rows`` is the least number of rows a side of its groups, a quarter of it the wanted size of a cell.
     ``cells`` bounds the pivots of the cell plan, which the driver and every task hold;
     it changes the work, not the result. ``probes`` makes the cell plan approximate: a
     query asks only that many nearest cells, so it may miss neighbours, and gets
@@ -145,9 +205,11 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes)
     query the triangle inequality bounds the distance of its k-th neighbour from
     cell sizes and radii alone, and rules out every cell that lies beyond it;
     with ``probes`` only the cells of the nearest pivots are asked instead.
-    Rows of the remaining cells meet in groups of about ``group_rows`` by
-    ``group_rows``: a large cell is cut into slices and a popular cell into
-    query shares, so no group grows with the data.
+    Small cells share a block (not with ``probes``, which asks for single cells), a
+    large one is cut into slices, the queries of a block into shares, and slices meet shares
+    in groups. A group has ``group_rows`` rows a side at least, where there are so many, and ``GROUP_VALUES`` numbers a side
+    where that leaves enough groups for the cores; every row is sent to as many groups as the other
+    side has, so large groups keep the shuffle small, and none grows with the data.
     """
     spark = chunks.sparkSession
     total = chunks.count()
@@ -156,7 +218,8 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes)
     seeds = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_cells).select("embedding").toPandas()
     if seeds.empty:
         return spark.createDataFrame([], _schema(queries, chunks))
-    pivots = spark.sparkContext.broadcast(_unit(seeds["embedding"]))
+    units = _unit(seeds["embedding"])
+    pivots = spark.sparkContext.broadcast(units)
 
     def distances(vectors) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_unit(vectors) @ pivots.value.T)))
@@ -171,21 +234,32 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes)
     placed = chunks.mapInPandas(assign, T.StructType(fields))
     # One row per cell, so at most ``most_cells`` rows reach the driver.
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).toPandas()
-    stats = spark.sparkContext.broadcast(
-        (cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["radius"].to_numpy())
-    )
+    cores = spark.sparkContext.defaultParallelism
+    side = int(np.ceil(np.sqrt(4 * cores)))
+    rows = max(1, group_rows, min(GROUP_VALUES // max(1, units.shape[1]), -(-total // side)))
+    if probes is None:
+        # Neighbouring cells share blocks.
+        cells = cells.iloc[np.argsort(units[cells["cell"]] @ units[0], kind="stable")].reset_index(drop=True)
+    block, held = [], 0
+    for n in cells["n"]:
+        if block and (probes is not None or held + n > rows):
+            block, held = [*block, block[-1] + 1], 0
+        else:
+            block = [*block, block[-1] if block else 0]
+        held += n
+    cells["block"] = block
+    stats = spark.sparkContext.broadcast(tuple(cells[c].to_numpy() for c in ("cell", "n", "radius", "block")))
     wanted = k + (1 if exclude_self else 0)
 
     def plan(batches):
-        ids, sizes, radii = stats.value
+        ids, sizes, radii, blocks = stats.value
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at:at + 1024]
                 d = distances(part["embedding"])[:, ids]
                 if probes is not None:
-                    near = np.argsort(d, axis=1)[:, :probes]
-                    rows, cols = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
-                    yield part.iloc[rows].assign(cell=ids[cols].astype("int32"))
+                    yield part.assign(blocks=list(blocks[np.argsort(d, axis=1)[:, :probes]].astype("int32")))
                     continue
                 reach = d + radii
                 order = np.argsort(reach, axis=1)
@@ -194,28 +268,28 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes)
                 enough = np.where(covered[:, -1] >= wanted, enough, len(ids) - 1)
                 limit = np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], 1), 1)
                 # Slack for rounding of distances and of the reported score.
-                rows, cols = np.nonzero(d - radii <= limit + 1e-3)
-                yield part.iloc[rows].assign(cell=ids[cols].astype("int32"))
+                near = np.logical_or.reduceat(d - radii <= limit + 1e-3, starts, axis=1)
+                yield part.assign(blocks=[np.flatnonzero(r).astype("int32") for r in near])
 
-    fields = [*queries.schema.fields, T.StructField("cell", T.IntegerType())]
+    fields = [*queries.schema.fields, T.StructField("blocks", T.ArrayType(T.IntegerType()))]
     aimed = queries.mapInPandas(plan, T.StructType(fields))
-    asked = aimed.groupBy("cell").agg(F.count("*").alias("asked")).toPandas()  # again one row per cell
-    parts = cells.merge(asked, on="cell")
-    shares = F.broadcast(spark.createDataFrame(
-        [(int(c), -(-int(n) // group_rows), -(-int(q) // group_rows)) for c, n, q in zip(parts["cell"], parts["n"], parts["asked"])],
-        "cell int, c_parts int, q_parts int",
-    ))
+    # Again at most one row per cell.
+    asked = aimed.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count("*").alias("asked")).toPandas()
+    parts = cells.groupby("block", as_index=False)["n"].sum().merge(asked, on="block")
+    table = [(int(b), -(-int(n) // rows), -(-int(q) // rows)) for b, n, q in zip(parts["block"], parts["n"], parts["asked"])]
+    shares = F.broadcast(spark.createDataFrame(table, "block int, c_parts int, q_parts int"))
+    home = F.broadcast(spark.createDataFrame([(int(c), int(b)) for c, b in zip(cells["cell"], cells["block"])], "cell int, block int"))
     left = (
-        aimed.join(shares, "cell")
+        aimed.select("query_id", "embedding", F.explode("blocks").alias("block")).join(shares, "block")
         .withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
         .withColumn("c_part", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)))
-        .select("cell", "q_part", "c_part", "query_id", "embedding")
+        .select("block", "q_part", "c_part", "query_id", "embedding")
     )
     right = (
-        placed.join(shares, "cell")
+        placed.join(home, "cell").join(shares, "block")
         .withColumn("c_part", F.pmod(F.xxhash64("chunk_id"), F.col("c_parts")).cast("int"))
         .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-        .select("cell", "q_part", "c_part", "chunk_id", "embedding")
+        .select("block", "q_part", "c_part", "chunk_id", "embedding")
     )
     schema = _schema(queries, chunks)
     names = schema.fieldNames()
@@ -223,16 +297,15 @@ def _by_cells(queries, chunks, k, exclude_self, group_rows, most_cells, probes)
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame(columns=names)
-        matrix = _unit(c["embedding"]).T
-        step = max(1, BLOCK_SCORES // len(c))
-        return pd.concat([
-            _best(q["query_id"].iloc[at:at + step], c["chunk_id"],
-                  _unit(q["embedding"].iloc[at:at + step]) @ matrix, k, exclude_self)
-            for at in range(0, len(q), step)
-        ])
-
-    keys = ["cell", "q_part", "c_part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+        return pd.concat(_best_of_group(q["query_id"], _unit(q["embedding"]), c["chunk_id"], _unit(c["embedding"]), k, exclude_self))
+
+    keys = ["block", "q_part", "c_part"]
+    # A fixed number, as a group is little data and much work: by their bytes adaptive execution would put many into one task.
+    tasks = min(8192, max(cores, 2 * sum(c * q for _, c, q in table)))
+    return (
+        left.repartition(tasks, *keys).groupBy(*keys)
+        .cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(score, schema)
+    )
 
 
 def public_metadata(metadata: Column, prefix: str = fixed.INTERNAL_METADATA_PREFIX) -> Column:
