@@ -33,3 +33,18 @@ def test_group_equals_sorting_all_scores(exclude_self):
         order = [j for j in np.lexsort((ids, -scores[i])) if j != 7 and i != 7 and not (exclude_self and j == i)]
         want += [(ids[i], ids[j], scores[i, j]) for j in order[:6]]
     assert sorted(got) == sorted(want)
+
+
+def test_candidate_lists_of_several_cells_move_no_vector_for_a_pair(spark, monkeypatch):
+    from ragspark.operators import ann
+
+    q, c = frames(spark, 1000, dims=16)
+    index = ann.build(c.repartition(4), parts=4, slice_rows=64)
+    one = sorted(map(tuple, ann.search(q, index, 5, candidates=40, exclude_self=True).collect()))
+    monkeypatch.setattr(ann, "GROUP_CODES", 300)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 300)
+    assert ann._grid(index, 1000)[1] >= 3 and ann._grid(index, 1000)[2] >= 3
+    # A list for each query and cell, where there was a row for each query and candidate of every slice.
+    assert ann._lists(q, index, 41).count() <= 1000 * 5
+    assert ann._trimmed(ann._lists(q, index, 41), 41).selectExpr("sum(size(chunk_ids))").first()[0] == 41_000
+    assert sorted(map(tuple, ann.search(q, index, 5, candidates=40, exclude_self=True).collect())) == one
