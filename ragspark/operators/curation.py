@@ -184,20 +184,23 @@ def source_blocks(rows: DataFrame, key: str, sections: str, texts: DataFrame, *,
                   missing: str = fixed.QA_SOURCE_MISSING, heading: Column | None = None) -> DataFrame:
     """Source material of each row: ``### id`` blocks in list order, a marker where text is missing.
 
-    ``sections`` is an array column, so a row gathers only its own short list.
+    ``sections`` is an array column, so a row gathers only its own short list. ``key`` is unique. Rows with equal lists share
+    their material: it is put together once a list, so texts move as often as there are lists, not rows.
     """
     from ragspark.functions.text import truncate
 
-    asked = rows.select(key, F.posexplode(sections).alias("_i", "section_id"))
+    lists = rows.select(F.col(sections).alias("_list")).distinct()
+    asked = lists.select("_list", F.posexplode("_list").alias("_i", "section_id"))
     body = F.coalesce(F.col("text"), F.lit(missing))
     if limit:
         # Cut before the join, so that only what is shown moves.
         texts = texts.withColumn("text", truncate(F.col("text"), limit))
     title = F.concat(F.lit("### "), F.col("section_id")) if heading is None else heading
     joined = asked.join(texts, "section_id", "left").select(
-        key, "_i", F.concat(title, F.lit("\n"), body).alias("_b")
+        "_list", "_i", F.concat(title, F.lit("\n"), body).alias("_b")
     )
-    return joined.groupBy(key).agg(
+    material = joined.groupBy("_list").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda s: s["_b"]), "\n\n---\n\n")
         .alias("source_material")
     )
+    return rows.select(key, F.col(sections).alias("_list")).join(material, "_list").select(key, "source_material")
