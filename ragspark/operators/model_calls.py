@@ -100,10 +100,16 @@ def fold_ledger(spark: SparkSession, ledger: str) -> None:
     """Move single answers into the ledger's table. Interrupted, it leaves some in both, which readers see once."""
     root = ledger.rstrip("/")
     single = _read(spark, f"{root}/calls", "json")
-    if single.isEmpty():
+    # The files were listed once, so what is deleted is what is written.
+    _move(single, ledger)
+
+
+def _move(answers: DataFrame, ledger: str) -> None:
+    """Append answers to the ledger's table, then delete their files."""
+    if answers.isEmpty():
         return
-    # The files were listed once, so what is deleted below is what is written here.
-    single.write.mode("append").parquet(f"{root}/answers")
+    root = ledger.rstrip("/")
+    answers.write.mode("append").parquet(f"{root}/answers")
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _folder(root)
@@ -115,7 +121,7 @@ def fold_ledger(spark: SparkSession, ledger: str) -> None:
                     pass
             yield batch
 
-    single.select("hash").mapInPandas(drop, "hash string").write.format("noop").mode("overwrite").save()
+    answers.select("hash").mapInPandas(drop, "hash string").write.format("noop").mode("overwrite").save()
 
 
 def _through_ledger(kept: DataFrame, keys: list[str], model: ModelFn, ledger: str, overlap: int) -> DataFrame:
@@ -129,6 +135,7 @@ def _through_ledger(kept: DataFrame, keys: list[str], model: ModelFn, ledger: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _folder(ledger)
+        made = set()
 
         def ask(row) -> dict:
             at = _file(base, row.hash)
@@ -139,7 +146,9 @@ def _through_ledger(kept: DataFrame, keys: list[str], model: ModelFn, ledger: st
             got = {"hash": row.hash, **_answer(model, row)}
             if got["error"] is None:
                 folder, name = at.rsplit("/", 1)
-                system.create_dir(folder, recursive=True)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 # Readers pass over names with a dot until the file is whole.
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as stream:
@@ -156,6 +165,8 @@ def _through_ledger(kept: DataFrame, keys: list[str], model: ModelFn, ledger: st
     out = materialise(named.drop("system", "prompt").join(known.unionByName(asked), "hash").drop("hash").select(
         *keys, "model", *[c.split()[0] for c in ANSWER.split(", ")]
     ))
+    # This job's answers are in a table already; only files that a killed job left have to be listed and read.
+    _move(asked.where("error IS NULL"), ledger)
     fold_ledger(spark, ledger)
     return out
 
