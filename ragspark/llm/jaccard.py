@@ -12,8 +12,8 @@
    that each set can leave out those of the fewest shingles.
 3. Sets that share signatures are first compared with one anchor each, which merges
    most of a large group of near copies by as many comparisons as it has members.
-   Then all pairs between different components that share a signature meet in bounded
-   slices, where sketches rule most out before any pair is emitted, and are
+   Then all pairs between different components that share a signature meet, each in one
+   pair of blocks of sets, where sketches rule most out before any pair is emitted, and are
    compared; pairs inside a component can add no link between components.
 """
 
@@ -36,6 +36,8 @@ from ragspark.session import materialise, written
 CELLS = 3
 BUCKETS = 128
 SLICE = 256
+# Members of signatures that a task compares, on average.
+TASK_ROWS = 500_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -248,6 +250,14 @@ def _most_shared(x: bytes, y: bytes) -> tuple[int, int]:
     return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum()), int(a.sum() + b.sum())
 
 
+def _may_link(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two fine sketches allow a link."""
+    if not (x and y):
+        return True
+    shared, total = _most_shared(x, y)
+    return (100 + percent) * shared >= percent * total
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -262,20 +272,22 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(read, "doc_id long, n long, d1 long, d2 long, sketch binary, fine binary, found array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough, exactly; fine sketches spare most dissimilar pairs the move of whole sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, sieved: bool = False) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough, exactly; fine sketches spare most dissimilar pairs the move of whole sets.
+
+    ``sieved`` pairs have met by their fine sketches already.
+    """
     percent = round(threshold * 100)
 
     @F.pandas_udf("boolean")
     def fits(x: pd.Series, y: pd.Series) -> pd.Series:
-        bounds = [_most_shared(a, b) if a and b else None for a, b in zip(x, y)]
-        return pd.Series([b is None or (100 + percent) * b[0] >= percent * b[1] for b in bounds], dtype=bool)
+        return pd.Series([_may_link(a, b, percent) for a, b in zip(x, y)], dtype=bool)
 
     def joined(rows: DataFrame, column: str) -> DataFrame:
         side = lambda name: sets.select(F.col("cls").alias(name), F.col(column).alias(f"s{name}"))
         return rows.join(side("a"), "a").join(side("b"), "b")
 
-    both = joined(materialise(joined(pairs, "fine").where(fits("sa", "sb")).select("a", "b")), "found")
+    both = joined(pairs if sieved else materialise(joined(pairs, "fine").where(fits("sa", "sb")).select("a", "b")), "found")
     # 100 * shared >= percent * (a + b - shared), with the intersection named once.
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
     return both.where((100 + percent) * shared.cast("long") >= percent * total).select("a", "b")
@@ -326,77 +338,93 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
     near = members.withColumn("comp", F.col("cls")) if links is None else _labelled(members, links)
-    near = materialise(near)
-    pairs = _meeting(near, sets, threshold)
-    rest = _verified(materialise(pairs), sets, threshold)
+    pairs = _meeting(materialise(near), sets, threshold)
+    rest = _verified(materialise(pairs), sets, threshold, sieved=True)
     return rest if links is None else links.unionByName(rest)
 
 
+def _blocks(counted: DataFrame) -> int:
+    """Blocks of sets, so that a signature has about ``SLICE`` members in a block and two blocks share few enough rows for a task."""
+    tried = [8 << i for i in range(14)]
+    rows = [F.sum(F.col("all") * F.least("all", F.lit(b))) for b in tried]
+    largest, *rows = counted.agg(F.max("all"), *rows).first()
+    # A member goes to one task for each block that its signature has members in, at most.
+    return next((b for b, n in zip(tried, rows) if b * SLICE >= (largest or 0) and 2 * (n or 0) <= TASK_ROWS * b * b), tried[-1])
+
+
 def _meeting(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ``near(sig, cls, n, comp)`` in different components that share a signature and whose sketches allow a link.
 
-    Of each signature, the members outside its largest component ask all members. Askers and asked are cut into slices
-    of about ``SLICE``, and a cell is one slice of each, so no task holds a whole signature. Members carry a short
-    sketch into their cells, and a pair leaves its cell only if the sketches don't rule it out.
+    Of each signature, the members outside its largest component ask all members. Sets are dealt into blocks, and a task
+    holds, of every signature, the members in one pair of blocks. So all signatures that two sets share meet in one task, which lets
+    the pair out once, if the sketches don't rule it out. A task gets the sketches of a set once, however many signatures it has there.
     """
     percent = round(threshold * 100)
     counted = near.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(
         F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("c").alias("all")
-    ).where("comps > 1").select(
-        "sig", F.col("major.comp").alias("major"),
-        F.ceil((F.col("all") - F.col("major.c")) / SLICE).alias("xs"), F.ceil(F.col("all") / SLICE).alias("ys"),
+    ).where("comps > 1").select("sig", F.col("major.comp").alias("major"), "all")
+    blocks = _blocks(counted)
+    block = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.lit(blocks)).cast("int")
+    mixed = near.join(counted.drop("all"), "sig").select(
+        "sig", "cls", "n", "comp", (F.col("comp") == F.col("major")).alias("main"), block.alias("block")
+    )
+    held = mixed.groupBy("sig", "block").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("asking")).groupBy("sig").agg(
+        F.collect_list(F.struct("block", "all", "asking")).alias("held")
     )
-    mixed = near.join(counted, "sig").withColumn("main", F.col("comp") == F.col("major"))
-    own = lambda salt, slices: F.pmod(F.xxhash64(F.lit(salt), "cls"), F.col(slices))
-    each = lambda slices: F.sequence(F.lit(0).cast("long"), F.col(slices) - 1)
-    # One generator for both roles: a member outside the main component asks in its row of cells and is asked in its column.
-    asking = F.transform(each("ys"), lambda y: F.struct(F.lit(True).alias("asks"), F.xxhash64("sig", own("x", "xs"), y).alias("cell")))
-    asked = F.transform(each("xs"), lambda x: F.struct(F.lit(False).alias("asks"), F.xxhash64("sig", x, own("y", "ys")).alias("cell")))
-    roles = F.when(F.col("main"), asked).otherwise(F.concat(asking, asked))
-    placed = mixed.select("cls", "n", "comp", "main", F.explode(roles).alias("r")).select("r.cell", "r.asks", "cls", "n", "comp", "main")
+    # Who asks goes to every block that has someone else, the others to the blocks of those who ask.
+    useful = lambda h: F.when(F.col("main"), h["asking"] > 0).otherwise((h["block"] != F.col("block")) | (h["all"] > 1))
+    task = lambda h: F.least("block", h["block"]) * F.lit(blocks).cast("long") + F.greatest("block", h["block"])
+    dealt = materialise(mixed.join(held, "sig").withColumn("tasks", F.transform(F.filter("held", useful), task)).drop("held"))
 
     @F.pandas_udf("binary")
     def short(sketches: pd.Series) -> pd.Series:
         # Larger counts become 255, which only brings sketches nearer to each other.
         return sketches.map(lambda s: np.minimum(np.frombuffer(s, "<u4"), 255).astype(np.uint8).tobytes())
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        cell, asks, main = rows["cell"].to_numpy(), rows["asks"].to_numpy(), rows["main"].to_numpy()
-        cls, n, comp = rows["cls"].to_numpy(), rows["n"].to_numpy(), rows["comp"].to_numpy()
-        marks = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+    finer = "fine" in sets.columns
+    placed = dealt.select(F.explode("tasks").alias("task"), "sig", "cls", "comp", "main")
+    known = dealt.select(F.explode("tasks").alias("task"), "cls", "n", "block").distinct().join(
+        sets.select("cls", short("sketch").alias("short"), *["fine"] * finer), "cls"
+    )
+    # New names, as both sides come from one table.
+    known = known.toDF(*known.columns)
+
+    def meet(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("cls")
+        cls, n, block = (known[c].to_numpy() for c in ("cls", "n", "block"))
+        # Askers come first in a signature; who is in the largest component does not ask.
+        rows = rows.sort_values(["sig", "main"])
+        sig, comp, at = rows["sig"].to_numpy(), rows["comp"].to_numpy(), np.searchsorted(cls, rows["cls"].to_numpy())
+        one_block = bool((block == block[:1]).all())
+        asking, step = np.flatnonzero(~rows["main"].to_numpy()), 0
+        codes, waiting = [np.empty(0, np.int64)], 0
+        while asking.size:
+            step += 1
+            asking = asking[asking + step < len(sig)]
+            asking = asking[sig[asking] == sig[asking + step]]
+            x, y = at[asking], at[asking + step]
+            fit = (comp[asking] != comp[asking + step]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            if not one_block:
+                fit &= block[x] != block[y]
+            codes.append(np.minimum(x[fit], y[fit]) * len(cls) + np.maximum(x[fit], y[fit]))
+            waiting += len(codes[-1])
+            if waiting > TASK_ROWS:
+                codes, waiting = [np.unique(np.concatenate(codes))], 0
+        codes = np.unique(np.concatenate(codes))
+        marks = np.frombuffer(b"".join(known["short"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        fine = known["fine"].to_list() if finer else None
         out = [np.empty((0, 2), np.int64)]
-        for step in range(1, len(cell)):
-            here = cell[step:] == cell[:-step]
-            if not here.any():
-                break
-            # Askers come first in a cell. Two that ask each other are compared once.
-            x = np.flatnonzero(here & asks[:-step] & ~asks[step:])
-            y = x + step
-            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            fit = (comp[x] != comp[y]) & (main[y] | (cls[x] < cls[y])) & (100 * small >= percent * large)
-            x, y = x[fit], y[fit]
+        for start in range(0, len(codes), 16384):
+            x, y = np.divmod(codes[start : start + 16384], len(cls))
             apart = np.abs(marks[x] - marks[y]).sum(axis=1, dtype=np.int64)
             close = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+            if fine is not None:
+                close[close] = [_may_link(fine[i], fine[j], percent) for i, j in zip(x[close].tolist(), y[close].tolist())]
             out.append(np.stack([cls[x[close]], cls[y[close]]], axis=1))
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            # The last cell may go on in the next batch.
-            cut = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))
-            held = rows.iloc[cut:]
-            if cut:
-                yield compare(rows.iloc[:cut])
-        if held is not None:
-            yield compare(held)
-
-    carried = placed.join(sets.select("cls", short("sketch").alias("short")), "cls")
-    return carried.repartition("cell").sortWithinPartitions("cell", F.desc("asks")).mapInPandas(meet, "a long, b long").distinct()
+    return placed.groupBy("task").cogroup(known.groupBy("task")).applyInPandas(meet, "a long, b long")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:

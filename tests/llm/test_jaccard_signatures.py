@@ -62,3 +62,17 @@ def test_cells_hold_every_pair_that_may_link(spark, monkeypatch, slice_size):
                 want |= {(a, b)} if 100 * bound >= 75 * (n + m - bound) else set()
     assert got == want and similar and similar <= got
     assert jaccard._meeting(near.where(F.lit(False)), sets, 0.75).count() == 0
+
+
+def test_a_pair_leaves_its_blocks_once(spark, monkeypatch):
+    """However many signatures two sets share, and however many blocks there are, one row leaves for them, and none if the fine sketches rule them out."""
+    monkeypatch.setattr(jaccard, "SLICE", 2)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    draw = lambda k: np.unique(np.concatenate([base[:k], rng.integers(0, 2**63, 1000 - k).astype(np.uint64)]))
+    found = [draw(950) for _ in range(25)] + [draw(700) for _ in range(15)]
+    rows = [(i, bytearray(jaccard._sketch(f)), bytearray(jaccard._fine(f))) for i, f in enumerate(found)]
+    sets = spark.createDataFrame(rows, "cls long, sketch binary, fine binary")
+    near = spark.range(60).selectExpr("id AS sig").crossJoin(spark.range(40).selectExpr("id AS cls")).selectExpr("sig", "cls", "1000L AS n", "cls AS comp")
+    got = [(r.a, r.b) for r in jaccard._meeting(near, sets, 0.75).collect()]
+    assert sorted(got) == [(a, b) for a in range(25) for b in range(a + 1, 25)]
