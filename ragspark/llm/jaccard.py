@@ -284,7 +284,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, sieved: bool
         return pd.Series([_may_link(a, b, percent) for a, b in zip(x, y)], dtype=bool)
 
     def joined(rows: DataFrame, column: str) -> DataFrame:
-        side = lambda name: sets.select(F.col("cls").alias(name), F.col(column).alias(f"s{name}"))
+        # Without the bitmap all sets would be shuffled for however few pairs.
+        side = lambda name: _maybe(sets.select(F.col("cls").alias(name), F.col(column).alias(f"s{name}")), rows.select(name), name)
         return rows.join(side("a"), "a").join(side("b"), "b")
 
     both = joined(pairs if sieved else materialise(joined(pairs, "fine").where(fits("sa", "sb")).select("a", "b")), "found")
@@ -449,15 +450,20 @@ def _shared(rows: DataFrame, size: int, threshold: float, items: Column) -> Data
         return materialise(own.select("doc_id", "n", F.coalesce((F.col("n") > 0) & enough, F.lit(False)).alias("able")))
 
 
-def _only(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows whose doc_id is listed. A bitmap of fixed size keeps most other texts out of the shuffle of the join."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # bitmaps count from one
+def _maybe(rows: DataFrame, ids: DataFrame, name: str, bits: int = 24) -> DataFrame:
+    """Rows whose ``name`` is listed, and a few others. A bitmap of fixed size keeps most others out of the shuffle of a join that follows."""
+    place = F.pmod(F.xxhash64(name), F.lit(1 << bits)) + 1  # bitmaps count from one
     bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
     maps = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_map"))
     byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     # At most 2 ** (bits - 15) + 1 rows of 4 kB, whatever the input.
     listed = rows.join(F.broadcast(maps), bucket == F.col("_bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1)
-    return listed.select(*rows.columns).join(ids, "doc_id", "left_semi")
+    return listed.select(*rows.columns)
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is listed."""
+    return _maybe(rows, ids, "doc_id").join(ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:

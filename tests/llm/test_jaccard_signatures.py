@@ -76,3 +76,14 @@ def test_a_pair_leaves_its_blocks_once(spark, monkeypatch):
     near = spark.range(60).selectExpr("id AS sig").crossJoin(spark.range(40).selectExpr("id AS cls")).selectExpr("sig", "cls", "1000L AS n", "cls AS comp")
     got = [(r.a, r.b) for r in jaccard._meeting(near, sets, 0.75).collect()]
     assert sorted(got) == [(a, b) for a in range(25) for b in range(a + 1, 25)]
+
+
+def test_sets_without_a_pair_do_not_move(spark):
+    """A short list of pairs fetches its own sets and hardly any others."""
+    sets = spark.range(20000).select(F.col("id").alias("a"), F.array("id").alias("found"))
+    wanted = spark.range(0, 20000, 200).select(F.col("id").alias("a"))
+    got = {r.a for r in jaccard._maybe(sets, wanted, "a").select("a").collect()}
+    assert set(range(0, 20000, 200)) <= got and len(got) < 120
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    two = spark.createDataFrame([(1, [1, 2, 3, 4], None), (2, [1, 2, 3, 4, 5], None), (3, [1, 7], None), (4, [1], None)], "cls long, found array<long>, fine binary")
+    assert [tuple(r) for r in jaccard._verified(pairs, two, 0.75).collect()] == [(1, 2)]
