@@ -2,8 +2,8 @@
 
 The regular expressions run before the keyed stage, on evenly spread rows; the
 keyed stage only looks up or allocates tokens. Turns are ordered inside a micro
-batch, so a turn that arrives in a later batch gets later token numbers. The turns that
-one session sends in one micro batch are held together; limit the trigger where that is much.
+batch, so a turn that arrives in a later batch gets later token numbers. Of the turns that
+one session sends in one micro batch the vault holds the entities; their texts wait in a file of the task.
 
 A session that stays idle, by the time stamps of its turns, ends as a whole: its values leave the state. What stays
 are the numbers it issued, a count a type, so that no token of an ended session is ever issued again.
@@ -11,6 +11,8 @@ are the numbers it issued, a count a type, so that no token of an ended session
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -97,22 +99,33 @@ class _Vault(_Session):
         return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["turn", "pass_no"]).reset_index(drop=True)
-        told = pd.DataFrame(
-            [(i, e["slot"], e["entity_type"], e["value"], e["key"]) for i, row in enumerate(batch["entities"]) for e in row],
-            columns=["row", "slot", "entity_type", "value", "key"],
-        )
-        new = self._allocate(told)
-        known = dict(zip(new["key"], new["token"]))
-        token = [known.get(k) or self._tokens.getValue((k,))[0] for k in told["key"]]
-        of_slot = dict(zip(zip(told["row"], told["slot"]), token))
-        issued = {i: part[["token", "value", "key", "entity_type", "n"]].to_dict("records") for i, part in new.groupby("row")}
-        self._live_on(batch["seen_ms"], timerValues)
-        yield pd.DataFrame({
-            "session_id": key[0], "turn": batch["turn"], "pass_no": batch["pass_no"], "note": batch["note"].to_list(), "pieces": batch["pieces"].to_list(),
-            "fillers": [[of_slot[i, s] for s in slots] for i, slots in enumerate(batch["slots"])],
-            "counts": batch["counts"].to_list(), "issued": [issued.get(i, []) for i in range(len(batch))],
-        })
+        told, seen, held = [], pd.Series([], dtype="float64"), 0
+        with tempfile.TemporaryFile() as texts:
+            for part in rows:
+                for i, (turn, pass_no, entities) in enumerate(zip(part["turn"], part["pass_no"], part["entities"]), held):
+                    told += [(turn, pass_no, i, e["slot"], e["entity_type"], e["value"], e["key"]) for e in entities]
+                seen = pd.concat([seen, part["seen_ms"]]).nlargest(1)
+                held += len(part)
+                pickle.dump(part[["turn", "pass_no", "note", "pieces", "slots", "counts"]], texts, protocol=5)
+            told = pd.DataFrame(told, columns=["turn", "pass_no", "row", "slot", "entity_type", "value", "key"])
+            told = told.sort_values(["turn", "pass_no", "row"], ignore_index=True)
+            new = self._allocate(told)
+            known = dict(zip(new["key"], new["token"]))
+            token = [known.get(k) or self._tokens.getValue((k,))[0] for k in told["key"]]
+            of_slot = dict(zip(zip(told["row"], told["slot"]), token))
+            issued = {i: part[["token", "value", "key", "entity_type", "n"]].to_dict("records") for i, part in new.groupby("row")}
+            self._live_on(seen, timerValues)
+            texts.seek(0)
+            at = 0
+            while at < held:
+                part = pickle.load(texts)
+                numbers = range(at, at + len(part))
+                at += len(part)
+                yield pd.DataFrame({
+                    "session_id": key[0], "turn": part["turn"].to_list(), "pass_no": part["pass_no"].to_list(), "note": part["note"].to_list(),
+                    "pieces": part["pieces"].to_list(), "fillers": [[of_slot[i, s] for s in slots] for i, slots in zip(numbers, part["slots"])],
+                    "counts": part["counts"].to_list(), "issued": [issued.get(i, []) for i in numbers],
+                })
 
 
 def _timed(stream: DataFrame, time: str | None, idle: str | None, late: str) -> tuple[DataFrame, int | None]:
