@@ -18,6 +18,8 @@ STRIP = r"'^\s+|\s+$', '', 'g'"
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 # Word and punctuation tokens, as the default counter sees them.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# Documents in a file of JSON lines.
+FILE_ROWS = 25_000
 
 
 @query("fixed_chunks", f"""
@@ -113,7 +115,9 @@ FROM documents""")
 def provisions_in_file_order(t):
     """Documents as JSON lines without a position, in several files, and loaded again in their order."""
     folder = f"{shared_folder(t.spark).rstrip('/')}/ragspark/{uuid.uuid4().hex}"
-    lines = _as_provisions(t).repartitionByRange(5, "ord").sortWithinPartitions("ord").drop("ord")
+    # Files of bounded size, as a file is not always read in splits.
+    files = max(5, t.documents.count() // FILE_ROWS)
+    lines = _as_provisions(t).repartitionByRange(files, "ord").sortWithinPartitions("ord").drop("ord")
     lines.write.json(folder)
     loaded = corpus.load_provisions(t.spark, folder)
     return loaded.select("provision_id", "section", "ord", F.md5("text").alias("text_md5"))
