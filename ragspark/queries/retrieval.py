@@ -223,7 +223,10 @@ def scope_merge(t):
         F.col("conv_id").alias("session_id"), "turn",
         ((F.col("conv_id") * 7 + F.col("turn") * 3) % size).alias("query_id"),
     )
-    retrieved = turns.join(_top10(t), "query_id").drop("query_id")
+    # Only vectors that a turn asks with are queries.
+    queries = _queries(t).join(turns.select("query_id").distinct(), "query_id", "left_semi")
+    found = retrieval.top_k(queries, _chunks(t), 10, exclude_self=True)
+    retrieved = turns.join(found, "query_id").drop("query_id")
     return retrieval.session_scope(retrieved).select("session_id", "chunk_id", "score", "turn", "scope_rank")
 
 
