@@ -462,8 +462,9 @@ def _maybe(rows: DataFrame, ids: DataFrame, name: str, bits: int = 24) -> DataFr
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is listed."""
-    return _maybe(rows, ids, "doc_id").join(ids, "doc_id", "left_semi")
+    """Rows whose doc_id is listed; ``ids`` lists each once."""
+    # A left semi join would be moved below the bitmap, and all texts shuffled for it.
+    return _maybe(rows, ids, "doc_id").join(ids, "doc_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:

@@ -87,3 +87,16 @@ def test_sets_without_a_pair_do_not_move(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     two = spark.createDataFrame([(1, [1, 2, 3, 4], None), (2, [1, 2, 3, 4, 5], None), (3, [1, 7], None), (4, [1], None)], "cls long, found array<long>, fine binary")
     assert [tuple(r) for r in jaccard._verified(pairs, two, 0.75).collect()] == [(1, 2)]
+
+
+def test_texts_meet_the_bitmap_before_they_are_shuffled(spark):
+    """The join with the listed ids stays above the bitmap, also where the ids are too many to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        kept = jaccard._only(rows, spark.range(0, 5000, 50).select(F.col("id").alias("doc_id")))
+        joins = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+        assert "getbit" not in joins[0] and "getbit" in joins[1]
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 5000, 50))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
