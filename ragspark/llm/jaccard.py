@@ -324,11 +324,9 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
     named = signed.select("cls", F.count("*").over(by_sig).alias("c"), F.bit_xor(F.xxhash64("cls")).over(by_sig).alias("sig"))
     shared = named.where("c > 1").select("sig", "cls").distinct()
     members = materialise(shared.join(sets.select("cls", "n"), "cls").select("sig", "cls", "n"))
-    links = None
+    label = None
     for k in range(rounds):
-        at = members if links is None else _labelled(members, links)
-        comp = F.col("cls") if links is None else F.col("comp")
-        near = at.withColumn("comp", comp)
+        near = _labelled(members, label)
         order = F.struct(F.xxhash64(F.lit(k), "cls").alias("o"), F.col("cls"), F.col("comp"))
         anchor = near.groupBy("sig").agg(F.min(order).alias("anchor"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         asked = near.join(anchor.where("lo <> hi"), "sig").where(F.col("comp") != F.col("anchor.comp"))
@@ -337,11 +335,13 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
         found = materialise(_verified(materialise(_possible(best, sets, threshold)), sets, threshold))
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-    near = members.withColumn("comp", F.col("cls")) if links is None else _labelled(members, links)
-    pairs = _meeting(materialise(near), sets, threshold)
+        label = _merged(label, found)
+    pairs = _meeting(materialise(_labelled(members, label)), sets, threshold)
     rest = _verified(materialise(pairs), sets, threshold, sieved=True)
-    return rest if links is None else links.unionByName(rest)
+    if label is None:
+        return rest
+    tree = label.where("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
+    return tree.unionByName(_contracted(rest, label))
 
 
 def _blocks(counted: DataFrame) -> int:
@@ -428,9 +428,27 @@ def _meeting(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return placed.groupBy("task").cogroup(known.groupBy("task")).applyInPandas(meet, "a long, b long")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    label = components(links).select(F.col("id").alias("cls"), F.col("component_id").alias("_comp"))
-    return members.select("sig", "cls", "n").join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("_comp", "cls").alias("comp"))
+def _contracted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """One link between any two components that ``links`` connect; many links of two groups are one."""
+    to = lambda name: label.select(F.col("cls").alias(name), F.col("comp").alias(f"_{name}"))
+    moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    return moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """cls and comp, its smallest set, of all sets with a link: ``label`` after more ``links``, of which only those between its components count."""
+    up = components(links if label is None else _contracted(links, label))
+    if label is None:
+        return up.select(F.col("id").alias("cls"), F.col("component_id").alias("comp"))
+    new = up.select(F.col("id").alias("cls"), F.col("id").alias("comp")).join(label, "cls", "left_anti")
+    moved = label.unionByName(new).join(up.withColumnRenamed("id", "comp"), "comp", "left")
+    return materialise(moved.select("cls", F.coalesce("component_id", "comp").alias("comp")))
+
+
+def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return members.withColumn("comp", F.col("cls"))
+    return members.join(label.withColumnRenamed("comp", "_comp"), "cls", "left").select("sig", "cls", "n", F.coalesce("_comp", "cls").alias("comp"))
 
 
 def _shared(rows: DataFrame, size: int, threshold: float, items: Column) -> DataFrame:
