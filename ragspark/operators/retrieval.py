@@ -18,8 +18,8 @@ SCORE_DIGITS = 6
 BLOCK_SCORES = 4_000_000
 # Numbers in the vectors of one side of a group of the cell plan: 65,536 vectors of 64 dimensions.
 GROUP_VALUES = 4 << 20
-# Queries and chunks whose scores are compared at once there, chunks of the first comparison, and pairs scored exactly at once.
-TILE_QUERIES, TILE_CHUNKS, FIRST_CHUNKS, EXACT_PAIRS = 256, 8192, 1024, 1 << 16
+# Queries and chunks whose scores are compared at once there, and pairs scored exactly at once.
+TILE_QUERIES, TILE_CHUNKS, EXACT_PAIRS = 512, 1024, 1 << 16
 
 
 def _unit(vectors) -> np.ndarray:
@@ -75,24 +75,39 @@ def _best_of_group(qids, q: np.ndarray, cids, c: np.ndarray, k: int, exclude_sel
     order = order[(alike.groupby(alike, sort=False).cumcount() < wanted).to_numpy()]
     cids, c = cids[order], c[order]
     own = pd.Index(cids).get_indexer(pd.Index(qids)) if exclude_self else None
-    q32, c32 = q.astype(np.float32), c.astype(np.float32)
+    q32, c32 = q.astype(np.float32), np.zeros((len(c) + -len(c) % 8, q.shape[1]), dtype=np.float32)
+    c32[:len(c)] = c
     slack = (q.shape[1] + 8) * 2.0 ** -23 + 0.5 / 10 ** SCORE_DIGITS
+    # Held for all tiles and small enough for a core's cache; eight marks are tested at once.
+    held = np.empty(TILE_QUERIES * TILE_CHUNKS, dtype=np.float32)
+    marks = np.empty(TILE_QUERIES * TILE_CHUNKS, dtype=bool)
     for x in range(0, len(q), TILE_QUERIES):
         some = q32[x:x + TILE_QUERIES]
         floor = np.full(len(some), -np.inf, dtype=np.float32)
         rows, cols, points = (np.empty(0, dtype=np.int64) for _ in range(3))
-        y = 0
+        y, waiting, found = 0, 0, []
         while y < len(c):
-            width = min(TILE_CHUNKS, max(FIRST_CHUNKS, y))
-            scores = some @ c32[y:y + width].T
-            if y == 0 and scores.shape[1] > wanted:
-                floor = np.partition(scores, -wanted, axis=1)[:, -wanted] - np.float32(2 * slack)
-            new_rows, new_cols = np.divmod(np.flatnonzero(scores >= floor[:, None]), scores.shape[1])
-            new_cols += y
-            y += scores.shape[1]
+            width = min(TILE_CHUNKS, len(c32) - y)
+            scores = np.matmul(some, c32[y:y + width].T, out=held[:len(some) * width].reshape(len(some), width))
+            if y == 0 and len(c) > wanted:
+                floor = np.partition(scores[:, :len(c)], -wanted, axis=1)[:, -wanted] - np.float32(2 * slack)
+            hit = np.greater_equal(scores, floor[:, None], out=marks[:len(some) * width].reshape(len(some), width))
+            eights = np.flatnonzero(hit.reshape(-1).view(np.uint64))
+            eight, one = np.nonzero(hit.reshape(-1, 8)[eights])
+            new_rows, new_cols = np.divmod(eights[eight] * 8 + one, width)
+            found.append((new_rows, new_cols + y))
+            waiting += len(new_rows)
+            y += width
+            # Scored exactly once there are enough, or when the floor still rises fast.
+            if y < len(c) and y > 8 * TILE_CHUNKS and waiting < k * len(some):
+                continue
+            new_rows, new_cols = (np.concatenate(part) for part in zip(*found))
+            waiting, found = 0, []
+            # The last rows of ``c32`` only fill it up.
+            kept = new_cols < len(c)
             if exclude_self:
-                others = own[x + new_rows] != new_cols
-                new_rows, new_cols = new_rows[others], new_cols[others]
+                kept &= own[x + new_rows] != new_cols
+            new_rows, new_cols = new_rows[kept], new_cols[kept]
             if not len(new_rows):
                 continue
             points = np.concatenate([points, _points(q, c, x + new_rows, new_cols)])
