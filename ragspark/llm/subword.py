@@ -14,7 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ _UNITS = re.compile(" *[^ ]+| +")
 _NEVER = float("inf")
 #: Candidates up to the next skip that one draw can tell; a draw past them is followed by another one.
 _FAR = 256
+#: Longest units that merge together, and how many do at once.
+_WIDE, _TOGETHER = 32, 4096
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -79,6 +81,27 @@ class Merger:
             self.spelled[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.bytes.items():
             self.spelled[i] = bytes([value])
+        # Pairs of pieces that make a piece, as sorted numbers; the last one is never reached.
+        self._size = size
+        pairs = sorted(
+            (self.merges[w[:j]][1] * size + self.merges[w[j:]][1], i)
+            for w, (_, i) in self.merges.items() for j in range(1, len(w)) if w[:j] in self.merges and w[j:] in self.merges
+        )
+        self._pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self._made = np.array([i for _, i in pairs] + [size], np.int64)
+        self._cost_of = np.full(size + 1, _NEVER)
+        for cost, i in self.merges.values():
+            self._cost_of[i] = cost
+        #: Code point -> its piece, or -2 - code point, which never merges; -1 if it is a part of a piece only.
+        self._piece_of = -2 - np.arange(0x110000)
+        self._piece_of[[ord(c) for c in set("".join(self.merges))]] = -1
+        for piece, (_, i) in self.merges.items():
+            if len(piece) == 1:
+                self._piece_of[ord(piece)] = i
+        # Blanks become the model's space mark, a literal mark is spelled in bytes.
+        self._piece_of[ord(" ")], self._piece_of[ord(SPACE)] = self._piece_of[ord(SPACE)], -2 - ord(SPACE)
+        self._is_byte = np.zeros(size, bool)
+        self._is_byte[list(self.byte_ids)] = True
         self.units = Units(self)
 
     def unit(self, word: str, skips: Iterator[int]) -> tuple[bytes, int]:
@@ -102,11 +125,94 @@ class Merger:
 
     def unskipped(self, words: list[str]) -> Iterator[tuple[bytes, int]]:
         """As ``unit`` without skips, by the model itself where each merge takes one symbol away."""
-        for word, ids in zip(words, self.plain.encode(words)):
-            if SPACE in word or not self.byte_ids.isdisjoint(ids):
-                yield self.unit(word, iter(()))
-            else:
-                yield struct.pack(f"<{len(ids)}I", *ids), len(word) - len(ids)
+        found = self.plain.encode(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(words))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        spelled = np.concatenate([[0], np.cumsum(self._is_byte[flat])])
+        odd = (spelled[ends] > spelled[ends - sizes]) | np.fromiter((SPACE in w for w in words), bool, len(words))
+        raw = flat.astype("<u4").tobytes()
+        merged = iter(self.skipping([words[i] for i in np.flatnonzero(odd).tolist()], [[]] * int(odd.sum())))
+        for word, size, end, apart in zip(words, sizes.tolist(), ends.tolist(), odd.tolist()):
+            yield next(merged) if apart else (raw[4 * (end - size) : 4 * end], len(word) - size)
+
+    def skipping(self, words: list[str], skips: list[list[int]]) -> list[tuple[bytes, int]]:
+        """As ``unit`` for many units at once, each with its list of skips."""
+        out: list[tuple[bytes, int] | None] = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        pieces = self._piece_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        starts = np.cumsum(sizes) - sizes
+        apart = (sizes > _WIDE) | np.logical_or.reduceat(pieces == -1, starts) if len(words) else np.empty(0, bool)
+        for i in np.flatnonzero(apart).tolist():
+            out[i] = self.unit(words[i], iter(skips[i]))
+        order = np.flatnonzero(~apart)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for at in range(0, len(order), _TOGETHER):
+            some = order[at : at + _TOGETHER]
+            column = np.arange(int(sizes[some[-1]]) + 1)
+            inside = column < sizes[some][:, None]
+            symbols = np.where(inside, pieces[np.minimum(starts[some][:, None] + column, len(pieces) - 1)], -1)
+            gaps_of = np.full((len(some), max(len(skips[i]) for i in some.tolist()) + 1), -1)
+            for row, i in enumerate(some.tolist()):
+                gaps_of[row, : len(skips[i])] = skips[i]
+            ids, done = self._merge_together(symbols, gaps_of)
+            ends = np.cumsum((ids != -1).sum(axis=1))
+            odd = (ids < -1).any(axis=1)
+            ids = ids[ids != -1]
+            raw, start = ids.astype("<u4").tobytes(), 0
+            for i, end, d, apart in zip(some.tolist(), ends.tolist(), done.tolist(), odd.tolist()):
+                out[i] = (self._spelled_out(ids[start:end].tolist()) if apart else raw[4 * start : 4 * end], d)
+                start = end
+        return out
+
+    def _spelled_out(self, ids: list[int]) -> bytes:
+        """Ids with the bytes of characters that have no piece."""
+        out: list[int] = []
+        for i in ids:
+            out += [i] if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode()]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two neighbours make, or one that costs too much where they make none or one is missing (-1)."""
+        key = np.where((a < 0) | (b < 0), -1, a * self._size + b)
+        at = np.searchsorted(self._pairs, key)
+        return np.where(self._pairs[at] == key, self._made[at], self._size)
+
+    def _merge_together(self, symbols: np.ndarray, gaps_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of ``_merge_short`` on rows of pieces: rows with -1 where a symbol went, and merges after the last skip.
+
+        Rows are padded by -1, and end with it. A symbol stays where its first character was, so the leftmost of equal costs is the same.
+        """
+        rows, width = symbols.shape
+        made = np.full(symbols.shape, self._size)
+        made[:, :-1] = self._joined(symbols[:, :-1], symbols[:, 1:])
+        costs = self._cost_of[made]
+        after, before = (np.tile(np.arange(width) + k, (rows, 1)).ravel() for k in (1, -1))
+        flat, made, cost = symbols.ravel(), made.ravel(), costs.ravel()
+        gap_of, most = gaps_of.ravel(), gaps_of.shape[1]
+        row, done, turn = np.arange(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        while row.size:
+            at = row * width + costs[row].argmin(axis=1)
+            going = cost[at] != _NEVER
+            row, at = row[going], at[going]
+            skip = done[row] == gap_of[row * most + turn[row]]
+            cost[at[skip]] = _NEVER
+            turn[row[skip]] += 1
+            done[row] += 1
+            done[row[skip]] = 0
+            at = at[~skip]
+            base = row[~skip] * width
+            gone, merged = base + after[at], made[at]
+            flat[at], flat[gone], cost[gone] = merged, -1, _NEVER
+            end = after[gone]
+            after[at], before[base + end] = end, at - base
+            made[at] = self._joined(merged, flat[base + end])
+            cost[at] = self._cost_of[made[at]]
+            some = before[at] >= 0
+            left = base[some] + before[at[some]]
+            made[left] = self._joined(flat[left], merged[some])
+            cost[left] = self._cost_of[made[left]]
+        return symbols, done
 
     def _merge_short(self, symbols: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
         """Merge by looking through all costs each time, which is faster for few symbols than an agenda."""
@@ -211,16 +317,23 @@ class Units(dict):
         self._after[node] = after
         return node
 
-    def _skip(self, node: int, gap: int) -> int:
-        key = node * _FAR + gap
-        found = self._skipped.get(key)
-        if found is None:
-            skips, made = [], key
-            while not isinstance(made, str):
-                skips.append(made % _FAR)
-                made = self._made[made // _FAR]
-            found = self._skipped[key] = self._add(key, *self._model.unit(made, reversed(skips)))
-        return found
+    def _skip(self, nodes: np.ndarray, gap: np.ndarray) -> list[int]:
+        """Nodes after one more skip; those not known yet are merged together."""
+        keys = (nodes * _FAR + gap).tolist()
+        known = self._skipped
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        for at in range(0, len(new), 4 * _TOGETHER):
+            words, skips = [], []
+            for made in new[at : at + 4 * _TOGETHER]:
+                path = []
+                while not isinstance(made, str):
+                    path.append(made % _FAR)
+                    made = self._made[made // _FAR]
+                words.append(made)
+                skips.append(path[::-1])
+            for key, (ids, after) in zip(new[at : at + 4 * _TOGETHER], self._model.skipping(words, skips)):
+                known[key] = self._add(key, ids, after)
+        return [known[k] for k in keys]
 
     def ids(self, words: list[str], keys: np.ndarray, places: np.ndarray, table: np.ndarray) -> list[bytes]:
         """Ids of every occurrence of a unit by its own draws."""
@@ -234,7 +347,7 @@ class Units(dict):
             gap = gaps(keys[live], places[live], turn, table)
             hit = gap < self._after[nodes[live]]
             live, gap, turn = live[hit], gap[hit], turn + 1
-            nodes[live] = [self._skip(n, g) for n, g in zip(nodes[live].tolist(), gap.tolist())]
+            nodes[live] = self._skip(nodes[live], gap)
         out = list(map(self._ids.__getitem__, nodes.tolist()))
         for i in long:
             out[i] = self._model.unit(words[i], one_by_one(keys[i : i + 1], places[i : i + 1], table))[0]
