@@ -34,6 +34,8 @@ _NEVER = float("inf")
 _FAR = 256
 #: Longest units that merge together, and how many do at once.
 _WIDE, _TOGETHER = 32, 4096
+#: Characters of the texts whose words are held at once, but for one text.
+_CHARS = 1_000_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -125,7 +127,7 @@ class Merger:
 
     def unskipped(self, words: list[str]) -> Iterator[tuple[bytes, int]]:
         """As ``unit`` without skips, by the model itself where each merge takes one symbol away."""
-        found = self.plain.encode(words)
+        found = self.plain.encode(words, num_threads=1)
         sizes = np.fromiter(map(len, found), np.int64, len(words))
         flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
@@ -400,7 +402,13 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1) -> Data
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = merger(path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": m.encode_all(batch["text"].tolist(), seed, batch["doc_id"].tolist(), rate)})
+            texts, docs, ids = batch["text"].tolist(), batch["doc_id"].tolist(), []
+            # Words of a call are held together.
+            cuts = np.cumsum([len(t or "") for t in texts]) // _CHARS
+            edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(edges, edges[1:]):
+                ids += m.encode_all(texts[lo:hi], seed, docs[lo:hi], rate)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(read, "doc_id string, ids binary").select(
         F.col("doc_id").cast("long").alias("doc_id"), "ids"

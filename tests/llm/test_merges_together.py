@@ -25,3 +25,13 @@ def test_few_units_merge_one_by_one(monkeypatch):
     texts = [" ".join(f"word{i} somewhat different{i} naïve" for i in range(300))]
     model.encode_all(texts, 1, ["7"], 0.3)
     assert not calls
+
+
+def test_a_batch_is_cut_into_calls(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 3, F.concat_ws(" ", F.lit("some words of"), F.col("id"))).alias("text")).coalesce(1)
+    whole = sorted(map(tuple, subword.encode(docs, subword.default_path()).collect()))
+    monkeypatch.setattr(subword, "_CHARS", 50)
+    assert sorted(map(tuple, subword.encode(docs, subword.default_path()).collect())) == whole and len(whole) == 40
+    assert subword.encode(docs.limit(0), subword.default_path()).collect() == []
