@@ -21,6 +21,8 @@ from ragspark.llm.common import worker_state
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
+#: N-grams that a worker holds at once while it counts.
+PORTION = 1_000_000
 PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -90,12 +92,24 @@ class Model:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of each n-gram per language, summed within a batch."""
+    """Occurrences of each n-gram per language, summed over texts of about ``PORTION`` n-grams."""
+    def summed(lang: str, found: list[np.ndarray]) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": counts})
+
+    # A worker that has packed keeps the words it met; counting needs none of them.
+    worker_state().pop("words", None)
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            found = [grams(t)[0] for t in texts]
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": counts})
+            found, held = [], 0
+            for text in texts:
+                found.append(grams(text)[0])
+                held += len(found[-1])
+                if held >= PORTION:
+                    yield summed(lang, found)
+                    found, held = [], 0
+            if found:
+                yield summed(lang, found)
 
 
 def fit(rows: DataFrame, max_rows: int = 20000, max_grams: int = 32768, least_share: float = 0.25) -> Model:
