@@ -14,7 +14,8 @@
    most of a large group of near copies by as many comparisons as it has members.
    Then all pairs between different components that share a signature meet, each in one
    pair of blocks of sets, where sketches rule most out before any pair is emitted, and are
-   compared; pairs inside a component can add no link between components.
+   compared; pairs inside a component can add no link between components. Where many are left, the
+   nearest of each set come first and merge components, round by round; at last all that are left.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BUCKETS = 128
 SLICE = 256
 # Members of signatures that a task compares, on average.
 TASK_ROWS = 500_000
+# Pairs that a task lets out at once, for each of its sets; from a task with more, only the nearest of each set come first.
+FEW = 1
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -336,8 +339,19 @@ def _links(sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
         if found.isEmpty():
             break
         label = _merged(label, found)
-    pairs = _meeting(materialise(_labelled(members, label)), sets, threshold)
-    rest = _verified(materialise(pairs), sets, threshold, sieved=True)
+    few: int | None = FEW
+    while True:
+        met = materialise(_meeting(materialise(_labelled(members, label)), sets, threshold, few))
+        if met.where("cut").isEmpty():
+            break
+        first = materialise(_nearest(met))
+        found = materialise(_verified(first, sets, threshold, sieved=True))
+        # Where few of the nearest link, few of the others do: then all come at once.
+        if 20 * found.count() < first.count():
+            few = None
+        if not found.isEmpty():
+            label = _merged(label, found)
+    rest = _verified(met.select("a", "b"), sets, threshold, sieved=True)
     if label is None:
         return rest
     tree = label.where("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
@@ -353,9 +367,19 @@ def _blocks(counted: DataFrame) -> int:
     return next((b for b, n in zip(tried, rows) if b * SLICE >= (largest or 0) and 2 * (n or 0) <= TASK_ROWS * b * b), tried[-1])
 
 
-def _meeting(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _nearest(met: DataFrame) -> DataFrame:
+    """Of pairs (a, b, apart), the nearest one of each set."""
+    ends = met.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of"))
+    best = ends.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("m"))
+    return best.select("m.a", "m.b").distinct()
+
+
+def _meeting(near: DataFrame, sets: DataFrame, threshold: float, few: int | None = None) -> DataFrame:
     """Pairs (a, b) of ``near(sig, cls, n, comp)`` in different components that share a signature and whose sketches allow a link.
 
+    ``apart`` is how far their sketches are apart, by their sizes. With ``few``, a task that has more than so many pairs for each set lets
+    out only the nearest pair of each of its sets, and says so in ``cut``.
+
     Of each signature, the members outside its largest component ask all members. Sets are dealt into blocks, and a task
     holds, of every signature, the members in one pair of blocks. So all signatures that two sets share meet in one task, which lets
     the pair out once, if the sketches don't rule it out. A task gets the sketches of a set once, however many signatures it has there.
@@ -414,18 +438,25 @@ def _meeting(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         codes = np.unique(np.concatenate(codes))
         marks = np.frombuffer(b"".join(known["short"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
         fine = known["fine"].to_list() if finer else None
-        out = [np.empty((0, 2), np.int64)]
+        out, gaps = [np.empty((0, 2), np.int64)], [np.empty(0)]
         for start in range(0, len(codes), 16384):
             x, y = np.divmod(codes[start : start + 16384], len(cls))
             apart = np.abs(marks[x] - marks[y]).sum(axis=1, dtype=np.int64)
             close = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
             if fine is not None:
                 close[close] = [_may_link(fine[i], fine[j], percent) for i, j in zip(x[close].tolist(), y[close].tolist())]
-            out.append(np.stack([cls[x[close]], cls[y[close]]], axis=1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return placed.groupBy("task").cogroup(known.groupBy("task")).applyInPandas(meet, "a long, b long")
+            out.append(np.stack([x[close], y[close]], axis=1))
+            gaps.append(apart[close] / (n[x[close]] + n[y[close]]))
+        pairs, gap = np.concatenate(out), np.concatenate(gaps)
+        cut = few is not None and len(pairs) > few * len(cls)
+        if cut:
+            order = np.argsort(gap, kind="stable")
+            firsts = [order[np.unique(pairs[order, side], return_index=True)[1]] for side in (0, 1)]
+            kept = np.unique(np.concatenate(firsts))
+            pairs, gap = pairs[kept], gap[kept]
+        return pd.DataFrame({"a": cls[pairs[:, 0]], "b": cls[pairs[:, 1]], "apart": gap, "cut": cut})
+
+    return placed.groupBy("task").cogroup(known.groupBy("task")).applyInPandas(meet, "a long, b long, apart double, cut boolean")
 
 
 def _contracted(links: DataFrame, label: DataFrame) -> DataFrame:
