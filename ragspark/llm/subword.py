@@ -126,7 +126,15 @@ class Merger:
         return struct.pack(f"<{len(out)}I", *out), done
 
     def unskipped(self, words: list[str]) -> Iterator[tuple[bytes, int]]:
-        """As ``unit`` without skips, by the model itself where each merge takes one symbol away."""
+        """As ``unit`` without skips, for many units."""
+        return zip(*self.all_unskipped(words))
+
+    def skipping(self, words: list[str], skips: list[list[int]]) -> list[tuple[bytes, int]]:
+        """As ``unit`` for many units, each with its list of skips."""
+        return list(zip(*self.all_skipping(words, skips)))
+
+    def all_unskipped(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """The two columns of ``unskipped``, by the model itself where each merge takes one symbol away."""
         found = self.plain.encode(words, num_threads=1)
         sizes = np.fromiter(map(len, found), np.int64, len(words))
         flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
@@ -134,19 +142,22 @@ class Merger:
         spelled = np.concatenate([[0], np.cumsum(self._is_byte[flat])])
         odd = (spelled[ends] > spelled[ends - sizes]) | np.fromiter((SPACE in w for w in words), bool, len(words))
         raw = flat.astype("<u4").tobytes()
-        merged = iter(self.skipping([words[i] for i in np.flatnonzero(odd).tolist()], [[]] * int(odd.sum())))
-        for word, size, end, apart in zip(words, sizes.tolist(), ends.tolist(), odd.tolist()):
-            yield next(merged) if apart else (raw[4 * (end - size) : 4 * end], len(word) - size)
-
-    def skipping(self, words: list[str], skips: list[list[int]]) -> list[tuple[bytes, int]]:
-        """As ``unit`` for many units at once, each with its list of skips."""
-        out: list[tuple[bytes, int] | None] = [None] * len(words)
+        ids = [raw[lo:hi] for lo, hi in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist())]
+        done = (np.fromiter(map(len, words), np.int64, len(words)) - sizes).tolist()
+        apart = np.flatnonzero(odd).tolist()
+        for i, x, d in zip(apart, *self.all_skipping([words[i] for i in apart], [[]] * len(apart))):
+            ids[i], done[i] = x, d
+        return ids, done
+
+    def all_skipping(self, words: list[str], skips: list[list[int]]) -> tuple[list[bytes], list[int]]:
+        """The two columns of ``skipping``, merged together."""
+        out, after = [b""] * len(words), [0] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         pieces = self._piece_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
         starts = np.cumsum(sizes) - sizes
         apart = (sizes > _WIDE) | np.logical_or.reduceat(pieces == -1, starts) if len(words) else np.empty(0, bool)
         for i in np.flatnonzero(apart).tolist():
-            out[i] = self.unit(words[i], iter(skips[i]))
+            out[i], after[i] = self.unit(words[i], iter(skips[i]))
         order = np.flatnonzero(~apart)
         order = order[np.argsort(sizes[order], kind="stable")]
         for at in range(0, len(order), _TOGETHER):
@@ -154,18 +165,19 @@ class Merger:
             column = np.arange(int(sizes[some[-1]]) + 1)
             inside = column < sizes[some][:, None]
             symbols = np.where(inside, pieces[np.minimum(starts[some][:, None] + column, len(pieces) - 1)], -1)
-            gaps_of = np.full((len(some), max(len(skips[i]) for i in some.tolist()) + 1), -1)
-            for row, i in enumerate(some.tolist()):
-                gaps_of[row, : len(skips[i])] = skips[i]
+            own = [skips[i] for i in some.tolist()]
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            gaps_of = np.full((len(own), int(counts.max()) + 1), -1)
+            gaps_of[np.arange(gaps_of.shape[1]) < counts[:, None]] = np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum()))
             ids, done = self._merge_together(symbols, gaps_of)
             ends = np.cumsum((ids != -1).sum(axis=1))
             odd = (ids < -1).any(axis=1)
             ids = ids[ids != -1]
             raw, start = ids.astype("<u4").tobytes(), 0
             for i, end, d, apart in zip(some.tolist(), ends.tolist(), done.tolist(), odd.tolist()):
-                out[i] = (self._spelled_out(ids[start:end].tolist()) if apart else raw[4 * start : 4 * end], d)
+                out[i], after[i] = self._spelled_out(ids[start:end].tolist()) if apart else raw[4 * start : 4 * end], d
                 start = end
-        return out
+        return out, after
 
     def _spelled_out(self, ids: list[int]) -> bytes:
         """Ids with the bytes of characters that have no piece."""
@@ -310,14 +322,15 @@ class Units(dict):
         self._ids: list[bytes] = [b""]
         self._after = np.zeros(1024, np.int64)
 
-    def _add(self, made: str | int, ids: bytes, after: int) -> int:
-        node = len(self._ids)
-        self._made.append(made)
-        self._ids.append(ids)
-        if node == len(self._after):
-            self._after = np.concatenate([self._after, np.zeros(node, np.int64)])
-        self._after[node] = after
-        return node
+    def _add(self, made: list, ids: list[bytes], after: list[int]) -> range:
+        """Numbers of new nodes."""
+        first = len(self._ids)
+        self._made += made
+        self._ids += ids
+        if len(self._ids) > len(self._after):
+            self._after = np.concatenate([self._after, np.zeros(len(self._ids), np.int64)])
+        self._after[first : len(self._ids)] = after
+        return range(first, len(self._ids))
 
     def _skip(self, nodes: np.ndarray, gap: np.ndarray) -> list[int]:
         """Nodes after one more skip; those not known yet are merged together."""
@@ -325,23 +338,24 @@ class Units(dict):
         known = self._skipped
         new = [k for k in dict.fromkeys(keys) if k not in known]
         for at in range(0, len(new), 4 * _TOGETHER):
+            some, origin = new[at : at + 4 * _TOGETHER], self._made
             words, skips = [], []
-            for made in new[at : at + 4 * _TOGETHER]:
+            for made in some:
                 path = []
-                while not isinstance(made, str):
-                    path.append(made % _FAR)
-                    made = self._made[made // _FAR]
+                while made.__class__ is int:
+                    node, gap = divmod(made, _FAR)
+                    path.append(gap)
+                    made = origin[node]
+                path.reverse()
                 words.append(made)
-                skips.append(path[::-1])
-            for key, (ids, after) in zip(new[at : at + 4 * _TOGETHER], self._model.skipping(words, skips)):
-                known[key] = self._add(key, ids, after)
-        return [known[k] for k in keys]
+                skips.append(path)
+            known.update(zip(some, self._add(some, *self._model.all_skipping(words, skips))))
+        return list(map(known.__getitem__, keys))
 
     def ids(self, words: list[str], keys: np.ndarray, places: np.ndarray, table: np.ndarray) -> list[bytes]:
         """Ids of every occurrence of a unit by its own draws."""
         new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= self._longest]
-        for word, (ids, after) in zip(new, self._model.unskipped(new)):
-            self[word] = self._add(word, ids, after)
+        self.update(zip(new, self._add(new, *self._model.all_unskipped(new))))
         nodes = np.fromiter(map(self.get, words, repeat(0)), np.int64, len(words))
         long = np.flatnonzero(nodes == 0).tolist()
         live, turn = np.arange(len(words)), 0

@@ -35,3 +35,18 @@ def test_a_batch_is_cut_into_calls(spark, monkeypatch):
     monkeypatch.setattr(subword, "_CHARS", 50)
     assert sorted(map(tuple, subword.encode(docs, subword.default_path()).collect())) == whole and len(whole) == 40
     assert subword.encode(docs.limit(0), subword.default_path()).collect() == []
+
+
+def test_new_units_are_added_in_bulk(monkeypatch):
+    """A call adds its new units at once and the nodes after a skip by the batch, not one by one; ids are those of single units."""
+    import numpy as np
+
+    model = subword.Merger(subword.default_path())
+    words = [f" word{i}tion" for i in range(500)]
+    keys, places = np.full(500, 7, np.uint64), np.arange(500)
+    table = subword.thresholds(0.3)
+    added, plain = [], subword.Units._add
+    monkeypatch.setattr(subword.Units, "_add", lambda self, *a: added.append(1) or plain(self, *a))
+    got = model.units.ids(words, keys, places, table)
+    assert got == [model.unit(w, subword.one_by_one(keys[i : i + 1], places[i : i + 1], table))[0] for i, w in enumerate(words)]
+    assert len(added) < 30
