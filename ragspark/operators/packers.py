@@ -85,22 +85,29 @@ def pack_in_blocks(
             out.append(chunks)
         return pd.Series(out)
 
-    def packed(homes: DataFrame) -> DataFrame:
-        """Chunks of each home, a run of blocks (parent, home, last), with the units shortly before it."""
+    def packed(homes: DataFrame | None = None) -> DataFrame:
+        """Chunks of each home, a run of blocks (parent, home, last), with the units shortly before it; without ``homes``, of each block."""
         inside = F.col("pos") - F.col("block") * block_units
         seen = placed.withColumn("block", F.explode(F.when(
             inside >= block_units - overlap, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array(F.col("block")))))
+        if homes is None:
+            # No join, so that the texts are shuffled once; units before a block that is not there make no home.
+            kept = seen.where(F.col("parent").isNotNull()).withColumns({"home": F.col("block"), "last": F.col("block")})
+            return grouped(kept).where(F.col("end") >= F.col("home") * block_units).select(*outcome)
         # A block that follows another one of its home has those units already.
         of = homes.withColumn("block", F.explode(F.sequence("home", "last")))
         joined = seen.alias("s").join(of.alias("h"), (F.col("s.parent") == F.col("h.parent")) & (F.col("s.block") == F.col("h.block")))
         kept = joined.where((F.col("s.block") == F.col("home")) | (F.col("pos") >= F.col("s.block") * block_units))
-        rows = kept.groupBy(F.col("s.parent").alias("parent"), "home", "last").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "label", "text"))).alias("u"), F.first("header", ignorenulls=True).alias("header")
+        return grouped(kept.select("s.*", "home", "last")).select(*outcome)
+
+    def grouped(kept: DataFrame) -> DataFrame:
+        return kept.groupBy("parent", "home", "last").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "label", "text"))).alias("u"), F.first("header", ignorenulls=True).alias("header"),
+            F.max("pos").alias("end"),
         )
-        return rows.select("parent", "home", "last", F.explode_outer(F.array(pack("u", "header"))).alias("c"))
 
-    blocks = placed.groupBy("parent", F.col("block").alias("home")).count().select("parent", "home", F.col("home").alias("last"))
-    done = materialise(packed(blocks))
+    outcome = ["parent", "home", "last", F.explode_outer(F.array(pack("u", "header"))).alias("c")]
+    done = materialise(packed())
     order = Window.partitionBy("parent").orderBy("home")
     while True:
         starts = done.select("parent", "home", "last", F.transform("c", lambda c: c["start"]).alias("s"))
@@ -118,16 +125,17 @@ def pack_in_blocks(
         same = done.join(merged.where("n = 1").select("parent", "home"), ["parent", "home"], "left_semi")
         done = materialise(same.unionByName(again))
     ends = cuts.select("parent", "home", "cut", F.lead("cut").over(order).alias("until"))
-    chunks = done.select("parent", "home", F.explode("c").alias("c")).join(ends, ["parent", "home"]).where(
-        (F.col("c.start") >= F.col("cut")) & (F.col("until").isNull() | (F.col("c.start") < F.col("until")))
-    ).select("parent", "home", "c.*")
-    chunks = materialise(chunks.withColumn("n", F.size("pieces")))
-    upto = (Window.unboundedPreceding, -1)
-    homes = chunks.groupBy("parent", "home").agg(F.sum("n").alias("n")).select(
-        "parent", "home", F.coalesce(F.sum("n").over(order.rowsBetween(*upto)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("parent", "home").orderBy("start").rowsBetween(*upto)
-    first = chunks.select("parent", "home", "start", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("at"))
-    numbered = chunks.join(first, ["parent", "home", "start"]).join(homes, ["parent", "home"])
-    return numbered.select("parent", "base", "at", "labels", F.posexplode("pieces").alias("_p", "text")).select(
-        "parent", (F.col("base") + F.col("at") + F.col("_p")).cast("int").alias("chunk_index"), "text", "labels"
-    )
+
+    def own(chunks: str):
+        """The chunks of a home from where it takes over to where the next one does."""
+        return F.filter(chunks, lambda c: (c["start"] >= F.col("cut")) & (F.col("until").isNull() | (c["start"] < F.col("until"))))
+
+    # Only numbers of pieces are summed; the texts join once.
+    sizes = done.select("parent", "home", F.transform("c", lambda c: F.struct(c["start"].alias("start"), F.size(c["pieces"]).alias("n"))).alias("s"))
+    totals = sizes.join(ends, ["parent", "home"]).withColumn("n", F.aggregate(own("s"), F.lit(0).cast("long"), lambda n, c: n + c["n"]))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Written, so that its size is known: a short list goes to the texts, which then need no shuffle.
+    homes = materialise(totals.select("parent", "home", "cut", "until", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    pieces = F.flatten(F.transform(own("c"), lambda c: F.transform(c["pieces"], lambda p: F.struct(p.alias("text"), c["labels"].alias("labels")))))
+    found = done.join(homes, ["parent", "home"]).select("parent", "base", F.posexplode_outer(pieces).alias("_p", "x"))
+    return found.where(F.col("x").isNotNull()).select("parent", (F.col("base") + F.col("_p")).cast("int").alias("chunk_index"), "x.text", "x.labels")
