@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ragspark.session import materialise
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, merge: bool = False) -> DataFrame:
     """``id`` and ``component_id`` (smallest id reachable) of every end of ``links`` (a, b: long).
 
     Each round hooks every root to its smallest neighbouring root if that is smaller,
     follows the hooks to their ends by pointer jumping and keeps the links between
     different roots. Every component with a link merges, so rounds are logarithmic in
-    its size. Links with a null end and loops link nothing.
+    its size. Links with a null end and loops link nothing. ``merge``: joins merge, so that hooks never
+    pass through the driver; otherwise hooks that the planner takes for small are broadcast.
     """
+    far = (lambda rows: rows.hint("merge")) if merge else (lambda rows: rows)
     ends = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     label = materialise(left.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().withColumn("root", F.col("id")))
@@ -23,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         hooks = materialise(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")))
         while True:
             up = hooks.select(F.col("id").alias("root"), F.col("root").alias("above"))
-            jumped = materialise(hooks.join(up, "root", "left").select(
+            jumped = materialise(hooks.join(far(up), "root", "left").select(
                 "id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")
             ))
             hooks = jumped.select("id", "root")
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
                 break
         def move(rows: DataFrame, column: str) -> DataFrame:
             to = hooks.select(F.col("id").alias(column), F.col("root").alias("_to"))
-            return rows.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+            return rows.join(far(to), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
         label = materialise(move(label, "root"))
         moved = move(move(left, "lo"), "hi").where("lo <> hi")

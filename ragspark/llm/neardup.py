@@ -6,6 +6,9 @@ and vectors at a small angle stand close together. In every list each entry coll
 with the entries within a window centred on it. Pairs with enough collisions
 are compared exactly. The number of collisions asked for is calibrated on random
 pairs at exactly the threshold, so that a stated share of such pairs passes.
+
+All joins are merge joins: a table that grows with the input is never broadcast, so none passes through the
+driver, where one whose columns compress well takes many times the size that the planner reads off its files.
 """
 
 from __future__ import annotations
@@ -119,7 +122,7 @@ def linked_pairs(
     right = listed.select(
         "dim", "list", F.explode(F.array(cell, cell - 1)).alias("cell"), cell.alias("own"), F.col("cls").alias("y"), F.col("place").alias("py")
     )
-    met = left.join(right, ["dim", "list", "cell"]).where(
+    met = left.join(right.hint("merge"), ["dim", "list", "cell"]).where(
         (F.abs(F.col("px") - F.col("py")) <= window) & ((F.col("own") > F.col("cell")) | (F.col("x") < F.col("y")))
     )
     counted = met.groupBy("dim", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).count()
@@ -132,7 +135,7 @@ def linked_pairs(
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([float(np.frombuffer(p, np.float64) @ np.frombuffer(q, np.float64)) for p, q in zip(x, y)], dtype=float)
 
-    side = lambda n: distinct.select(F.col("cls").alias(n), F.col("unit").alias(f"u{n}"))
+    side = lambda n: distinct.select(F.col("cls").alias(n), F.col("unit").alias(f"u{n}")).hint("merge")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(cosine("ua", "ub") >= threshold).select("a", "b")
 
 
@@ -151,13 +154,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, **options) -> Da
     pairs = materialise(linked_pairs(distinct, threshold, **options))
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("other")), F.struct(F.col("b").alias("cls"), F.col("a").alias("other")))).alias("e"))
     sizes = distinct.select(F.col("cls").alias("other"), "size")
-    near = ends.select("e.cls", "e.other").join(sizes, "other").groupBy("cls").agg(F.sum("size").alias("more"))
-    known = distinct.select("d1", "d2", "cls", "size").join(near, "cls", "left")
-    member = rows.select("vec_id", "d1", "d2").join(known, ["d1", "d2"], "left")
+    near = ends.select("e.cls", "e.other").join(sizes.hint("merge"), "other").groupBy("cls").agg(F.sum("size").alias("more"))
+    known = distinct.select("d1", "d2", "cls", "size").join(near.hint("merge"), "cls", "left")
+    member = rows.select("vec_id", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left")
     member = materialise(member.select("vec_id", "cls", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links")))
     same = member.where("cls <> vec_id").select(F.col("cls").alias("a"), F.col("vec_id").alias("b"))
-    label = components(pairs.unionByName(same)).withColumnRenamed("id", "vec_id")
-    out = member.join(label, "vec_id", "left").select(
+    label = components(pairs.unionByName(same), merge=True).withColumnRenamed("id", "vec_id")
+    out = member.join(label.hint("merge"), "vec_id", "left").select(
         "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
     )
