@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import ExitStack
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ LOOK_BACK = 15
 SUMMED = 40
 #: Hashes a task holds before it counts them, and rows of a batch it hands on.
 HELD, PORTION = 1 << 21, 1 << 15
+#: Chunks of a row group: those that Spark holds decoded in a task, and in the task that writes them.
+GROUPED = 8
 #: Splits that a task of the last pass reads, where there are more than cores.
 GATHERED = 8
 
@@ -92,8 +95,8 @@ def tokenise(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for key in list(held):
                 tokens = held.pop(key)
-                number: defaultdict[bytes, int] = defaultdict()
-                number.default_factory = number.__len__
+                # Its numbers come from a counter: with its own length it would wait for the collector of cycles, which bytes never wake.
+                number: defaultdict[bytes, int] = defaultdict(count().__next__)
                 number[b"."]
                 ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
                 yield pa.RecordBatch.from_pydict({
@@ -167,22 +170,33 @@ def sums(chunks: DataFrame, low: int, high: int, least: int, top: int, now=None,
     Phrases count if ``now`` admits both their shorter phrases and ``before`` did not.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        # Filled, sorted and read out in place, so that a task holds the hashes once.
+        held, n = np.empty(HELD, np.uint64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, f = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            held.clear()
-            for at in range(0, len(h), PORTION):
-                yield pa.RecordBatch.from_pydict({"h": h[at : at + PORTION].view(np.int64), "f": f[at : at + PORTION].astype(np.int64)})
+            nonlocal n
+            part, n = held[:n], 0
+            part.sort()
+            new = np.ones(len(part), bool)
+            np.not_equal(part[1:], part[:-1], out=new[1:])
+            first = np.flatnonzero(new)
+            for at in range(0, len(first), PORTION):
+                some = first[at : at + PORTION + 1]
+                f = np.diff(some if len(some) > PORTION else np.append(some, len(part)))
+                yield pa.RecordBatch.from_pydict({"h": part[some[: len(f)]].view(np.int64), "f": f.astype(np.int64)})
 
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row)
                 for k, ends, h, _, known in chunk.levels(high, now, before):
                     if k >= low:
-                        held.append(h[(ends >= chunk.skip) & ~known] >> np.uint64(64 - SUMMED) << np.uint64(1) | np.uint64(k == top))
-                        if sum(map(len, held)) > HELD:
-                            yield from flush()
+                        more = h[(ends >= chunk.skip) & ~known] >> np.uint64(64 - SUMMED) << np.uint64(1) | np.uint64(k == top)
+                        while len(more):
+                            part, more = more[: HELD - n], more[HELD - n :]
+                            held[n : n + len(part)] = part
+                            n += len(part)
+                            if n == HELD:
+                                yield from flush()
         yield from flush()
 
     counted = chunks.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
@@ -238,7 +252,9 @@ def propose(sample: DataFrame, least: int, longest: int, bits: int) -> np.ndarra
 def frequent(docs: DataFrame, least: int, longest: int, fraction: float, bits: int, stack: ExitStack) -> DataFrame:
     """lang, k, phrase, f of all phrases of 1 to ``longest`` words that a language has ``least`` times or more; k = 0: its words."""
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(fraction * (1 << 20))
-    with written(tokenise(docs.select("lang", "text", share.alias("sample")))) as chunks:
+    chunked = tokenise(docs.select("lang", "text", share.alias("sample")))
+    # Readers decode a row group at once, however large the file: its rows are bounded, as each is a whole chunk.
+    with written(chunked, **{"parquet.block.row.count.limit": GROUPED}) as chunks:
         # Not lowered: what this misses costs a pass, as phrases near the limit do in any case; lower limits widen the border.
         now = propose(chunks.where("sample"), max(2, round(least * fraction)), longest, bits)
         before, known = None, np.zeros_like(now)

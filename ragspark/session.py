@@ -61,15 +61,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def written(df: DataFrame) -> Iterator[DataFrame]:
-    """A frame written as by :func:`materialise` for the length of a block, then deleted.
+def written(df: DataFrame, **options) -> Iterator[DataFrame]:
+    """A frame written as by :func:`materialise` for the length of a block, then deleted. ``options`` go to the writer.
 
     Nothing that is read after the block may depend on it: write what is derived from it first.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ragspark/{uuid.uuid4().hex}"
     try:
-        df.write.mode("error").parquet(path)
+        df.write.mode("error").options(**options).parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
