@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark import fixed
 from ragspark.operators.ranking import first_per_group
+from ragspark.session import written_and_freed
 
 SCORE_DIGITS = 6
 # Upper bound of scores held at once by a task (rows of one side times rows of the other).
@@ -359,16 +363,59 @@ def mark_cited(chunks: DataFrame, cited: DataFrame, keys: list[str]) -> DataFram
     return chunks.join(hits, keys, "left").withColumn("is_cited", F.coalesce("is_cited", F.lit(False)))
 
 
-def context_blocks(chunks: DataFrame, keys: list[str], *, with_score: bool = True, word: str = "Provision") -> DataFrame:
-    """Numbered context block per run from its ranked chunks (bounded by the retrieval cap)."""
+@F.pandas_udf(T.BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Bytes of a text, compressed; null stays null."""
+    one = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda x: None if x is None else one.compress(x))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def unpacked(lists: pd.Series) -> pd.Series:
+    """The bytes that :func:`packed` got, of each entry of an array."""
+    one = zstandard.ZstdDecompressor()
+    return lists.map(lambda some: None if some is None else [None if x is None else one.decompress(x) for x in some])
+
+
+def in_slices(
+    asked: DataFrame, top: DataFrame, chunks: DataFrame, on: list[str], run: str, finish: Callable[[DataFrame], DataFrame], slices: int = 8
+) -> DataFrame:
+    """``finish`` of every run's retrieved chunks, one slice of the runs after the other.
+
+    ``asked(run, query_id, ...)`` meets ``top(query_id, chunk_id, score, rank)`` and then, on ``on``, ``chunks`` (those columns and
+    others); a chunk that is not there has null columns. ``finish`` gets whole runs, and its rows are written. A chunk
+    moves to each run that retrieved it, so many times over: let it be small (:func:`packed`). The shuffle files of a slice go before the
+    next one starts, and the chunks are dealt out by their keys once, for all slices.
+    """
+    spark = asked.sparkSession
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *on).sortWithinPartitions(*on)
+    dealt = dealt.persist(StorageLevel.DISK_ONLY)
+    try:
+        done = []
+        for number in range(slices):
+            some = asked.where(F.pmod(F.xxhash64(run), F.lit(slices)) == number)
+            done.append(written_and_freed(finish(some.join(top, "query_id").join(dealt.hint("merge"), on, "left"))))
+    finally:
+        dealt.unpersist()
+    return reduce(DataFrame.unionByName, done)
+
+
+def context_blocks(
+    chunks: DataFrame, keys: list[str], *, with_score: bool = True, word: str = "Provision", unpack: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Numbered context block per run from its ranked chunks (bounded by the retrieval cap).
+
+    ``unpack`` makes texts of an array of ``content``, which then moves as it is until a run's chunks are together.
+    """
     score = F.concat(F.lit("\nScore: "), F.format_string("%.4f", "score")) if with_score else F.lit("")
-    block = F.concat(
+    head = F.concat(
         F.format_string(f"--- {word} %d (chunk_id: %s) ---\nSection: ", F.col("_i"), F.col("chunk_id").cast("string")),
-        F.coalesce(F.col("section").cast("string"), F.lit("unknown")), score, F.lit("\n\n"), F.col("content"),
+        F.coalesce(F.col("section").cast("string"), F.lit("unknown")), score, F.lit("\n\n"),
     )
     numbered = chunks.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
     parts = numbered.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_i"), block.alias("text")))).alias("_blocks")
+        F.array_sort(F.collect_list(F.struct(F.col("_i"), head.alias("head"), F.col("content")))).alias("_blocks")
     )
-    text = F.array_join(F.transform("_blocks", lambda b: b["text"]), "\n\n")
-    return parts.select(*keys, text.alias("context"), F.size("_blocks").alias("n_chunks"))
+    texts = F.transform("_blocks", lambda b: b["content"])
+    blocks = F.zip_with(F.transform("_blocks", lambda b: b["head"]), unpack(texts) if unpack else texts, lambda head, text: F.concat(head, text))
+    return parts.select(*keys, F.array_join(blocks, "\n\n").alias("context"), F.size("_blocks").alias("n_chunks"))

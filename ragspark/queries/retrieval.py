@@ -246,11 +246,15 @@ def prompt_table(t):
     n = t.embeddings.count()
     part = F.floor(F.col("doc_id") / n)
     asked = t.documents.select(F.col("doc_id").alias("asker"), (F.col("doc_id") % n).alias("query_id"), part.alias("part"))
-    docs = t.documents.select((F.col("doc_id") % n).alias("chunk_id"), part.alias("part"), F.col("text").alias("content"), F.col("source").alias("section"))
-    found = asked.join(_top10(t), "query_id").join(docs, ["chunk_id", "part"], "left")
-    found = found.select(F.col("asker").alias("query_id"), "rank", "chunk_id", "section", "score", F.coalesce("content", F.lit("")).alias("content"))
-    blocks = retrieval.context_blocks(found, ["query_id"])
-    return blocks.select("query_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.md5("context").alias("context_md5"))
+    docs = t.documents.select((F.col("doc_id") % n).alias("chunk_id"), part.alias("part"), retrieval.packed(F.col("text").cast("binary")).alias("content"), F.col("source").alias("section"))
+
+    def blocks(found):
+        found = found.select(F.col("asker").alias("query_id"), "rank", "chunk_id", "section", "score", "content")
+        texts = lambda some: F.transform(retrieval.unpacked(some), lambda x: F.coalesce(x.cast("string"), F.lit("")))
+        told = retrieval.context_blocks(found, ["query_id"], unpack=texts)
+        return told.select("query_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.md5("context").alias("context_md5"))
+
+    return retrieval.in_slices(asked, materialise(_top10(t)), docs, ["chunk_id", "part"], "asker", blocks)
 
 
 @query("cited_in_scope", f"""

@@ -76,6 +76,18 @@ def written(df: DataFrame, **options) -> Iterator[DataFrame]:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def written_and_freed(df: DataFrame) -> DataFrame:
+    """As :func:`materialise`; the shuffle files of that one job go when it ends, not when the driver collects its garbage."""
+    spark = df.sparkSession
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return materialise(df)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over more tasks before a CPU-heavy stage, if the session asks for it.
 
